@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, ppm, simhash, toxicity, url_filter, warc
+from . import langid, packing, ppm, simhash, sketch, toxicity, url_filter, warc
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
@@ -37,6 +45,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_sketch": op4_sketch,
+    "op5_langid": op5_langid,
     "op8_simhash": op8_simhash,
     "op9_ppm": op9_ppm,
     "op10_warc": op10_warc,
