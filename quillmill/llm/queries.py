@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, ppm, simhash, sketch, toxicity, url_filter, warc
+from . import decontaminate, langid, line_dedup, packing, ppm, simhash, sketch, toxicity, url_filter, warc
 from .common import table
 
 
@@ -28,6 +28,15 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(found["fp"]).alias("fingerprint"), "component_id")
@@ -47,6 +56,8 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_sketch": op4_sketch,
     "op5_langid": op5_langid,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_ppm": op9_ppm,
     "op10_warc": op10_warc,
