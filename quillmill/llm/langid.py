@@ -191,7 +191,7 @@ def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator
                 place.clear()
             if not place:
                 sums = np.zeros((CACHED_PIECES, len(net.languages)), np.float32)
-            new = sorted(set(held) - place.keys(), key=len)
+            new = sorted(set(held).difference(place), key=len)
             if len(place) + len(new) > len(sums):
                 sums = np.concatenate([sums, np.zeros((len(new), len(net.languages)), np.float32)])
             at = 0

@@ -47,7 +47,7 @@ class Shingler:
             return np.empty(0, np.uint64)
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        for t in set(tokens) - self.cache.keys():
+        for t in set(tokens).difference(self.cache):
             self.cache[t] = self.digest(t)
         h = np.fromiter(map(self.cache.__getitem__, tokens), np.uint64, len(tokens))
         size = min(self.words, len(h))
