@@ -46,12 +46,13 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
     return held.select(*(c for c in held.columns if c != "words"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))).alias("at", "phrase"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and row.
 
     Items (item_id, text) of fewer than ten words are one window, those without words or id are ignored, and rows
     that repeat an id are one item. Null and empty texts have no words. Repeated rows of docs stay; other columns
     are ignored. Without items nothing is hit, and ``items_sha256`` is that of the empty text.
+    ``row`` is carried along for callers that name rows by something else than their id.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = stored(items.distinct(), "items")
@@ -61,8 +62,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         phrases = phrases.union(windows(items.where(F.size("words") == n), n))
     phrases = phrases.select("item_id", "phrase").distinct()
 
-    texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), words(F.col("text")).alias("words"))
-    seen = stored(with_prints(texts).select("doc_id", "k1", "k2", F.size("words").cast("long").alias("n_words"), "prints"), "prints")
+    texts = docs.select(F.col("doc_id"), (F.lit(None) if row is None else row).cast("long").alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), words(F.col("text")).alias("words"))
+    seen = stored(with_prints(texts).select("doc_id", "row", "k1", "k2", F.size("words").cast("long").alias("n_words"), "prints"), "prints")
     marked = with_prints(items.where(F.size("words") >= WINDOW)).select(F.explode("prints").alias("print")).distinct()
     found = seen.select("k1", "k2", F.explode("prints").alias("print")).join(marked, "print", "left_semi").select("k1", "k2").distinct()
     for n in short:  # a short item has no fingerprint: all phrases of its length are looked up
@@ -81,7 +82,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = spans.select("k1", "k2", "at", "size").distinct().withColumn("new", F.greatest(F.lit(0), F.col("at") + F.col("size") - F.greatest("at", ends)))
     hit = hit.groupBy("k1", "k2").agg(F.sum("new").alias("n_hit"))
     named = spans.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items"))
-    judged = seen.select("doc_id", "k1", "k2", "n_words").join(hit.join(named, ["k1", "k2"]), ["k1", "k2"], "left")
+    judged = seen.select("doc_id", "row", "k1", "k2", "n_words").join(hit.join(named, ["k1", "k2"]), ["k1", "k2"], "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return judged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(listed), ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return judged.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(listed), ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "row")

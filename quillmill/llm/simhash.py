@@ -44,12 +44,13 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) for every row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _fingerprints(b, words), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp) for every row of docs."""
+    row = (F.lit(None) if row is None else row).cast("long").alias("row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, "text").mapInArrow(lambda b: _fingerprints(b, words), "doc_id long, row long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -72,21 +73,21 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     return found.where((F.bit_count(apart) <= MAX_DISTANCE) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, fp, component_id.
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, row: Column | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, fp, component_id, and row.
 
     Fingerprints are linked at 3 or fewer differing bits, and ``component_id`` is the smallest doc_id in reach.
     Null and empty texts have fingerprint zero, which is linked like any other. A null doc_id never names a
     component; where all ids in reach are null, so is ``component_id``. Repeated rows stay; other columns are
-    ignored.
+    ignored. ``row`` is carried along for callers that name rows by something else than their id.
     """
-    prints = stored(fingerprints(docs, words), "fingerprints")
+    prints = stored(fingerprints(docs, words, row), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
     linked = connected_components(near_pairs(nodes))
     rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id", "row")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, stored
@@ -97,15 +97,15 @@ def _decay(weights: list[tuple[float, float]], gap: float) -> float:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], weights: dict[str, float], gap: float, decay: float) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> the segments' scores in nats, and where the best lies."""
+    """(text, row, doc_id) -> the segments' scores in nats, and where the best lies."""
     import re
 
     find, listed, stem_of = re.compile(TOKEN).findall, weights.get, STEM
     seen: dict[str, float] = {}
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("scores", pa.list_(pa.float64())), ("best_begin", pa.int64()), ("best_end", pa.int64())])
+    kinds = pa.schema([("n_tokens", pa.int64()), ("scores", pa.list_(pa.float64())), ("best_begin", pa.int64()), ("best_end", pa.int64())])
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text in batch.column(0).to_pylist():
             tokens = find((text or "").lower())
             if len(seen) > COUNTED:
                 seen.clear()
@@ -116,8 +116,9 @@ def _scan(batches: Iterator[pa.RecordBatch], weights: dict[str, float], gap: flo
             scored = [(i, w) for i, w in enumerate(map(seen.__getitem__, tokens)) if w > 0]
             found = segments([i for i, _ in scored], [w for _, w in scored], gap)
             best = max(found, key=lambda s: s[2], default=(None, None, 0.0))
-            rows.append((doc_id, len(tokens), [decay * s for _, _, s in found], best[0], best[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], schema=kinds)
+            rows.append((len(tokens), [decay * s for _, _, s in found], best[0], best[1]))
+        made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *made], ["row", "doc_id", *kinds.names])
 
 
 def _curve(rows: list[tuple[float, int]]) -> tuple[float, float]:
@@ -134,17 +135,18 @@ def _curve(rows: list[tuple[float, int]]) -> tuple[float, float]:
     return float(max(w[0], 0.0)), float(w[1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted, and its passages.
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, row: Column | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted, its passages, and row.
 
     Learns from labels (doc_id, toxic) of documents whose crc32 of the id leaves another remainder than
     ``held_out``; rows with a null label or id teach nothing, and of several labels of an id the largest counts. Null and
     empty texts get the score of a text without passages. Without labels, or with one class only, no token is
     listed and all scores are the smoothed share of toxic labels. Repeated rows stay; other columns are ignored.
+    ``row`` is carried along for callers that name rows by something else than their id.
     ``n_segments`` passages lie beyond chance, the best from token ``best_begin`` up to ``best_end``.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if row is None else row).cast("long").alias("row"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(id_remainder(F.col("doc_id"), folds) != held_out)
     counted = docs.join(known, "doc_id").select("text", "toxic").mapInArrow(_count, "token string, clean long, toxic long")
@@ -163,7 +165,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     gap = math.log(1 - DENSITY)
     decay = _decay([(r["weight"], r["share"] * 1e-2) for r in top if not r["token"].endswith("*")], gap) if top else 1.0
     shared = spark.sparkContext.broadcast(weights)  # at most twice LISTED tokens
-    scanned = stored(docs.mapInArrow(lambda b: _scan(b, shared.value, gap, decay), "doc_id long, n_tokens long, scores array<double>, best_begin long, best_end long"), "segments")
+    scanned = stored(docs.select("text", "row", "doc_id").mapInArrow(lambda b: _scan(b, shared.value, gap, decay), "row long, doc_id long, n_tokens long, scores array<double>, best_begin long, best_end long"), "segments")
 
     # K of the extreme-value law E(segments >= s) = K n exp(-s), from the clean documents; s in nats
     clean = scanned.join(known.where("toxic = 0"), "doc_id")
@@ -172,9 +174,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     chance = F.lit(log_k) + F.log(F.col("n_tokens") + F.lit(1))
     beyond = F.filter(F.transform("scores", lambda s: s - chance), lambda s: s > 0)
     x = F.log1p(F.aggregate(beyond, F.lit(0.0), lambda total, s: total + s))
-    judged = scanned.select("doc_id", x.alias("x"), F.size(beyond).alias("n_segments"), "best_begin", "best_end")
+    judged = scanned.select("row", "doc_id", x.alias("x"), F.size(beyond).alias("n_segments"), "best_begin", "best_end")
     sample = judged.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "toxic").limit(CURVE_ROWS).collect()
     slope, intercept = _curve([tuple(r) for r in sample]) if n_toxic and n_clean else (0.0, math.log((n_toxic + 0.5) / (n_clean + 1.5)))
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("x") + F.lit(intercept))))
     held = id_remainder(F.col("doc_id"), folds) == held_out
-    return judged.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_segments", "best_begin", "best_end")
+    return judged.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_segments", "best_begin", "best_end", "row")
