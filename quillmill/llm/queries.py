@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, line_dedup, packing, ppm, simhash, sketch, toxicity, url_filter, warc
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL = {}
+
