@@ -1,4 +1,508 @@
-"""Queries over the driver's tables and the DuckDB SQL that must give the same rows."""
+"""Queries over the driver's tables, and the DuckDB SQL that must give the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for extraction results: both sides derive names, pages, questions and the like from their
+columns by the same expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import js
+from .operators import merge, pages, repair, store
+from .plans import render
+from .session import table
+from .sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: table(spark, sf_dir, name))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _case(c, *values):
+    """The value at c mod the number of values."""
+    return F.get(F.array(*(F.lit(v) for v in values)), F.pmod(c, F.lit(len(values))).cast("int"))
+
+
+# --- files and pages -------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, name, ext, regexp_matches(name, '(?i)[.](pdf|docx?)$') AS accepted, coalesce(mime = 'application/pdf', false) OR ends_with(name, '.pdf') AS pdf, ends_with(lower(name), '.pdf') AS looks_pdf
+FROM (SELECT doc_id, 'doc_' || doc_id || '.' || ['pdf', 'PDF', 'docx', 'doc', 'txt'][doc_id % 5 + 1] AS name, ['pdf', 'PDF', 'docx', 'doc', 'txt'][doc_id % 5 + 1] AS ext, CASE WHEN doc_id % 7 = 0 THEN 'application/pdf' END AS mime FROM documents)
+""")
+def file_router(t):
+    named = t("documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("."), _case(F.col("doc_id"), "pdf", "PDF", "docx", "doc", "txt")).alias("name"), F.when(F.col("doc_id") % 7 == 0, "application/pdf").alias("mime"))
+    return files.routed(named).select("doc_id", "name", "ext", "accepted", "pdf", "looks_pdf")
+
+
+_PAGED = "SELECT doc_id, greatest(ceil(n_chars / 40.0)::INT, 1) AS n_pages FROM documents"
+
+
+@query(f"""
+SELECT doc_id, c::INT AS chunk_ix, total::INT AS total_chunks, (c * 95 + 1)::INT AS page_offset, least(c * 95 + 95, n_pages)::INT AS page_end
+FROM (SELECT doc_id, n_pages, greatest(ceil(n_pages / 95.0), 1) AS total, unnest(range(0, greatest(ceil(n_pages / 95.0), 1)::BIGINT)) AS c FROM ({_PAGED}))
+""")
+def page_chunks(t):
+    docs = t("documents").select("doc_id", F.greatest(F.ceil(F.col("n_chars") / F.lit(40.0)).cast("int"), F.lit(1)).alias("n_pages"))
+    return pages.chunked(docs).select("doc_id", "chunk_ix", "total_chunks", "page_offset", "page_end")
+
+
+_REQUESTED = "SELECT event_id, user_id % 50 AS doc_id, [k % 8 + 1, 3, k % 3, k % 8 + 1, 99] AS wanted FROM (SELECT event_id, user_id, json_extract_string(props, '$.k')::INT AS k FROM events)"
+_TURNS = "SELECT conv_id AS doc_id, turn + 1 AS page_no, text FROM conversations"
+
+
+@query(f"""
+SELECT r.event_id, r.pos::INT AS pos, r.page_no::INT AS page_no, p.text
+FROM (SELECT event_id, doc_id, unnest(wanted) AS page_no, unnest(range(0, 5)) AS pos FROM ({_REQUESTED})) r JOIN ({_TURNS}) p ON r.doc_id = p.doc_id AND r.page_no = p.page_no
+""")
+def page_select(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    requests = t("events").select("event_id", (F.col("user_id") % 50).alias("doc_id"), F.array(k % 8 + 1, F.lit(3), k % 3, k % 8 + 1, F.lit(99)).alias("page_numbers"))
+    turns = t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), "text")
+    return pages.select_pages(requests, turns).select("event_id", "pos", "page_no", "text")
+
+
+@query("""
+SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN range(1, n + 1) ELSE [2, 1] END)::INT AS page_no, unnest(range(0, CASE WHEN doc_id % 3 = 0 THEN n ELSE 2 END))::INT AS pos
+FROM (SELECT conv_id AS doc_id, max(turn + 1) AS n FROM conversations GROUP BY conv_id)
+""")
+def select_all_default(t):
+    counts = pages.page_count(t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no")))
+    text = F.when(F.col("doc_id") % 3 == 0, "").otherwise("[2, 1]")
+    return counts.select("doc_id", F.posexplode(pages.requested_or_all(pages.parse_page_list(text), F.col("n_pages"))).alias("pos", "page_no"))
+
+
+@query("""
+SELECT n.n_nationkey, 'Chunk ' || (n_nationkey % 4 + 1) || ' of 4 of ' || n_name || '; its first page is page ' || (n_nationkey % 4 * 95 + 1) AS prompt, t.text
+FROM nation n CROSS JOIN (SELECT string_agg('=== ' || r_name || ' ===' || chr(10) || 'region ' || r_regionkey, chr(10) || chr(10) ORDER BY r_regionkey) AS text FROM region) t
+""")
+def broadcast_text(t):
+    text = t("region").select(F.col("r_regionkey").alias("file_ord"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("mime"), F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).cast("binary").alias("content"))
+    chunks = t("nation").select("n_nationkey", pages.chunk_prompt("n_name", F.col("n_nationkey") % 4, F.lit(4), F.col("n_nationkey") % 4 * 95 + 1).alias("prompt"))
+    return pages.with_shared_text(chunks, files.text_parts(text))
+
+
+# --- repair and parsing ----------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_get(t):
+    return t("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT event_id, '{\"k\": ' || json_extract_string(props, '$.k') || '}' AS json, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_repair(t):
+    raw = t("events").select("event_id", F.concat(F.lit("noise "), F.replace("props", F.lit("}"), F.lit("\x01, }")), F.lit(" tail")).alias("raw"))
+    return repair.parsed(raw, repair.chunk_repair("raw")).select("event_id", "json", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+
+
+@query()
+def strict_json_gate(t):
+    kind = F.col("event_id") % 5
+    raw = t("events").select("event_id", F.when(kind == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(kind == 1, F.replace("props", F.lit('"'), F.lit("'"))).when(kind == 2, '{"k": NaN}').when(kind == 3, F.concat("props", F.lit(" y }"))).otherwise(F.concat(F.lit('{"a": "x\ny", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).alias("raw"))
+    return repair.parse_single(raw).select("event_id", "json", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+
+
+@query()
+def newline_repair(t):
+    raw = t("events").select("event_id", F.concat(F.lit('{"text": "one\ntwo", "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("raw"))
+    return raw.select("event_id", repair.single_repair("raw").alias("repaired"))
+
+
+# --- merging ---------------------------------------------------------------------------------------------
+
+_ROLES = """SELECT doc_id AS ord, CASE WHEN doc_id % 97 = 0 THEN 'solo' || doc_id WHEN doc_id % 2 = 0 THEN upper(source) ELSE '  ' || source || ' ' END AS name, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE lang END AS gender,
+  text AS description, [n_chars % 7 + 3, doc_id % 5 + 1, n_chars % 7 + 3] AS pages, [lang, 't' || doc_id % 3, lang] AS traits FROM documents"""
+
+
+@query(f"""
+WITH r AS (SELECT *, trim(lower(name)) AS key FROM ({_ROLES})),
+n AS (SELECT key, count(*) AS n, min(ord) AS out_ord FROM r GROUP BY key),
+firsts AS (SELECT r.* FROM r JOIN n ON r.key = n.key AND r.ord = n.out_ord),
+longest AS (SELECT key, description FROM (SELECT key, description, row_number() OVER (PARTITION BY key ORDER BY coalesce(length(description), 0) DESC, ord) AS nth FROM r) WHERE nth = 1),
+pages AS (SELECT key, list_sort(list_distinct(flatten(list(pages)))) AS pages FROM r GROUP BY key),
+traits AS (SELECT key, string_agg(x, ',' ORDER BY spot) AS traits FROM (SELECT key, x, min(ord * 100 + pos) AS spot FROM (SELECT key, ord, unnest(traits) AS x, unnest(range(0, 3)) AS pos FROM r) GROUP BY key, x) GROUP BY key)
+SELECT n.out_ord, n.key, f.name, f.gender, CASE WHEN n = 1 THEN f.description ELSE l.description END AS description, array_to_string(CASE WHEN n = 1 THEN f.pages ELSE p.pages END, ',') AS pages, CASE WHEN n = 1 THEN array_to_string(f.traits, ',') ELSE t.traits END AS traits
+FROM n JOIN firsts f USING (key) JOIN longest l USING (key) JOIN pages p USING (key) JOIN traits t USING (key)
+""")
+def role_merge(t):
+    id_ = F.col("doc_id")
+    name = F.when(id_ % 97 == 0, F.concat(F.lit("solo"), id_.cast("string"))).when(id_ % 2 == 0, F.upper("source")).otherwise(F.concat(F.lit("  "), F.col("source"), F.lit(" ")))
+    page = (F.col("n_chars") % 7 + 3).cast("int")
+    roles = t("documents").select(id_.alias("ord"), name.alias("name"), F.when(id_ % 5 != 0, F.col("lang")).alias("gender"), F.col("text").alias("description"), F.array(page, (id_ % 5 + 1).cast("int"), page).alias("pageNumbers"), F.array("lang", F.concat(F.lit("t"), (id_ % 3).cast("string")), "lang").alias("characteristics"))
+    return merge.merge_roles(roles).select("out_ord", "key", "name", "gender", "description", js.join(F.col("pageNumbers").cast("array<string>"), ",").alias("pages"), js.join("characteristics", ",").alias("traits"))
+
+
+@query("""
+SELECT user_id, key, event_id, value FROM (SELECT user_id, lower(trim(event_type)) AS key, event_id, value, row_number() OVER (PARTITION BY user_id, lower(trim(event_type)) ORDER BY ts, event_id) AS nth FROM events) WHERE nth = 1
+""")
+def first_wins(t):
+    rows = t("events").select("user_id", F.concat(F.lit(" "), F.upper("event_type")).alias("name"), "event_id", "value", F.struct("ts", "event_id").alias("ord"))
+    return merge.first_wins(rows, "name", partition=("user_id",)).select("user_id", "key", "event_id", "value")
+
+
+@query("""
+SELECT user_id, k FROM (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_id % 3 > 0) WHERE nth = 1
+""")
+def project_pick(t):
+    parsed = t("events").select("user_id", F.struct("ts", "event_id").alias("ord"), F.try_variant_get(F.try_parse_json(F.when(F.col("event_id") % 3 > 0, F.col("props")).otherwise("{oops")), "$.k", "bigint").alias("k"))
+    return merge.pick_first(parsed, "k", "ord", ("user_id",))
+
+
+@query("""
+SELECT l_orderkey, string_agg(x, ',' ORDER BY spot) AS flags FROM (SELECT l_orderkey, x, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice, pos)) AS spot FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, unnest([l_returnflag, l_linestatus]) AS x, unnest([0, 1]) AS pos FROM lineitem) GROUP BY l_orderkey, x) GROUP BY l_orderkey
+""")
+def distinct_union(t):
+    rows = t("lineitem").withColumn("flags", F.array("l_returnflag", "l_linestatus"))
+    return rows.groupBy("l_orderkey").agg(js.join(merge.distinct_union("flags", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), ",").alias("flags"))
+
+
+@query("""
+SELECT conv_id, text AS longest FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(length(text), 0) DESC, turn) AS nth FROM conversations) WHERE nth = 1
+""")
+def longest_text(t):
+    return t("conversations").groupBy("conv_id").agg(merge.longest_first("text", "turn").alias("longest"))
+
+
+@query("""
+SELECT doc_id, len(list_filter(rs, lambda r: true))::INT AS n_roles, n_chunks::INT AS n_chunks FROM (
+  SELECT user_id AS doc_id, list(DISTINCT lower(event_type)) FILTER (event_id % 9 <> 0) AS ks, list(event_type) AS rs_all, count(*) AS n_chunks, CASE WHEN count(*) = 1 THEN list(event_type) ELSE list(DISTINCT lower(event_type)) END AS rs FROM events GROUP BY user_id)
+""")
+def merged_results(t):
+    raw = t("events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.concat(F.lit('here: {"project": {"name": "p'), F.col("user_id").cast("string"), F.lit('"}, "roles": [{"name": " '), F.col("event_type"), F.lit('", "description": "d", "pageNumbers": [2, 1],}], }')).alias("raw"))
+    parsed = repair.parsed(raw, repair.chunk_repair("raw")).where("v is not null").select("doc_id", "ord", repair.typed("v").alias("result"))
+    merged = merge.merge_results(parsed).join(parsed.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_chunks")), "doc_id")
+    return merged.select("doc_id", F.size("result.roles").alias("n_roles"), "n_chunks")
+
+
+# --- stores ----------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH latest AS (SELECT * FROM (SELECT o_custkey, o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS nth FROM orders) WHERE nth = 1)
+SELECT c_custkey AS user_id, c_name AS id, CASE WHEN o_custkey IS NOT NULL THEN nullif(o_orderpriority, '1-URGENT') ELSE c_mktsegment END AS company_name FROM customer LEFT JOIN latest ON c_custkey = o_custkey
+""")
+def upsert_settings(t):
+    held = t("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("id"), F.col("c_mktsegment").alias("company_name"))
+    changes = t("orders").select(F.col("o_custkey").alias("user_id"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("company_name"), F.struct("o_orderdate", "o_orderkey").alias("updated_at"))
+    return store.upsert(held, changes, "user_id", ["company_name"], "updated_at")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)")
+def delete_owned(t):
+    orders = t("orders").select("o_orderkey", "o_custkey")
+    requests = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("o_custkey"))
+    return store.delete_by(orders, requests, ["o_orderkey", "o_custkey"])
+
+
+@query("""
+SELECT p_partkey AS user_id, CASE WHEN p_partkey % 4 > 1 THEN p_name WHEN p_partkey % 8 = 1 THEN p_brand ELSE 'Untitled' END AS name, 0::INT AS n_documents FROM part
+""")
+def insert_defaults(t):
+    id_ = F.col("p_partkey")
+    requests = t("part").select(id_.alias("user_id"), F.when(id_ % 4 == 0, "").when(id_ % 4 > 1, F.col("p_name")).alias("name"), F.to_json(F.struct(F.struct(F.when(id_ % 8 == 1, F.col("p_brand")).otherwise("").alias("name")).alias("project"))).alias("data"), F.lit(None).cast("array<struct<name:string,url:string>>").alias("documents"))
+    return store.new_projects(requests).select("user_id", "name", F.size("documents").alias("n_documents"))
+
+
+@query("""
+SELECT n_nationkey AS user_id, CASE WHEN c_custkey IS NULL THEN '#00BFA5' ELSE nullif(c_mktsegment, 'BUILDING') END AS brand_color, CASE WHEN c_custkey IS NULL THEN '' ELSE c_name END AS company_name
+FROM (SELECT n_nationkey FROM nation UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey > 100) u(n_nationkey) LEFT JOIN customer ON c_custkey = n_nationkey
+""")
+def overlay_defaults(t):
+    users = t("nation").select(F.col("n_nationkey").cast("long").alias("user_id")).union(t("orders").where("o_orderkey > 100").select("o_orderkey"))
+    held = t("customer").select(F.col("c_custkey").alias("user_id"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("brand_color"), F.col("c_name").alias("company_name"))
+    return store.settings_or_defaults(users, held, {"brand_color": js.TEAL, "company_name": ""})
+
+
+@query("""
+SELECT c_custkey AS user_id, coalesce(n_name, 'House') AS company, CASE WHEN c_custkey % 2 = 0 THEN '#102030' ELSE '#00BFA5' END AS colour, CASE WHEN c_custkey % 2 = 0 THEN '16,32,48' ELSE '0,191,165' END AS rgb, CASE WHEN c_custkey % 2 = 0 THEN 'white' ELSE 'black' END AS text_colour
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 3 > 0
+""")
+def branding_join(t):
+    users = t("customer").select(F.col("c_custkey").alias("user_id"))
+    settings = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("n_name")).alias("company_name"), F.when(F.col("c_custkey") % 2 == 0, "#102030").otherwise("").alias("brand_color"), *(F.lit(None).cast("string").alias(c) for c in ("contact_email", "contact_phone", "contact_website")))
+    found = store.branding(users, settings, "House")
+    return found.select("user_id", F.col("companyName").alias("company"), F.col("brandColor").alias("colour"), js.join(F.col("brandColorRgb").cast("array<string>"), ",").alias("rgb"), F.col("textColor").alias("text_colour"))
+
+
+@query("""
+SELECT page_id, owner, length(url) <= 40 AND page_id % 3 < 2 AS accepted FROM (SELECT page_id, url, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS owner FROM pages) WHERE owner LIKE '%.com'
+""")
+def policy_rows(t):
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    size = F.when(F.length("url") <= 40, files.MAX_LOGO_BYTES).otherwise(files.MAX_LOGO_BYTES + 1)
+    rows = t("pages").select("page_id", store.path_owner(path).alias("owner"), files.logo_accepted(size, _case(F.col("page_id"), "image/png", "image/jpeg", "text/html")).alias("accepted"))
+    return rows.where(F.endswith("owner", F.lit(".com")))
+
+
+@query("""
+SELECT o_custkey AS user_id, o_orderkey AS id, o_orderstatus AS name, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE o_orderkey % 4 END::INT AS role_count, strftime(d, '%b ') || day(d) || strftime(d, ', %Y') AS short_date, strftime(d, '%B ') || day(d) || strftime(d, ', %Y') AS long_date,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY d DESC NULLS FIRST, o_orderkey)::INT AS place
+FROM (SELECT *, CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END AS d FROM orders)
+""")
+def project_list(t):
+    k = F.col("o_orderkey")
+    rows = t("orders").select(F.col("o_custkey").alias("user_id"), k.alias("id"), F.col("o_orderstatus").alias("name"), F.when(k % 4 > 0, F.sequence(F.lit(1).cast("long"), k % 4)).alias("roles"), F.when(k % 10 > 0, F.col("o_orderdate")).alias("created_at"))
+    return store.project_list(rows)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT s_suppkey FROM supplier GROUP BY s_suppkey HAVING count(*) = 1) AND s_suppkey = 7")
+def point_read(t):
+    return store.exactly_one(t("supplier").select("s_suppkey", "s_name"), "s_suppkey", 7)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def cascade_delete(t):
+    survivors = t("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return store.cascade(t("orders"), survivors, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT page_id AS path, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE url END AS content FROM pages")
+def put_objects(t):
+    held = t("pages").select(F.col("page_id").alias("path"), F.col("url").alias("content"))
+    return store.put_objects(held, held.where("path % 3 = 0").withColumn("content", F.lit("new")))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_outputs(t):
+    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, count(DISTINCT role) AS n_roles, count(*) FILTER (length(text) > 100) AS n_long FROM conversations GROUP BY conv_id")
+def kpi_counts(t):
+    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.countDistinct("role").alias("n_roles"), F.count_if(F.length("text") > 100).alias("n_long"))
+
+
+# --- lookups and forms -----------------------------------------------------------------------------------
+
+_KINDS = ("text", "radio", "textarea", "checkbox", "email", "other")
+_TYPES = ("commercial", "feature_film", "tv_series", "vertical_short", "opera")
+
+
+@query("""
+SELECT p_partkey, ['control_textbox', 'control_radio', 'control_textarea', 'control_checkbox', 'control_email', 'control_textbox'][p_partkey % 6 + 1] AS control, ['26', '51', '28', '428', ''][p_partkey % 5 + 1] AS code FROM part
+""")
+def type_lookup(t):
+    return t("part").select("p_partkey", render.control(_case(F.col("p_partkey"), *_KINDS)).alias("control"), js.lookup(_case(F.col("p_partkey"), *_TYPES), render.TYPE_CODES, "").alias("code"))
+
+
+@query("SELECT p_partkey, p_name || ' — ' || p_type || CASE WHEN p_brand IN ('Brand#1', 'Brand#11') THEN '' ELSE ' | ' || p_brand END AS title FROM part")
+def title_branch(t):
+    company = F.when(F.col("p_brand").isin("Brand#1", "Brand#11"), "House").otherwise(F.col("p_brand"))
+    return t("part").select("p_partkey", render.form_title("p_name", "p_type", company, "House").alias("title"))
+
+
+_STANDARD = [("control_fullname", "Full Name"), ("control_email", "Email")]
+
+
+def _questions(part):
+    k = F.col("p_partkey")
+    options = F.when(k % 2 == 0, F.array("p_brand", "p_type"))
+    q = lambda kind, label, opts, required: F.struct(kind.alias("type"), label.alias("label"), opts.alias("options"), required.alias("required"))
+    return part.select("p_partkey", "p_name", F.array(q(_case(k, *_KINDS), F.col("p_name"), options, k % 3 == 0), q(F.lit("radio"), F.lit("Size?"), F.array(F.lit("S"), F.lit("L")), F.lit(None).cast("boolean"))).alias("questions"))
+
+
+@query("""
+SELECT p_partkey, ord::INT AS ord, kind, label, required, options FROM (SELECT p_partkey, unnest(range(1, 7)) AS ord,
+  unnest(['control_head', 'control_fullname', 'control_email', ['control_textbox', 'control_radio', 'control_textarea', 'control_checkbox', 'control_email', 'control_textbox'][p_partkey % 6 + 1], 'control_radio', 'control_button']) AS kind,
+  unnest([p_name, 'Full Name', 'Email', p_name, 'Size?', 'Submit']) AS label, unnest(['No', 'Yes', 'Yes', CASE WHEN p_partkey % 3 = 0 THEN 'Yes' ELSE 'No' END, 'No', 'No']) AS required,
+  unnest([NULL, NULL, NULL, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type END, 'S|L', NULL]) AS options FROM part)
+""")
+def form_fields(t):
+    rows = _questions(t("part")).select("p_partkey", F.posexplode(render.form_rows(F.col("questions"), _STANDARD, F.col("p_name"))).alias("pos", "r"))
+    return rows.select("p_partkey", (F.col("pos") + 1).alias("ord"), F.col("r.type").alias("kind"), F.col("r.text").alias("label"), F.col("r.required").alias("required"), F.col("r.options").alias("options"))
+
+
+@query("""
+SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' [' || p_brand || ' / ' || p_type || ']' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' (required)' ELSE '' END AS form,
+  p_name || CASE WHEN p_partkey % 2 = 0 THEN ' — Options: ' || p_brand || ', ' || p_type ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' (REQUIRED)' ELSE '' END AS mail,
+  p_name || CASE WHEN p_partkey % 2 = 0 THEN ' [' || p_brand || ' / ' || p_type || ']' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' *' ELSE '' END AS screen FROM part
+""")
+def question_text(t):
+    q = F.get("questions", 0)
+    return _questions(t("part")).select("p_partkey", *(render.question_line(kind, q["label"], q["options"], q["required"]).alias(kind) for kind in ("form", "mail", "screen")))
+
+
+@query()
+def form_definition(t):
+    rows = _questions(t("part"))
+    return rows.select("p_partkey", render.form_json(F.col("p_name"), render.form_rows(F.col("questions"), _STANDARD, F.col("p_name"))).alias("form"))
+
+
+# --- text and layout -------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT c_custkey, c_name || chr(10) || 'Age: N/A | Gender: ' || CASE WHEN c_custkey % 2 = 0 THEN 'Any' ELSE 'N/A' END || ' | ' || CASE WHEN c_custkey % 3 = 0 THEN 'Speaking' ELSE 'Non-speaking' END || chr(10) || c_mktsegment || chr(10) || 'Traits: a, , ' || c_nationkey AS block FROM customer
+""")
+def role_block(t):
+    k = F.col("c_custkey")
+    return t("customer").select("c_custkey", render.role_block(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), F.when(k % 2 == 0, "Any").otherwise(""), F.when(k % 3 == 0, True), F.array(F.lit("a"), F.lit(None).cast("string"), F.col("c_nationkey").cast("string"))).alias("block"))
+
+
+def _results(t):
+    """A result for each region: its nations are roles, the larger ones have instructions and questions."""
+    nation = t("nation").select("n_regionkey", "n_nationkey", "n_name")
+    even = F.col("n_nationkey") % 2 == 0
+    role = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("About "), F.col("n_name")).alias("description"), F.when(even, "20-30").alias("ageRange"), F.when(even, "Any").otherwise("").alias("gender"), even.alias("speaking"))
+    tape = F.struct(F.col("n_name").alias("roleName"), F.array(F.struct(F.lit("SLATE").alias("label"), F.col("n_name").alias("description"))).alias("videos"), F.when(even, F.array(F.lit("front"), F.lit("side"))).alias("photos"), F.when(~even, F.array(F.lit("quiet room"), F.lit("landscape"))).alias("filmingNotes"))
+    form = F.struct(F.col("n_name").alias("roleName"), F.array(F.struct(F.lit("text").alias("type"), F.lit("Height?").alias("label"), even.alias("required"))).alias("questions"))
+    listed = lambda item: F.transform(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), item.alias("item")))), lambda s: s["item"])
+    by_region = nation.groupBy("n_regionkey").agg(listed(role).alias("roles"), listed(tape).alias("selfTapeInstructions"), listed(form).alias("formQuestions"))
+    project = F.struct(F.col("r_name").alias("name"), F.lit("").alias("brand"), F.lit("feature_film").alias("type"), F.when(F.col("r_regionkey") > 1, F.col("r_name")).alias("location"), F.lit(None).cast("string").alias("director"), F.lit("May").alias("productionDates"))
+    return t("region").join(by_region, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", F.struct(project.alias("project"), "roles", "selfTapeInstructions", "formQuestions").alias("result"))
+
+
+_N = "chr(10)"
+_EVEN = "n_nationkey % 2 = 0"
+
+
+@query(f"""
+SELECT r_regionkey, repeat('=', 50) || {_N} || 'PROJECT REPORT' || {_N} || repeat('=', 50) || {_N} || {_N} || 'PROJECT' || {_N} || repeat('-', 30) || {_N} || 'Name: ' || r_name || {_N} || 'Type: feature film' || {_N} || CASE WHEN r_regionkey > 1 THEN 'Location: ' || r_name || {_N} ELSE '' END || 'Dates: May' || {_N} || {_N} || 'ROLES' || {_N} || repeat('-', 30) || {_N}
+  || string_agg(nth || '. ' || n_name || CASE WHEN {_EVEN} THEN ' (Speaking)' ELSE ' (Non-speaking)' END || {_N} || '   About ' || n_name || {_N} || CASE WHEN {_EVEN} THEN '   Age: 20-30' || {_N} || '   Gender: Any' || {_N} ELSE '' END, {_N} ORDER BY n_nationkey) || {_N}
+  || 'SELF-TAPE INSTRUCTIONS' || {_N} || repeat('-', 30) || {_N}
+  || string_agg('Role: ' || n_name || {_N} || '  SLATE: ' || n_name || {_N} || CASE WHEN {_EVEN} THEN '  Photos: front, side' ELSE '  Filming Notes:' || {_N} || '    1. quiet room' || {_N} || '    2. landscape' END || {_N}, {_N} ORDER BY n_nationkey) || {_N}
+  || 'FORM QUESTIONS' || {_N} || repeat('-', 30) || {_N} || string_agg('Role: ' || n_name || {_N} || '  - Height? (text)' || CASE WHEN {_EVEN} THEN ' *' ELSE '' END || {_N}, {_N} ORDER BY n_nationkey) AS report
+FROM region JOIN (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth FROM nation) ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name
+""")
+def report_lines(t):
+    return _results(t).select("r_regionkey", render.report_text(F.col("result"), "PROJECT REPORT").alias("report"))
+
+
+@query(f"""
+SELECT r_regionkey, 'PROJECT: ' || r_name || {_N} || 'Brand: ' || {_N} || 'Type: feature_film' || {_N} || 'Location: ' || CASE WHEN r_regionkey > 1 THEN r_name ELSE 'N/A' END || {_N} || 'Director: N/A' || {_N} || 'Dates: May' || {_N} || {_N} || 'ROLES:' || {_N}
+  || string_agg(n_name || CASE WHEN {_EVEN} THEN ' (Speaking) | Age: 20-30 | Any' ELSE ' (Non-speaking)' END || {_N} || 'About ' || n_name, {_N} || {_N} ORDER BY n_nationkey) || {_N} || {_N} || 'SELF-TAPE INSTRUCTIONS:' || {_N}
+  || string_agg(n_name || ':' || {_N} || '  SLATE: ' || n_name || CASE WHEN {_EVEN} THEN {_N} || '  Photos: front, side' ELSE {_N} || '  Notes: quiet room; landscape' END, {_N} || {_N} ORDER BY n_nationkey) || {_N} || {_N} || 'FORM QUESTIONS:' || {_N}
+  || string_agg(n_name || ':' || {_N} || '  - Height? (text)', {_N} || {_N} ORDER BY n_nationkey) AS everything
+FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name
+""")
+def copy_all(t):
+    return _results(t).select("r_regionkey", render.copy_text(F.col("result")).alias("everything"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 > 0 THEN 'Made here' ELSE concat_ws('  |  ', CASE WHEN c_custkey % 3 > 0 THEN c_name END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END) END AS line1,
+  CASE WHEN c_custkey % 5 = 0 THEN 'own' WHEN c_custkey % 3 = 0 AND c_custkey % 2 > 0 THEN NULL ELSE 'Made here' END AS line2 FROM customer
+""")
+def footer(t):
+    k = F.col("c_custkey")
+    first, second = render.footer(F.when(k % 3 > 0, F.col("c_name")).otherwise("House"), [F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise(""), F.lit(None).cast("string")], F.when(k % 5 == 0, "own"), "House", "Made here")
+    return t("customer").select("c_custkey", first.alias("line1"), second.alias("line2"))
+
+
+@query("""
+SELECT p_partkey, unnest(['Name', 'Brand', 'Type']) AS label, unnest([p_name, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END, CASE WHEN p_partkey % 3 > 0 THEN p_type END]) AS value FROM part
+QUALIFY value IS NOT NULL AND value <> ''
+""".replace("QUALIFY", ") WHERE").replace("SELECT p_partkey, unnest", "SELECT * FROM (SELECT p_partkey, unnest", 1))
+def unpivot_fields(t):
+    k = F.col("p_partkey")
+    return render.unpivoted(t("part"), ["p_partkey"], [("Name", F.col("p_name")), ("Brand", F.when(k % 2 == 0, "").otherwise(F.col("p_brand"))), ("Type", F.when(k % 3 > 0, F.col("p_type")))])
+
+
+_HEX = "printf('#%06x', (p_partkey * 7919) % 16777216)"
+
+
+@query("SELECT p_partkey, (p_partkey * 7919 % 16777216) // 65536 || ',' || (p_partkey * 7919 % 65536) // 256 || ',' || (p_partkey * 7919 % 256) AS rgb FROM part")
+def hex_rgb(t):
+    colour = F.format_string("#%06x", F.col("p_partkey") * 7919 % 16777216)
+    return t("part").select("p_partkey", js.join(js.hex_to_rgb(colour).cast("array<string>"), ",").alias("rgb"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN (((p_partkey * 7919 % 16777216) // 65536)::DOUBLE * 0.299::DOUBLE + ((p_partkey * 7919 % 65536) // 256)::DOUBLE * 0.587::DOUBLE + (p_partkey * 7919 % 256)::DOUBLE * 0.114::DOUBLE) / 255.0::DOUBLE > 0.5::DOUBLE THEN 'black' ELSE 'white' END AS text_colour FROM part
+""")
+def contrast(t):
+    colour = F.format_string("#%06x", F.col("p_partkey") * 7919 % 16777216)
+    return t("part").select("p_partkey", js.contrast_text(js.hex_to_rgb(colour)).alias("text_colour"))
+
+
+@query(r"""
+SELECT p_partkey, regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') AS each, regexp_replace(x, '[^a-zA-Z0-9]+', '_', 'g') AS runs, regexp_replace(x, '\s+', '_', 'g') AS spaces, replace(x, '"', '') AS unquoted, replace(x, '_', ' ') AS spaced FROM (SELECT p_partkey, p_name || ' "' || p_brand || '"  x_' || p_type AS x FROM part)
+""")
+def sanitizers(t):
+    x = F.concat(F.col("p_name"), F.lit(' "'), F.col("p_brand"), F.lit('"  x_'), F.col("p_type"))
+    return t("part").select("p_partkey", js.sanitize_each(x).alias("each"), js.sanitize_runs(x).alias("runs"), js.sanitize_spaces(x).alias("spaces"), js.without_quotes(x).alias("unquoted"), js.spaced(x).alias("spaced"))
+
+
+@query("SELECT p_partkey, 'https://forms.example.com/new?title=' || replace(replace(replace(url_encode(p_name || ' (1)!*~' || p_brand), '%28', '('), '%29', ')'), '%21', '!') AS url FROM part".replace("replace(replace(replace(", "replace(replace(replace(replace(").replace("'%21', '!')", "'%21', '!'), '%2A', '*')"))
+def uri_encode(t):
+    return t("part").select("p_partkey", render.form_url("https://forms.example.com/new?title=", F.concat(F.col("p_name"), F.lit(" (1)!*~"), F.col("p_brand"))).alias("url"))
+
+
+@query("SELECT item_id, 'data:text/plain;base64,' || base64(encode(text)) AS uri FROM benchmark")
+def base64_text(t):
+    return t("benchmark").select("item_id", js.data_uri(F.lit("text/plain"), F.col("text").cast("binary")).alias("uri"))
+
+
+@query("SELECT doc_id, round(n_chars / 1024.0::DOUBLE)::BIGINT || 'KB' AS size FROM documents")
+def size_label(t):
+    return t("documents").select("doc_id", js.size_label("n_chars").alias("size"))
+
+
+#: Fixed value: what marks an entry as one on ethnicity; it also finds the letters inside words.
+ETHNICITY = "(?i)ethni|race|background|asian|african|latin|caucas|indigenous|pacific"
+
+
+@query(f"SELECT doc_id, list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '{ETHNICITY}'))[1] AS found FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'tall graceful asian' ELSE text END AS text FROM documents)")
+def ethnicity_find(t):
+    words = F.split(F.when(F.col("doc_id") % 4 == 0, "tall graceful asian").otherwise(F.col("text")), " ")
+    return t("documents").select("doc_id", js.first_like(words, ETHNICITY).alias("found"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '1,3' WHEN p_size % 3 = 0 THEN '1,2,3,5' ELSE '1,2,3,7' END AS ids FROM part")
+def set_toggle(t):
+    x = F.when(F.col("p_size") % 2 == 0, 2).when(F.col("p_size") % 3 == 0, 5).otherwise(7)
+    return t("part").select("p_partkey", js.join(js.toggled(F.array(F.lit(1), F.lit(2), F.lit(3)), x).cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(['a', 'b', 'c'], lambda x, i: i <> p_partkey % 4 + 1), ',') AS kept FROM part")
+def index_drop(t):
+    return t("part").select("p_partkey", js.join(js.without_index(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("p_partkey") % 4), ",").alias("kept"))
+
+
+@query(f"""
+SELECT event_id, (SELECT count(*) FROM (SELECT sum(ms) OVER (ORDER BY i) AS spot FROM (SELECT unnest({list(render.STEP_MS[:-1])}) AS ms, unnest(range(0, 15)) AS i)) WHERE spot <= elapsed)::INT AS step FROM (SELECT event_id, event_id * 37 % 90000 AS elapsed FROM events)
+""")
+def schedule_asof(t):
+    return t("events").select("event_id", render.step_at(F.col("event_id") * 37 % 90000, render.schedule(list(render.STEP_MS[:-1]))).cast("int").alias("step"))
+
+
+@query("""
+WITH RECURSIVE blocks AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, (9 + 4 * greatest(ceil(length(text) / 95.0::DOUBLE), 1))::INT AS height FROM conversations),
+placed AS (SELECT conv_id, nth, 38 AS y, 1 AS page, CASE WHEN 38 + height > 270 THEN 15 ELSE 38 + height END AS next_y, CASE WHEN 38 + height > 270 THEN 2 ELSE 1 END AS next_page FROM blocks WHERE nth = 1
+  UNION ALL SELECT b.conv_id, b.nth, p.next_y, p.next_page, CASE WHEN p.next_y + b.height > 270 THEN 15 ELSE p.next_y + b.height END, CASE WHEN p.next_y + b.height > 270 THEN p.next_page + 1 ELSE p.next_page END FROM placed p JOIN blocks b ON b.conv_id = p.conv_id AND b.nth = p.nth + 1)
+SELECT conv_id, nth::INT AS nth, y::INT AS y, page::INT AS page FROM placed
+""")
+def paginate_videos(t):
+    height = render.BLOCK + render.LINE * render.wrapped_lines(F.col("text"), 95)
+    heights = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", height.cast("int").alias("height")))), lambda s: s["height"]).alias("heights"))
+    rows = heights.select("conv_id", F.posexplode(render.stacked(F.col("heights"), 38)).alias("pos", "at"))
+    return rows.select("conv_id", (F.col("pos") + 1).alias("nth"), F.col("at.y").alias("y"), F.col("at.page").alias("page"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 35 ELSE 15 END::INT AS x, CASE WHEN p_size % 3 = 0 THEN 28 ELSE 30 END::INT AS y FROM part")
+def header_layout(t):
+    return t("part").select("p_partkey", render.logo_offset(F.col("p_size") % 2 == 0).alias("x"), render.first_line(F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name"))).alias("y"))
+
+
+@query("SELECT user_id, count(*) AS n, sum(value) FILTER (nth <= 3) AS first_three FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events) GROUP BY user_id")
+def running_numbers(t):
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return t("events").withColumn("nth", nth).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("nth") <= 3, F.col("value"))).alias("first_three"))
