@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .functions import js
 from .operators import merge, pages, repair, store
 from .plans import render
-from .session import table
+from .session import prepare, table
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 def query(sql: str | None = None):
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: table(spark, sf_dir, name))
+            return f(lambda name: table(prepare(spark), sf_dir, name))
 
         QUERIES[f.__name__] = run
         if sql:

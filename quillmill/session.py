@@ -9,7 +9,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.chunkBase64String.enabled": "false",
     "spark.sql.variant.allowDuplicateKeys": "true",
-    "spark.sql.legacy.parquet.nanosAsLong": "false",
 }
 
 
