@@ -31,33 +31,61 @@ _PARTS_DDL = "grp long, doc_id long, start long, length long, ids_crc32 long, do
 _PACKED_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+#: A word of Latin letters with ASCII punctuation behind it; the vocabulary's patterns always part the two.
+WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)"
+
+
 def encoder(tokenizer: str = TOKENIZER):
     """text -> ids as little-endian unsigned 32-bit bytes, with the end id.
 
     The vocabulary's patterns never cross a space or a line feed, so texts are cut there and each chunk is
-    encoded once as long as the bounded cache holds it.
+    encoded once as long as a bounded cache holds it; chunks of letters share what the cache has of the word in
+    lower case. The cache has a young and an old generation and lives as long as the worker process.
     """
     import os
+    import re
+    import sys
+    import types
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
-    cache: dict[str, bytes] = {"": b""}
-    end = np.array([END_ID], "<u4").tobytes()
+    kept = sys.modules.setdefault("quillmill_worker_cache", types.ModuleType("quillmill_worker_cache")).__dict__
+    model, young, old = kept.get(tokenizer) or (Tokenizer.from_file(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)), {"": b""}, {})
+    word, end = re.compile(WORD).fullmatch, np.array([END_ID], "<u4").tobytes()
+
+    def learn(chunks: set[str]) -> None:
+        found, split, new = old.get, {}, {}
+        for x in chunks:
+            if (ids := found(x)) is not None:
+                young[x] = ids
+            elif m := word(x):
+                parts = split[x] = m[1].lower(), m[2]
+                new |= {p: None for p in parts if p not in young}
+            else:
+                new[x] = None
+        unknown = []
+        for x in new:
+            if (ids := found(x)) is not None:
+                young[x] = ids
+            else:
+                unknown.append(x)
+        for x, e in zip(unknown, model.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            young[x] = np.array(e.ids, "<u4").tobytes()
+        for x, (letters, rest) in split.items():
+            young[x] = young[letters] + young[rest]
 
     def encode(text: str | None) -> bytes:
+        nonlocal young, old
+        if len(young) > CACHED_CHUNKS:
+            young, old = {"": b""}, young
         chunks = (text or "").replace("\n", " ").split(" ")
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
-            cache[""] = b""
-        new = [x for x in dict.fromkeys(chunks) if x not in cache]
-        if new:
-            for x, e in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, chunks)) + end
+        if new := set(chunks).difference(young):
+            learn(new)
+        kept[tokenizer] = model, young, old
+        return b"".join(map(young.__getitem__, chunks)) + end
 
     return encode
 
