@@ -107,13 +107,14 @@ def _scan(batches: Iterator[pa.RecordBatch], weights: dict[str, float], gap: flo
         rows = []
         for text in batch.column(0).to_pylist():
             tokens = find((text or "").lower())
+            distinct = set(tokens)
             if len(seen) > COUNTED:
                 seen.clear()
-            for t in set(tokens):
-                if t not in seen:
-                    w = listed(t)
-                    seen[t] = listed(t[:stem_of] + "*", 0.0) if w is None and len(t) >= stem_of else w or 0.0
-            scored = [(i, w) for i, w in enumerate(map(seen.__getitem__, tokens)) if w > 0]
+            for t in distinct.difference(seen):
+                w = listed(t)
+                seen[t] = listed(t[:stem_of] + "*", 0.0) if w is None and len(t) >= stem_of else w or 0.0
+            hits = {t: w for t in distinct if (w := seen[t]) > 0}
+            scored = [(i, hits[t]) for i, t in enumerate(tokens) if t in hits] if hits else []
             found = segments([i for i, _ in scored], [w for _, w in scored], gap)
             best = max(found, key=lambda s: s[2], default=(None, None, 0.0))
             rows.append((len(tokens), [decay * s for _, _, s in found], best[0], best[1]))
@@ -149,7 +150,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if row is None else row).cast("long").alias("row"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(id_remainder(F.col("doc_id"), folds) != held_out)
-    counted = docs.join(known, "doc_id").select("text", "toxic").mapInArrow(_count, "token string, clean long, toxic long")
+    # merged by id whatever the sizes, so the plan is the same at every scale
+    taught = docs.where(id_remainder(F.col("doc_id"), folds) != held_out)
+    counted = taught.join(known.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_count, "token string, clean long, toxic long")
     counts = stored(counted.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "token-counts")
     sizes = {r[0]: r[1] for r in docs.select("doc_id").join(known, "doc_id").groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
