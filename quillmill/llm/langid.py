@@ -19,8 +19,8 @@ from .common import id_remainder
 
 #: Documents and pieces of each that the network is trained on at most, over all languages.
 SAMPLE_DOCS, SAMPLE_PIECES = 6000, 64
-HIDDEN, PIECE_BYTES, BATCH, STEPS, RATE = 16, 16, 256, 2500, 0.02
-CACHED_PIECES = 250_000
+HIDDEN, PIECE_BYTES, BATCH, STEPS, RATE = 16, 16, 256, 1500, 0.02
+CACHED_PIECES, READ_PIECES = 250_000, 400_000
 #: Least probability that a position can give a language.
 FLOOR = 1e-4
 FOLDS, HELD_OUT = 4, 2
@@ -173,44 +173,68 @@ def sample(docs: DataFrame, count: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]
     return list(zip(rows.column("lang").to_pylist(), rows.column("piece").to_pylist(), strict=True))
 
 
+class Reader:
+    """Sums of a network's log-probabilities over the positions of pieces; each is read once while the cache holds it."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.place, self.sums = net, {}, None
+
+    def read(self, wanted: set[bytes]) -> None:
+        import numpy as np
+
+        if len(self.place) > CACHED_PIECES:
+            self.place.clear()
+        new = sorted(wanted.difference(self.place), key=len)
+        room = len(self.place) + len(new)
+        if self.sums is None or room > len(self.sums):
+            grown = np.zeros((max(room, CACHED_PIECES), len(self.net.languages)), np.float32)
+            if self.sums is not None:
+                grown[: len(self.sums)] = self.sums
+            self.sums = grown
+        at = 0
+        while at < len(new):
+            n, end = len(new[at]), at
+            while end < len(new) and len(new[end]) == n and end - at < 4096:
+                end += 1
+            x, first = np.frombuffer(b"".join(new[at:end]), np.uint8).reshape(-1, n), len(self.place)
+            self.sums[first : first + end - at] = np.log(np.maximum(self.net.probabilities(x), FLOOR)).sum(1)
+            self.place.update(zip(new[at:end], range(first, first + end - at), strict=True))
+            at = end
+
+    def judge(self, held: list[bytes]) -> tuple[str, float]:
+        import numpy as np
+
+        index = np.fromiter(map(self.place.__getitem__, held), np.int64, len(held))
+        mean = self.sums[index].sum(0, dtype=np.float64) / sum(map(len, held))
+        p = np.exp(mean - mean.max())
+        best = int(p.argmax())
+        return self.net.languages[best], float(p[best] / p.sum())
+
+
 def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+    """Reads the pieces of as many documents together as hold READ_PIECES."""
     import re
 
-    import numpy as np
+    letter, reader = re.compile(LETTER).search, Reader(net) if net else None
+    waiting: list[tuple] = []
 
-    letter = re.compile(LETTER).search
-    sums, place = None, {}
+    def judged():
+        reader and reader.read({p for _, held in waiting for p in held})
+        rows = [(doc_id, *(reader.judge(held) if held else ("und", 0.0))) for doc_id, held in waiting]
+        waiting.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.float64()), strict=True)], ["doc_id", "lang_pred", "score"])
+
+    size = 0
     for batch in batches:
-        rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if net is None or not text or not letter(text):
-                rows.append((doc_id, "und", 0.0))
-                continue
-            held = pieces(text)
-            if len(place) > CACHED_PIECES:
-                place.clear()
-            if not place:
-                sums = np.zeros((CACHED_PIECES, len(net.languages)), np.float32)
-            new = sorted(set(held).difference(place), key=len)
-            if len(place) + len(new) > len(sums):
-                sums = np.concatenate([sums, np.zeros((len(new), len(net.languages)), np.float32)])
-            at = 0
-            while at < len(new):
-                n = len(new[at])
-                end = at
-                while end < len(new) and len(new[end]) == n and end - at < 4096:
-                    end += 1
-                x = np.frombuffer(b"".join(new[at:end]), np.uint8).reshape(-1, n)
-                first = len(place)
-                sums[first : first + end - at] = np.log(np.maximum(net.probabilities(x), FLOOR)).sum(1)
-                place.update(zip(new[at:end], range(first, first + end - at), strict=True))
-                at = end
-            index = np.fromiter(map(place.__getitem__, held), np.int64, len(held))
-            mean = sums[index].sum(0, dtype=np.float64) / sum(map(len, held))
-            p = np.exp(mean - mean.max())
-            best = int(p.argmax())
-            rows.append((doc_id, net.languages[best], float(p[best] / p.sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["doc_id", "lang_pred", "score"])
+            held = pieces(text) if reader and text and letter(text) else []
+            waiting.append((doc_id, held))
+            size += len(held) + 1
+            if size > READ_PIECES:
+                yield judged()
+                size = 0
+    if waiting:
+        yield judged()
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, steps: int = STEPS) -> DataFrame:
