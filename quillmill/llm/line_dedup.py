@@ -2,9 +2,11 @@
 
 A line is the set of its words. Equal lines collapse first. The words of every distinct line are ordered by
 rarity, and only a prefix of each is indexed, long enough that two lines with a Jaccard similarity of 0.8 or
-more share one of its words; lengths and positions rule out most pairs that do. A later line goes if it is
-similar to any earlier one. Each word's lines are first held against the earliest of them, which settles groups
-of near copies with one comparison a line; only lines that this leaves open meet all earlier lines.
+more share one of its words. Lengths, positions and a parity map rule out nearly all other pairs: every word
+toggles one of 64 bits, so the maps of two lines never differ in more bits than the lines differ in words. A
+later line goes if it is similar to any earlier one. A line that agrees with the earliest line of an indexed word
+by these filters meets that one only, so a group of near copies costs one comparison a line; those for which the
+comparison then fails meet all earlier lines after all.
 """
 
 from __future__ import annotations
@@ -13,92 +15,109 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import discard, stored
 
 SIMILARITY_PERCENT = 80
 #: Words are counted in so many classes by hash; words of one class are ordered by their hash.
-CLASSES = 1 << 17
+CLASSES = 1 << 18
+WORD = r"[^\x20\x09-\x0D]"
+_LINE = ("doc", "pos", "n", "i", "parity")
 
 
 def tokens(line: Column) -> Column:
-    """Distinct words of a lower-cased line."""
-    return F.array_distinct(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, pos, line) for every line with a word; doc is the id, or the largest number if that is null."""
-    split = docs.select(_place(docs["doc_id"]).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.select("doc", "pos", F.lower("line").alias("line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """Distinct words of a lower-cased line; blanks alone are split at without a pattern, which is faster."""
+    parts = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
+    return F.array_distinct(F.array_remove(parts, ""))
 
 
 def _place(doc_id: Column) -> Column:
+    """Null ids come last."""
     return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, pos, line) for every line with a word."""
+    split = docs.select(_place(docs["doc_id"]).alias("doc"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    return split.select("doc", "pos", F.lower("line").alias("line")).where(F.col("line").rlike(WORD))
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """(line, doc, pos) with the first place of every distinct line."""
-    place = F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
-    first = _lines(docs).select("line", place.cast("decimal(38,0)").alias("place")).groupBy("line").agg(F.min("place").alias("place"))
+    place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
+    first = _lines(docs).select("line", place.alias("place")).groupBy("line").agg(F.min("place").alias("place"))
     return first.select("line", F.expr("cast(floor(place / 4294967296BD) as bigint)").alias("doc"), F.expr("cast(pmod(place, 4294967296BD) as int)").alias("pos"))
 
 
+def _class(h: Column) -> Column:
+    return F.pmod(h, F.lit(CLASSES)).cast("int")
+
+
 def rarity_table(lines: DataFrame) -> bytes:
     """How often the words of each class occur in lines, on a scale from 0 to 127; CLASSES bytes."""
-    counted = lines.select(F.explode(F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    counted = lines.select(F.explode_outer(F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
     counted = counted.groupBy(_class(F.col("h")).alias("class")).agg(F.least(F.lit(127), F.log2(F.count("*")) * 4).cast("int").alias("rarity"))
     table = bytearray(CLASSES)
-    for row in counted.collect():  # a row for each class at most
+    for row in counted.toLocalIterator():  # a row for each class at most
         table[row["class"]] = row["rarity"]
     return bytes(table)
 
 
-def _class(h: Column) -> Column:
-    return F.pmod(h, F.lit(CLASSES)).cast("int")
-
-
 def with_prefix(lines: DataFrame) -> DataFrame:
-    """Adds n, the number of words, and prefix, the ordered words that have to be indexed."""
+    """(doc, pos, n, parity, prefix): the number of words, their parity map, and the ordered words that are indexed."""
     table = F.lit(rarity_table(lines))
     rarity = lambda h: F.ascii(F.substring(table, _class(h) + 1, 1).cast("string")).cast("long")
-    hashed = lines.select("doc", "pos", F.xxhash64("line").alias("h"), F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
-    ranked = hashed.withColumn("ranked", F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))))
+    hashed = lines.select("doc", "pos", F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
+    ranked = hashed.select("doc", "pos", parity.alias("parity"), F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))).alias("ranked"))
     n = F.size("ranked")
     needed = F.floor((n * SIMILARITY_PERCENT + 99) / 100).cast("int")
-    return ranked.select("doc", "pos", "h", n.alias("n"), F.slice("ranked", F.lit(1), n - needed + 1).alias("prefix"))
+    return ranked.select("doc", "pos", n.alias("n"), "parity", F.slice("ranked", F.lit(1), n - needed + 1).alias("prefix"))
 
 
-def _within(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filter for lines of n and m words that share the word at i and j as their first."""
+def _may_agree(a: str, b: str) -> Column:
+    """Length, positional and parity filter for two lines that share a word, their first in common, at place i of each."""
+    n, i, m, j = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "i"))
     lengths = (m * 100 >= n * SIMILARITY_PERCENT) & (n * 100 >= m * SIMILARITY_PERCENT)
-    # overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m)
-    return lengths & ((F.least(n - i, m - j) + 1) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT)
+    # an overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m); and n + m - 2 o words differ
+    positions = (F.least(n - i, m - j) + 1) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
+    differing = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    return lengths & positions & (differing * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
+
+
+def _earlier(b: str, a: str) -> Column:
+    return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.pos") < F.col(f"{a}.pos")))
 
 
 def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The later lines (doc, pos, h) of pairs whose word sets are similar indeed."""
-    texts = lines.select("doc", "pos", F.xxhash64("line").alias("h"), "line")
-    later = pairs.join(texts, ["doc", "pos", "h"])
-    both = later.join(texts.select(*(F.col(c).alias(f"b_{c}") for c in ("doc", "pos", "h", "line"))), ["b_doc", "b_pos", "b_h"])
-    both = both.select("doc", "pos", "h", tokens(F.col("line")).alias("x"), tokens(F.col("b_line")).alias("y"))
+    """The later lines (doc, pos, h) of pairs of places (doc, pos, b_doc, b_pos) whose word sets are similar indeed."""
+    later = pairs.join(lines, ["doc", "pos"]).withColumnsRenamed({"doc": "a_doc", "pos": "a_pos", "line": "a_line", "b_doc": "doc", "b_pos": "pos"})
+    both = later.join(lines, ["doc", "pos"]).select("a_doc", "a_pos", F.xxhash64("a_line").alias("h"), tokens(F.col("a_line")).alias("x"), tokens(F.col("line")).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * SIMILARITY_PERCENT).select("doc", "pos", "h").distinct()
+    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * SIMILARITY_PERCENT).select(F.col("a_doc").alias("doc"), F.col("a_pos").alias("pos"), "h").distinct()
 
 
 def removed_lines(lines: DataFrame) -> DataFrame:
     """Of distinct lines (line, doc, pos), the (doc, pos, h) of those similar to an earlier one."""
-    index = stored(with_prefix(lines).select("doc", "pos", "h", "n", F.posexplode("prefix").alias("i", "word")).withColumn("i", F.col("i") + 1), "prefixes")
-    earliest = Window.partitionBy("word").orderBy("doc", "pos", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = index.withColumn("b", F.first(F.struct("doc", "pos", "h", "n", "i")).over(earliest))
-    later = (F.col("b.doc") < F.col("doc")) | ((F.col("b.doc") == F.col("doc")) & (F.col("b.pos") < F.col("pos")))
-    pairs = first.where(later & _within(F.col("n"), F.col("i"), F.col("b.n"), F.col("b.i"))).select("doc", "pos", "h", F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos"), F.col("b.h").alias("b_h")).distinct()
-    settled = stored(_similar(pairs, lines), "settled-lines")
-
-    shared = first.where(F.struct("doc", "pos", "h") != F.struct("b.doc", "b.pos", "b.h")).select("doc", "pos", "h", "n", "i", "word")
-    opened = shared.join(settled, ["doc", "pos", "h"], "left_anti").alias("a")
-    b = index.alias("b")
-    later = (F.col("b.doc") < F.col("a.doc")) | ((F.col("b.doc") == F.col("a.doc")) & (F.col("b.pos") < F.col("a.pos")))
-    more = opened.join(b, F.col("a.word") == F.col("b.word")).where(later & _within(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i")))
-    more = more.select("a.doc", "a.pos", "a.h", F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos"), F.col("b.h").alias("b_h")).distinct()
+    prefixes = stored(with_prefix(lines), "prefixes")
+    entries = prefixes.select("doc", "pos", "n", "parity", F.posexplode_outer("prefix").alias("i", "word")).withColumn("i", F.col("i") + 1)
+    index = entries.repartition("word")
+    upwards = Window.partitionBy("word").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    probes = index.withColumn("first", F.first(F.struct(*_LINE)).over(upwards)).select(F.struct(*_LINE).alias("a"), "first", "word")
+    probes = probes.withColumn("near", _earlier("first", "a") & _may_agree("a", "first"))
+    held = index.select(F.struct(*_LINE).alias("b"), F.col("word").alias("b_word"))
+    same_word = F.col("word") == F.col("b_word")
+    wanted = ~F.col("near") | ((F.col("b.doc") == F.col("first.doc")) & (F.col("b.pos") == F.col("first.pos")))
+    pairs = probes.join(held, same_word & _earlier("b", "a") & _may_agree("a", "b") & wanted)
+    pairs = stored(pairs.groupBy("a.doc", "a.pos", F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos")).agg(F.max("near").alias("near")), "line-pairs")
+    settled = stored(_similar(pairs.drop("near"), lines), "settled-lines")
+
+    failed = stored(pairs.where("near").select("doc", "pos").distinct().join(settled, ["doc", "pos"], "left_anti"), "open-lines")
+    if failed.isEmpty():
+        return settled
+    opened = entries.join(failed, ["doc", "pos"], "left_semi").select(F.struct(*_LINE).alias("a"), "word")
+    held = entries.select(F.struct(*_LINE).alias("b"), F.col("word").alias("b_word"))
+    more = opened.join(held, same_word & _earlier("b", "a") & _may_agree("a", "b")).select("a.doc", "a.pos", F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos")).distinct()
     return settled.union(_similar(more, lines)).distinct()
 
 
@@ -113,9 +132,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = stored(distinct_lines(docs.where("text is not null")), "lines")
     gone = removed_lines(lines)
     kept = lines.select("doc", "pos", F.xxhash64("line").alias("h")).join(gone, ["doc", "pos", "h"], "left_anti")
-    kept = kept.groupBy("doc").agg(F.collect_list(F.xxhash64("pos", "h")).alias("kept_lines"))
+    kept = stored(kept.groupBy("doc").agg(F.collect_list(F.xxhash64("pos", "h")).alias("kept_lines")), "kept-lines")
+    discard(lines)
     joined = docs.withColumn("place_of_doc", _place(docs["doc_id"])).join(kept.withColumnRenamed("doc", "place_of_doc"), "place_of_doc", "left").withColumn("split_text", F.split("text", "\n"))
-    stays = lambda line, i: ~line.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("kept_lines", F.xxhash64(i, F.xxhash64(F.lower(line)))), F.lit(False))
+    stays = lambda line, i: ~line.rlike(WORD) | F.coalesce(F.array_contains("kept_lines", F.xxhash64(i, F.xxhash64(F.lower(line)))), F.lit(False))
     cut = joined.withColumn("left_lines", F.filter("split_text", stays))
     n_lines = F.coalesce(F.size("split_text"), F.lit(0)).cast("long")
     return cut.select(*(F.array_join("left_lines", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("left_lines"), F.lit(0))).alias("n_removed"))
