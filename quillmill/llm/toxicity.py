@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import id_remainder, stored
 
 #: Strength of the prior in documents, share of listed tokens that a toxic passage is taken to have, evidence
-#: in standard deviations that lists a token, tokens listed at most, letters of the fallback.
-PRIOR, DENSITY, EVIDENCE, LISTED, STEM = 50.0, 0.2, 2.5, 50_000, 5
+#: in standard deviations and least log-odds that list a token, tokens listed at most, letters of the fallback.
+PRIOR, DENSITY, EVIDENCE, LEAST, LISTED, STEM = 50.0, 0.2, 2.5, 2.0, 50_000, 5
 #: Labelled documents that the logistic curve is fitted to, at most.
 CURVE_ROWS = 20_000
 COUNTED = 200_000
@@ -123,16 +123,23 @@ def _scan(batches: Iterator[pa.RecordBatch], weights: dict[str, float], gap: flo
 
 
 def _curve(rows: list[tuple[float, int]]) -> tuple[float, float]:
-    """Slope and intercept of P(toxic) = 1 / (1 + exp(-(slope x + intercept))), by damped Newton steps."""
+    """Slope and intercept of P(toxic) = 1 / (1 + exp(-(slope x + intercept))), by Newton steps that never raise the loss."""
     import numpy as np
 
     x, y = (np.array(c, float) for c in zip(*rows, strict=True))
     design, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
-    ridge = np.diag([1e-2, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, design.T @ (y - p) - ridge @ w)
-        w += step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+    ridge = 1e-2
+    loss = lambda v: np.logaddexp(0, design @ v).sum() - y @ (design @ v) + ridge / 2 * v @ v
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -500, 500)))
+        down = design.T @ (p - y) + ridge * w
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(2), down)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):  # Newton steps overshoot where classes part well
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
     return float(max(w[0], 0.0)), float(w[1])
 
 
@@ -158,7 +165,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
 
     odds = log_odds(counts, n_toxic, n_clean)
-    top = odds.where((F.col("weight") > 0) & (F.col("z") >= EVIDENCE)).orderBy(F.desc("z"), "token").limit(LISTED).collect() if n_toxic and n_clean else []
+    top = odds.where((F.col("weight") >= LEAST) & (F.col("z") >= EVIDENCE)).orderBy(F.desc("z"), "token").limit(LISTED).collect() if n_toxic and n_clean else []
     weights = {r["token"]: r["weight"] for r in top}
     stems = [t for t in weights if t.endswith("*")]
     if stems:  # words that the labels know to be clean don't fall back on their stem
