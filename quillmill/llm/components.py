@@ -31,6 +31,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         stars = stored(_small_star(_large_star(stars)), "stars")
         centres = stars.select(F.col("b").alias("a")).distinct()
-        if stars.join(centres, "a", "left_semi").isEmpty():
-            break
+        if stars.join(centres, "a", "left_semi").isEmpty() and stars.groupBy("a").count().where("count > 1").isEmpty():
+            break  # every node has one centre, and no centre has one itself
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select(F.col("b"), F.col("b")).distinct())

@@ -357,6 +357,12 @@ def test_components(spark):
     assert got == {n: root[n] for n in linked}
 
 
+@pytest.mark.parametrize("edges", [[(1, 4), (3, 4), (3, 5), (2, 5)], [(6, 1), (6, 3), (3, 8), (8, 2), (2, 7), (7, 5), (5, 4)]])
+def test_components_of_a_lone_path(spark, edges):
+    got = pairs(components.connected_components(spark.createDataFrame(edges, "a long, b long")), "node", "root")
+    assert sorted(got) == sorted((n, 1) for n in {n for e in edges for n in e})
+
+
 # --- language model ---
 
 
