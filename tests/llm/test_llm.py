@@ -403,6 +403,16 @@ def test_scores(spark):
     assert sum(r.score for r in rows if not r.held_out) > 1.1 * sum(r.base_score for r in rows if not r.held_out)
 
 
+def test_long_tokens_cost_alike_by_both_paths(spark):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000))
+    rows = [(i, t, "en") for i, t in enumerate(texts(2, 20))] + [(100, f"the house {long}", "en"), (101, f"{long} the {long} {long}", "en"), (102, "the house", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    joined, held = ({r.doc_id: r.score for r in ppm.score_documents(docs, frequent=n).collect()} for n in (5, 10_000))
+    assert all(abs(joined[i] - held[i]) < 1e-6 * abs(held[i]) for i in held)
+    assert joined[100] < joined[102] - 500 and joined[101] < -500
+
+
 def test_scores_odd(docs, empty):
     got = ppm.score_documents(docs).collect()
     assert len(got) == docs.count() and {r.n_tokens for r in got if r.doc_id in (7, 8, 9)} == {1}
