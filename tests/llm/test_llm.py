@@ -457,6 +457,27 @@ def test_pipeline_stages(spark, docs):
     assert ids.count(11) == 1 and 12 not in ids and ids.count(7) == 1 and 8 not in ids
 
 
+def test_pipeline_rows_keep_their_names(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    path, changed = f"file://{tmp_path}/docs", {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).repartition(5).write.parquet(path)
+
+    def found(docs, benchmark, row):
+        out = corpus_pipeline.stored(docs.select(row.alias("row"), (F.col("doc_id") % 2 == 0).alias("contaminated")), "found")
+        for k, v in changed.items():  # the next job splits the files in another way
+            spark.conf.set(k, v)
+        return out
+
+    monkeypatch.setattr(corpus_pipeline.decontaminate, "find_contamination", found)
+    try:
+        left = [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, spark.read.parquet(path), SF_DIR).collect()]
+    finally:
+        for k in changed:
+            spark.conf.unset(k)
+    assert sorted(left) == list(range(1, 40, 2))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
