@@ -478,6 +478,31 @@ def test_pipeline_rows_keep_their_names(spark, tmp_path, monkeypatch):
     assert sorted(left) == list(range(1, 40, 2))
 
 
+def test_pipeline_near_duplicates_against_all_pairs(spark):
+    import corpus_pipeline
+    from quillmill.llm import jaccard
+
+    rnd, rows = random.Random(12), []
+    for _ in range(12):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(40, 120))]
+        for _ in range(5):
+            rows.append((len(rows), " ".join(words)))
+            if rnd.random() < 0.8:
+                words = list(words)
+                for _ in range(rnd.randint(1, 3)):
+                    words[rnd.randrange(len(words))] = "edited"
+    rows += [(len(rows), "Few words"), (len(rows) + 1, "few  WORDS"), (len(rows) + 2, "few others")]
+    sets, root = [set(jaccard.shingles(t)) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()]
+    assert sorted(left) == sorted(set(root)) and len(left) < 40
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
