@@ -1,141 +1,197 @@
 """Line deduplication by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. Equal lines collapse first. The words of every distinct line are ordered by
-rarity, and only a prefix of each is indexed, long enough that two lines with a Jaccard similarity of 0.8 or
-more share one of its words. Lengths, positions and a parity map rule out nearly all other pairs: every word
-toggles one of 64 bits, so the maps of two lines never differ in more bits than the lines differ in words. A
-later line goes if it is similar to any earlier one. A line that agrees with the earliest line of an indexed word
-by these filters meets that one only, so a group of near copies costs one comparison a line; those for which the
-comparison then fails meet all earlier lines after all.
+A line is the set of its words. Equal lines collapse first, by two hashes. The words of every line are ordered by
+rarity, and of two lines with a Jaccard similarity of 0.8 or more the longer shares a word of its prefix with the
+shorter prefix of the shorter one. So the join's key is a prefix word and the band of the shorter line's length.
+Lengths, positions and two parity maps rule out nearly all other pairs: every word toggles one of 64 bits, so the
+maps of two lines never differ in more bits than the lines differ in words. What is left is compared word for word.
+
+Where a key has many lines, each first meets the key's earliest line only; pairs are formed of those alone that
+are not similar to it, so a group of near copies costs one comparison a line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import discard, stored
 
 SIMILARITY_PERCENT = 80
-#: Words are counted in so many classes by hash; words of one class are ordered by their hash.
-CLASSES = 1 << 18
+#: The most frequent words, this many at most, are ordered by how often they occur; all rarer ones come before them.
+LISTED = 1 << 18
+#: The table of frequent words has 2 ** CLASS_BITS classes, of one byte each.
+CLASS_BITS = 22
+#: Lines that share a key and a band of lengths, beyond which they meet the earliest of them first.
+HOT = 256
 WORD = r"[^\x20\x09-\x0D]"
-_LINE = ("doc", "pos", "n", "i", "parity")
 
 
-def tokens(line: Column) -> Column:
-    """Distinct words of a lower-cased line; blanks alone are split at without a pattern, which is faster."""
-    parts = F.when(line.rlike(r"[\x09-\x0D]"), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
-    return F.array_distinct(F.array_remove(parts, ""))
+def _spaced(text: Column) -> Column:
+    """Lower-cased, with blanks in place of all white space but line feeds."""
+    return F.lower(F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text))
 
 
-def _place(doc_id: Column) -> Column:
-    """Null ids come last."""
-    return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
+def _named(docs: DataFrame) -> DataFrame:
+    """(row, doc) with the columns of docs in a struct, so that no name can clash."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "named-rows")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, pos, line) for every line with a word."""
-    split = docs.select(_place(docs["doc_id"]).alias("doc"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    return split.select("doc", "pos", F.lower("line").alias("line")).where(F.col("line").rlike(WORD))
+def rarity_table(text: DataFrame) -> bytes:
+    """A byte for each class of word hashes: by how many bits the order shifts it, more for more frequent words."""
+    words = text.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    band = F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor((F.log2("n") - 6) * 8)).cast("int").alias("band")
+    counts = stored(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).select("h", "n", band), "word-counts")
+    listed, least = 0, 1 << 30
+    for band, m in sorted(((r["band"], r["m"]) for r in counts.groupBy("band").agg(F.count("*").alias("m")).collect()), reverse=True):  # some hundred rows
+        if listed + m > LISTED:
+            break
+        listed, least = listed + m, band
+    table = bytearray(b"\x01") * (1 << CLASS_BITS)
+    frequent = counts.where((F.col("band") >= least) & (F.col("n") > 1)).groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("class")).agg(F.sum("n").alias("n"))
+    for row in frequent.select("class", F.least(F.lit(40), 5 + 2 * F.log2("n")).cast("int").alias("shift")).toLocalIterator():  # LISTED rows at most
+        table[max(0, row["class"] - 1)] = row["shift"]
+    discard(counts)
+    return bytes(table)
+
 
+def _parity(hashes: Column, shift: int = 0) -> Column:
+    """A bit for each word, by the low bits of its hash or by those above ``shift``; bits that are hit twice cancel out."""
+    place = lambda h: F.shiftrightunsigned(h, shift).cast("int") if shift else h.bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(h))))
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(line, doc, pos) with the first place of every distinct line."""
-    place = (F.col("doc").cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-    first = _lines(docs).select("line", place.alias("place")).groupBy("line").agg(F.min("place").alias("place"))
-    return first.select("line", F.expr("cast(floor(place / 4294967296BD) as bigint)").alias("doc"), F.expr("cast(pmod(place, 4294967296BD) as int)").alias("pos"))
 
+def distinct_lines(named: DataFrame) -> DataFrame:
+    """(id, place, n, p, q, prefix) for every distinct line with a word.
 
-def _class(h: Column) -> Column:
-    return F.pmod(h, F.lit(CLASSES)).cast("int")
+    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity maps, and
+    ``prefix`` the ordered words that may be looked up.
+    """
+    texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
+    table = F.lit(rarity_table(texts.select("text")))
+    lines = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    hashed = lines.select("row", "doc_id", "pos", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = hashed.withColumn("h", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))))
+    shift = lambda h: F.ascii(F.substring(table, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"), 1).cast("string"))
+    n = F.size("ranked")
+    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h")).alias("p"), _parity(F.col("h"), shift=58).alias("q"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
+    prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SIMILARITY_PERCENT / 100).cast("int") + 1)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
+    each = ranked.select("a", "b", place, n.alias("n"), "p", "q", prefix.alias("prefix"))
+    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "prefix")))
+    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "prefix"), "lines")
 
 
-def rarity_table(lines: DataFrame) -> bytes:
-    """How often the words of each class occur in lines, on a scale from 0 to 127; CLASSES bytes."""
-    counted = lines.select(F.explode_outer(F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    counted = counted.groupBy(_class(F.col("h")).alias("class")).agg(F.least(F.lit(127), F.log2(F.count("*")) * 4).cast("int").alias("rarity"))
-    table = bytearray(CLASSES)
-    for row in counted.toLocalIterator():  # a row for each class at most
-        table[row["class"]] = row["rarity"]
-    return bytes(table)
+def _band(n: Column) -> Column:
+    """Grows with n, by one at least where n doubles."""
+    return F.floor(F.log2(n)).cast("int")
 
 
-def with_prefix(lines: DataFrame) -> DataFrame:
-    """(doc, pos, n, parity, prefix): the number of words, their parity map, and the ordered words that are indexed."""
-    table = F.lit(rarity_table(lines))
-    rarity = lambda h: F.ascii(F.substring(table, _class(h) + 1, 1).cast("string")).cast("long")
-    hashed = lines.select("doc", "pos", F.transform(tokens(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("hashes", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
-    ranked = hashed.select("doc", "pos", parity.alias("parity"), F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rarity(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))).alias("ranked"))
-    n = F.size("ranked")
-    needed = F.floor((n * SIMILARITY_PERCENT + 99) / 100).cast("int")
-    return ranked.select("doc", "pos", n.alias("n"), "parity", F.slice("ranked", F.lit(1), n - needed + 1).alias("prefix"))
+def _indexed(n: Column) -> Column:
+    """Words of a line that a longer line may look up."""
+    return n - F.ceil(n * (2 * SIMILARITY_PERCENT) / (100 + SIMILARITY_PERCENT)).cast("int") + 1
+
+
+def _entries(lines: DataFrame, columns: tuple[str, ...] = ("id", "n", "p", "q")) -> DataFrame:
+    """A row for each prefix word, with its place i, from 0."""
+    return lines.select(*columns, F.posexplode("prefix").alias("i", "word"))
+
+
+def _index(entries: DataFrame) -> DataFrame:
+    return entries.where(F.col("i") < _indexed(F.col("n"))).withColumn("band", _band(F.col("n")))
+
+
+def _probes(entries: DataFrame) -> DataFrame:
+    """A row for each band that similar lines as long or shorter can have whose first common word is this one."""
+    n, i = F.col("n"), F.col("i")
+    least = F.ceil(n * SIMILARITY_PERCENT / 100)
+    most = F.least(n, F.floor((n - i) * (100 + SIMILARITY_PERCENT) / SIMILARITY_PERCENT) - n)
+    bands = F.when(most >= least, F.array_distinct(F.array(_band(least), _band(most))))
+    return entries.withColumn("band", F.explode(bands))
 
 
 def _may_agree(a: str, b: str) -> Column:
-    """Length, positional and parity filter for two lines that share a word, their first in common, at place i of each."""
+    """Length, positional and parity filters for two lines whose first common word has places i, from 0, in each."""
     n, i, m, j = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "i"))
     lengths = (m * 100 >= n * SIMILARITY_PERCENT) & (n * 100 >= m * SIMILARITY_PERCENT)
     # an overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m); and n + m - 2 o words differ
-    positions = (F.least(n - i, m - j) + 1) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
-    differing = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return lengths & positions & (differing * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
-
-
-def _earlier(b: str, a: str) -> Column:
-    return (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.col(f"{b}.pos") < F.col(f"{a}.pos")))
-
-
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The later lines (doc, pos, h) of pairs of places (doc, pos, b_doc, b_pos) whose word sets are similar indeed."""
-    later = pairs.join(lines, ["doc", "pos"]).withColumnsRenamed({"doc": "a_doc", "pos": "a_pos", "line": "a_line", "b_doc": "doc", "b_pos": "pos"})
-    both = later.join(lines, ["doc", "pos"]).select("a_doc", "a_pos", F.xxhash64("a_line").alias("h"), tokens(F.col("a_line")).alias("x"), tokens(F.col("line")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * SIMILARITY_PERCENT).select(F.col("a_doc").alias("doc"), F.col("a_pos").alias("pos"), "h").distinct()
-
-
-def removed_lines(lines: DataFrame) -> DataFrame:
-    """Of distinct lines (line, doc, pos), the (doc, pos, h) of those similar to an earlier one."""
-    prefixes = stored(with_prefix(lines), "prefixes")
-    entries = prefixes.select("doc", "pos", "n", "parity", F.posexplode_outer("prefix").alias("i", "word")).withColumn("i", F.col("i") + 1)
-    index = entries.repartition("word")
-    upwards = Window.partitionBy("word").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    probes = index.withColumn("first", F.first(F.struct(*_LINE)).over(upwards)).select(F.struct(*_LINE).alias("a"), "first", "word")
-    probes = probes.withColumn("near", _earlier("first", "a") & _may_agree("a", "first"))
-    held = index.select(F.struct(*_LINE).alias("b"), F.col("word").alias("b_word"))
-    same_word = F.col("word") == F.col("b_word")
-    wanted = ~F.col("near") | ((F.col("b.doc") == F.col("first.doc")) & (F.col("b.pos") == F.col("first.pos")))
-    pairs = probes.join(held, same_word & _earlier("b", "a") & _may_agree("a", "b") & wanted)
-    pairs = stored(pairs.groupBy("a.doc", "a.pos", F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos")).agg(F.max("near").alias("near")), "line-pairs")
-    settled = stored(_similar(pairs.drop("near"), lines), "settled-lines")
-
-    failed = stored(pairs.where("near").select("doc", "pos").distinct().join(settled, ["doc", "pos"], "left_anti"), "open-lines")
-    if failed.isEmpty():
-        return settled
-    opened = entries.join(failed, ["doc", "pos"], "left_semi").select(F.struct(*_LINE).alias("a"), "word")
-    held = entries.select(F.struct(*_LINE).alias("b"), F.col("word").alias("b_word"))
-    more = opened.join(held, same_word & _earlier("b", "a") & _may_agree("a", "b")).select("a.doc", "a.pos", F.col("b.doc").alias("b_doc"), F.col("b.pos").alias("b_pos")).distinct()
-    return settled.union(_similar(more, lines)).distinct()
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
+    positions = F.least(n - i, m - j) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
+    differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT)
+    return lengths & positions & differ("p") & differ("q")
+
+
+def _shorter(b: str, a: str) -> Column:
+    """b is shorter than a, or as long and of a smaller id, so that each pair has one order."""
+    return (F.col(f"{b}.n") < F.col(f"{a}.n")) | ((F.col(f"{b}.n") == F.col(f"{a}.n")) & (F.col(f"{b}.id") < F.col(f"{a}.id")))
+
+
+def _joined(probes: DataFrame, index: DataFrame, more: Column | None = None) -> DataFrame:
+    """Pairs (x, y) of ids that share a key and pass the filters, repeats included."""
+    fits = _shorter("b", "a") & _may_agree("a", "b")
+    return probes.alias("a").join(index.alias("b"), ["word", "band"]).where(fits if more is None else fits & more).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+
+
+def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(id) of the later line of every pair (x, y) whose word sets are similar indeed."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(lines.select("id", "place"), "id")
+    by_row = wanted.groupBy("place.row").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))  # no more than the row has lines
+    texts = named.select("row", _spaced(F.col("doc.text")).alias("text")).join(by_row, "row").select(F.split("text", "\n").alias("lines"), "wanted")
+    each = texts.select("lines", F.explode("wanted").alias("w")).select("w.id", "w.place", F.array_distinct(F.array_remove(F.split(F.get("lines", F.col("w.place.pos")), " "), "")).alias("words"))
+    words = stored(each, "candidate-lines")
+    side = lambda c: words.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"), F.col("words").alias(f"{c}_words"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    common = F.size(F.array_intersect("x_words", "y_words"))
+    alike = both.where(common * 100 >= (F.size("x_words") + F.size("y_words") - common) * SIMILARITY_PERCENT)
+    found = stored(alike.select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct(), "similar-lines")
+    discard(words)
+    return found
+
+
+def _hot_pairs(lines: DataFrame, named: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For keys with many lines: (id) of those similar to a key's earliest line, and the pairs that the others can be in."""
+    entries = _entries(lines, ("id", "place", "n", "p", "q")).join(hot.select("word").distinct(), "word", "left_semi")
+    entries = stored(entries, "hot-entries")
+    index = _index(entries).join(hot, ["word", "band"], "left_semi")
+    first = index.groupBy("word", "band").agg(F.min(F.struct("place", "id", "n", "i", "p", "q")).alias("b")).select("word", "band", "b.*")
+    around = entries.withColumn("band", F.explode(F.array(*(_band(F.col("n")) + F.lit(k) for k in (-1, 0, 1)))))
+    near = around.alias("a").join(first.alias("b"), ["word", "band"]).where((F.col("b.place") < F.col("a.place")) & _may_agree("a", "b"))
+    settled = _similar(stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs"), lines, named)
+
+    marked = stored(entries.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "marked-entries")
+    later_is_open = F.when(F.col("a.place") > F.col("b.place"), F.col("a.open")).otherwise(F.col("b.open"))
+    index = _index(marked).join(hot, ["word", "band"], "left_semi")
+    pairs = _joined(_probes(marked.where("open")), index, later_is_open).union(_joined(_probes(marked.where("not open")), index.where("open"), later_is_open))
+    return settled, pairs
+
+
+def removed_lines(lines: DataFrame, named: DataFrame, hot_lines: int = HOT) -> DataFrame:
+    """(id) of the distinct lines that are similar to an earlier one."""
+    index, probes = _index(_entries(lines)), _probes(_entries(lines))
+    hot = stored(index.groupBy("word", "band").count().where(F.col("count") > hot_lines).select("word", "band"), "hot-keys")
+    if hot.isEmpty():
+        return _similar(stored(_joined(probes, index).distinct(), "line-pairs"), lines, named)
+    settled, among_hot = _hot_pairs(lines, named, hot)
+    pairs = _joined(probes, index.join(hot, ["word", "band"], "left_anti")).union(among_hot)
+    return _similar(stored(pairs.distinct(), "line-pairs"), lines, named).union(settled).distinct()
+
+
+def dedup_lines(docs: DataFrame, hot_lines: int = HOT) -> DataFrame:
     """docs (doc_id, text, ...) with two more columns, n_lines and n_removed, and without repeated lines in text.
 
-    Lines end at line feeds and are compared in lower case as sets of words. A line goes if a line before it, in
-    the order of doc_id and place, has a Jaccard similarity of 0.8 or more. Lines without words stay. Null texts
-    stay null with no lines; rows with a null id come last, and rows that repeat an id stand at one place: their
-    lines don't remove each other unless they are equal and at different lines. An empty table stays empty.
+    Lines end at line feeds and are compared in lower case as sets of words, which white space parts. A line goes if
+    a line before it, in the order of doc_id and place, has a Jaccard similarity of 0.8 or more, also one that goes
+    itself. Rows with a null id come last; rows with equal ids, and those with null ids, follow each other in an
+    order that is fixed once for all lines, so of equal rows one keeps its lines. Lines without words stay. Null texts
+    stay null with no lines. An empty table stays empty. Columns of docs keep their names and places, whatever they
+    are; n_lines and n_removed are added behind them.
     """
-    lines = stored(distinct_lines(docs.where("text is not null")), "lines")
-    gone = removed_lines(lines)
-    kept = lines.select("doc", "pos", F.xxhash64("line").alias("h")).join(gone, ["doc", "pos", "h"], "left_anti")
-    kept = stored(kept.groupBy("doc").agg(F.collect_list(F.xxhash64("pos", "h")).alias("kept_lines")), "kept-lines")
-    discard(lines)
-    joined = docs.withColumn("place_of_doc", _place(docs["doc_id"])).join(kept.withColumnRenamed("doc", "place_of_doc"), "place_of_doc", "left").withColumn("split_text", F.split("text", "\n"))
-    stays = lambda line, i: ~line.rlike(WORD) | F.coalesce(F.array_contains("kept_lines", F.xxhash64(i, F.xxhash64(F.lower(line)))), F.lit(False))
-    cut = joined.withColumn("left_lines", F.filter("split_text", stays))
-    n_lines = F.coalesce(F.size("split_text"), F.lit(0)).cast("long")
-    return cut.select(*(F.array_join("left_lines", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("left_lines"), F.lit(0))).alias("n_removed"))
+    named = _named(docs)
+    lines = distinct_lines(named)
+    removed = removed_lines(lines, named, hot_lines)
+    kept = lines.join(removed, "id", "left_anti").groupBy("place.row").agg(F.collect_list("place.pos").alias("kept"))  # no more than the row has lines
+    joined = named.join(kept, "row", "left").withColumn("lines", F.split("doc.text", "\n"))
+    blank = F.array_compact(F.transform("lines", lambda line, i: F.when(~line.rlike(WORD), i)))
+    left = joined.withColumn("left", F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)))
+    text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
+    return left.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns), n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("left"), F.lit(0))).alias("n_removed"))

@@ -265,15 +265,25 @@ def test_lines_against_loop(spark):
             words[rnd.randrange(len(words))] = rnd.choice(["zeta", "Eta", "THE"])
             lines[at] = " ".join(words)
         rows.append((i, "\n".join([*lines, "", " "])))
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert {r.doc_id: r.text for r in got} == removed_by_loop(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (line_dedup.HOT, 3):  # with few lines to a key, and with many
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, hot).collect()} == removed_by_loop(rows)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    rows = [(None, "one line of words"), (None, "one line of words"), (5, "another line there\nand more\tof it"), (5, "and more of it"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("lines", F.lit(1))
+    got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()]
+    assert sorted(x[1:] for x in got if x[0] is None) == [("", 1), ("one line of words", 0)]
+    assert sorted((x[2] for x in got if x[0] == 5)) == [0, 0, 1]
 
 
 def test_lines_odd(docs, empty):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
     held = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got.where("doc_id < 14").collect()}
-    assert held[7] == (None, 0, 0) and held[8] == ("", 1, 0) and held[9] == (" \n \t\n", 3, 0) and held[11] == ("same text", 1, 0) and held[12] == ("", 1, 1)
+    assert held[7] == (None, 0, 0) and held[8] == ("", 1, 0) and held[9] == (" \n \t\n", 3, 0) and held[12] == ("", 1, 1)
+    assert sorted((r.text, r.n_removed) for r in got.where("doc_id = 11").collect()) == [("", 1), ("same text", 0)]
     assert got.where("doc_id is null").first().text == "no id at all here" and got.count() == docs.count()
     assert line_dedup.dedup_lines(empty).count() == 0
 
