@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_row(docs: DataFrame) -> Column | None:
+    """The name of a row of a table that is read from Parquet files as it is: its file, by hash, and its place there.
+
+    The names stay the same however jobs split the files. None if docs is no such table.
+    """
+    try:
+        row = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        docs.select(row)
+    except AnalysisException:
+        return None
+    return row
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, line_dedup, packing, ppm, simhash, sketch, toxicity, url_filter, warc
-from .common import table
+from .common import file_row, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -30,7 +30,8 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.dedup_lines(docs, file_row(docs))
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
