@@ -1,25 +1,17 @@
-"""Line deduplication by an exact set-similarity join.
+"""Line deduplication by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. Equal sets collapse first, by 128 bits of hash. The words of every line are ordered
-by rarity, and of two lines with a Jaccard similarity of 0.8 or more the longer shares a word of its prefix with the
+A line is the set of its words. Equal lines collapse first, by two hashes. The words of every line are ordered by
+rarity, and of two lines with a Jaccard similarity of 0.8 or more the longer shares a word of its prefix with the
 shorter prefix of the shorter one. So the join's key is a prefix word and the band of the shorter line's length.
 Lengths, positions and two parity maps rule out nearly all other pairs: every word toggles one of 64 bits, so the
 maps of two lines never differ in more bits than the lines differ in words. What is left is compared word for word.
 
-Where a key has many lines, each first meets the key's earliest line only; pairs are formed of those alone that
-are not similar to it, so a group of near copies costs one comparison a line.
-
-Words are counted, hashed and ordered in Arrow batches, all joins are DataFrame functions: with functions alone the
-two passes over the words took too long (the README has figures).
+Before that join each line meets the earliest lines that share one of its first words; pairs are formed only where
+the later line is not settled by them, so a group of near copies costs a few comparisons a line.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +22,8 @@ SIMILARITY_PERCENT = 80
 LISTED = 1 << 18
 #: The table of frequent words has 2 ** CLASS_BITS classes, of one byte each.
 CLASS_BITS = 22
-#: Lines that share a key and a band of lengths, beyond which they meet the earliest of them first.
-HOT = 1024
-#: Words counted before they are handed on, words whose hashes are kept, words and lines looked at together.
-COUNTED, CACHED, TOGETHER, LINES_TOGETHER = 400_000, 400_000, 300_000, 1 << 16
-#: Bits of a word in the order. Words that share them only meet more often than need be.
-ORDER_BITS = 48
+#: First words by which a line meets the earliest line.
+FIRST = 3
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -52,111 +40,49 @@ def _named(docs: DataFrame, row: Column | None) -> DataFrame:
     return stored(docs.select(F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")).alias("row"), doc), "named-rows")
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (h, n), how often words occur; bytes.split knows the six white spaces of ASCII only."""
-    import numpy as np
-    import xxhash
-
-    counts: Counter = Counter()
-
-    def out():
-        h = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts)).view(np.int64)
-        batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts.values(), pa.int64())], ["h", "n"])
-        counts.clear()
-        return batch
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(text.lower().encode().split())
-            if len(counts) > COUNTED:
-                yield out()
-    if counts:
-        yield out()
-
-
-def rarity_table(text: DataFrame) -> tuple[bytes, int]:
-    """A byte for each class of word hashes: how many bits the order shifts it, more for more frequent words.
-
-    And how often a word that is not listed occurs at most.
-    """
+def rarity_table(text: DataFrame) -> bytes:
+    """A byte for each class of word hashes: by how many bits the order shifts it, more for more frequent words."""
+    words = text.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     band = F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor((F.log2("n") - 6) * 8)).cast("int").alias("band")
-    counts = stored(text.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).select("h", "n", band), "word-counts")
-    listed, least, rarer = 0, 1 << 30, 0
-    for band, m, n in sorted(((r["band"], r["m"], r["n"]) for r in counts.groupBy("band").agg(F.count("*").alias("m"), F.max("n").alias("n")).collect()), reverse=True):  # some hundred rows
+    counts = stored(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).select("h", "n", band), "word-counts")
+    listed, least = 0, 1 << 30
+    for band, m in sorted(((r["band"], r["m"]) for r in counts.groupBy("band").agg(F.count("*").alias("m")).collect()), reverse=True):  # some hundred rows
         if listed + m > LISTED:
-            rarer = n
             break
         listed, least = listed + m, band
     table = bytearray(b"\x01") * (1 << CLASS_BITS)
     frequent = counts.where((F.col("band") >= least) & (F.col("n") > 1)).groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("class")).agg(F.sum("n").alias("n"))
-    for row in frequent.select("class", _shift(F.col("n")).alias("shift")).toLocalIterator():  # LISTED rows at most
-        table[row["class"]] = row["shift"]
+    for row in frequent.select("class", F.least(F.lit(40), 5 + 2 * F.log2("n")).cast("int").alias("shift")).toLocalIterator():  # LISTED rows at most
+        table[max(0, row["class"] - 1)] = row["shift"]
     discard(counts)
-    return bytes(table), rarer
-
-
-def _shift(n: Column) -> Column:
-    return F.least(F.lit(40), 5 + 2 * F.log2(n)).cast("int")
-
-
-def _each_line(batches: Iterator[pa.RecordBatch], table: bytes) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) -> (row, doc_id, pos, a, b, n, p, q, prefix) for every line with a word."""
-    import numpy as np
-    import xxhash
-
-    shifts, cache, digest = np.frombuffer(table, np.uint8), {}, xxhash.xxh64_intdigest
-    one, order_mask = np.uint64(1), np.uint64((1 << ORDER_BITS) - 1)
-    source, pos, sizes, flat = [], [], [], []
-
-    def out(batch):
-        if len(cache) > CACHED:
-            cache.clear()
-        for w in set(flat).difference(cache):
-            cache[w] = digest(w)
-        h = np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat))
-        n = np.array(sizes, np.int64)
-        begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        # the order: shifted hashes from large to small, so those of rare words come first; the line number above them
-        last_first = ~(h >> shifts[h >> np.uint64(64 - CLASS_BITS)].astype(np.uint64)) >> np.uint64(64 - ORDER_BITS)
-        ranked = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(ORDER_BITS), n) | last_first) & order_mask
-        held = n - (n * SIMILARITY_PERCENT + 99) // 100 + 1
-        ends = np.cumsum(held)
-        at = np.arange(ends[-1]) + np.repeat(begins - (ends - held), held)
-        xor = lambda bit: pa.array(np.bitwise_xor.reduceat(one << bit, begins).view(np.int64))
-        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ranked[at].view(np.int64)))
-        rows = batch.select([0, 1]).take(pa.array(source, pa.int64())).columns
-        made = [pa.array(pos, pa.int32()), *(pa.array(np.add.reduceat(x, begins).view(np.int64)) for x in (h, mixed)), pa.array(n.astype(np.int32)), xor(h & np.uint64(63)), xor(h >> np.uint64(58)), prefix]
-        source.clear(), pos.clear(), sizes.clear(), flat.clear()
-        return pa.RecordBatch.from_arrays([*rows, *made], ["row", "doc_id", "pos", "a", "b", "n", "p", "q", "prefix"])
-
-    for batch in batches:
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            for j, line in enumerate(text.lower().encode().split(b"\n")):
-                if words := set(line.split()):
-                    source.append(i), pos.append(j), sizes.append(len(words)), flat.extend(words)
-                    if len(flat) > TOGETHER or len(sizes) == LINES_TOGETHER:
-                        yield out(batch)
-        if sizes:
-            yield out(batch)
-
-
-_LINE_DDL = "row struct<file: long, at: long>, doc_id long, pos int, a long, b long, n int, p long, q long, prefix array<long>"
-
-
-def distinct_lines(named: DataFrame) -> tuple[DataFrame, int]:
-    """(id, place, n, p, q, prefix) for every distinct line with a word, and what rarity_table has of rare words.
+    return bytes(table)
+
+
+def _parity(hashes: Column, shift: int = 0) -> Column:
+    """A bit for each word, by the low bits of its hash or by those above ``shift``; bits that are hit twice cancel out."""
+    place = lambda h: F.shiftrightunsigned(h, shift).cast("int") if shift else h.bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(h))))
+
+
+def distinct_lines(named: DataFrame) -> DataFrame:
+    """(id, place, n, p, q, prefix) for every distinct line with a word.
 
     ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity maps, and
     ``prefix`` the ordered words that may be looked up.
     """
-    texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").alias("text"))
-    table, rarer = rarity_table(texts.select("text"))
-    shared = named.sparkSession.sparkContext.broadcast(table)  # a byte for each class
-    each = texts.mapInArrow(lambda b: _each_line(b, shared.value), _LINE_DDL)
+    texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
+    table = F.lit(rarity_table(texts.select("text")))
+    lines = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
+    hashed = lines.select("row", "doc_id", "pos", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = hashed.withColumn("h", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))))
+    shift = lambda h: F.ascii(F.substring(table, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"), 1).cast("string"))
+    n = F.size("ranked")
+    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h")).alias("p"), _parity(F.col("h"), shift=58).alias("q"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
+    prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SIMILARITY_PERCENT / 100).cast("int") + 1)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
-    one = each.select("a", "b", place, "n", "p", "q", "prefix").groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "prefix")))
-    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "prefix"), "lines"), rarer
+    each = ranked.select("a", "b", place, n.alias("n"), "p", "q", prefix.alias("prefix"))
+    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "prefix")))
+    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "prefix"), "lines")
 
 
 def _band(n: Column) -> Column:
@@ -213,49 +139,41 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(lines.select("id", "place"), "id")
     by_row = wanted.groupBy("place.row").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))  # no more than the row has lines
     texts = named.select("row", _spaced(F.col("doc.text")).alias("text")).join(by_row, "row").select(F.split("text", "\n").alias("lines"), "wanted")
-    each = texts.select("lines", F.explode("wanted").alias("w")).select("w.id", "w.place", F.array_distinct(F.array_remove(F.split(F.get("lines", F.col("w.place.pos")), " "), "")).alias("words"))
-    words = stored(each, "candidate-lines")
-    side = lambda c: words.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"), F.col("words").alias(f"{c}_words"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    common = F.size(F.array_intersect("x_words", "y_words"))
-    alike = both.where(common * 100 >= (F.size("x_words") + F.size("y_words") - common) * SIMILARITY_PERCENT)
-    found = stored(alike.select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct(), "similar-lines")
-    discard(words)
+    each = stored(texts.select("lines", F.explode("wanted").alias("w")).select("w.id", "w.place", F.get("lines", F.col("w.place.pos")).alias("line")), "candidate-lines")
+    side = lambda c: each.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"), F.col("line").alias(f"{c}_line"))
+    words = lambda c: F.array_distinct(F.array_remove(F.split(c, " "), "")).alias(c)
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("id"), words("x_line"), words("y_line"))
+    common = F.size(F.array_intersect("x_line", "y_line"))
+    alike = both.where(common * 100 >= (F.size("x_line") + F.size("y_line") - common) * SIMILARITY_PERCENT)
+    found = stored(alike.select("id").distinct(), "similar-lines")
+    discard(each)
     return found
 
 
-def _hot_pairs(lines: DataFrame, named: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For keys with many lines: (id) of those similar to a key's earliest line, and the pairs that the others can be in."""
-    entries = _entries(lines, ("id", "place", "n", "p", "q")).join(hot.select("word").distinct(), "word", "left_semi")
-    entries = stored(entries, "hot-entries")
-    index = _index(entries).join(hot, ["word", "band"], "left_semi")
-    first = index.groupBy("word", "band").agg(F.min(F.struct("place", "id", "n", "i", "p", "q")).alias("b")).select("word", "band", "b.*")
-    around = entries.withColumn("band", F.explode(F.array(*(_band(F.col("n")) + F.lit(k) for k in (-1, 0, 1)))))
-    near = around.alias("a").join(first.alias("b"), ["word", "band"]).where((F.col("b.place") < F.col("a.place")) & _may_agree("a", "b"))
-    settled = _similar(stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs"), lines, named)
+def _settled(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(id) of the lines similar to the earliest line that has one of their first words among its own."""
+    entries = _entries(lines.withColumn("prefix", F.slice("prefix", 1, FIRST)), ("id", "place", "n", "p", "q"))
+    first = entries.groupBy("word").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
+    met = entries.join(first.select("word", "first"), "word").where(F.col("first") < F.col("place")).select("id", "first", "n", "p", "q").distinct()
+    b = lines.select(F.col("place").alias("first"), F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("b"))
+    near = met.select("first", F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("a")).join(b, "first").where(_may_agree("a", "b"))
+    return _similar(stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs"), lines, named)
 
-    marked = stored(entries.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "marked-entries")
+
+def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(id) of the distinct lines that are similar to an earlier one."""
+    settled = _settled(lines, named)
+    marked = stored(lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "marked-lines")
+    entries = _entries(marked, ("id", "place", "n", "p", "q", "open"))
     later_is_open = F.when(F.col("a.place") > F.col("b.place"), F.col("a.open")).otherwise(F.col("b.open"))
-    index = _index(marked).join(hot, ["word", "band"], "left_semi")
-    pairs = _joined(_probes(marked.where("open")), index, later_is_open).union(_joined(_probes(marked.where("not open")), index.where("open"), later_is_open))
-    return settled, pairs
-
-
-def removed_lines(lines: DataFrame, named: DataFrame, rarer: int, hot_lines: int = HOT) -> DataFrame:
-    """(id) of the distinct lines that are similar to an earlier one; words that are not listed occur ``rarer`` times at most."""
-    index, probes = _index(_entries(lines)), _probes(_entries(lines))
-    crowded = index
-    if rarer <= hot_lines:  # only a listed word can have so many lines, and the order tells listed words
-        crowded = index.where(F.col("word") >= F.lit((1 << ORDER_BITS) - (1 << (ORDER_BITS - min(40, 5 + 2 * int(math.log2(hot_lines)))))))
-    hot = stored(crowded.groupBy("word", "band").count().where(F.col("count") > hot_lines).select("word", "band"), "hot-keys")
-    if hot.isEmpty():
-        return _similar(stored(_joined(probes, index).distinct(), "line-pairs"), lines, named)
-    settled, among_hot = _hot_pairs(lines, named, hot)
-    pairs = _joined(probes, index.join(hot, ["word", "band"], "left_anti")).union(among_hot)
-    return _similar(stored(pairs.distinct(), "line-pairs"), lines, named).union(settled).distinct()
-
-
-def dedup_lines(docs: DataFrame, row: Column | None = None, hot_lines: int = HOT) -> DataFrame:
+    probes, index = _probes(entries), _index(entries)
+    pairs = _joined(probes.where("open"), index, later_is_open).union(_joined(probes.where("not open"), index.where("open"), later_is_open))
+    found = _similar(stored(pairs.distinct(), "line-pairs"), lines, named).union(settled).distinct()
+    discard(marked)
+    return found
+
+
+def dedup_lines(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with two more columns, n_lines and n_removed, and without repeated lines in text.
 
     Lines end at line feeds and are compared in lower case as sets of words, which white space parts. A line goes if
@@ -267,8 +185,8 @@ def dedup_lines(docs: DataFrame, row: Column | None = None, hot_lines: int = HOT
     stored with a number for each row.
     """
     named = _named(docs, row)
-    lines, rarer = distinct_lines(named)
-    removed = removed_lines(lines, named, rarer, hot_lines)
+    lines = distinct_lines(named)
+    removed = removed_lines(lines, named)
     kept = lines.join(removed, "id", "left_anti").groupBy("place.row").agg(F.collect_list("place.pos").alias("kept"))  # no more than the row has lines
     joined = named.join(kept, "row", "left").withColumn("lines", F.split("doc.text", "\n"))
     blank = F.array_compact(F.transform("lines", lambda line, i: F.when(~line.rlike(WORD), i)))

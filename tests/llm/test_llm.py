@@ -266,8 +266,7 @@ def test_lines_against_loop(spark):
             lines[at] = " ".join(words)
         rows.append((i, "\n".join([*lines, "", " "])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for hot in (line_dedup.HOT, 3):  # with few lines to a key, and with many
-        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, hot_lines=hot).collect()} == removed_by_loop(rows)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == removed_by_loop(rows)
 
 
 def test_lines_of_rows_that_share_an_id(spark):
