@@ -24,7 +24,8 @@ GROUP_BYTES = 32 << 20
 STEP_TOKENS = 16 * 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHED_CHUNKS = 200_000
+#: Chunks in each generation of a worker's cache, words encoded in one call.
+CACHED_CHUNKS, TOGETHER = 200_000, 500
 
 _PARTS = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PARTS_DDL = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -56,6 +57,13 @@ def encoder(tokenizer: str = TOKENIZER):
     model, young, old = kept.get(tokenizer) or (Tokenizer.from_file(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)), {"": b""}, {})
     word, end = re.compile(WORD).fullmatch, np.array([END_ID], "<u4").tobytes()
 
+    def together(words: list[str]) -> list[bytes] | None:
+        """Each word's ids from one call, or None if the vocabulary's patterns part them in another way."""
+        e = model.encode(" ".join(words), add_special_tokens=False)
+        ends = (4 * (np.flatnonzero(np.diff(e.word_ids)) + 1)).tolist()
+        ids = np.array(e.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends], [*ends, len(ids)], strict=True)] if len(ends) == len(words) - 1 else None
+
     def learn(chunks: set[str]) -> None:
         found, split, new = old.get, {}, {}
         for x in chunks:
@@ -66,12 +74,18 @@ def encoder(tokenizer: str = TOKENIZER):
                 new |= {p: None for p in parts if p not in young}
             else:
                 new[x] = None
-        unknown = []
+        letters, unknown = [], []
         for x in new:
             if (ids := found(x)) is not None:
                 young[x] = ids
             else:
-                unknown.append(x)
+                (letters if x.isalpha() else unknown).append(x)
+        for at in range(0, len(letters), TOGETHER):
+            some = letters[at : at + TOGETHER]
+            if (ids := together(some)) is None:
+                unknown += some
+            else:
+                young.update(zip(some, ids, strict=True))
         for x, e in zip(unknown, model.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
             young[x] = np.array(e.ids, "<u4").tobytes()
         for x, (letters, rest) in split.items():
