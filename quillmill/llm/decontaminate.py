@@ -43,7 +43,8 @@ def with_prints(texts: DataFrame) -> DataFrame:
 def windows(texts: DataFrame, size: int) -> DataFrame:
     """A row (at, phrase) for every window of ``size`` words, beside the other columns."""
     held = texts.where(F.size("words") >= size)
-    return held.select(*(c for c in held.columns if c != "words"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))).alias("at", "phrase"))
+    # the outer form, for the plain one tests the array's size in the scan, where it is computed again for each place
+    return held.select(*(c for c in held.columns if c != "words"), F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))).alias("at", "phrase"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, row: Column | None = None) -> DataFrame:
@@ -62,16 +63,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, row: Column | None
         phrases = phrases.union(windows(items.where(F.size("words") == n), n))
     phrases = phrases.select("item_id", "phrase").distinct()
 
-    texts = docs.select(F.col("doc_id"), (F.lit(None) if row is None else row).cast("long").alias("row"), F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), words(F.col("text")).alias("words"))
+    keys = F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")
+    texts = docs.select(F.col("doc_id"), (F.lit(None) if row is None else row).cast("long").alias("row"), *keys, words(F.col("text")).alias("words"))
     seen = stored(with_prints(texts).select("doc_id", "row", "k1", "k2", F.size("words").cast("long").alias("n_words"), "prints"), "prints")
-    marked = with_prints(items.where(F.size("words") >= WINDOW)).select(F.explode("prints").alias("print")).distinct()
+    marked = with_prints(items.where(F.size("words") >= WINDOW)).select(F.explode_outer("prints").alias("print")).where("print is not null").distinct()
     found = seen.select("k1", "k2", F.explode("prints").alias("print")).join(marked, "print", "left_semi").select("k1", "k2").distinct()
     for n in short:  # a short item has no fingerprint: all phrases of its length are looked up
         phrase = windows(texts.select("k1", "k2", "words"), n).select("k1", "k2", "phrase").distinct()
         found = found.union(phrase.join(phrases, "phrase", "left_semi").select("k1", "k2"))
     found = found.distinct()
 
-    held = texts.select("k1", "k2", "words").join(found, ["k1", "k2"], "left_semi")
+    # texts are shuffled as they are, and only those found are parted into words again
+    held = docs.select(*keys, "text").join(found, ["k1", "k2"], "left_semi").select("k1", "k2", words(F.col("text")).alias("words"))
     spans = None
     for n in [WINDOW, *short]:
         each = windows(held, n).distinct().join(phrases, "phrase").select("k1", "k2", "at", F.lit(n).alias("size"), "item_id")
