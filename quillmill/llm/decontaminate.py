@@ -64,7 +64,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, row: Column | None
     phrases = phrases.select("item_id", "phrase").distinct()
 
     keys = F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")
-    texts = docs.select(F.col("doc_id"), (F.lit(None) if row is None else row).cast("long").alias("row"), *keys, words(F.col("text")).alias("words"))
+    texts = docs.select(F.col("doc_id"), (F.lit(None).cast("long") if row is None else row).alias("row"), *keys, words(F.col("text")).alias("words"))
     seen = stored(with_prints(texts).select("doc_id", "row", "k1", "k2", F.size("words").cast("long").alias("n_words"), "prints"), "prints")
     marked = with_prints(items.where(F.size("words") >= WINDOW)).select(F.explode_outer("prints").alias("print")).where("print is not null").distinct()
     found = seen.select("k1", "k2", F.explode("prints").alias("print")).join(marked, "print", "left_semi").select("k1", "k2").distinct()

@@ -3,7 +3,7 @@
 A line is the set of its words. Equal lines collapse first, by two hashes. The words of every line are ordered by
 rarity, and of two lines with a Jaccard similarity of 0.8 or more the longer shares a word of its prefix with the
 shorter prefix of the shorter one. So the join's key is a prefix word and the band of the shorter line's length.
-Lengths, positions and two parity maps rule out nearly all other pairs: every word toggles one of 64 bits, so the
+Lengths, positions and a parity map rule out nearly all other pairs: every word toggles one of 64 bits, so the
 maps of two lines never differ in more bits than the lines differ in words. What is left is compared word for word.
 
 Before that join each line meets the earliest lines that share one of its first words; pairs are formed only where
@@ -58,16 +58,16 @@ def rarity_table(text: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _parity(hashes: Column, shift: int = 0) -> Column:
-    """A bit for each word, by the low bits of its hash or by those above ``shift``; bits that are hit twice cancel out."""
-    place = lambda h: F.shiftrightunsigned(h, shift).cast("int") if shift else h.bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place(h))))
+def _parity(hashes: Column) -> Column:
+    """A bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
 
 
 def distinct_lines(named: DataFrame) -> DataFrame:
-    """(id, place, n, p, q, prefix) for every distinct line with a word.
+    """(id, place, n, p, prefix) for every distinct line with a word.
 
-    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity maps, and
+    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` their parity map, and
     ``prefix`` the ordered words that may be looked up.
     """
     texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
@@ -77,12 +77,12 @@ def distinct_lines(named: DataFrame) -> DataFrame:
     hashed = hashed.withColumn("h", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))))
     shift = lambda h: F.ascii(F.substring(table, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"), 1).cast("string"))
     n = F.size("ranked")
-    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h")).alias("p"), _parity(F.col("h"), shift=58).alias("q"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
+    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h")).alias("p"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
     prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SIMILARITY_PERCENT / 100).cast("int") + 1)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
-    each = ranked.select("a", "b", place, n.alias("n"), "p", "q", prefix.alias("prefix"))
-    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "prefix")))
-    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "prefix"), "lines")
+    each = ranked.select("a", "b", place, n.alias("n"), "p", prefix.alias("prefix"))
+    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "prefix")))
+    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "prefix"), "lines")
 
 
 def _band(n: Column) -> Column:
@@ -95,13 +95,18 @@ def _indexed(n: Column) -> Column:
     return n - F.ceil(n * (2 * SIMILARITY_PERCENT) / (100 + SIMILARITY_PERCENT)).cast("int") + 1
 
 
-def _entries(lines: DataFrame, columns: tuple[str, ...] = ("id", "n", "p", "q")) -> DataFrame:
+def _entries(lines: DataFrame) -> DataFrame:
     """A row for each prefix word, with its place i, from 0."""
-    return lines.select(*columns, F.posexplode("prefix").alias("i", "word"))
+    return lines.select("id", "n", "p", F.posexplode("prefix").alias("i", "word"))
+
+
+def _keyed(entries: DataFrame, band: Column) -> DataFrame:
+    """(key, id, n, p, i) with a hash of word and band; keys that happen to agree make more pairs to look at, no fewer."""
+    return entries.select(F.xxhash64("word", band).alias("key"), "id", "n", "p", "i")
 
 
 def _index(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("i") < _indexed(F.col("n"))).withColumn("band", _band(F.col("n")))
+    return _keyed(entries.where(F.col("i") < _indexed(F.col("n"))), _band(F.col("n")))
 
 
 def _probes(entries: DataFrame) -> DataFrame:
@@ -110,17 +115,17 @@ def _probes(entries: DataFrame) -> DataFrame:
     least = F.ceil(n * SIMILARITY_PERCENT / 100)
     most = F.least(n, F.floor((n - i) * (100 + SIMILARITY_PERCENT) / SIMILARITY_PERCENT) - n)
     bands = F.when(most >= least, F.array_distinct(F.array(_band(least), _band(most))))
-    return entries.withColumn("band", F.explode(bands))
+    return _keyed(entries.select("*", F.explode(bands).alias("band")), F.col("band"))
 
 
 def _may_agree(a: str, b: str) -> Column:
-    """Length, positional and parity filters for two lines whose first common word has places i, from 0, in each."""
+    """Length, positional and parity filter for two lines whose first common word has places i, from 0, in each."""
     n, i, m, j = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "i"))
     lengths = (m * 100 >= n * SIMILARITY_PERCENT) & (n * 100 >= m * SIMILARITY_PERCENT)
     # an overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m); and n + m - 2 o words differ
     positions = F.least(n - i, m - j) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
-    differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT)
-    return lengths & positions & differ("p") & differ("q")
+    differing = F.bit_count(F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p"))) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT)
+    return lengths & positions & differing
 
 
 def _shorter(b: str, a: str) -> Column:
@@ -128,12 +133,6 @@ def _shorter(b: str, a: str) -> Column:
     return (F.col(f"{b}.n") < F.col(f"{a}.n")) | ((F.col(f"{b}.n") == F.col(f"{a}.n")) & (F.col(f"{b}.id") < F.col(f"{a}.id")))
 
 
-def _joined(probes: DataFrame, index: DataFrame, more: Column | None = None) -> DataFrame:
-    """Pairs (x, y) of ids that share a key and pass the filters, repeats included."""
-    fits = _shorter("b", "a") & _may_agree("a", "b")
-    return probes.alias("a").join(index.alias("b"), ["word", "band"]).where(fits if more is None else fits & more).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-
 def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the later line of every pair (x, y) whose word sets are similar indeed."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(lines.select("id", "place"), "id")
@@ -152,27 +151,38 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
 
 def _settled(lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the lines similar to the earliest line that has one of their first words among its own."""
-    entries = _entries(lines.withColumn("prefix", F.slice("prefix", 1, FIRST)), ("id", "place", "n", "p", "q"))
-    first = entries.groupBy("word").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
-    met = entries.join(first.select("word", "first"), "word").where(F.col("first") < F.col("place")).select("id", "first", "n", "p", "q").distinct()
-    b = lines.select(F.col("place").alias("first"), F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("b"))
-    near = met.select("first", F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("a")).join(b, "first").where(_may_agree("a", "b"))
-    return _similar(stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs"), lines, named)
-
-
-def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(id) of the distinct lines that are similar to an earlier one."""
-    settled = _settled(lines, named)
-    marked = stored(lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").withColumn("open", F.col("settled").isNull()).drop("settled"), "marked-lines")
-    entries = _entries(marked, ("id", "place", "n", "p", "q", "open"))
-    later_is_open = F.when(F.col("a.place") > F.col("b.place"), F.col("a.open")).otherwise(F.col("b.open"))
-    probes, index = _probes(entries), _index(entries)
-    pairs = _joined(probes.where("open"), index, later_is_open).union(_joined(probes.where("not open"), index.where("open"), later_is_open))
-    found = _similar(stored(pairs.distinct(), "line-pairs"), lines, named).union(settled).distinct()
-    discard(marked)
+    words = lines.select("id", "place", "n", "p", F.explode(F.slice("prefix", 1, FIRST)).alias("word"))
+    first = words.groupBy("word").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
+    met = words.join(first.select("word", "first"), "word").where(F.col("first") < F.col("place")).select("id", "first", "n", "p").distinct()
+    b = lines.select(F.col("place").alias("first"), F.struct("id", "n", "p", F.lit(0).alias("i")).alias("b"))
+    near = met.select("first", F.struct("id", "n", "p", F.lit(0).alias("i")).alias("a")).join(b, "first").where(_may_agree("a", "b"))
+    pairs = stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs")
+    found = _similar(pairs, lines, named)
+    discard(pairs)
     return found
 
 
+def removed_lines(lines: DataFrame, named: DataFrame, settled: DataFrame) -> DataFrame:
+    """(id) of the distinct lines that are similar to an earlier one, given those settled.
+
+    One join has both kinds of pairs with an open line: it looks up all lines as long or shorter, and longer settled
+    ones, which stand under each key that the shorter line can have.
+    """
+    entries, closed = _entries(lines.join(settled, "id", "left_anti")), _entries(lines.join(settled, "id", "left_semi"))
+    held = _index(_entries(lines)).withColumn("longer", F.lit(False)).union(_probes(closed).withColumn("longer", F.lit(True)))
+    fits = F.when(F.col("b.longer"), _shorter("a", "b")).otherwise(_shorter("b", "a")) & _may_agree("a", "b")
+    pairs = _probes(entries).alias("a").join(held.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    pairs = stored(pairs, "line-pairs")
+    place = lambda c: lines.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"))
+    ended = settled.select(F.col("id").alias("y"), F.lit(True).alias("settled"))
+    wanted = pairs.join(place("x"), "x").join(place("y"), "y").join(ended, "y", "left").where(F.col("settled").isNull() | (F.col("x_place") > F.col("y_place")))
+    wanted = stored(wanted.select("x", "y"), "open-pairs")
+    discard(pairs)
+    found = _similar(wanted, lines, named)
+    discard(wanted)
+    return found.union(settled).distinct()
+
+
 def dedup_lines(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with two more columns, n_lines and n_removed, and without repeated lines in text.
 
@@ -186,7 +196,7 @@ def dedup_lines(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """
     named = _named(docs, row)
     lines = distinct_lines(named)
-    removed = removed_lines(lines, named)
+    removed = removed_lines(lines, named, _settled(lines, named))
     kept = lines.join(removed, "id", "left_anti").groupBy("place.row").agg(F.collect_list("place.pos").alias("kept"))  # no more than the row has lines
     joined = named.join(kept, "row", "left").withColumn("lines", F.split("doc.text", "\n"))
     blank = F.array_compact(F.transform("lines", lambda line, i: F.when(~line.rlike(WORD), i)))

@@ -154,7 +154,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     ``n_segments`` passages lie beyond chance, the best from token ``best_begin`` up to ``best_end``.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None) if row is None else row).cast("long").alias("row"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(None).cast("long") if row is None else row).alias("row"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(id_remainder(F.col("doc_id"), folds) != held_out)
     # merged by id whatever the sizes, so the plan is the same at every scale
@@ -175,12 +175,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_
     gap = math.log(1 - DENSITY)
     decay = _decay([(r["weight"], r["share"] * 1e-2) for r in top if not r["token"].endswith("*")], gap) if top else 1.0
     shared = spark.sparkContext.broadcast(weights)  # at most twice LISTED tokens
-    scanned = stored(docs.select("text", "row", "doc_id").mapInArrow(lambda b: _scan(b, shared.value, gap, decay), "row long, doc_id long, n_tokens long, scores array<double>, best_begin long, best_end long"), "segments")
+    scanned = stored(docs.select("text", "row", "doc_id").mapInArrow(lambda b: _scan(b, shared.value, gap, decay), f"row {docs.schema['row'].dataType.simpleString()}, doc_id long, n_tokens long, scores array<double>, best_begin long, best_end long"), "segments")
 
     # K of the extreme-value law E(segments >= s) = K n exp(-s), from the clean documents; s in nats
     clean = scanned.join(known.where("toxic = 0"), "doc_id")
-    row = clean.agg(F.sum("n_tokens"), F.sum(F.size(F.filter("scores", lambda s: s >= 2.0)))).first()
-    log_k = math.log((1 + (row[1] or 0)) * math.exp(2.0) / (1000 + (row[0] or 0)))
+    n_tokens, beyond = clean.agg(F.sum("n_tokens"), F.sum(F.size(F.filter("scores", lambda s: s >= 2.0)))).first()
+    log_k = math.log((1 + (beyond or 0)) * math.exp(2.0) / (1000 + (n_tokens or 0)))
     chance = F.lit(log_k) + F.log(F.col("n_tokens") + F.lit(1))
     beyond = F.filter(F.transform("scores", lambda s: s - chance), lambda s: s > 0)
     x = F.log1p(F.aggregate(beyond, F.lit(0.0), lambda total, s: total + s))
