@@ -182,14 +182,21 @@ def longest_text(t):
 
 
 @query("""
-SELECT doc_id, len(list_filter(rs, lambda r: true))::INT AS n_roles, n_chunks::INT AS n_chunks FROM (
-  SELECT user_id AS doc_id, list(DISTINCT lower(event_type)) FILTER (event_id % 9 <> 0) AS ks, list(event_type) AS rs_all, count(*) AS n_chunks, CASE WHEN count(*) = 1 THEN list(event_type) ELSE list(DISTINCT lower(event_type)) END AS rs FROM events GROUP BY user_id)
+WITH e AS (SELECT user_id AS doc_id, event_id AS ord, event_type, event_id % 9 = 0 AS broken, count(*) OVER (PARTITION BY user_id) AS sent FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS nth FROM e WHERE NOT broken),
+r AS (SELECT doc_id, lower(event_type) AS key, min(ord) AS ord, arg_min(event_type, ord) AS name, arg_max(repeat('d', ord % 4 + 1), (ord % 4, -ord)) AS description, list_sort(list_distinct(list_concat([1, 2], list(ord % 3)))) AS pages FROM p GROUP BY doc_id, lower(event_type)),
+one AS (SELECT doc_id, ' ' || event_type || '|' || repeat('d', ord % 4 + 1) || '|2,1,' || ord % 3 AS roles FROM p WHERE sent = 1),
+many AS (SELECT doc_id, string_agg(' ' || name || '|' || description || '|' || array_to_string(CASE WHEN n = 1 THEN [2, 1, first_page] ELSE pages END, ','), ';' ORDER BY r.ord) AS roles FROM r JOIN (SELECT doc_id, lower(event_type) AS key, count(*) AS n, min(ord) % 3 AS first_page FROM p GROUP BY ALL) USING (doc_id, key) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN f.doc_id IS NOT NULL THEN 'p' || f.ord END AS project, coalesce(one.roles, many.roles) AS roles, CASE WHEN f.doc_id IS NULL AND d.sent = 1 THEN 'AI returned malformed JSON. Please try again.' WHEN f.doc_id IS NULL THEN 'Failed to analyze any chunk' END AS error
+FROM (SELECT DISTINCT doc_id, sent FROM e) d LEFT JOIN (SELECT * FROM p WHERE nth = 1) f USING (doc_id) LEFT JOIN one USING (doc_id) LEFT JOIN many ON many.doc_id = d.doc_id
 """)
 def merged_results(t):
-    raw = t("events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.concat(F.lit('here: {"project": {"name": "p'), F.col("user_id").cast("string"), F.lit('"}, "roles": [{"name": " '), F.col("event_type"), F.lit('", "description": "d", "pageNumbers": [2, 1],}], }')).alias("raw"))
-    parsed = repair.parsed(raw, repair.chunk_repair("raw")).where("v is not null").select("doc_id", "ord", repair.typed("v").alias("result"))
-    merged = merge.merge_results(parsed).join(parsed.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_chunks")), "doc_id")
-    return merged.select("doc_id", F.size("result.roles").alias("n_roles"), "n_chunks")
+    e, text = F.col("event_id"), lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
+    parts = ('here: {"project": {"name": "p', e, '"}, "roles": [{"name": " ', F.col("event_type"), '", "description": "', F.repeat(F.lit("d"), (e % 4 + 1).cast("int")), '", "pageNumbers": [2, 1, ', e % 3, "],}], ", F.when(e % 9 == 0, "'broken'").otherwise(""), "}")
+    raw = t("events").select(F.col("user_id").alias("doc_id"), e.alias("ord"), F.concat(*map(text, parts)).alias("raw"))
+    chunks = repair.parsed(raw, repair.chunk_repair("raw")).select("doc_id", "ord", repair.typed("v").alias("result"))
+    shown = lambda r: F.concat(r["name"], F.lit("|"), r["description"], F.lit("|"), F.array_join(r["pageNumbers"].cast("array<string>"), ","))
+    return merge.merge_results(chunks).select("doc_id", F.col("result.project.name").alias("project"), F.when(F.col("error").isNull(), F.array_join(F.transform("result.roles", shown), ";")).alias("roles"), "error")
 
 
 # --- stores ----------------------------------------------------------------------------------------------
@@ -309,52 +316,69 @@ def title_branch(t):
     return t("part").select("p_partkey", render.form_title("p_name", "p_type", company, "House").alias("title"))
 
 
-_STANDARD = [("control_fullname", "Full Name"), ("control_email", "Email")]
-
-
 def _questions(part):
     k = F.col("p_partkey")
-    options = F.when(k % 2 == 0, F.array("p_brand", "p_type"))
+    options = F.when(k % 5 > 0, F.array("p_brand", "p_type"))
     q = lambda kind, label, opts, required: F.struct(kind.alias("type"), label.alias("label"), opts.alias("options"), required.alias("required"))
     return part.select("p_partkey", "p_name", F.array(q(_case(k, *_KINDS), F.col("p_name"), options, k % 3 == 0), q(F.lit("radio"), F.lit("Size?"), F.array(F.lit("S"), F.lit("L")), F.lit(None).cast("boolean"))).alias("questions"))
 
 
-@query("""
-SELECT p_partkey, ord::INT AS ord, kind, label, required, options FROM (SELECT p_partkey, unnest(range(1, 7)) AS ord,
-  unnest(['control_head', 'control_fullname', 'control_email', ['control_textbox', 'control_radio', 'control_textarea', 'control_checkbox', 'control_email', 'control_textbox'][p_partkey % 6 + 1], 'control_radio', 'control_button']) AS kind,
-  unnest([p_name, 'Full Name', 'Email', p_name, 'Size?', 'Submit']) AS label, unnest(['No', 'Yes', 'Yes', CASE WHEN p_partkey % 3 = 0 THEN 'Yes' ELSE 'No' END, 'No', 'No']) AS required,
-  unnest([NULL, NULL, NULL, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type END, 'S|L', NULL]) AS options FROM part)
+_KIND_SQL = "['control_textbox', 'control_radio', 'control_textarea', 'control_checkbox', 'control_email', 'control_textbox'][p_partkey % 6 + 1]"
+
+
+@query(f"""
+SELECT p_partkey, ord::INT AS ord, kind, label, required, options FROM (SELECT p_partkey, unnest(range(1, 10)) AS ord,
+  unnest(['control_head', 'control_fullname', 'control_email', 'control_phone', 'control_textbox', 'control_textbox', {_KIND_SQL}, 'control_radio', 'control_button']) AS kind,
+  unnest([p_name, 'Full Name', 'Email Address', 'Phone Number', 'City and State', 'Your Agent/Manager', p_name, 'Size?', 'Submit Application']) AS label,
+  unnest([NULL, 'Yes', 'Yes', 'No', 'No', 'No', CASE WHEN p_partkey % 3 = 0 THEN 'Yes' ELSE 'No' END, 'No', NULL]) AS required,
+  unnest([NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN p_partkey % 5 > 0 THEN p_brand || '|' || p_type END, 'S|L', NULL]) AS options FROM part)
 """)
 def form_fields(t):
-    rows = _questions(t("part")).select("p_partkey", F.posexplode(render.form_rows(F.col("questions"), _STANDARD, F.col("p_name"))).alias("pos", "r"))
-    return rows.select("p_partkey", (F.col("pos") + 1).alias("ord"), F.col("r.type").alias("kind"), F.col("r.text").alias("label"), F.col("r.required").alias("required"), F.col("r.options").alias("options"))
+    rows = _questions(t("part")).select("p_partkey", F.explode(render.form_rows(F.col("questions"), F.col("p_name"))).alias("r"))
+    return rows.select("p_partkey", F.col("r.order").cast("int").alias("ord"), F.col("r.type").alias("kind"), F.col("r.text").alias("label"), F.col("r.required").alias("required"), F.col("r.options").alias("options"))
 
 
 @query("""
-SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' [' || p_brand || ' / ' || p_type || ']' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' (required)' ELSE '' END AS form,
-  p_name || CASE WHEN p_partkey % 2 = 0 THEN ' — Options: ' || p_brand || ', ' || p_type ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' (REQUIRED)' ELSE '' END AS mail,
-  p_name || CASE WHEN p_partkey % 2 = 0 THEN ' [' || p_brand || ' / ' || p_type || ']' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' *' ELSE '' END AS screen FROM part
+SELECT p_partkey, 'Full Name (required)' || chr(10) || 'Email Address (required)' || chr(10) || 'Phone Number' || chr(10) || 'City and State' || chr(10) || 'Your Agent/Manager' || chr(10) || p_name || own || CASE WHEN p_partkey % 3 = 0 THEN ' (required)' ELSE '' END || chr(10) || 'Size? [S / L]' AS form,
+  'Create a casting application form with these fields:' || chr(10) || chr(10) || '1. Full Name (required)' || chr(10) || '2. Email Address (required)' || chr(10) || '3. Phone Number' || chr(10) || '4. City and State' || chr(10) || '5. Your Agent/Manager' || chr(10) || chr(10)
+    || '6. ' || p_name || listed || CASE WHEN p_partkey % 3 = 0 THEN ' (REQUIRED)' ELSE '' END || chr(10) || '7. Size? — Options: S, L' AS mail,
+  'Full Name *' || chr(10) || 'Email *' || chr(10) || 'Phone' || chr(10) || 'City/State' || chr(10) || 'Agent/Manager' || chr(10) || chr(10) || p_name || own || CASE WHEN p_partkey % 3 = 0 THEN ' *' ELSE '' END || chr(10) || 'Size? [S / L]' AS screen
+FROM (SELECT *, CASE WHEN p_partkey % 6 = 1 AND p_partkey % 5 > 0 THEN ' [' || p_brand || ' / ' || p_type || ']' ELSE '' END AS own,
+  CASE WHEN p_partkey % 6 = 1 AND p_partkey % 5 > 0 THEN ' — Options: ' || p_brand || ', ' || p_type ELSE '' END AS listed FROM part)
 """)
 def question_text(t):
-    q = F.get("questions", 0)
-    return _questions(t("part")).select("p_partkey", *(render.question_line(kind, q["label"], q["options"], q["required"]).alias(kind) for kind in ("form", "mail", "screen")))
+    return _questions(t("part")).select("p_partkey", *(js.join(render.question_sheet(notation, F.col("questions")), "\n").alias(notation) for notation in ("form", "mail", "screen")))
 
 
-@query()
+@query(f"""
+SELECT p_partkey, '{{"properties":{{"title":' || to_json(p_name) || '}},"questions":{{"1":{{"type":"control_head","text":' || to_json(p_name) || ',"order":"1"}},"2":{{"type":"control_fullname","text":"Full Name","required":"Yes","order":"2"}},'
+  || '"3":{{"type":"control_email","text":"Email Address","required":"Yes","order":"3"}},"4":{{"type":"control_phone","text":"Phone Number","required":"No","order":"4"}},"5":{{"type":"control_textbox","text":"City and State","required":"No","order":"5"}},'
+  || '"6":{{"type":"control_textbox","text":"Your Agent/Manager","required":"No","order":"6"}},"7":{{"type":"' || {_KIND_SQL} || '","text":' || to_json(p_name) || ',"required":"' || CASE WHEN p_partkey % 3 = 0 THEN 'Yes' ELSE 'No' END || '","order":"7"'
+  || CASE WHEN p_partkey % 5 > 0 THEN ',"options":' || to_json(p_brand || '|' || p_type) ELSE '' END || '}},"8":{{"type":"control_radio","text":"Size?","required":"No","order":"8","options":"S|L"}},"9":{{"type":"control_button","text":"Submit Application","order":"9"}}}}}}' AS form FROM part
+""")
 def form_definition(t):
     rows = _questions(t("part"))
-    return rows.select("p_partkey", render.form_json(F.col("p_name"), render.form_rows(F.col("questions"), _STANDARD, F.col("p_name"))).alias("form"))
+    return rows.select("p_partkey", render.form_json(F.col("p_name"), render.form_rows(F.col("questions"), F.col("p_name"))).alias("form"))
 
 
 # --- text and layout -------------------------------------------------------------------------------------
 
 
 @query("""
-SELECT c_custkey, c_name || chr(10) || 'Age: N/A | Gender: ' || CASE WHEN c_custkey % 2 = 0 THEN 'Any' ELSE 'N/A' END || ' | ' || CASE WHEN c_custkey % 3 = 0 THEN 'Speaking' ELSE 'Non-speaking' END || chr(10) || c_mktsegment || chr(10) || 'Traits: a, , ' || c_nationkey AS block FROM customer
+SELECT c_custkey, c_name || chr(10) || 'Age: N/A' || chr(10) || 'Gender: ' || CASE WHEN c_custkey % 2 = 0 THEN 'Any' ELSE 'N/A' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'Ethnicity: ' || c_nationkey ELSE '' END || chr(10) || chr(10) || c_mktsegment AS block FROM customer
 """)
 def role_block(t):
     k = F.col("c_custkey")
-    return t("customer").select("c_custkey", render.role_block(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), F.when(k % 2 == 0, "Any").otherwise(""), F.when(k % 3 == 0, True), F.array(F.lit("a"), F.lit(None).cast("string"), F.col("c_nationkey").cast("string"))).alias("block"))
+    return t("customer").select("c_custkey", render.role_block(F.col("c_name"), F.col("c_mktsegment"), F.lit(None).cast("string"), F.when(k % 2 == 0, "Any").otherwise(""), F.when(k % 3 == 0, F.col("c_nationkey").cast("string")).otherwise("")).alias("block"))
+
+
+@query("""
+SELECT c_custkey, 'Intro: ' || c_name || chr(10) || 'Scene: ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || 'Photos:' || chr(10) || 'head' || chr(10) || c_nationkey ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || 'Filming Notes:' || chr(10) || c_name ELSE '' END AS block FROM customer
+""")
+def instruction_block(t):
+    k, video = F.col("c_custkey"), lambda label, c: F.struct(F.lit(label).alias("label"), F.col(c).alias("description"))
+    photos = F.when(k % 2 == 0, F.array(F.lit("head"), F.col("c_nationkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    return t("customer").select("c_custkey", render.instruction_block(F.array(video("Intro", "c_name"), video("Scene", "c_mktsegment")), photos, F.when(k % 3 == 0, F.array("c_name"))).alias("block"))
 
 
 def _results(t):

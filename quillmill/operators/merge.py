@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import js
+from . import repair
 
 
 def longest_first(text: Column | str, ord_: Column | str) -> Column:
@@ -61,31 +62,52 @@ def pick_first(rows: DataFrame, value: str, ord_: str, by: tuple[str, ...] = ())
     return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min_by(value, ord_).alias(value))
 
 
-def merge_results(parsed: DataFrame) -> DataFrame:
-    """(doc_id, ord, result) with typed results of chunks -> one result per document.
+#: Errors of a document none of whose chunks could be parsed.
+NO_CHUNK, MALFORMED = "Failed to analyze any chunk", "AI returned malformed JSON. Please try again."
+_SECTIONS = (("roles", "name"), ("selfTapeInstructions", "roleName"), ("formQuestions", "roleName"))
 
-    A document with one chunk keeps its result as it is. With more, roles are merged, the first instructions and
-    questions of each role stay, and the project is the first chunk's.
-    """
-    n = parsed.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min_by("result", "ord").alias("first"))
 
-    def section(field: str, name: str) -> DataFrame:
-        rows = parsed.select("doc_id", "ord", F.posexplode(f"result.{field}").alias("pos", "item"))
-        return rows.select("doc_id", F.struct("ord", "pos").alias("at"), "item", js.name_key(F.col(f"item.{name}")).alias("key")).where("key <> ''")
+def merge_results(chunks: DataFrame) -> DataFrame:
+    """(doc_id, ord, result) for every chunk that was sent, result NULL where it could not be parsed -> (doc_id, result, error).
 
-    roles = section("roles", "name")
-    latest = F.struct(F.coalesce(js.length("item.description"), F.lit(0)).alias("len"), -F.col("at.ord"), -F.col("at.pos"))
-    chars = F.array_sort(F.collect_list(F.struct("at", F.coalesce("item.characteristics", F.array().cast("array<string>")).alias("items"))))
-    merged = roles.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("item", "at").alias("first"), F.max_by("item.description", latest).alias("longest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("item.pageNumbers", F.array().cast("array<int>")))))).alias("pages"), F.array_distinct(F.flatten(F.transform(chars, lambda r: r["items"]))).alias("seen"))
+    A document of one chunk keeps its result as it is. With more, even if only one could be parsed, roles are
+    merged, the first instructions and questions of each role stay, the project is the first parsed chunk's, and
+    the result is repaired once more. Without a parsed chunk the result is NULL and ``error`` says so. Every entry
+    goes through one shuffle by its key, and what is left of it through one by its document.
+    """
+    held = F.col("result").isNotNull()
+    item = lambda kind, pos, key, **of: F.struct(F.lit(kind).alias("kind"), F.struct(F.col("ord"), pos.alias("pos")).alias("at"), key.alias("key"), *(of.get(field, F.lit(None)).alias(field) for field, _ in _SECTIONS))
+
+    def section(kind: int, field: str, name: str) -> Column:
+        return F.coalesce(F.transform(F.col(f"result.{field}"), lambda x, i: item(kind, i, js.name_key(x[name]), **{field: x})), F.array())
+
+    def chosen(kind: int, field: str) -> Column:
+        return F.transform(F.filter("entries", lambda e: e["kind"] == kind), lambda e: e[field])
+
+    sections = [section(kind, *of) for kind, of in enumerate(_SECTIONS)]
+    nothing = {field: F.element_at(f"result.{field}", 1) for field, _ in _SECTIONS}
+    whole = F.array(item(3, F.lit(0), F.lit("all"), **{field: F.when(F.lit(False), x) for field, x in nothing.items()}))
+    items = chunks.select("doc_id", "ord", "result", F.explode(F.concat(whole, *sections)).alias("x")).where("x.key <> ''")
+    items = items.select("doc_id", "x.*", F.when(F.col("x.kind") == 3, F.col("result")).alias("result"), (held & (F.col("x.kind") == 3)).alias("parsed"))
+
+    length = F.struct(F.coalesce(js.length("roles.description"), F.lit(0)).alias("len"), -F.col("at.ord"), -F.col("at.pos"))
+    chars = F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct("at", F.coalesce("roles.characteristics", F.array().cast("array<string>")).alias("items")))))
+    pages = F.flatten(F.collect_list(F.coalesce("roles.pageNumbers", F.array().cast("array<int>"))))
+    merged = items.groupBy("doc_id", "kind", "key").agg(
+        F.count("*").alias("n"), F.min("at").alias("at"), F.min_by(F.struct(*(field for field, _ in _SECTIONS)), "at").alias("first"),
+        F.max_by("roles.description", length).alias("longest"), F.array_sort(F.array_distinct(pages)).alias("pages"), F.array_distinct(F.flatten(F.transform(chars, lambda r: r["items"]))).alias("seen"),
+        F.min_by("result", F.when(F.col("parsed"), F.col("at"))).alias("result"),
+    )
     several = F.col("n") > 1
-    role = F.col("first").withField("description", F.when(several, F.col("longest")).otherwise(F.col("first.description"))).withField("pageNumbers", F.when(several, F.col("pages")).otherwise(F.col("first.pageNumbers"))).withField("characteristics", F.when(several, F.col("seen")).otherwise(F.col("first.characteristics")))
-
-    def listed(rows: DataFrame, out: str) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda s: s["item"]).alias(out))
-
-    earliest = lambda field: listed(section(field, "roleName").groupBy("doc_id", "key").agg(F.min("at").alias("at"), F.min_by("item", "at").alias("item")), field)
-    joined = n.join(listed(merged.select("doc_id", "at", role.alias("item")), "roles"), "doc_id", "left").join(earliest("selfTapeInstructions"), "doc_id", "left").join(earliest("formQuestions"), "doc_id", "left")
+    role = F.col("first.roles")
+    for field, value in (("description", "longest"), ("pageNumbers", "pages"), ("characteristics", "seen")):
+        role = role.withField(field, F.when(several, F.col(value)).otherwise(F.col(f"first.roles.{field}")))
+    entry = F.struct("kind", "at", role.alias("roles"), "first.selfTapeInstructions", "first.formQuestions")
+    grouped = merged.groupBy("doc_id").agg(F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("sent"), F.first("result", ignorenulls=True).alias("first"), F.array_sort(F.collect_list(F.when(F.col("kind") < 3, entry))).alias("entries"))
     result = F.col("first")
-    for field in ("roles", "selfTapeInstructions", "formQuestions"):
-        result = result.withField(field, F.coalesce(field, F.array()))
-    return joined.select("doc_id", F.when(F.col("chunks") == 1, F.col("first")).otherwise(result).alias("result"))
+    for kind, (field, _) in enumerate(_SECTIONS):
+        result = result.withField(field, chosen(kind, field))
+    one = F.col("sent") == 1
+    failed = F.when(F.col("first").isNull(), F.when(one, MALFORMED).otherwise(NO_CHUNK))
+    joined = grouped.select("doc_id", one.alias("one"), "first", F.when(~one & F.col("first").isNotNull(), result).alias("merged"), failed.alias("error"))
+    return joined.select("doc_id", F.when(F.col("one"), F.col("first")).otherwise(repair.reparsed("merged")).alias("result"), "error")

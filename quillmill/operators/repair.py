@@ -14,13 +14,18 @@ RESULT = (
 )
 
 
+#: White space, and what ends a line, in the patterns below.
+SPACE = r"[\t\n\x0b\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WITHIN_LINE = r"[^\n\r\x{2028}\x{2029}]"
+
+
 def braces(c: Column | str) -> Column:
     """From the first opening to the last closing brace; NULL without both."""
     return js.truthy(F.regexp_extract(js.col(c), r"\{[\s\S]*\}", 0))
 
 
 def without_trailing_commas(c: Column | str) -> Column:
-    return F.regexp_replace(js.col(c), r",\s*([\]}])", "$1")
+    return F.regexp_replace(js.col(c), rf",{SPACE}*([\]}}])", "$1")
 
 
 def without_controls(c: Column | str) -> Column:
@@ -30,7 +35,7 @@ def without_controls(c: Column | str) -> Column:
 
 def escaped_line_feed(c: Column | str) -> Column:
     """A raw line feed inside a string that stands behind a colon on its line becomes an escape, one a string."""
-    return F.regexp_replace(js.col(c), r'(?<=":.{0,100000})"([^"]*)\n([^"]*)"(?=\s*[,}\]])', r'"$1\\n$2"')
+    return F.regexp_replace(js.col(c), rf'(?<=":{WITHIN_LINE}*)"([^"]*)\n([^"]*)"(?={SPACE}*[,}}\]])', r'"$1\\n$2"')
 
 
 def chunk_repair(c: Column | str) -> Column:
@@ -63,7 +68,7 @@ def strict(c: Column | str) -> Column:
     return gate(js.col(c))
 
 
-def parsed(raw: DataFrame, repaired: Column, column: str = "raw") -> DataFrame:
+def parsed(raw: DataFrame, repaired: Column) -> DataFrame:
     """Adds ``json``, the strict text or NULL, and ``v``, its VARIANT."""
     return raw.withColumn("json", strict(repaired)).withColumn("v", F.try_parse_json("json"))
 
@@ -78,3 +83,15 @@ def parse_single(raw: DataFrame, column: str = "raw") -> DataFrame:
 def typed(v: Column | str, schema: str = RESULT) -> Column:
     """A VARIANT as the result type; what doesn't fit is NULL."""
     return F.try_variant_get(js.col(v), "$", schema)
+
+
+def reparsed(result: Column | str, schema: str = RESULT) -> Column:
+    """A merged result as it is after it was written out, repaired once more and parsed.
+
+    The repairs reach into texts as well: a comma before a closing bracket goes there too. Only results that they
+    change are parsed.
+    """
+    text = F.to_json(js.col(result))
+    fixed = single_repair(text)
+    changed = strict(F.when(fixed != text, fixed))
+    return F.when(fixed == text, js.col(result)).otherwise(typed(F.try_parse_json(changed), schema))

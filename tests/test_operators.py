@@ -75,6 +75,15 @@ def test_merge_only_with_several_chunks(spark):
     assert found[2].project.name == "two" and len(found[1].formQuestions) == 2 and len(found[2].formQuestions) == 1
 
 
+def test_merge_counts_chunks_that_were_sent(spark):
+    role = '{"roles": [{"name": "A", "description": "so, ]"}, {"name": "a"}]}'
+    raw = spark.createDataFrame([(1, 1, role), (1, 2, "nothing"), (2, 1, "nothing"), (3, 1, "{"), (3, 2, "}")], "doc_id int, ord int, raw string")
+    parsed = repair.parsed(raw, repair.chunk_repair("raw")).select("doc_id", "ord", repair.typed("v").alias("result"))
+    found = {r.doc_id: r for r in merge.merge_results(parsed).collect()}
+    assert [(r.name, r.description) for r in found[1].result.roles] == [("A", "so]")] and found[1].result.selfTapeInstructions == []
+    assert (found[2].result, found[2].error) == (None, merge.MALFORMED) and (found[3].result, found[3].error) == (None, merge.NO_CHUNK)
+
+
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [
@@ -82,6 +91,8 @@ def test_merge_only_with_several_chunks(spark):
         ('{"a": "x\ny"}', '{"a": "x\\ny"}'),
         ('{"a": "x\ny\nz"}', None),
         ('{"a":1} tail', '{"a":1}'),
+        ('{"a":1,\u00a0}', '{"a":1}'),
+        ('{"a":[1,\ufeff\u3000]}', '{"a":[1]}'),
         ('{"a":1} y }', None),
         ("{'a':1}", None),
         ('{"a":NaN}', None),
@@ -160,9 +171,28 @@ def test_overlay_keeps_stored_null(spark):
 
 def test_form_numbers(spark):
     q = F.struct(F.lit("radio").alias("type"), F.lit("Q").alias("label"), F.array(F.lit("a"), F.lit("b")).alias("options"), F.lit(True).alias("required"))
-    standard = [("control_textbox", str(i)) for i in range(5)]
-    found = one(spark, render.form_rows(F.array(q, q), standard, F.lit("head")))
-    assert len(found) == 9 and found[0].type == "control_head" and found[6].options == found[7].options == "a|b" and found[8].type == "control_button"
+    found = one(spark, render.form_rows(F.array(q, q), F.lit("head")))
+    assert len(found) == 9 and found[0].type == "control_head" and found[0].required is None and found[6].options == found[7].options == "a|b"
+    assert tuple(found[8]) == ("control_button", "Submit Application", None, "9", None) and [r.required for r in found[1:6]] == ["Yes", "Yes", "No", "No", "No"]
+
+
+def test_form_json(spark):
+    q = F.struct(F.lit("select").alias("type"), F.lit("Q").alias("label"), F.array(F.lit("a"), F.lit("b")).alias("options"), F.lit(False).alias("required"))
+    expected = (
+        '{"properties":{"title":"T"},"questions":{"1":{"type":"control_head","text":"T","order":"1"},"2":{"type":"control_fullname","text":"Full Name","required":"Yes","order":"2"},"3":{"type":"control_email","text":"Email Address","required":"Yes","order":"3"},'
+        '"4":{"type":"control_phone","text":"Phone Number","required":"No","order":"4"},"5":{"type":"control_textbox","text":"City and State","required":"No","order":"5"},"6":{"type":"control_textbox","text":"Your Agent/Manager","required":"No","order":"6"},'
+        '"7":{"type":"control_dropdown","text":"Q","required":"No","order":"7","options":"a|b"},"8":{"type":"control_button","text":"Submit Application","order":"8"}}}'
+    )
+    assert one(spark, render.form_json(F.lit("T"), render.form_rows(F.array(q), F.lit("T")))) == expected
+
+
+def test_copied_texts(spark):
+    no = F.lit(None).cast("string")
+    assert one(spark, render.role_block(F.lit("Ann"), F.lit("A nurse."), F.lit("20s"), no, F.lit("Any"))) == "Ann\nAge: 20s\nGender: N/A\nEthnicity: Any\n\nA nurse."
+    video = F.struct(F.lit("Slate").alias("label"), F.lit("Say your name").alias("description"))
+    assert one(spark, render.instruction_block(F.array(video, video), F.array(F.lit("head")), F.array(F.lit("a"), F.lit("b")))) == "Slate: Say your name\nSlate: Say your name\n\nPhotos:\nhead\n\nFilming Notes:\na\nb"
+    line = lambda notation, kind: one(spark, render.question_line(notation, F.lit(kind), F.lit("Q"), F.array(F.lit("a"), F.lit("b")), F.lit(True)))
+    assert [line(n, "radio") for n in ("form", "mail", "screen")] == ["Q [a / b] (required)", "Q — Options: a, b (REQUIRED)", "Q [a / b] *"] and line("form", "select") == "Q (required)"
 
 
 def test_schedule():
