@@ -13,7 +13,7 @@ distinct_urls AS (SELECT DISTINCT host, path FROM urls),
 ruled AS (SELECT u.host, u.path, arg_max(r.host || r.path, (length(r.host || r.path), length(r.host))) AS rule, arg_max(r.verdict, (length(r.host || r.path), length(r.host))) AS verdict
   FROM distinct_urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY ALL),
 hit AS (SELECT u.host, u.path, arg_max(r.host || r.path, (length(r.host || r.path), length(r.host))) AS entry, arg_max(r.verdict, (length(r.host || r.path), length(r.host))) AS verdict
-  FROM distinct_urls u JOIN listed r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY ALL)
+  FROM distinct_urls u JOIN listed r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(CASE WHEN u.path = '' THEN '/' ELSE u.path END, r.path) GROUP BY ALL)
 SELECT u.page_id, u.host, u.path, ruled.rule, coalesce(ruled.verdict, hit.verdict, 'allow') AS verdict, hit.entry AS listed
 FROM urls u LEFT JOIN ruled USING (host, path) LEFT JOIN hit USING (host, path)
 """

@@ -2,7 +2,7 @@
 
 A list has entries ``host + path prefix`` such as ``example.com/en/7``; an entry covers its host and all
 subdomains, and every path that starts with the prefix. A URL is judged by its keys: each suffix of its host
-with each prefix of its path as long as some listed prefix. Keys that the filter lets pass go to a join with
+with each prefix of its path as long as some listed prefix; the canonical form of an empty path is ``/``. Keys that the filter lets pass go to a join with
 the list, which removes false positives.
 """
 
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rules that decide, the longest first: (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Canonical URLs of whole hosts that are blocked where no rule decides.
-LISTED = (("block", "ads-track.example.com", "/"), ("block", "adult-x.example.com", "/"), ("block", "casino-win.example.net", "/"), ("block", "cheap-pills.example.net", "/"), ("block", "free-bets.example.net", "/"), ("block", "spam-farm.example.org", "/"))
+#: Canonical URLs of whole hosts that are blocked where no rule decides: each name under each domain.
+LISTED_NAMES, LISTED_DOMAINS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("example.com", "example.net", "example.org")
+LISTED = tuple(("block", f"{name}.{domain}", "/") for name in LISTED_NAMES for domain in LISTED_DOMAINS)
 #: A block is 8 words of 32 bits, one bit a key in each; 64 MB of blocks at most, whatever the list's size.
 WORDS, BITS_PER_KEY, MAX_BLOCKS = 8, 16, 1 << 21
 
@@ -83,7 +84,8 @@ def passing(keys: DataFrame, bits) -> DataFrame:
 def judge_urls(pages: DataFrame, listing: DataFrame) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, verdict, listed.
 
-    The longest rule that fits decides, the longer host on a tie; without one a ``listed`` entry decides, and
+    The longest rule that fits decides, the longer host on a tie; without one a ``listed`` entry decides, which
+    takes an empty path for ``/``, and
     what is not listed is allowed. Null urls, and those without ``://``, have an empty host and path and are
     allowed. Repeated rows stay, other columns are ignored, an empty listing allows all. Of entries that repeat
     with other verdicts ``block`` wins.
@@ -94,9 +96,10 @@ def judge_urls(pages: DataFrame, listing: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
     bits = bloom_filter(listing.select("key").distinct())
-    keys = urls.select("host", "path").distinct().select("host", "path", F.explode(url_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
+    canonical = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
+    keys = urls.select("host", "path").distinct().select("host", "path", F.explode(url_keys(F.col("host"), canonical, lengths)).alias("key"))
     rank = F.struct(F.length("key"), F.length("listing.host"), "verdict", "key")
-    hits = passing(keys, bits).alias("urls").join(listing.alias("listing"), "key")
+    hits = passing(keys, bits).alias("urls").join(listing.alias("listing"), "key").where((F.col("kind") == "listed") | F.startswith("urls.path", "listing.path"))
     hits = hits.groupBy("urls.host", "urls.path").agg(F.max(F.when(F.col("kind") == "rule", rank)).alias("rule"), F.max(F.when(F.col("kind") == "listed", rank)).alias("listed"))
     judged = urls.join(hits, ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("rule.key").alias("rule"), F.coalesce("rule.verdict", "listed.verdict", F.lit("allow")).alias("verdict"), F.col("listed.key").alias("listed"))

@@ -128,12 +128,22 @@ def test_urls(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.entries(spark)).collect()}
     assert got == {
         0: ("x.com", "/en/1", "com/en/", "block"), 1: ("example.com", "/en/7a", "example.com/en/7", "allow"), 2: ("sub.example.net", "/de/8", "example.net/de/8", "block"), 3: ("example.net", "/de/7", "net/de/", "allow"),
-        4: ("notcom", "/en/1", None, "allow"), 5: ("a.com", "/EN/1", None, "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("adult-x.example.com", "", None, "allow"), 9: ("www.adult-x.example.com", "/q", None, "block"),
+        4: ("notcom", "/en/1", None, "allow"), 5: ("a.com", "/EN/1", None, "allow"), 6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("adult-x.example.com", "", None, "block"), 9: ("www.adult-x.example.com", "/q", None, "block"),
         10: ("É.org", "/es/", "org/es/", "block"), 11: ("b:", "//c/d", None, "allow"),
     }
     assert url_filter.judge_urls(pages, url_filter.entries(spark).limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_urls_with_a_long_list(spark):
+    hosts = [("block", f"h{i}.test", "/") for i in range(20_000)] + [("block", "both.test", "/a"), ("allow", "both.test", "/a")]
+    urls = [f"http://www.h{i}.test/x" for i in range(0, 40_000, 37)] + ["http://both.test/ab", "http://both.test/ab", "http://both.test"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, url_filter.entries(spark, listed=hosts)).collect()}
+    expected = ["block" if i < 20_000 else "allow" for i in range(0, 40_000, 37)] + ["block", "block", "allow"]
+    assert [got[i] for i in range(len(urls))] == expected
+    assert url_filter.judge_urls(pages.limit(0), url_filter.entries(spark)).count() == 0
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     bits = url_filter.bloom_filter(keys)
