@@ -19,9 +19,9 @@ from .common import discard, stored
 
 SIMILARITY_PERCENT = 80
 #: The most frequent words, this many at most, are ordered by how often they occur; all rarer ones come before them.
-LISTED = 1 << 18
+LISTED = 1 << 17
 #: The table of frequent words has 2 ** CLASS_BITS classes, of one byte each.
-CLASS_BITS = 22
+CLASS_BITS = 20
 #: First words by which a line meets the earliest line.
 FIRST = 3
 WORD = r"[^\x20\x09-\x0D]"
