@@ -3,7 +3,7 @@
 A line is the set of its words. Equal lines collapse first, by two hashes. The words of every line are ordered by
 rarity, and of two lines with a Jaccard similarity of 0.8 or more the longer shares a word of its prefix with the
 shorter prefix of the shorter one. So the join's key is a prefix word and the band of the shorter line's length.
-Lengths, positions and a parity map rule out nearly all other pairs: every word toggles one of 64 bits, so the
+Lengths, positions and a parity map rule out nearly all other pairs: every word toggles one of 128 bits, so the
 maps of two lines never differ in more bits than the lines differ in words. What is left is compared word for word.
 
 Before that join each line meets the earliest lines that share one of its first words; pairs are formed only where
@@ -19,9 +19,9 @@ from .common import discard, stored
 
 SIMILARITY_PERCENT = 80
 #: The most frequent words, this many at most, are ordered by how often they occur; all rarer ones come before them.
-LISTED = 1 << 17
+LISTED = 1 << 15
 #: The table of frequent words has 2 ** CLASS_BITS classes, of one byte each.
-CLASS_BITS = 20
+CLASS_BITS = 18
 #: First words by which a line meets the earliest line.
 FIRST = 3
 WORD = r"[^\x20\x09-\x0D]"
@@ -58,16 +58,16 @@ def rarity_table(text: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _parity(hashes: Column) -> Column:
-    """A bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(hashes: Column, half: int) -> Column:
+    """One half of a map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
+    bit = lambda h: F.call_function("shiftleft", F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)), h.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
 
 
 def distinct_lines(named: DataFrame) -> DataFrame:
-    """(id, place, n, p, prefix) for every distinct line with a word.
+    """(id, place, n, p, q, prefix) for every distinct line with a word.
 
-    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` their parity map, and
+    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity map, and
     ``prefix`` the ordered words that may be looked up.
     """
     texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
@@ -77,12 +77,12 @@ def distinct_lines(named: DataFrame) -> DataFrame:
     hashed = hashed.withColumn("h", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))))
     shift = lambda h: F.ascii(F.substring(table, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"), 1).cast("string"))
     n = F.size("ranked")
-    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h")).alias("p"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
+    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h"), 0).alias("p"), _parity(F.col("h"), 1).alias("q"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
     prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SIMILARITY_PERCENT / 100).cast("int") + 1)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
-    each = ranked.select("a", "b", place, n.alias("n"), "p", prefix.alias("prefix"))
-    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "prefix")))
-    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "prefix"), "lines")
+    each = ranked.select("a", "b", place, n.alias("n"), "p", "q", prefix.alias("prefix"))
+    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "prefix")))
+    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "prefix"), "lines")
 
 
 def _band(n: Column) -> Column:
@@ -97,12 +97,12 @@ def _indexed(n: Column) -> Column:
 
 def _entries(lines: DataFrame) -> DataFrame:
     """A row for each prefix word, with its place i, from 0."""
-    return lines.select("id", "n", "p", F.posexplode("prefix").alias("i", "word"))
+    return lines.select("id", "n", "p", "q", F.posexplode("prefix").alias("i", "word"))
 
 
 def _keyed(entries: DataFrame, band: Column) -> DataFrame:
-    """(key, id, n, p, i) with a hash of word and band; keys that happen to agree make more pairs to look at, no fewer."""
-    return entries.select(F.xxhash64("word", band).alias("key"), "id", "n", "p", "i")
+    """(key, id, n, p, q, i) with a hash of word and band; keys that happen to agree make more pairs to look at, no fewer."""
+    return entries.select(F.xxhash64("word", band).alias("key"), "id", "n", "p", "q", "i")
 
 
 def _index(entries: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ def _may_agree(a: str, b: str) -> Column:
     lengths = (m * 100 >= n * SIMILARITY_PERCENT) & (n * 100 >= m * SIMILARITY_PERCENT)
     # an overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m); and n + m - 2 o words differ
     positions = F.least(n - i, m - j) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
-    differing = F.bit_count(F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p"))) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT)
-    return lengths & positions & differing
+    bits = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return lengths & positions & ((bits("p") + bits("q")) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
 
 
 def _shorter(b: str, a: str) -> Column:
@@ -151,11 +151,11 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
 
 def _settled(lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the lines similar to the earliest line that has one of their first words among its own."""
-    words = lines.select("id", "place", "n", "p", F.explode(F.slice("prefix", 1, FIRST)).alias("word"))
+    words = lines.select("id", "place", "n", "p", "q", F.explode(F.slice("prefix", 1, FIRST)).alias("word"))
     first = words.groupBy("word").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
-    met = words.join(first.select("word", "first"), "word").where(F.col("first") < F.col("place")).select("id", "first", "n", "p").distinct()
-    b = lines.select(F.col("place").alias("first"), F.struct("id", "n", "p", F.lit(0).alias("i")).alias("b"))
-    near = met.select("first", F.struct("id", "n", "p", F.lit(0).alias("i")).alias("a")).join(b, "first").where(_may_agree("a", "b"))
+    met = words.join(first.select("word", "first"), "word").where(F.col("first") < F.col("place")).select("id", "first", "n", "p", "q").distinct()
+    b = lines.select(F.col("place").alias("first"), F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("b"))
+    near = met.select("first", F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("a")).join(b, "first").where(_may_agree("a", "b"))
     pairs = stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs")
     found = _similar(pairs, lines, named)
     discard(pairs)
