@@ -25,7 +25,7 @@ STEP_TOKENS = 16 * 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks in each generation of a worker's cache, words encoded in one call.
-CACHED_CHUNKS, TOGETHER = 200_000, 500
+CACHED_CHUNKS, TOGETHER = 400_000, 500
 
 _PARTS = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PARTS_DDL = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
