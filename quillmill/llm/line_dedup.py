@@ -6,8 +6,9 @@ shorter prefix of the shorter one. So the join's key is a prefix word and the ba
 Lengths, positions and a parity map rule out nearly all other pairs: every word toggles one of 128 bits, so the
 maps of two lines never differ in more bits than the lines differ in words. What is left is compared word for word.
 
-Before that join each line meets the earliest lines that share one of its first words; pairs are formed only where
-the later line is not settled by them, so a group of near copies costs a few comparisons a line.
+Before that join each line meets some of the earliest lines that share one of its prefix words, and the two most alike
+are compared word for word; pairs are formed only where the later line is not settled by them, so a group of near
+copies costs a few comparisons a line.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ SIMILARITY_PERCENT = 80
 LISTED = 1 << 15
 #: The table of frequent words has 2 ** CLASS_BITS classes, of one byte each.
 CLASS_BITS = 18
-#: First words by which a line meets the earliest line.
-FIRST = 3
+#: A word of MANY lines has this many early lines, one from each share of its lines; other words have one.
+WITNESSES, MANY = 16, 64
+#: Stands for a null id, as rows without one come last.
+LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -97,12 +100,12 @@ def _indexed(n: Column) -> Column:
 
 def _entries(lines: DataFrame) -> DataFrame:
     """A row for each prefix word, with its place i, from 0."""
-    return lines.select("id", "n", "p", "q", F.posexplode("prefix").alias("i", "word"))
+    return lines.select("id", "n", "p", "q", "doc", "settled", F.posexplode("prefix").alias("i", "word"))
 
 
 def _keyed(entries: DataFrame, band: Column) -> DataFrame:
-    """(key, id, n, p, q, i) with a hash of word and band; keys that happen to agree make more pairs to look at, no fewer."""
-    return entries.select(F.xxhash64("word", band).alias("key"), "id", "n", "p", "q", "i")
+    """(key, id, n, p, q, doc, settled, i) with a hash of word and band; keys that happen to agree make more pairs to look at, no fewer."""
+    return entries.select(F.xxhash64("word", band).alias("key"), "id", "n", "p", "q", "doc", "settled", "i")
 
 
 def _index(entries: DataFrame) -> DataFrame:
@@ -118,14 +121,19 @@ def _probes(entries: DataFrame) -> DataFrame:
     return _keyed(entries.select("*", F.explode(bands).alias("band")), F.col("band"))
 
 
+def _differing(a: str, b: str) -> Column:
+    """Bits that differ between the parity maps of two lines: no more than words that only one of them has."""
+    bits = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return bits("p") + bits("q")
+
+
 def _may_agree(a: str, b: str) -> Column:
     """Length, positional and parity filter for two lines whose first common word has places i, from 0, in each."""
     n, i, m, j = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "i"))
     lengths = (m * 100 >= n * SIMILARITY_PERCENT) & (n * 100 >= m * SIMILARITY_PERCENT)
     # an overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m); and n + m - 2 o words differ
     positions = F.least(n - i, m - j) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
-    bits = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return lengths & positions & ((bits("p") + bits("q")) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
+    return lengths & positions & (_differing(a, b) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
 
 
 def _shorter(b: str, a: str) -> Column:
@@ -150,13 +158,22 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _settled(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(id) of the lines similar to the earliest line that has one of their first words among its own."""
-    words = lines.select("id", "place", "n", "p", "q", F.explode(F.slice("prefix", 1, FIRST)).alias("word"))
-    first = words.groupBy("word").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1")
-    met = words.join(first.select("word", "first"), "word").where(F.col("first") < F.col("place")).select("id", "first", "n", "p", "q").distinct()
-    b = lines.select(F.col("place").alias("first"), F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("b"))
-    near = met.select("first", F.struct("id", "n", "p", "q", F.lit(0).alias("i")).alias("a")).join(b, "first").where(_may_agree("a", "b"))
-    pairs = stored(near.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "first-pairs")
+    """(id) of the lines similar to an early line that has one of their prefix words among its own.
+
+    A word of few lines gives its earliest one, a word of many lines the earliest of each of WITNESSES shares of them.
+    A line is compared with the two of them that it differs least from, by the parity maps.
+    """
+    doc = F.coalesce("place.doc_id", F.lit(LAST)).alias("doc")
+    words = lines.select("id", "n", "p", "q", doc, F.explode("prefix").alias("word"))
+    line = F.struct("doc", "id", "n", "p", "q", F.lit(0).alias("i"))
+    shares = words.groupBy("word", F.pmod("id", F.lit(WITNESSES)).alias("share")).agg(F.min(line).alias("first"), F.count("*").alias("lines"))
+    firsts = F.sort_array(F.collect_list("first"))  # WITNESSES at most
+    early = shares.groupBy("word").agg(F.sum("lines").alias("lines"), firsts.alias("firsts")).where("lines > 1")
+    early = early.select("word", F.when(F.col("lines") < MANY, F.slice("firsts", 1, 1)).otherwise(F.col("firsts")).alias("firsts"))
+    met = words.join(early, "word").select(line.alias("a"), F.explode("firsts").alias("b"))
+    met = met.where((F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b"))
+    best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_set(F.struct(_differing("a", "b").alias("bits"), F.col("b.id").alias("y")))), 1, 2).alias("best"))  # WITNESSES for each word of the line at most
+    pairs = stored(best.select("x", F.explode("best.y").alias("y")), "first-pairs")
     found = _similar(pairs, lines, named)
     discard(pairs)
     return found
@@ -166,20 +183,18 @@ def removed_lines(lines: DataFrame, named: DataFrame, settled: DataFrame) -> Dat
     """(id) of the distinct lines that are similar to an earlier one, given those settled.
 
     One join has both kinds of pairs with an open line: it looks up all lines as long or shorter, and longer settled
-    ones, which stand under each key that the shorter line can have.
+    ones, which stand under each key that the shorter line can have. Settled lines of later documents are of no use.
     """
-    entries, closed = _entries(lines.join(settled, "id", "left_anti")), _entries(lines.join(settled, "id", "left_semi"))
-    held = _index(_entries(lines)).withColumn("longer", F.lit(False)).union(_probes(closed).withColumn("longer", F.lit(True)))
-    fits = F.when(F.col("b.longer"), _shorter("a", "b")).otherwise(_shorter("b", "a")) & _may_agree("a", "b")
-    pairs = _probes(entries).alias("a").join(held.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    marked = lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").select("id", "n", "p", "q", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"), F.coalesce("settled", F.lit(False)).alias("settled"), "prefix")
+    marked = stored(marked, "marked-lines")
+    entries = _entries(marked)
+    held = _index(entries).withColumn("longer", F.lit(False)).union(_probes(entries.where("settled")).withColumn("longer", F.lit(True)))
+    fits = F.when(F.col("b.longer"), _shorter("a", "b")).otherwise(_shorter("b", "a")) & (~F.col("b.settled") | (F.col("b.doc") <= F.col("a.doc"))) & _may_agree("a", "b")
+    pairs = _probes(entries.where("not settled")).alias("a").join(held.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
     pairs = stored(pairs, "line-pairs")
-    place = lambda c: lines.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"))
-    ended = settled.select(F.col("id").alias("y"), F.lit(True).alias("settled"))
-    wanted = pairs.join(place("x"), "x").join(place("y"), "y").join(ended, "y", "left").where(F.col("settled").isNull() | (F.col("x_place") > F.col("y_place")))
-    wanted = stored(wanted.select("x", "y"), "open-pairs")
+    discard(marked)
+    found = _similar(pairs, lines, named)
     discard(pairs)
-    found = _similar(wanted, lines, named)
-    discard(wanted)
     return found.union(settled).distinct()
 
 
