@@ -279,6 +279,19 @@ def test_lines_against_loop(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == removed_by_loop(rows)
 
 
+def test_many_near_copies_of_a_line_against_loop(spark):
+    """Some edits go beyond the similarity, and every word of the line is in more than MANY lines."""
+    rnd, rows = random.Random(11), []
+    base = [f"word{i}" for i in range(40)]
+    for i in range(3 * line_dedup.MANY):
+        words = list(base)
+        for at in rnd.sample(range(len(words)), rnd.randrange(1, 7)):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == removed_by_loop(rows)
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     rows = [(None, "one line of words"), (None, "one line of words"), (5, "another line there\nand more\tof it"), (5, "and more of it"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("lines", F.lit(1))
