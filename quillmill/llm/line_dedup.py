@@ -170,10 +170,12 @@ def _settled(lines: DataFrame, named: DataFrame) -> DataFrame:
     firsts = F.sort_array(F.collect_list("first"))  # WITNESSES at most
     early = shares.groupBy("word").agg(F.sum("lines").alias("lines"), firsts.alias("firsts")).where("lines > 1")
     early = early.select("word", F.when(F.col("lines") < MANY, F.slice("firsts", 1, 1)).otherwise(F.col("firsts")).alias("firsts"))
+    early = stored(early, "early-lines")  # the shuffle files of the counts go before the words are shuffled again
     met = words.join(early, "word").select(line.alias("a"), F.explode("firsts").alias("b"))
     met = met.where((F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b"))
     best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_set(F.struct(_differing("a", "b").alias("bits"), F.col("b.id").alias("y")))), 1, 2).alias("best"))  # WITNESSES for each word of the line at most
     pairs = stored(best.select("x", F.explode("best.y").alias("y")), "first-pairs")
+    discard(early)
     found = _similar(pairs, lines, named)
     discard(pairs)
     return found
