@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import js
-from .operators import merge, pages, repair, store
+from .operators import extract, merge, pages, repair, store
 from .plans import render
 from .session import prepare, table
 from .sources import files
@@ -244,7 +244,7 @@ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 3 >
 """)
 def branding_join(t):
     users = t("customer").select(F.col("c_custkey").alias("user_id"))
-    settings = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("n_name")).alias("company_name"), F.when(F.col("c_custkey") % 2 == 0, "#102030").otherwise("").alias("brand_color"), *(F.lit(None).cast("string").alias(c) for c in ("contact_email", "contact_phone", "contact_website")))
+    settings = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("n_name")).alias("company_name"), F.when(F.col("c_custkey") % 2 == 0, "#102030").otherwise("").alias("brand_color"), *(F.lit(None).cast("string").alias(c) for c in ("contact_email", "contact_phone", "contact_website", "header_text", "footer_text", "logo_path")))
     found = store.branding(users, settings, "House")
     return found.select("user_id", F.col("companyName").alias("company"), F.col("brandColor").alias("colour"), js.join(F.col("brandColorRgb").cast("array<string>"), ",").alias("rgb"), F.col("textColor").alias("text_colour"))
 
@@ -530,3 +530,137 @@ def header_layout(t):
 def running_numbers(t):
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return t("events").withColumn("nth", nth).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("nth") <= 3, F.col("value"))).alias("first_three"))
+
+
+# --- saving, guards, attachments and sheets --------------------------------------------------------------
+
+
+@query("""
+WITH body AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS company_name, CASE WHEN c_custkey % 3 = 0 THEN '#102030' ELSE '' END AS brand_color, c_mktsegment AS header_text FROM customer WHERE c_custkey % 5 > 0)
+SELECT c_custkey AS user_id, CASE WHEN b.user_id IS NULL THEN 'before' ELSE nullif(company_name, '') END AS company_name, CASE WHEN b.user_id IS NULL THEN c_phone ELSE coalesce(nullif(brand_color, ''), '#00BFA5') END AS brand_color,
+  CASE WHEN b.user_id IS NOT NULL THEN header_text END AS header_text, CASE WHEN b.user_id IS NOT NULL THEN TIMESTAMP '2026-01-02 03:04:05' END AS updated_at
+FROM (SELECT c_custkey, '#ffffff' AS c_phone FROM customer) c LEFT JOIN body b ON c_custkey = b.user_id
+""")
+def settings_save(t):
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    given = {"company_name": F.when(k % 2 == 0, F.col("c_name")).otherwise(""), "brand_color": F.when(k % 3 == 0, "#102030").otherwise(""), "header_text": F.col("c_mktsegment")}
+    bodies = t("customer").where(k % 5 > 0).select(k.alias("user_id"), *(given.get(c, F.lit("")).alias(c) for c in store.SETTINGS_COLUMNS))
+    before = {"company_name": F.lit("before"), "brand_color": F.lit("#ffffff")}
+    held = t("customer").select(k.alias("user_id"), *(before.get(c, none).alias(c) for c in store.SETTINGS_COLUMNS), F.lit(None).cast("timestamp").alias("updated_at"))
+    saved = store.save_settings(held, bodies, F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    return saved.select("user_id", "company_name", "brand_color", "header_text", "updated_at")
+
+
+@query("""
+SELECT sha256(o_custkey || '/' || o_orderkey) AS id, o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'Untitled' END AS name, TIMESTAMP '2026-01-02 03:04:05' AS created_at FROM orders
+""")
+def projects_insert(t):
+    k = F.col("o_orderkey")
+    requests = t("orders").select(F.col("o_custkey").alias("user_id"), k.alias("request"), F.when(k % 2 == 0, F.col("o_orderstatus")).otherwise("").alias("name"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("array<struct<name:string,url:string>>").alias("documents"))
+    return store.inserted_projects(requests, "request", F.lit("2026-01-02 03:04:05").cast("timestamp")).select("id", "user_id", "name", "created_at")
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 7 = 0 THEN 400 WHEN page_id % 3 = 0 THEN 400 WHEN coalesce(strlen(html), 0) < 100 THEN 500 ELSE 200 END::INT AS status,
+  CASE WHEN page_id % 4 = 0 OR page_id % 7 = 0 THEN 'Missing script file or role name' WHEN page_id % 3 = 0 THEN 'Invalid provider' WHEN coalesce(strlen(html), 0) < 100 THEN 'Generated PDF was empty' END AS error FROM pages
+""")
+def input_guards(t):
+    k = F.col("page_id")
+    rows = t("pages").select("page_id", F.when(k % 4 > 0, F.col("url")).alias("script"), F.when(k % 7 > 0, "role").otherwise("").alias("role"), F.when(k % 3 == 0, "fax").otherwise("link").alias("provider"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    missing = js.truthy("script").isNull() | js.truthy("role").isNull()
+    checked = store.guarded(rows, (missing, "Missing script file or role name", 400), (~F.col("provider").isin("link", "file"), "Invalid provider", 400), (F.col("size") < store.LEAST_PDF, "Generated PDF was empty", 500))
+    return checked.select("page_id", "status", "error")
+
+
+@query("""
+SELECT doc_id, source || chr(10) || chr(10) || lang || CASE WHEN doc_id % 3 = 1 THEN chr(10) || chr(10) || '=== ' || source || '.pdf (PDF document attached above) ===' ELSE '' END AS prompt FROM documents
+""")
+def single_chunk_marker(t):
+    prompt = pages.with_marker(F.array("source", "lang"), F.concat(F.col("source"), F.lit(".pdf")), F.col("doc_id") % 3)
+    return t("documents").select("doc_id", prompt.alias("prompt"))
+
+
+@query("""
+SELECT c.conv_id AS project_id, c.turn AS role_ord, 'Sides_' || regexp_replace(c.role || ' ' || c.turn, '[^a-zA-Z0-9]', '_', 'g') || '.pdf' AS download, 'u' || s.turn AS url, 'attachment; filename="Self-Tape_' || c.role || '_' || c.turn || '.pdf"' AS header
+FROM conversations c JOIN conversations s ON c.conv_id = s.conv_id AND c.turn = s.turn WHERE s.turn % 2 = 0
+""")
+def role_downloads(t):
+    turns = t("conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("role_ord"), F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("name"))
+    sides = turns.where("role_ord % 2 = 0").select("project_id", "role_ord", F.concat(F.lit("u"), F.col("role_ord").cast("string")).alias("url"))
+    header = turns.select("project_id", "role_ord", pages.attachment(pages.tape_name("name")).alias("header"))
+    return pages.sides_downloads(turns, sides).join(header, ["project_id", "role_ord"])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '240,240,0' ELSE '0,0,0' END AS fill, CASE WHEN p_size % 2 = 0 THEN 'black' ELSE 'white' END AS text_colour FROM part")
+def bar_colours(t):
+    known = F.col("p_size") % 2 == 0
+    fill, text = render.bar_colours(known, F.when(known, F.array(F.lit(240), F.lit(240), F.lit(0))))
+    return t("part").select("p_partkey", js.join(fill.cast("array<string>"), ",").alias("fill"), text.alias("text_colour"))
+
+
+@query("""
+SELECT p_partkey, to_json(p_name || '"' || p_brand || chr(92)) AS quoted, left(p_type, p_size % 9) AS short, array_to_string(['a', 'b', 'c', 'd'][1:p_size % 6], ',') AS shown FROM part
+""")
+def quoted_and_cut(t):
+    n = F.col("p_size") % 9
+    short = F.get(F.array(*(js.truncated("p_type", i) for i in range(9))), n.cast("int"))
+    return t("part").select("p_partkey", js.json_string(F.concat(F.col("p_name"), F.lit('"'), F.col("p_brand"), F.lit("\\"))).alias("quoted"), short.alias("short"), js.join(js.prefix(F.array(*map(F.lit, "abcd")), (F.col("p_size") % 6).cast("int")), ",").alias("shown"))
+
+
+@query("""
+SELECT doc_id, doc_id % 3 < 2 AS some, CASE doc_id % 3 WHEN 0 THEN source || '.PDF' WHEN 1 THEN 'b.pdf' END AS first FROM documents
+""")
+def first_pdf(t):
+    k = F.col("doc_id")
+    names = F.array(F.lit("a.txt"), F.when(k % 3 == 0, F.concat("source", F.lit(".PDF"))).otherwise("a.doc"), F.when(k % 3 < 2, "b.pdf").otherwise("pdf"))
+    return t("documents").select("doc_id", files.any_pdf(names).alias("some"), files.first_pdf(names).alias("first"))
+
+
+@query("SELECT page_id || '/logo.' || CASE WHEN page_id % 2 = 0 THEN 'png' ELSE 'html' END AS path FROM pages WHERE page_id % 3 > 0")
+def logo_objects(t):
+    k = F.col("page_id")
+    objects = t("pages").select(k, files.logo_path(k.cast("string"), F.when(k % 2 == 0, "a.png").otherwise("x.html")).alias("path"))
+    return store.remove_objects(objects, objects.where("page_id % 3 = 0")).select("path")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '{}' END AS raw FROM documents")
+def recorded_answers(t):
+    docs = t("documents").select("doc_id", "source")
+    answers = extract.extract(docs.where("doc_id % 2 = 0"), lambda frames: (f.rename(columns={"source": "raw"}) for f in frames), "doc_id long, raw string")
+    return extract.replay(docs.select("doc_id"), answers, ["doc_id"]).select("doc_id", "raw")
+
+
+@query("""
+WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
+convs AS (SELECT conv_id, max(nth) AS n FROM turns GROUP BY conv_id),
+blocks AS (
+  SELECT conv_id, 1000 AS ord, 'bar' AS kind, 'JOB INFORMATION' AS text, 8 AS height, 9999 AS before, 9999 AS after FROM convs
+  UNION ALL SELECT conv_id, 1001, 'fact', 'Project: p' || conv_id, 5, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1002, 'fact', 'Brand: b' || conv_id, 5, 9999, 9999 FROM convs WHERE conv_id % 2 = 0
+  UNION ALL SELECT conv_id, 1003, 'gap', '', 5, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1004, 'bar', 'Step 1: Online Talent Form', 10, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1005, 'text', 'Please complete the Online Talent Form. Submissions cannot be accepted without a completed form.', 8, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1006, 'bar', 'Step 2: Record Audition Videos', 10, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 2000 + 2 * nth, 'label', 'VIDEO ' || nth || ' (LABEL IT ''' || role || ''')', 5, 9999, 9999 FROM turns
+  UNION ALL SELECT conv_id, 2001 + 2 * nth, 'video', text, greatest(ceil(length(text) / 95.0::DOUBLE), 1)::INT * 4 + 4, 9999, 270 FROM turns
+  UNION ALL SELECT conv_id, 8000, 'bar', 'Step 3: Photos', 10, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 8001, 'photo', '1. head', 5, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 8002, 'photo', '2. side', 5, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 8003, 'gap', '', 3, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 9000, 'bar', 'Filming Notes', 10, 240, 9999 FROM convs WHERE conv_id % 5 > 0
+  UNION ALL SELECT conv_id, 9000 + nth, 'note', nth || '. ' || text, greatest(ceil(length(nth || '. ' || text) / 93.0::DOUBLE), 1)::INT * 4 + 2, 9999, 9999 FROM turns WHERE conv_id % 5 > 0),
+listed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS nth FROM blocks),
+placed AS (SELECT conv_id, 0::BIGINT AS nth, '' AS kind, '' AS text, 0 AS y, 1 AS page, CASE WHEN conv_id % 2 = 0 THEN 30 ELSE 28 END AS next_y, 1 AS next_page FROM convs
+  UNION ALL SELECT conv_id, nth, kind, text, y, page, CASE WHEN y + height > after THEN 15 ELSE y + height END, CASE WHEN y + height > after THEN page + 1 ELSE page END
+  FROM (SELECT b.conv_id, b.nth, b.kind, b.text, b.height, b.after, CASE WHEN p.next_y > b.before THEN 15 ELSE p.next_y END AS y, CASE WHEN p.next_y > b.before THEN p.next_page + 1 ELSE p.next_page END AS page FROM placed p JOIN listed b ON b.conv_id = p.conv_id AND b.nth = p.nth + 1))
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY nth))::INT AS nth, kind, text, y::INT AS y, page::INT AS page FROM placed WHERE nth > 0 AND kind <> 'gap'
+""")
+def sheet_layout(t):
+    k = F.col("conv_id")
+    turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("label"), F.col("text").alias("description")))).alias("videos"))
+    info = [("Project:", F.concat(F.lit("p"), k.cast("string"))), ("Brand:", F.when(k % 2 == 0, F.concat(F.lit("b"), k.cast("string"))).otherwise("")), ("Location:", F.lit(None).cast("string"))]
+    photos = F.when(k % 3 > 0, F.array(F.lit("head"), F.lit("side")))
+    notes = F.when(k % 5 > 0, F.transform("videos", lambda v: v["description"]))
+    start = render.first_line(F.when(k % 2 == 0, "head").otherwise(""))
+    rows = turns.select("conv_id", F.posexplode(render.laid_out(render.sheet_blocks(info, F.col("videos"), photos, notes, 95), start)).alias("pos", "at"))
+    return rows.select("conv_id", (F.col("pos") + 1).alias("nth"), "at.kind", "at.text", "at.y", "at.page")

@@ -138,6 +138,22 @@ def numbered(array: Column | str, first: int = 1, sep: str = ". ") -> Column:
     return F.transform(col(array), lambda x, i: F.concat((i + first).cast("string"), F.lit(sep), F.coalesce(x, F.lit(""))))
 
 
+def json_string(c: Column | str) -> Column:
+    """A text as a JSON string with its quotes; NULL becomes null."""
+    listed = F.to_json(F.array(col(c)))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def truncated(c: Column | str, n: int) -> Column:
+    """The first n characters."""
+    return F.left(col(c), F.lit(n))
+
+
+def prefix(array: Column | str, n: Column) -> Column:
+    """The first n elements, all of a shorter array."""
+    return F.slice(col(array), F.lit(1), n)
+
+
 def toggled(array: Column | str, x: Column) -> Column:
     """Membership of x flipped."""
     return F.when(F.array_contains(col(array), x), F.array_remove(col(array), x)).otherwise(F.array_append(col(array), x))

@@ -44,6 +44,30 @@ def with_shared_text(chunks: DataFrame, text: DataFrame) -> DataFrame:
     return chunks.withColumn("text", text.scalar())
 
 
+def with_marker(parts: Column | str, name: Column | str, n_chunks: Column | str) -> Column:
+    """The text parts of a request; behind them, if a document goes as one chunk, a line that names it."""
+    marker = F.concat(F.lit("=== "), js.text_or_empty(name), F.lit(" (PDF document attached above) ==="))
+    return js.join(F.when(js.col(n_chunks) == 1, F.array_append(js.col(parts), marker)).otherwise(js.col(parts)), "\n\n")
+
+
+def sides_downloads(roles: DataFrame, sides: DataFrame) -> DataFrame:
+    """(project_id, role_ord, name) x (project_id, role_ord, url): what each role's pages are saved as."""
+    return roles.join(sides, ["project_id", "role_ord"]).select("project_id", "role_ord", sides_name("name").alias("download"), "url")
+
+
+def sides_name(role: Column | str) -> Column:
+    return F.concat(F.lit("Sides_"), js.sanitize_each(role), F.lit(".pdf"))
+
+
+def tape_name(role: Column | str) -> Column:
+    return F.concat(F.lit("Self-Tape_"), js.sanitize_spaces(role), F.lit(".pdf"))
+
+
+def attachment(name: Column | str) -> Column:
+    """The header under which a file is sent."""
+    return F.concat(F.lit('attachment; filename="'), js.col(name), F.lit('"'))
+
+
 def chunk_prompt(name: Column | str, chunk_ix: Column | str, total: Column | str, offset: Column | str) -> Column:
     """What a chunk's request says about its place."""
     start = js.col(offset).cast("string")

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import js
 
 SETTINGS_COLUMNS = ("company_name", "contact_email", "contact_phone", "contact_website", "brand_color", "header_text", "footer_text", "logo_path")
+#: Bytes below which a rendered PDF counts as empty.
+LEAST_PDF = 100
 
 
 def exactly_one(rows: DataFrame, key: str, value) -> DataFrame:
@@ -63,15 +65,55 @@ def put_objects(objects: DataFrame, uploads: DataFrame) -> DataFrame:
     return objects.join(uploads, "path", "left_anti").unionByName(uploads)
 
 
+def remove_objects(objects: DataFrame, paths: DataFrame) -> DataFrame:
+    """Objects without those whose path is named."""
+    return objects.join(paths.select("path"), "path", "left_anti")
+
+
+def normalised_settings(bodies: DataFrame, now: Column) -> DataFrame:
+    """(user_id, settings) as they are saved: empty texts become NULL, the colour gets its default, and the time is set."""
+    value = lambda c: js.first_truthy(c, F.lit(js.TEAL)) if c == "brand_color" else js.truthy(c)
+    return bodies.select("user_id", *(value(c).alias(c) for c in SETTINGS_COLUMNS), now.alias("updated_at"))
+
+
+def save_settings(table: DataFrame, bodies: DataFrame, now: Column, order: str | None = None) -> DataFrame:
+    """The settings table after these bodies; of several of one user that with the largest ``order`` counts."""
+    if order:
+        bodies = bodies.groupBy("user_id").agg(F.max_by(F.struct(*bodies.columns), order).alias("b")).select("b.*")
+    return upsert(table, normalised_settings(bodies, now), "user_id", [*SETTINGS_COLUMNS, "updated_at"])
+
+
+def guarded(rows: DataFrame, *guards: tuple[Column, str, int]) -> DataFrame:
+    """Adds (status, error) of the first guard (bad, message, status) whose condition holds, else 200 and NULL.
+
+    A condition that is NULL doesn't hold.
+    """
+    status, error = F.lit(200), F.lit(None).cast("string")
+    for bad, message, code in reversed(guards):
+        failed = F.coalesce(bad, F.lit(False))
+        status, error = F.when(failed, code).otherwise(status), F.when(failed, message).otherwise(error)
+    return rows.select("*", status.alias("status"), error.alias("error"))
+
+
 def cascade(rows: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
     """Rows whose owner still exists."""
     return rows.join(survivors.select(key), key, "left_semi")
 
 
-def new_projects(requests: DataFrame) -> DataFrame:
+def inserted_projects(requests: DataFrame, request_key: str, now: Column) -> DataFrame:
+    """New projects with the id that is given back and the time; the id follows from user and request.
+
+    So a task that runs twice makes the same rows, and a request that is sent again can be told from a new one.
+    """
+    key = F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), F.col(request_key).cast("string")), 256)
+    named = new_projects(requests.withColumn("_id", key), ["_id"])
+    return named.select(F.col("_id").alias("id"), "user_id", "name", "data", "documents", now.alias("created_at"))
+
+
+def new_projects(requests: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """(user_id, name, data, documents) -> rows to be appended; name falls back on the data's, then on Untitled."""
     own = F.get_json_object("data", "$.project.name")
-    return requests.select("user_id", js.first_truthy("name", own, F.lit("Untitled")).alias("name"), js.first_truthy("data", F.lit("{}")).alias("data"), F.coalesce("documents", F.array()).alias("documents"))
+    return requests.select(*carried or [], "user_id", js.first_truthy("name", own, F.lit("Untitled")).alias("name"), js.first_truthy("data", F.lit("{}")).alias("data"), F.coalesce("documents", F.array()).alias("documents"))
 
 
 def project_list(projects: DataFrame, roles: str = "roles", created: str = "created_at") -> DataFrame:
@@ -87,9 +129,20 @@ def settings_or_defaults(users: DataFrame, settings: DataFrame, defaults: dict[s
     return found.select("user_id", *(js.overlay(present, c, default).alias(c) for c, default in defaults.items()))
 
 
+#: Settings and what a renderer calls them.
+_BRANDING = (
+    ("contact_email", "contactEmail"),
+    ("contact_phone", "contactPhone"),
+    ("contact_website", "contactWebsite"),
+    ("header_text", "headerText"),
+    ("footer_text", "footerText"),
+    ("logo_path", "logoPath"),
+)
+
+
 def branding(users: DataFrame, settings: DataFrame, company: str) -> DataFrame:
-    """Settings as a renderer takes them: names, colour with its RGB and text colour."""
+    """Settings as a renderer takes them: names, texts, logo, colour with its RGB and text colour; empty ones are NULL."""
     found = users.join(settings, "user_id", "left")
     colour = js.first_truthy("brand_color", F.lit(js.TEAL))
-    named = found.select("user_id", js.first_truthy("company_name", F.lit(company)).alias("companyName"), *(js.first_truthy(c, F.lit("")).alias(o) for c, o in (("contact_email", "contactEmail"), ("contact_phone", "contactPhone"), ("contact_website", "contactWebsite"))), colour.alias("brandColor"))
+    named = found.select("user_id", js.first_truthy("company_name", F.lit(company)).alias("companyName"), *(js.truthy(c).alias(o) for c, o in _BRANDING), colour.alias("brandColor"))
     return named.withColumn("brandColorRgb", js.hex_to_rgb("brandColor")).withColumn("textColor", js.contrast_text("brandColorRgb"))

@@ -34,6 +34,16 @@ def looks_pdf(name: Column | str) -> Column:
     return F.endswith(F.lower(js.col(name)), F.lit(".pdf"))
 
 
+def any_pdf(names: Column | str) -> Column:
+    """Whether a list of names has one that looks like a PDF."""
+    return F.exists(js.col(names), looks_pdf)
+
+
+def first_pdf(names: Column | str) -> Column:
+    """The first name that looks like a PDF, else NULL."""
+    return F.get(F.filter(js.col(names), looks_pdf), 0)
+
+
 def routed(files: DataFrame) -> DataFrame:
     """Adds accepted, pdf, looks_pdf and the extension to (name, mime)."""
     return files.select("*", accepted("name").alias("accepted"), is_pdf("name", "mime").alias("pdf"), looks_pdf("name").alias("looks_pdf"), js.extension("name").alias("ext"))

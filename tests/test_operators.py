@@ -216,3 +216,55 @@ def test_settings_stream(spark, tmp_path):
     maintain(changes, str(tmp_path / "t"), "user_id", ["company_name", "at"], "company_name", str(tmp_path / "c")).awaitTermination()
     assert sorted(r.company_name for r in spark.read.parquet(str(tmp_path / "t/version=0")).collect()) == ["New", "Two"]
     assert latest_per_key(changes, "user_id", "at").isStreaming
+
+
+def test_settings_are_normalised_and_saved(spark):
+    cols = ", ".join(f"{c} string" for c in store.SETTINGS_COLUMNS)
+    bodies = spark.createDataFrame([(1, 1, *[""] * 8), (1, 2, "Ann", *[""] * 7), (None, 3, None, None, None, None, "#111111", None, None, None)], f"user_id int, at int, {cols}")
+    held = spark.createDataFrame([(2, *["x"] * 8, None)], f"user_id int, {cols}, updated_at string")
+    found = {r.user_id: r for r in store.save_settings(held, bodies, F.lit("now"), "at").collect()}
+    assert set(found) == {1, 2, None}
+    assert (found[1].company_name, found[1].brand_color, found[1].header_text, found[1].updated_at) == ("Ann", js.TEAL, None, "now")
+    assert (found[2].company_name, found[2].updated_at, found[None].brand_color) == ("x", None, "#111111")
+
+
+def test_inserted_ids(spark):
+    requests = spark.createDataFrame([(1, "a", None, '{"project": {"name": "P"}}', None), (1, "b", "n", None, None)], "user_id int, request string, name string, data string, documents array<string>")
+    rows = store.inserted_projects(requests, "request", F.lit("now")).collect()
+    assert len({r.id for r in rows}) == 2 and {r.name for r in rows} == {"P", "n"}
+    assert {r.id for r in store.inserted_projects(requests.repartition(3), "request", F.lit("later")).collect()} == {r.id for r in rows}
+
+
+def test_guards_take_the_first(spark):
+    rows = store.guarded(spark.createDataFrame([(1,), (5,), (None,)], "x int"), (F.col("x") > 4, "large", 400), (F.col("x") > 0, "positive", 500)).collect()
+    assert {(r.x, r.status, r.error) for r in rows} == {(1, 500, "positive"), (5, 400, "large"), (None, 200, None)}
+
+
+def test_sheet_breaks(spark):
+    """A long video turns the page after itself, notes before their bar, photos never."""
+    video = lambda lines: F.array(F.struct(F.lit("A").alias("label"), F.repeat(F.lit("v"), 95 * lines).alias("description")))
+    blocks = lambda lines: render.sheet_blocks([("Project:", F.lit("p")), ("Brand:", F.lit(""))], video(lines), F.array(F.lit("one")), F.array(F.lit("n")), 95)
+    rows = [(r.kind, r.y, r.page) for r in one(spark, render.laid_out(blocks(47), F.lit(28)))]
+    assert rows == [("bar", 28, 1), ("fact", 36, 1), ("bar", 46, 1), ("text", 56, 1), ("bar", 64, 1), ("label", 74, 1), ("video", 79, 1), ("bar", 15, 2), ("photo", 25, 2), ("bar", 33, 2), ("note", 43, 2)]
+    late = one(spark, render.laid_out(blocks(46), F.lit(22)))
+    assert [(r.kind, r.y, r.page) for r in late[-5:]] == [("video", 73, 1), ("bar", 261, 1), ("photo", 271, 1), ("bar", 15, 2), ("note", 25, 2)]
+    none = one(spark, render.laid_out(render.sheet_blocks([], F.lit(None).cast("array<struct<label:string,description:string>>"), F.lit(None).cast("array<string>"), F.array().cast("array<string>"), 95), F.lit(28)))
+    assert [r.kind for r in none] == ["bar", "bar", "text", "bar"]
+
+
+def test_written_reports(spark, tmp_path):
+    result = repair.typed(F.try_parse_json(F.col("j")))
+    rows = spark.createDataFrame([('{"project": {"name": "A & B"}, "roles": [{"name": "R"}]}',)], "j string").select(result.alias("result"))
+    render.write_reports(rows, str(tmp_path / "out"), "REPORT")
+    (part,) = (tmp_path / "out").glob("report=*/part-*")
+    assert part.parent.name == "report=A_B_Report.txt"
+    lines = part.read_text().split("\n")
+    assert lines[1] == "REPORT" and "Name: A & B" in lines and "1. R (Non-speaking)" in lines
+
+
+def test_names_and_quotes(spark):
+    assert one(spark, js.json_string(F.lit('a"b\n'))) == '"a\\"b\\n"' and one(spark, js.json_string(F.lit(None).cast("string"))) == "null"
+    assert one(spark, pages.with_marker(F.array().cast("array<string>"), F.lit("f.pdf"), F.lit(1))) == "=== f.pdf (PDF document attached above) ==="
+    assert one(spark, pages.with_marker(F.array(F.lit("t")), F.lit("f.pdf"), F.lit(2))) == "t"
+    assert one(spark, pages.sides_name(F.lit("A  é"))) == "Sides_A___.pdf" and one(spark, pages.tape_name(F.lit("A  é"))) == "Self-Tape_A_é.pdf"
+    assert one(spark, files.first_pdf(F.array(F.lit("a"), F.lit("B.PDF")))) == "B.PDF" and one(spark, files.any_pdf(F.array(F.lit("a")))) is False
