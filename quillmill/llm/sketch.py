@@ -121,7 +121,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     shingler = Shingler()
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("contained_edited", pa.float64()), ("contained_next", pa.float64())])
     held = None  # the row before
     rows: list[tuple] = []
 
@@ -137,7 +137,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, own_id, own_text, _, own = held
                 changed = edited(own_text, text)
                 other = shingler.sketch(changed)
-                rows.append((own_id, len(own_text), hashlib.sha256(changed.encode()).hexdigest(), as_text(own), as_text(other), likeness(own, other), likeness(own, sketch)))
+                rows.append((own_id, len(own_text), hashlib.sha256(changed.encode()).hexdigest(), as_text(own), as_text(other), likeness(own, other), likeness(own, sketch), containment(own, other), containment(own, sketch)))
             held = bucket, doc_id, text, carried, sketch
             if len(rows) >= 1000:
                 yield batched()
@@ -146,7 +146,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare_neighbours(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of docs (doc_id, text) with the sketches of the text and its edited text, and likenesses.
+    """One row per row of docs (doc_id, text) with the sketches of the text and its edited text, and how alike they are.
+
+    ``near_...`` estimate the Jaccard similarity to the edited and the next text, ``contained_...`` the share of the
+    text's own shingles that they have.
 
     The next document is that with the next smaller doc_id; after the last comes the first. Of rows with equal
     ids the one with the smaller text comes first, equal rows stay and follow each other, and null ids count as
@@ -185,8 +188,9 @@ def compare_neighbours(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Dat
     copies = placed.withColumn("to", carried_to(F.col("key")))
     own, again = F.struct(F.col("bucket"), F.lit(False).alias("carried")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("carried"))
     both = copies.select("doc_id", "key", "text", F.inline(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, again))))
-    ordered = both.repartition(len(firsts), "bucket").sortWithinPartitions("bucket", "carried", F.desc("key"), "text")
+    # a partition for each bucket by its number, so that no two fall together and none is empty
+    ordered = both.repartitionById(len(bounds) + 1, -F.col("bucket")).sortWithinPartitions("bucket", "carried", F.desc("key"), "text")
     return ordered.select("bucket", "doc_id", "text", "carried").mapInArrow(_compared, _DDL)
 
 
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"

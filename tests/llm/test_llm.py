@@ -167,6 +167,23 @@ def test_neighbours(docs, empty):
     assert alone.near_next == 1.0
 
 
+def test_likenesses_against_all_shingles(spark):
+    """Short texts keep every shingle, so their values are exact; long ones are near it."""
+    rnd = random.Random(6)
+    made = [[rnd.choice(WORDS) + str(rnd.randint(0, 50)) for _ in range(n)] for n in (12, 30, 60, 3000, 3000)]
+    made.append(made[-1][:2000] + made[3][:800])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts_ = {i: " ".join(w) for i, w in enumerate(made)}
+    for r in sketch.compare_neighbours(docs, bucket_bytes=20_000).collect():
+        after = texts_[(r.doc_id - 1) % len(made)]
+        own = shingles(texts_[r.doc_id])
+        for other, near, held in ((sketch.edited(texts_[r.doc_id], after), r.near_edited, r.contained_edited), (after, r.near_next, r.contained_next)):
+            other = shingles(other)
+            off = 1e-9 if max(len(own), len(other)) < sketch.FEW else 0.12
+            assert abs(near - len(own & other) / len(own | other)) <= off and abs(held - len(own & other) / len(own)) <= off
+
+
 def test_estimates_and_merge():
     s, rnd = sketch.Shingler(), random.Random(5)
     words = [f"w{rnd.randint(0, 10**6)}" for _ in range(20_000)]
