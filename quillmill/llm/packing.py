@@ -18,6 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import file_row, stored
 
 TIERS = (256, 512, 1024, 2048, 4096)
 GROUP_BYTES = 32 << 20
@@ -29,7 +32,9 @@ CACHED_CHUNKS, TOGETHER = 400_000, 500
 
 _PARTS = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PARTS_DDL = "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-_PACKED_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+_PACKED_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, grp long, nth long"
+#: Groups whose sequences are dealt to steps together, at most.
+STEP_GROUPS = 1024
 
 
 #: A word of Latin letters with ASCII punctuation behind it; the vocabulary's patterns always part the two.
@@ -168,8 +173,8 @@ def _powers(held: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return windows
 
 
-def pack_group(parts: pd.DataFrame, tiers: tuple[int, ...], step_tokens: int) -> pd.DataFrame:
-    """One packing group; its size is bounded by GROUP_BYTES of text on average."""
+def pack_group(parts: pd.DataFrame, tiers: tuple[int, ...]) -> pd.DataFrame:
+    """One packing group; its size is bounded by GROUP_BYTES of text on average. ``nth`` numbers its sequences of each size."""
     import zlib
 
     parts = parts.sort_values(["doc_id", "doc_tokens", "start", "ids_crc32"], kind="stable", ignore_index=True)
@@ -182,30 +187,49 @@ def pack_group(parts: pd.DataFrame, tiers: tuple[int, ...], step_tokens: int) ->
     out, dealt = [], {}
     for number, pieces in enumerate(sequences):
         size = sum(p[2] for p in pieces)
-        step = dealt.get(size, 0) * size // step_tokens
-        dealt[size] = dealt.get(size, 0) + 1
+        nth = dealt.get(size, 0)
+        dealt[size] = nth + 1
         offset = 0
         for d, s, n, c, t in pieces:
-            out.append((d, s, n, c, t, (grp << 32) + number, offset, size, (grp << 40) + (size.bit_length() << 32) + step))
+            out.append((d, s, n, c, t, (grp << 32) + number, offset, size, grp, nth))
             offset += n
-    frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"])
+    frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "grp", "nth"])
     frame["doc_id"] = frame["doc_id"].astype("Int64")
     return frame
 
 
+def with_steps(packed: DataFrame, step_tokens: int, step_groups: int = STEP_GROUPS) -> DataFrame:
+    """packed with ``step_group`` in place of ``grp`` and ``nth``.
+
+    Sequences of one size are dealt to as few steps as hold them at ``step_tokens`` a step, and these differ by one
+    sequence at most. That is done for ``step_groups`` packing groups at a time, so a window sees that many rows.
+    """
+    share = F.floor(F.col("grp") / F.lit(step_groups)).alias("share")
+    sizes = packed.where("offset = 0").groupBy("tier", share, "grp").agg(F.count("*").alias("n"))
+    all_groups = Window.partitionBy("tier", "share")
+    before = F.coalesce(F.sum("n").over(all_groups.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = sizes.select("tier", "grp", "share", before.alias("before"), F.sum("n").over(all_groups).alias("all"))
+    a_step = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    step = F.floor((F.col("before") + F.col("nth")) * F.ceil(F.col("all") / a_step) / F.col("all"))
+    group = F.shiftleft("share", 40) + F.shiftleft(F.round(F.log2("tier")).cast("long"), 32) + step
+    return packed.join(dealt, ["tier", "grp"]).select(*(c for c in packed.columns if c not in ("grp", "nth")), group.cast("long").alias("step_group"))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIERS, group_bytes: int = GROUP_BYTES, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """Packs (doc_id, text) into sequences of at most the longest tier; one row per piece.
 
     Null and empty texts hold the end id alone; a null doc_id is kept. Repeated rows are packed each for
-    itself. An empty table gives no rows. Other columns of docs are ignored. Groups are dealt by a hash of id
-    and text, and their number follows the bytes of text, so none grows with the corpus; ``sequence_id`` is
-    unique over all groups, ``tier`` is the sequence's size, and sequences with the same ``step_group`` form
-    one step of at most ``step_tokens`` tokens.
+    itself. An empty table gives no rows. Other columns of docs are ignored. Groups are dealt by a hash of id,
+    text and row, and their number follows the bytes of text, so none grows with the corpus, nor do copies of a row
+    meet in one; ``sequence_id`` is unique over all groups, ``tier`` is the sequence's size, and sequences with the
+    same ``step_group`` have one size and form a step of at most ``step_tokens`` tokens.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    row = file_row(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
-    grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp")
+    grp = F.pmod(F.xxhash64("doc_id", "text", "row"), F.lit(groups)).alias("grp")
     window = max(tiers)
     parts = docs.select(grp, "doc_id", "text").mapInArrow(lambda b: tokenized_parts(b, tokenizer, window), _PARTS_DDL)
-    return parts.groupBy("grp").applyInPandas(lambda g: pack_group(g, tiers, step_tokens), _PACKED_DDL)
+    packed = stored(parts.groupBy("grp").applyInPandas(lambda g: pack_group(g, tiers), _PACKED_DDL), "packed")
+    return with_steps(packed, step_tokens)

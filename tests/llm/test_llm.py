@@ -77,6 +77,27 @@ def test_pack_empty(empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_steps_are_balanced_over_groups(docs):
+    got = packing.pack_documents(docs, tiers=(64, 128, 256), group_bytes=2000, step_tokens=1024).collect()
+    sizes = {r.sequence_id: r.tier for r in got}
+    steps, by_tier = defaultdict(set), defaultdict(list)
+    for r in got:
+        steps[r.step_group].add(r.sequence_id)
+    for sequences in steps.values():
+        (tier,) = {sizes[s] for s in sequences}
+        assert len(sequences) * tier <= 1024
+        by_tier[tier].append(len(sequences))
+    assert len({s >> 32 for s in sizes}) > 3 and max(map(len, by_tier.values())) > 1
+    for tier, lengths in by_tier.items():
+        assert max(lengths) - min(lengths) <= 1 and len(lengths) == -(-sum(lengths) // (1024 // tier))
+
+
+def test_copies_of_a_row_are_dealt_to_many_groups(spark):
+    docs = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("one and the same text of some words").alias("text"))
+    got = packing.pack_documents(docs, tiers=(64, 128), group_bytes=1000).collect()
+    assert len(got) >= 400 and len({r.sequence_id >> 32 for r in got}) > 5
+
+
 def test_chunked_encoding_equals_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
