@@ -113,16 +113,28 @@ def json_repair(t):
     return repair.parsed(raw, repair.chunk_repair("raw")).select("event_id", "json", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query()
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 4 THEN '{"a": "x' || chr(92) || 'ny", "k": ' || k || '}' END AS json, CASE WHEN event_id % 5 IN (0, 4) THEN k END AS k FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
+""")
 def strict_json_gate(t):
     kind = F.col("event_id") % 5
     raw = t("events").select("event_id", F.when(kind == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(kind == 1, F.replace("props", F.lit('"'), F.lit("'"))).when(kind == 2, '{"k": NaN}').when(kind == 3, F.concat("props", F.lit(" y }"))).otherwise(F.concat(F.lit('{"a": "x\ny", "k": '), F.get_json_object("props", "$.k"), F.lit("}"))).alias("raw"))
     return repair.parse_single(raw).select("event_id", "json", F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query()
+_SPLIT_TEXT = ("""SELECT event_id, k, first, second, CASE event_id % 6 WHEN 0 THEN '{"text": "' WHEN 1 THEN '{"text":' || chr(10) || '"' WHEN 2 THEN '{"a": 1, "text": "x", "more": "' WHEN 3 THEN '{"list": ["' WHEN 4 THEN '{"text" : "' ELSE '{"text": "it''s", "more": "' END AS head,
+  CASE event_id % 4 WHEN 0 THEN '"}' WHEN 1 THEN '"  , "k": 1}' WHEN 2 THEN '" : 2}' ELSE '"' || chr(10) || '}' END AS tail FROM (SELECT event_id, json_extract_string(props, '$.k') AS k, 'one' AS first, event_type || CASE WHEN event_id % 7 = 0 THEN chr(13) ELSE '' END AS second FROM events)""")
+
+
+@query(f"""
+SELECT event_id, head || first || CASE WHEN event_id % 6 IN (1, 4) OR event_id % 4 = 2 THEN chr(10) ELSE chr(92) || 'n' END || second || tail AS repaired FROM ({_SPLIT_TEXT})
+""")
 def newline_repair(t):
-    raw = t("events").select("event_id", F.concat(F.lit('{"text": "one\ntwo", "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("raw"))
+    e, text = F.col("event_id"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    head = _case(e, '{"text": "', '{"text":\n"', '{"a": 1, "text": "x", "more": "', '{"list": ["', '{"text" : "', '{"text": "it\'s", "more": "')
+    tail = _case(e, '"}', '"  , "k": 1}', '" : 2}', '"\n}')
+    second = text("event_type", F.when(e % 7 == 0, "\r").otherwise("")) if False else F.concat(F.col("event_type"), F.when(e % 7 == 0, "\r").otherwise(""))
+    raw = t("events").select("event_id", text(head, "one\n", second, tail).alias("raw"))
     return raw.select("event_id", repair.single_repair("raw").alias("repaired"))
 
 
@@ -194,9 +206,31 @@ def merged_results(t):
     e, text = F.col("event_id"), lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
     parts = ('here: {"project": {"name": "p', e, '"}, "roles": [{"name": " ', F.col("event_type"), '", "description": "', F.repeat(F.lit("d"), (e % 4 + 1).cast("int")), '", "pageNumbers": [2, 1, ', e % 3, "],}], ", F.when(e % 9 == 0, "'broken'").otherwise(""), "}")
     raw = t("events").select(F.col("user_id").alias("doc_id"), e.alias("ord"), F.concat(*map(text, parts)).alias("raw"))
-    chunks = repair.parsed(raw, repair.chunk_repair("raw")).select("doc_id", "ord", repair.typed("v").alias("result"))
+    merged = merge.merge_answers(raw).select("doc_id", repair.typed("result").alias("result"), "error")
     shown = lambda r: F.concat(r["name"], F.lit("|"), r["description"], F.lit("|"), F.array_join(r["pageNumbers"].cast("array<string>"), ","))
-    return merge.merge_results(chunks).select("doc_id", F.col("result.project.name").alias("project"), F.when(F.col("error").isNull(), F.array_join(F.transform("result.roles", shown), ";")).alias("roles"), "error")
+    return merged.select("doc_id", F.col("result.project.name").alias("project"), F.when(F.col("error").isNull(), F.array_join(F.transform("result.roles", shown), ";")).alias("roles"), "error")
+
+
+_ROLE_JSON = """'{"agent":"a' || first || '","characteristics":["x","t' || first % 2 || '"' || CASE WHEN n_traits > 1 THEN ',"t' || 1 - first % 2 || '"' ELSE '' END || '],"description":"' || description || '","name":" ' || name || '","pageNumbers":[' || array_to_string(CASE WHEN n = 1 THEN [2, 1, first % 3] ELSE pages END, ',') || ']}'"""
+
+
+@query(f"""
+WITH e AS (SELECT CASE WHEN event_id % 50 = 0 THEN -event_id ELSE user_id END AS doc_id, event_id AS ord, event_type, event_id % 9 AS kind FROM events),
+s AS (SELECT doc_id, count(*) AS sent, max(kind) AS kind FROM e GROUP BY doc_id),
+r AS (SELECT doc_id, lower(event_type) AS key, count(*) AS n, min(ord) AS first, arg_min(event_type, ord) AS name, arg_max(repeat('d', ord % 4 + 1), (ord % 4, -ord)) AS description, list_sort(list_distinct(list_concat([1, 2], list(ord % 3)))) AS pages, count(DISTINCT ord % 2) AS n_traits FROM e WHERE kind > 1 GROUP BY doc_id, lower(event_type)),
+d AS (SELECT doc_id, min(first) AS ord, string_agg({_ROLE_JSON}, ',' ORDER BY first) AS roles, string_agg('{{"n":' || first || ',"roleName":"' || name || '"}}', ',' ORDER BY first) AS questions FROM r GROUP BY doc_id)
+SELECT doc_id, '{{"formQuestions":[' || questions || '],"project":{{"name":"p' || ord || '"}},"roles":[' || roles || ']' || CASE WHEN sent > 1 THEN ',"selfTapeInstructions":[]' ELSE '' END || ',"version":' || ord || '}}' AS result,
+  CASE WHEN ord IS NOT NULL THEN NULL WHEN sent > 1 THEN 'Failed to analyze any chunk' WHEN kind = 1 THEN 'Failed to parse AI response' ELSE 'AI returned malformed JSON. Please try again.' END AS error
+FROM s LEFT JOIN d USING (doc_id)
+""")
+def merged_answers(t):
+    """Members that nothing here knows, of results and of roles, come through the merge."""
+    e, text = F.col("event_id"), lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
+    role = (' "roles": [{"name": " ', F.col("event_type"), '", "agent": "a', e, '", "description": "', F.repeat(F.lit("d"), (e % 4 + 1).cast("int")), '", "pageNumbers": [2, 1, ', e % 3, '], "characteristics": ["x", "t', e % 2, '",]}],')
+    parts = ('here: {"version": ', e, ', "project": {"name": "p', e, '"},', *role, ' "formQuestions": [{"roleName": "', F.col("event_type"), '", "n": ', e, "}], }")
+    raw = F.when(e % 9 == 0, "{'broken'}").when(e % 9 == 1, "nothing").otherwise(F.concat(*map(text, parts)))
+    chunks = t("events").select(F.when(e % 50 == 0, -e).otherwise(F.col("user_id")).alias("doc_id"), e.alias("ord"), raw.alias("raw"))
+    return merge.merge_answers(chunks).select("doc_id", F.to_json("result").alias("result"), "error")
 
 
 # --- stores ----------------------------------------------------------------------------------------------

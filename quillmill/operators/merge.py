@@ -62,52 +62,93 @@ def pick_first(rows: DataFrame, value: str, ord_: str, by: tuple[str, ...] = ())
     return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min_by(value, ord_).alias(value))
 
 
-#: Errors of a document none of whose chunks could be parsed.
-NO_CHUNK, MALFORMED = "Failed to analyze any chunk", "AI returned malformed JSON. Please try again."
-_SECTIONS = (("roles", "name"), ("selfTapeInstructions", "roleName"), ("formQuestions", "roleName"))
+#: Errors of a document: none of its chunks could be parsed, its answer has no braces, or is malformed between them.
+NO_CHUNK, NO_OBJECT, MALFORMED = "Failed to analyze any chunk", "Failed to parse AI response", "AI returned malformed JSON. Please try again."
+#: The merged lists of a result and what their entries are named by.
+SECTIONS = (("roles", "name"), ("selfTapeInstructions", "roleName"), ("formQuestions", "roleName"))
+_ALL = len(SECTIONS)
 
 
-def merge_results(chunks: DataFrame) -> DataFrame:
-    """(doc_id, ord, result) for every chunk that was sent, result NULL where it could not be parsed -> (doc_id, result, error).
+def _string(v: Column, path: str) -> Column:
+    """A member that is a JSON string; NULL for other values."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
-    A document of one chunk keeps its result as it is. With more, even if only one could be parsed, roles are
-    merged, the first instructions and questions of each role stay, the project is the first parsed chunk's, and
-    the result is repaired once more. Without a parsed chunk the result is NULL and ``error`` says so. Every entry
-    goes through one shuffle by its key, and what is left of it through one by its document.
+
+def _members(v: Column, *without: str) -> Column:
+    """The members of an object, as ``"a":1,"b":2``, but for some."""
+    left = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*without))
+    text = F.to_json(left)
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _object(*members: Column) -> Column:
+    """An object of the members that there are."""
+    return F.concat(F.lit("{"), F.array_join(F.array(*map(js.truthy, members)), ","), F.lit("}"))
+
+
+def _list(name: str, items: Column) -> Column:
+    return F.concat(F.lit(f'"{name}":['), F.array_join(items, ",", "null"), F.lit("]"))
+
+
+def _number(x: Column) -> Column:
+    """A number as JSON has it: whole ones without a point."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def _item(kind: int, pos: Column, key: Column, json: Column, **more: Column) -> Column:
+    given = {"kind": F.lit(kind), "at": F.struct(F.col("ord").cast("bigint").alias("ord"), pos.cast("int").alias("pos")), "key": key, "json": json, **more}
+    kinds = {"raw": "string", "description": "string", "pages": "array<double>", "traits": "array<string>"}
+    return F.struct(*(given.get(c, F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in ("kind", "at", "key", "json", *kinds)))
+
+
+def _entries(kind: int, section: str, name: str) -> Column:
+    """The entries of one list of a result: kind, place, key, JSON and, of roles, what is merged."""
+
+    def entry(x: Column, i: Column) -> Column:
+        merged = {"description": _string(x, "$.description"), "pages": F.try_variant_get(x, "$.pageNumbers", "array<double>"), "traits": F.transform(F.try_variant_get(x, "$.characteristics", "array<variant>"), lambda t: F.to_json(t))} if kind == 0 else {}
+        return _item(kind, i, js.name_key(_string(x, f"$.{name}")), F.to_json(x), **merged)
+
+    return F.coalesce(F.transform(F.try_variant_get("v", f"$.{section}", "array<variant>"), entry), F.array())
+
+
+def _merged_role() -> Column:
+    """The first role of a key with the longest description, all pages and all traits of the others."""
+    longer = js.length("longest") > F.coalesce(js.length("description"), F.lit(0))
+    first = F.try_parse_json("json")
+    rest = F.when(longer, _members(first, "description", "pageNumbers", "characteristics")).otherwise(_members(first, "pageNumbers", "characteristics"))
+    longest = F.when(longer, F.concat(F.lit('"description":'), js.json_string("longest")))
+    return _object(rest, longest, _list("pageNumbers", F.transform("pages", _number)), _list("characteristics", F.col("seen")))
+
+
+def merge_answers(chunks: DataFrame) -> DataFrame:
+    """(doc_id, ord, raw) for every chunk that was sent -> (doc_id, result, error), the result a VARIANT.
+
+    The answer of a document of one chunk is repaired and parsed as it is. With more, even if only one could be parsed,
+    the first parsed one gives all but the three lists: roles are merged, the first instructions and questions of each
+    role stay. Entries keep members that nothing here knows. What is merged is written out as JSON and goes through
+    the repairs of a single answer once more. Where there is no result, ``error`` says why. Entries without a name
+    that is a string go, and a list that is no list counts as empty; equal traits are one, whatever their type.
+    Members of an object may change their order. Every entry goes through one shuffle by its key, and what is left of
+    it through one by its document; texts are parsed once, but for roles of several chunks.
     """
-    held = F.col("result").isNotNull()
-    item = lambda kind, pos, key, **of: F.struct(F.lit(kind).alias("kind"), F.struct(F.col("ord"), pos.alias("pos")).alias("at"), key.alias("key"), *(of.get(field, F.lit(None)).alias(field) for field, _ in _SECTIONS))
-
-    def section(kind: int, field: str, name: str) -> Column:
-        return F.coalesce(F.transform(F.col(f"result.{field}"), lambda x, i: item(kind, i, js.name_key(x[name]), **{field: x})), F.array())
-
-    def chosen(kind: int, field: str) -> Column:
-        return F.transform(F.filter("entries", lambda e: e["kind"] == kind), lambda e: e[field])
-
-    sections = [section(kind, *of) for kind, of in enumerate(_SECTIONS)]
-    nothing = {field: F.element_at(f"result.{field}", 1) for field, _ in _SECTIONS}
-    whole = F.array(item(3, F.lit(0), F.lit("all"), **{field: F.when(F.lit(False), x) for field, x in nothing.items()}))
-    items = chunks.select("doc_id", "ord", "result", F.explode(F.concat(whole, *sections)).alias("x")).where("x.key <> ''")
-    items = items.select("doc_id", "x.*", F.when(F.col("x.kind") == 3, F.col("result")).alias("result"), (held & (F.col("x.kind") == 3)).alias("parsed"))
-
-    length = F.struct(F.coalesce(js.length("roles.description"), F.lit(0)).alias("len"), -F.col("at.ord"), -F.col("at.pos"))
-    chars = F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct("at", F.coalesce("roles.characteristics", F.array().cast("array<string>")).alias("items")))))
-    pages = F.flatten(F.collect_list(F.coalesce("roles.pageNumbers", F.array().cast("array<int>"))))
-    merged = items.groupBy("doc_id", "kind", "key").agg(
-        F.count("*").alias("n"), F.min("at").alias("at"), F.min_by(F.struct(*(field for field, _ in _SECTIONS)), "at").alias("first"),
-        F.max_by("roles.description", length).alias("longest"), F.array_sort(F.array_distinct(pages)).alias("pages"), F.array_distinct(F.flatten(F.transform(chars, lambda r: r["items"]))).alias("seen"),
-        F.min_by("result", F.when(F.col("parsed"), F.col("at"))).alias("result"),
+    held = repair.parsed(chunks.select("doc_id", "ord", "raw"), repair.chunk_repair("raw"))
+    others = F.when(F.col("v").isNotNull(), _object(_members(F.col("v"), *(section for section, _ in SECTIONS))))
+    items = F.concat(F.array(_item(_ALL, F.lit(0), F.lit("all"), others, raw=F.col("raw"))), *(_entries(kind, *of) for kind, of in enumerate(SECTIONS)))
+    rows = held.select("doc_id", F.explode(items).alias("x")).where("x.key <> ''").select("doc_id", "x.*")
+    length = F.struct(F.coalesce(js.length("description"), F.lit(0)).alias("len"), -F.col("at.ord"), -F.col("at.pos"))
+    merged = rows.groupBy("doc_id", "kind", "key").agg(
+        F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("json", F.when(F.col("json").isNotNull(), F.col("at"))).alias("json"), F.min_by("raw", "at").alias("raw"),
+        F.min_by("description", "at").alias("description"), F.max_by("description", length).alias("longest"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("pages", F.array().cast("array<double>")))))).alias("pages"), distinct_union("traits", "at").alias("seen"),
     )
-    several = F.col("n") > 1
-    role = F.col("first.roles")
-    for field, value in (("description", "longest"), ("pageNumbers", "pages"), ("characteristics", "seen")):
-        role = role.withField(field, F.when(several, F.col(value)).otherwise(F.col(f"first.roles.{field}")))
-    entry = F.struct("kind", "at", role.alias("roles"), "first.selfTapeInstructions", "first.formQuestions")
-    grouped = merged.groupBy("doc_id").agg(F.sum(F.when(F.col("kind") == 3, F.col("n"))).alias("sent"), F.first("result", ignorenulls=True).alias("first"), F.array_sort(F.collect_list(F.when(F.col("kind") < 3, entry))).alias("entries"))
-    result = F.col("first")
-    for kind, (field, _) in enumerate(_SECTIONS):
-        result = result.withField(field, chosen(kind, field))
-    one = F.col("sent") == 1
-    failed = F.when(F.col("first").isNull(), F.when(one, MALFORMED).otherwise(NO_CHUNK))
-    joined = grouped.select("doc_id", one.alias("one"), "first", F.when(~one & F.col("first").isNotNull(), result).alias("merged"), failed.alias("error"))
-    return joined.select("doc_id", F.when(F.col("one"), F.col("first")).otherwise(repair.reparsed("merged")).alias("result"), "error")
+    entry = F.when((F.col("kind") == 0) & (F.col("n") > 1), _merged_role()).otherwise(F.col("json")).alias("json")
+    slim = merged.select("doc_id", "kind", "at", "n", "raw", entry)
+    all_ = lambda c: F.first(F.when(F.col("kind") == _ALL, F.col(c)), ignorenulls=True)
+    grouped = slim.groupBy("doc_id").agg(all_("n").alias("sent"), all_("raw").alias("raw"), all_("json").alias("others"), F.array_sort(F.collect_list(F.when(F.col("kind") < _ALL, F.struct("kind", "at", "json")))).alias("entries"))
+    chosen = lambda kind: F.transform(F.filter("entries", lambda e: e["kind"] == kind), lambda e: e["json"])
+    members = F.substring("others", F.lit(2), F.length("others") - 2)
+    assembled = F.when(F.col("others").isNotNull(), _object(members, *(_list(section, chosen(kind)) for kind, (section, _) in enumerate(SECTIONS))))
+    texts = grouped.select("doc_id", "sent", F.when(F.col("sent") == 1, F.col("raw")).otherwise(assembled).alias("text"))
+    found = repair.parse_single(texts, "text")
+    why = F.when((F.col("sent") > 1) & F.col("text").isNull(), NO_CHUNK).when(repair.braces("text").isNull(), NO_OBJECT).otherwise(MALFORMED)
+    return found.select("doc_id", F.col("v").alias("result"), F.when(F.col("v").isNull(), why).alias("error"))

@@ -20,7 +20,8 @@ def duck():
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
-    value = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else str(v)
+    number = lambda v: str(int(v)) if v.is_integer() else round(float(v), 6)  # noqa: E731  nulls make floats of whole numbers
+    value = lambda v: None if pd.isna(v) else number(v) if isinstance(v, float) else str(v)
     return sorted((tuple(map(value, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=repr)
 
 

@@ -68,8 +68,7 @@ def test_role_merge_against_loop(spark, drawn, partitions):
 def test_merge_only_with_several_chunks(spark):
     role = '{"roles": [{"name": "A", "pageNumbers": [2, 1]}, {"name": " a "}], "project": {"name": "%s"}, "formQuestions": [{"roleName": "A"}, {"roleName": "a"}]}'
     raw = spark.createDataFrame([(1, 1, role % "one"), (2, 1, role % "two"), (2, 2, role % "three")], "doc_id int, ord int, raw string")
-    parsed = repair.parsed(raw, repair.chunk_repair("raw")).select("doc_id", "ord", repair.typed("v").alias("result"))
-    found = {r.doc_id: r.result for r in merge.merge_results(parsed).collect()}
+    found = {r.doc_id: r.result for r in merge.merge_answers(raw).select("doc_id", repair.typed("result").alias("result")).collect()}
     assert [r.name for r in found[1].roles] == ["A", " a "]
     assert [(r.name, r.pageNumbers) for r in found[2].roles] == [("A", [1, 2])]
     assert found[2].project.name == "two" and len(found[1].formQuestions) == 2 and len(found[2].formQuestions) == 1
@@ -78,10 +77,9 @@ def test_merge_only_with_several_chunks(spark):
 def test_merge_counts_chunks_that_were_sent(spark):
     role = '{"roles": [{"name": "A", "description": "so, ]"}, {"name": "a"}]}'
     raw = spark.createDataFrame([(1, 1, role), (1, 2, "nothing"), (2, 1, "nothing"), (3, 1, "{"), (3, 2, "}")], "doc_id int, ord int, raw string")
-    parsed = repair.parsed(raw, repair.chunk_repair("raw")).select("doc_id", "ord", repair.typed("v").alias("result"))
-    found = {r.doc_id: r for r in merge.merge_results(parsed).collect()}
+    found = {r.doc_id: r for r in merge.merge_answers(raw).select("doc_id", repair.typed("result").alias("result"), "error").collect()}
     assert [(r.name, r.description) for r in found[1].result.roles] == [("A", "so]")] and found[1].result.selfTapeInstructions == []
-    assert (found[2].result, found[2].error) == (None, merge.MALFORMED) and (found[3].result, found[3].error) == (None, merge.NO_CHUNK)
+    assert (found[2].result, found[2].error) == (None, merge.NO_OBJECT) and (found[3].result, found[3].error) == (None, merge.NO_CHUNK)
 
 
 @pytest.mark.parametrize(
