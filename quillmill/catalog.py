@@ -542,15 +542,37 @@ def schedule_asof(t):
     return t("events").select("event_id", render.step_at(F.col("event_id") * 37 % 90000, render.schedule(list(render.STEP_MS[:-1]))).cast("int").alias("step"))
 
 
-@query("""
-WITH RECURSIVE blocks AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, (9 + 4 * greatest(ceil(length(text) / 95.0::DOUBLE), 1))::INT AS height FROM conversations),
+def _wrap_sql(name: str, source: str, millimetres: int) -> str:
+    """Recursive parts ``name`` (id, lines, n) for a source (id, text): its pieces one after the other into lines."""
+    most, blank = millimetres * 720_000 // (render.POINTS * 254), render.HELVETICA[0]
+    width = f"CASE WHEN {{0}} = '' THEN 0 ELSE list_sum(list_transform(string_split({{0}}, ''), lambda c: CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN {list(render.HELVETICA)}[ascii(c) - 31] ELSE {render.OTHER_WIDTH} END)) END"
+    new = f"x.begins OR f.used + x.gap + x.width > {most} AND f.used > 0"
+    return f"""{name}_p AS (SELECT id, unnest(ps) AS p, unnest(range(len(ps))) AS pi FROM (SELECT id, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS ps FROM ({source}))),
+{name}_w AS (SELECT id, pi, unnest(ws) AS w, unnest(range(len(ws))) AS wi FROM (SELECT id, pi, string_split(p, ' ') AS ws FROM {name}_p)),
+{name}_c AS (SELECT id, pi, wi, unnest(cs) AS c, unnest(range(len(cs))) AS ci FROM (SELECT id, pi, wi, CASE WHEN {width.format("w")} > {most} THEN string_split(w, '') ELSE [w] END AS cs FROM {name}_w)),
+{name}_n AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pi, wi, ci) AS nth, c, {width.format("c")} AS width, CASE WHEN wi > 0 AND ci = 0 THEN {blank} ELSE 0 END AS gap, wi = 0 AND ci = 0 AS begins FROM {name}_c),
+{name}_f AS (SELECT id, nth, c AS line, width AS used, '' AS done, 1 AS n FROM {name}_n WHERE nth = 1
+  UNION ALL SELECT f.id, x.nth, CASE WHEN {new} THEN x.c ELSE f.line || CASE WHEN x.gap > 0 THEN ' ' ELSE '' END || x.c END, CASE WHEN {new} THEN x.width ELSE f.used + x.gap + x.width END,
+    CASE WHEN {new} THEN f.done || f.line || chr(10) ELSE f.done END, CASE WHEN {new} THEN f.n + 1 ELSE f.n END FROM {name}_f f JOIN {name}_n x ON x.id = f.id AND x.nth = f.nth + 1),
+{name} AS (SELECT id, arg_max(done || line, nth) AS lines, arg_max(n, nth)::INT AS n FROM {name}_f GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {_wrap_sql('wide', 'SELECT item_id AS id, text FROM benchmark', 180)}, {_wrap_sql('slim', 'SELECT item_id AS id, text FROM benchmark', 20)} SELECT wide.id AS item_id, wide.lines AS wide, slim.lines AS slim, slim.n AS n_slim FROM wide JOIN slim USING (id)")
+def wrapped_text(t):
+    slim = render.wrapped("text", 20)
+    return t("benchmark").select("item_id", F.array_join(render.wrapped("text", 180), "\n").alias("wide"), F.array_join(slim, "\n").alias("slim"), F.size(slim).alias("n_slim"))
+
+
+@query(f"""
+WITH RECURSIVE {_wrap_sql("said", "SELECT conv_id * 1000 + turn AS id, text FROM conversations", 180)},
+blocks AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, 9 + 4 * n AS height FROM conversations JOIN said ON id = conv_id * 1000 + turn),
 placed AS (SELECT conv_id, nth, 38 AS y, 1 AS page, CASE WHEN 38 + height > 270 THEN 15 ELSE 38 + height END AS next_y, CASE WHEN 38 + height > 270 THEN 2 ELSE 1 END AS next_page FROM blocks WHERE nth = 1
   UNION ALL SELECT b.conv_id, b.nth, p.next_y, p.next_page, CASE WHEN p.next_y + b.height > 270 THEN 15 ELSE p.next_y + b.height END, CASE WHEN p.next_y + b.height > 270 THEN p.next_page + 1 ELSE p.next_page END FROM placed p JOIN blocks b ON b.conv_id = p.conv_id AND b.nth = p.nth + 1)
 SELECT conv_id, nth::INT AS nth, y::INT AS y, page::INT AS page FROM placed
 """)
 def paginate_videos(t):
-    height = render.BLOCK + render.LINE * render.wrapped_lines(F.col("text"), 95)
-    heights = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", height.cast("int").alias("height")))), lambda s: s["height"]).alias("heights"))
+    turns = t("conversations").select("conv_id", "turn", (render.BLOCK + render.LINE * F.size(render.wrapped("text", render.TEXT_WIDTH))).alias("height"))
+    heights = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "height"))), lambda s: s["height"]).alias("heights"))
     rows = heights.select("conv_id", F.posexplode(render.stacked(F.col("heights"), 38)).alias("pos", "at"))
     return rows.select("conv_id", (F.col("pos") + 1).alias("nth"), F.col("at.y").alias("y"), F.col("at.page").alias("page"))
 
@@ -664,30 +686,41 @@ def recorded_answers(t):
     return extract.replay(docs.select("doc_id"), answers, ["doc_id"]).select("doc_id", "raw")
 
 
-@query("""
+@query(f"""
 WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations),
 convs AS (SELECT conv_id, max(nth) AS n FROM turns GROUP BY conv_id),
+{_wrap_sql("said", "SELECT conv_id * 1000 + nth AS id, text FROM turns", 180)}, {_wrap_sql("noted", "SELECT conv_id * 1000 + nth AS id, nth || '. ' || text AS text FROM turns WHERE conv_id % 5 > 0", 176)},
 blocks AS (
-  SELECT conv_id, 1000 AS ord, 'bar' AS kind, 'JOB INFORMATION' AS text, 8 AS height, 9999 AS before, 9999 AS after FROM convs
-  UNION ALL SELECT conv_id, 1001, 'fact', 'Project: p' || conv_id, 5, 9999, 9999 FROM convs
-  UNION ALL SELECT conv_id, 1002, 'fact', 'Brand: b' || conv_id, 5, 9999, 9999 FROM convs WHERE conv_id % 2 = 0
-  UNION ALL SELECT conv_id, 1003, 'gap', '', 5, 9999, 9999 FROM convs
-  UNION ALL SELECT conv_id, 1004, 'bar', 'Step 1: Online Talent Form', 10, 9999, 9999 FROM convs
-  UNION ALL SELECT conv_id, 1005, 'text', 'Please complete the Online Talent Form. Submissions cannot be accepted without a completed form.', 8, 9999, 9999 FROM convs
-  UNION ALL SELECT conv_id, 1006, 'bar', 'Step 2: Record Audition Videos', 10, 9999, 9999 FROM convs
-  UNION ALL SELECT conv_id, 2000 + 2 * nth, 'label', 'VIDEO ' || nth || ' (LABEL IT ''' || role || ''')', 5, 9999, 9999 FROM turns
-  UNION ALL SELECT conv_id, 2001 + 2 * nth, 'video', text, greatest(ceil(length(text) / 95.0::DOUBLE), 1)::INT * 4 + 4, 9999, 270 FROM turns
-  UNION ALL SELECT conv_id, 8000, 'bar', 'Step 3: Photos', 10, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
-  UNION ALL SELECT conv_id, 8001, 'photo', '1. head', 5, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
-  UNION ALL SELECT conv_id, 8002, 'photo', '2. side', 5, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
-  UNION ALL SELECT conv_id, 8003, 'gap', '', 3, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
-  UNION ALL SELECT conv_id, 9000, 'bar', 'Filming Notes', 10, 240, 9999 FROM convs WHERE conv_id % 5 > 0
-  UNION ALL SELECT conv_id, 9000 + nth, 'note', nth || '. ' || text, greatest(ceil(length(nth || '. ' || text) / 93.0::DOUBLE), 1)::INT * 4 + 2, 9999, 9999 FROM turns WHERE conv_id % 5 > 0),
+  SELECT conv_id, 1000 AS ord, 'bar' AS kind, 'JOB INFORMATION' AS text, 17 AS x, 8 AS height, 9999 AS before, 9999 AS after FROM convs
+  UNION ALL SELECT conv_id, 1001, 'fact', 'Project:', 17, 0, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1002, 'value', 'p' || conv_id, 55, 5, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1003, 'fact', 'Brand:', 17, 0, 9999, 9999 FROM convs WHERE conv_id % 2 = 0
+  UNION ALL SELECT conv_id, 1004, 'value', 'b' || conv_id, 55, 5, 9999, 9999 FROM convs WHERE conv_id % 2 = 0
+  UNION ALL SELECT conv_id, 1005, 'gap', '', 15, 5, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1006, 'bar', 'Step 1: Online Talent Form', 17, 10, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1007, 'text', 'Please complete the Online Talent Form. Submissions cannot be accepted without a completed form.', 15, 8, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 1008, 'bar', 'Step 2: Record Audition Videos', 17, 10, 9999, 9999 FROM convs
+  UNION ALL SELECT conv_id, 2000 + 2 * nth, 'label', 'VIDEO ' || nth || ' (LABEL IT ''' || role || ''')', 15, 5, 9999, 9999 FROM turns
+  UNION ALL SELECT conv_id, 2001 + 2 * nth, 'video', lines, 15, said.n * 4 + 4, 9999, 270 FROM turns JOIN said ON id = conv_id * 1000 + nth
+  UNION ALL SELECT conv_id, 8000, 'bar', 'Step 3: Photos', 17, 10, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 8001, 'photo', '1. head', 17, 5, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 8002, 'photo', '2. side', 17, 5, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 8003, 'gap', '', 15, 3, 9999, 9999 FROM convs WHERE conv_id % 3 > 0
+  UNION ALL SELECT conv_id, 9000, 'bar', 'Filming Notes', 17, 10, 240, 9999 FROM convs WHERE conv_id % 5 > 0
+  UNION ALL SELECT conv_id, 9000 + nth, 'note', lines, 17, noted.n * 4 + 2, 9999, 9999 FROM turns JOIN noted ON id = conv_id * 1000 + nth),
 listed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS nth FROM blocks),
-placed AS (SELECT conv_id, 0::BIGINT AS nth, '' AS kind, '' AS text, 0 AS y, 1 AS page, CASE WHEN conv_id % 2 = 0 THEN 30 ELSE 28 END AS next_y, 1 AS next_page FROM convs
-  UNION ALL SELECT conv_id, nth, kind, text, y, page, CASE WHEN y + height > after THEN 15 ELSE y + height END, CASE WHEN y + height > after THEN page + 1 ELSE page END
-  FROM (SELECT b.conv_id, b.nth, b.kind, b.text, b.height, b.after, CASE WHEN p.next_y > b.before THEN 15 ELSE p.next_y END AS y, CASE WHEN p.next_y > b.before THEN p.next_page + 1 ELSE p.next_page END AS page FROM placed p JOIN listed b ON b.conv_id = p.conv_id AND b.nth = p.nth + 1))
-SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY nth))::INT AS nth, kind, text, y::INT AS y, page::INT AS page FROM placed WHERE nth > 0 AND kind <> 'gap'
+placed AS (SELECT conv_id, 0::BIGINT AS nth, '' AS kind, '' AS text, 0 AS x, 0 AS y, 1 AS page, CASE WHEN conv_id % 2 = 0 THEN 30 ELSE 28 END AS next_y, 1 AS next_page FROM convs
+  UNION ALL SELECT conv_id, nth, kind, text, x, y, page, CASE WHEN y + height > after THEN 15 ELSE y + height END, CASE WHEN y + height > after THEN page + 1 ELSE page END
+  FROM (SELECT b.conv_id, b.nth, b.kind, b.text, b.x, b.height, b.after, CASE WHEN p.next_y > b.before THEN 15 ELSE p.next_y END AS y, CASE WHEN p.next_y > b.before THEN p.next_page + 1 ELSE p.next_page END AS page FROM placed p JOIN listed b ON b.conv_id = p.conv_id AND b.nth = p.nth + 1)),
+ends AS (SELECT conv_id, max(next_page) AS page FROM placed GROUP BY conv_id),
+whole AS (
+  SELECT conv_id, -3 AS nth, 'logo' AS kind, '' AS text, 15 AS x, 2 AS y, 1 AS page FROM convs WHERE conv_id % 4 = 0
+  UNION ALL SELECT conv_id, -2, 'company', 'House', CASE WHEN conv_id % 4 = 0 THEN 35 ELSE 15 END, 13, 1 FROM convs
+  UNION ALL SELECT conv_id, -1, 'header', 'head', 15, 24, 1 FROM convs WHERE conv_id % 2 = 0
+  UNION ALL SELECT conv_id, nth, kind, text, x, y, page FROM placed WHERE nth > 0 AND kind <> 'gap'
+  UNION ALL SELECT conv_id, 99998, 'footer', CASE WHEN conv_id % 3 = 0 THEN 'a@b.example' ELSE 'Made here' END, 15, 286, page FROM ends
+  UNION ALL SELECT conv_id, 99999, 'footer', CASE WHEN conv_id % 7 = 0 THEN 'own' ELSE 'Made here' END, 15, 290, page FROM ends WHERE conv_id % 7 = 0 OR conv_id % 3 = 0)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY nth))::INT AS nth, kind, text, x::INT AS x, y::INT AS y, page::INT AS page FROM whole
 """)
 def sheet_layout(t):
     k = F.col("conv_id")
@@ -695,6 +728,17 @@ def sheet_layout(t):
     info = [("Project:", F.concat(F.lit("p"), k.cast("string"))), ("Brand:", F.when(k % 2 == 0, F.concat(F.lit("b"), k.cast("string"))).otherwise("")), ("Location:", F.lit(None).cast("string"))]
     photos = F.when(k % 3 > 0, F.array(F.lit("head"), F.lit("side")))
     notes = F.when(k % 5 > 0, F.transform("videos", lambda v: v["description"]))
-    start = render.first_line(F.when(k % 2 == 0, "head").otherwise(""))
-    rows = turns.select("conv_id", F.posexplode(render.laid_out(render.sheet_blocks(info, F.col("videos"), photos, notes, 95), start)).alias("pos", "at"))
-    return rows.select("conv_id", (F.col("pos") + 1).alias("nth"), "at.kind", "at.text", "at.y", "at.page")
+    footers = render.footer(F.lit("House"), [F.when(k % 3 == 0, "a@b.example")], F.when(k % 7 == 0, "own"), "House", "Made here")
+    sheet = render.sheet_pages(F.lit("House"), F.when(k % 2 == 0, "head").otherwise(""), k % 4 == 0, render.sheet_blocks(info, F.col("videos"), photos, notes), footers)
+    rows = turns.select("conv_id", F.posexplode(sheet).alias("pos", "at"))
+    return rows.select("conv_id", (F.col("pos") + 1).alias("nth"), "at.kind", "at.text", "at.x", "at.y", "at.page")
+
+
+@query("""
+SELECT c_custkey, concat_ws(chr(10), nullif(c_name, ''), CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 3 > 0 THEN '2026-01-02' END, 'C' || c_nationkey) AS block FROM customer
+""")
+def project_block(t):
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    given = {"name": F.col("c_name"), "brand": F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise(""), "deadline": F.when(k % 3 > 0, "2026-01-02"), "castingDirector": F.concat(F.lit("C"), F.col("c_nationkey").cast("string"))}
+    projects = t("customer").select("c_custkey", F.struct(*(given.get(f, none).alias(f) for f in render.PROJECT_FIELDS)).alias("project"))
+    return projects.select("c_custkey", render.project_block(F.col("project")).alias("block"))
