@@ -1,14 +1,17 @@
 """Line deduplication by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words. Equal lines collapse first, by two hashes. The words of every line are ordered by
-rarity, and of two lines with a Jaccard similarity of 0.8 or more the longer shares a word of its prefix with the
-shorter prefix of the shorter one. So the join's key is a prefix word and the band of the shorter line's length.
-Lengths, positions and a parity map rule out nearly all other pairs: every word toggles one of 128 bits, so the
-maps of two lines never differ in more bits than the lines differ in words. What is left is compared word for word.
-
-Before that join each line meets some of the earliest lines that share one of its prefix words, and the two most alike
-are compared word for word; pairs are formed only where the later line is not settled by them, so a group of near
-copies costs a few comparisons a line.
+rarity, and what is joined on are pairs of words that follow each other in that order, from the prefix of a line. Of two
+lines with a Jaccard similarity of 0.8 or more let o words be common and d words in one only, so 4 d <= o. Each of the
+latter stands between two common words at most, so among the d + 1 first pairs of consecutive common words one is parted
+in neither line. In a line of n words, of which u are its own and v the other's, it ends at place 2 u + v + 2 or before,
+and 4 (u + v) <= n - u makes that 2 n / 5 + 2. Pairs of rare words hardly ever meet by chance, so most keys have one
+line and go in the first aggregation; lengths, places and a parity map rule out nearly all other candidates. Every word
+toggles one of 64 bits, so the maps of two lines never differ in more bits than the lines differ in words. What is left
+is compared word for word.
+
+Each line with a shared key is first compared with the most alike of the earliest lines of its keys; pairs are formed
+only where the later line is not settled by them, so a group of near copies costs a few comparisons a line.
 """
 
 from __future__ import annotations
@@ -19,12 +22,10 @@ from pyspark.sql import functions as F
 from .common import discard, stored
 
 SIMILARITY_PERCENT = 80
-#: The most frequent words, this many at most, are ordered by how often they occur; all rarer ones come before them.
-LISTED = 1 << 15
-#: The table of frequent words has 2 ** CLASS_BITS classes, of one byte each.
-CLASS_BITS = 18
-#: A word of MANY lines has this many early lines, one from each share of its lines; other words have one.
-WITNESSES, MANY = 16, 64
+#: Words are counted by 2 ** CLASS_BITS classes of their hashes; the table of classes has a byte for each.
+CLASS_BITS = 16
+#: Earliest lines of its keys that a line is first compared with.
+WITNESSES = 2
 #: Stands for a null id, as rows without one come last.
 LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]"
@@ -44,101 +45,75 @@ def _named(docs: DataFrame, row: Column | None) -> DataFrame:
 
 
 def rarity_table(text: DataFrame) -> bytes:
-    """A byte for each class of word hashes: by how many bits the order shifts it, more for more frequent words."""
+    """A byte for each class of word hashes, larger where its words are more frequent together.
+
+    Frequent words stand out of their class; rare ones are as frequent as a class is on average, and come in the order
+    of classes and hashes, which is one order for all lines.
+    """
     words = text.select(F.explode(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    band = F.when(F.col("n") < 64, F.col("n")).otherwise(64 + F.floor((F.log2("n") - 6) * 8)).cast("int").alias("band")
-    counts = stored(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).select("h", "n", band), "word-counts")
-    listed, least = 0, 1 << 30
-    for band, m in sorted(((r["band"], r["m"]) for r in counts.groupBy("band").agg(F.count("*").alias("m")).collect()), reverse=True):  # some hundred rows
-        if listed + m > LISTED:
-            break
-        listed, least = listed + m, band
+    counts = words.groupBy(_class(F.xxhash64("w")).alias("class")).agg(F.count("*").alias("n"))
     table = bytearray(b"\x01") * (1 << CLASS_BITS)
-    frequent = counts.where((F.col("band") >= least) & (F.col("n") > 1)).groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("class")).agg(F.sum("n").alias("n"))
-    for row in frequent.select("class", F.least(F.lit(40), 5 + 2 * F.log2("n")).cast("int").alias("shift")).toLocalIterator():  # LISTED rows at most
-        table[max(0, row["class"] - 1)] = row["shift"]
-    discard(counts)
+    for row in counts.select("class", F.least(F.lit(120), 1 + 2 * F.log2("n")).cast("int").alias("level")).toLocalIterator():  # no more than classes
+        table[row["class"]] = row["level"]
     return bytes(table)
 
 
-def _parity(hashes: Column, half: int) -> Column:
-    """One half of a map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
-    bit = lambda h: F.call_function("shiftleft", F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)), h.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(bit(h)))
+def _class(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")
+
+
+def _parity(ranked: Column) -> Column:
+    """A map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(ranked, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
 
 
 def distinct_lines(named: DataFrame) -> DataFrame:
-    """(id, place, n, p, q, prefix) for every distinct line with a word.
+    """(id, place, n, p, words) for every distinct line with a word.
 
-    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity map, and
-    ``prefix`` the ordered words that may be looked up.
+    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` their parity map, and ``words`` 31
+    bits of each word of the prefix, rare ones first.
     """
     texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
     table = F.lit(rarity_table(texts.select("text")))
     lines = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
     hashed = lines.select("row", "doc_id", "pos", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("h"))
-    hashed = hashed.withColumn("h", F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))))
-    shift = lambda h: F.ascii(F.substring(table, F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int"), 1).cast("string"))
+    level = lambda h: F.ascii(F.substring(table, _class(h) + 1, 1).cast("string")).cast("long")
+    rank = lambda h: level(h) * (1 << 56) + F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << 56) - 1))
+    ranked = hashed.select("row", "doc_id", "pos", "a", "b", F.sort_array(F.transform(F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))), rank)).alias("ranked"))
     n = F.size("ranked")
-    ranked = hashed.select("row", "doc_id", "pos", "a", "b", _parity(F.col("h"), 0).alias("p"), _parity(F.col("h"), 1).alias("q"), F.sort_array(F.transform("h", lambda h: F.call_function("shiftrightunsigned", h, shift(h))), False).alias("ranked"))
-    prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SIMILARITY_PERCENT / 100).cast("int") + 1)
+    prefix = F.transform(F.slice("ranked", F.lit(1), F.floor(n * 2 / 5).cast("int") + 2), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
-    each = ranked.select("a", "b", place, n.alias("n"), "p", "q", prefix.alias("prefix"))
-    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "prefix")))
-    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "prefix"), "lines")
-
-
-def _band(n: Column) -> Column:
-    """Grows with n, by one at least where n doubles."""
-    return F.floor(F.log2(n)).cast("int")
-
-
-def _indexed(n: Column) -> Column:
-    """Words of a line that a longer line may look up."""
-    return n - F.ceil(n * (2 * SIMILARITY_PERCENT) / (100 + SIMILARITY_PERCENT)).cast("int") + 1
+    each = ranked.select("a", "b", place, n.alias("n"), _parity(F.col("ranked")).alias("p"), prefix.alias("words"))
+    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "words")))
+    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "words"), "lines")
 
 
 def _entries(lines: DataFrame) -> DataFrame:
-    """A row for each prefix word, with its place i, from 0."""
-    return lines.select("id", "n", "p", "q", "doc", "settled", F.posexplode("prefix").alias("i", "word"))
-
-
-def _keyed(entries: DataFrame, band: Column) -> DataFrame:
-    """(key, id, n, p, q, doc, settled, i) with a hash of word and band; keys that happen to agree make more pairs to look at, no fewer."""
-    return entries.select(F.xxhash64("word", band).alias("key"), "id", "n", "p", "q", "doc", "settled", "i")
-
-
-def _index(entries: DataFrame) -> DataFrame:
-    return _keyed(entries.where(F.col("i") < _indexed(F.col("n"))), _band(F.col("n")))
-
-
-def _probes(entries: DataFrame) -> DataFrame:
-    """A row for each band that similar lines as long or shorter can have whose first common word is this one."""
-    n, i = F.col("n"), F.col("i")
-    least = F.ceil(n * SIMILARITY_PERCENT / 100)
-    most = F.least(n, F.floor((n - i) * (100 + SIMILARITY_PERCENT) / SIMILARITY_PERCENT) - n)
-    bands = F.when(most >= least, F.array_distinct(F.array(_band(least), _band(most))))
-    return _keyed(entries.select("*", F.explode(bands).alias("band")), F.col("band"))
+    """(id, doc, i, key) for each pair of words that follow each other in a prefix, i being the first one's place; a lone word is a key itself."""
+    w = F.col("words")
+    pair = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: x.cast("long") * (1 << 31) + y)
+    keys = F.when(F.size(w) > 1, pair).otherwise(F.transform(w, lambda x: x.cast("long")))
+    return lines.select("id", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"), F.posexplode(keys).alias("i", "key"))
 
 
 def _differing(a: str, b: str) -> Column:
     """Bits that differ between the parity maps of two lines: no more than words that only one of them has."""
-    bits = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return bits("p") + bits("q")
+    return F.bit_count(F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")))
 
 
 def _may_agree(a: str, b: str) -> Column:
-    """Length, positional and parity filter for two lines whose first common word has places i, from 0, in each."""
-    n, i, m, j = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "i"))
+    """Length and parity filter for two lines."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     lengths = (m * 100 >= n * SIMILARITY_PERCENT) & (n * 100 >= m * SIMILARITY_PERCENT)
     # an overlap o needs o / (n + m - o) >= s, so o (1 + s) >= s (n + m); and n + m - 2 o words differ
-    positions = F.least(n - i, m - j) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
-    return lengths & positions & (_differing(a, b) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
+    return lengths & (_differing(a, b) * (100 + SIMILARITY_PERCENT) <= (n + m) * (100 - SIMILARITY_PERCENT))
 
 
-def _shorter(b: str, a: str) -> Column:
-    """b is shorter than a, or as long and of a smaller id, so that each pair has one order."""
-    return (F.col(f"{b}.n") < F.col(f"{a}.n")) | ((F.col(f"{b}.n") == F.col(f"{a}.n")) & (F.col(f"{b}.id") < F.col(f"{a}.id")))
+def _placed_well(a: str, b: str) -> Column:
+    """Positional filter for two lines with a common word at places i: before it and from it on no more can be common than the shorter part has."""
+    n, i, m, j = (F.col(f"{x}.{c}") for x in (a, b) for c in ("n", "i"))
+    return (F.least(i, j) + F.least(n - i, m - j)) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
@@ -157,44 +132,40 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
     return found
 
 
-def _settled(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(id) of the lines similar to an early line that has one of their prefix words among its own.
+def _shared(lines: DataFrame) -> DataFrame:
+    """(key, id, i, n, p, doc, first) for the entries whose key has several lines, ``first`` being one of the earliest document among them."""
+    entries = _entries(lines)
+    firsts = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", "doc").alias("first")).where("lo < hi").select("key", "first")
+    firsts = stored(firsts, "shared-keys")  # the shuffle files of the counts go before the entries are shuffled again
+    known = lines.select("id", "n", "p", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"))
+    shared = stored(entries.select("key", "id", "i").join(firsts, "key").join(known, "id").select("key", "id", "i", "n", "p", "doc", "first"), "shared-entries")
+    discard(firsts)
+    return shared
 
-    A word of few lines gives its earliest one, a word of many lines the earliest of each of WITNESSES shares of them.
-    A line is compared with the two of them that it differs least from, by the parity maps.
-    """
-    doc = F.coalesce("place.doc_id", F.lit(LAST)).alias("doc")
-    words = lines.select("id", "n", "p", "q", doc, F.explode("prefix").alias("word"))
-    line = F.struct("doc", "id", "n", "p", "q", F.lit(0).alias("i"))
-    shares = words.groupBy("word", F.pmod("id", F.lit(WITNESSES)).alias("share")).agg(F.min(line).alias("first"), F.count("*").alias("lines"))
-    firsts = F.sort_array(F.collect_list("first"))  # WITNESSES at most
-    early = shares.groupBy("word").agg(F.sum("lines").alias("lines"), firsts.alias("firsts")).where("lines > 1")
-    early = early.select("word", F.when(F.col("lines") < MANY, F.slice("firsts", 1, 1)).otherwise(F.col("firsts")).alias("firsts"))
-    early = stored(early, "early-lines")  # the shuffle files of the counts go before the words are shuffled again
-    met = words.join(early, "word").select(line.alias("a"), F.explode("firsts").alias("b"))
-    met = met.where((F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b"))
-    best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_set(F.struct(_differing("a", "b").alias("bits"), F.col("b.id").alias("y")))), 1, 2).alias("best"))  # WITNESSES for each word of the line at most
+
+def _settled(shared: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(id) of the lines found similar to one of the WITNESSES first lines of their keys that differ least by the parity maps."""
+    met = shared.where("id <> first").select(F.struct("id", "n", "p").alias("a"), "first").distinct()
+    met = met.join(lines.select(F.col("id").alias("first"), F.struct("id", "n", "p").alias("b")), "first").where(_may_agree("a", "b"))
+    best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_set(F.struct(_differing("a", "b").alias("bits"), F.col("b.id").alias("y")))), 1, WITNESSES).alias("best"))  # one for each key of the line at most
     pairs = stored(best.select("x", F.explode("best.y").alias("y")), "first-pairs")
-    discard(early)
     found = _similar(pairs, lines, named)
     discard(pairs)
     return found
 
 
-def removed_lines(lines: DataFrame, named: DataFrame, settled: DataFrame) -> DataFrame:
-    """(id) of the distinct lines that are similar to an earlier one, given those settled.
+def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(id) of the distinct lines that are similar to an earlier one.
 
-    One join has both kinds of pairs with an open line: it looks up all lines as long or shorter, and longer settled
-    ones, which stand under each key that the shorter line can have. Settled lines of later documents are of no use.
+    Lines that are not settled meet all lines of earlier documents, and of their own, that share a key.
     """
-    marked = lines.join(settled.withColumn("settled", F.lit(True)), "id", "left").select("id", "n", "p", "q", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"), F.coalesce("settled", F.lit(False)).alias("settled"), "prefix")
-    marked = stored(marked, "marked-lines")
-    entries = _entries(marked)
-    held = _index(entries).withColumn("longer", F.lit(False)).union(_probes(entries.where("settled")).withColumn("longer", F.lit(True)))
-    fits = F.when(F.col("b.longer"), _shorter("a", "b")).otherwise(_shorter("b", "a")) & (~F.col("b.settled") | (F.col("b.doc") <= F.col("a.doc"))) & _may_agree("a", "b")
-    pairs = _probes(entries.where("not settled")).alias("a").join(held.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    shared = _shared(lines)
+    settled = _settled(shared, lines, named)
+    open_ = shared.join(settled, "id", "left_anti")
+    fits = (F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b") & _placed_well("a", "b")
+    pairs = open_.alias("a").join(shared.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
     pairs = stored(pairs, "line-pairs")
-    discard(marked)
+    discard(shared)
     found = _similar(pairs, lines, named)
     discard(pairs)
     return found.union(settled).distinct()
@@ -213,7 +184,7 @@ def dedup_lines(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """
     named = _named(docs, row)
     lines = distinct_lines(named)
-    removed = removed_lines(lines, named, _settled(lines, named))
+    removed = removed_lines(lines, named)
     kept = lines.join(removed, "id", "left_anti").groupBy("place.row").agg(F.collect_list("place.pos").alias("kept"))  # no more than the row has lines
     joined = named.join(kept, "row", "left").withColumn("lines", F.split("doc.text", "\n"))
     blank = F.array_compact(F.transform("lines", lambda line, i: F.when(~line.rlike(WORD), i)))

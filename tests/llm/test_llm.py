@@ -318,10 +318,10 @@ def test_lines_against_loop(spark):
 
 
 def test_many_near_copies_of_a_line_against_loop(spark):
-    """Some edits go beyond the similarity, and every word of the line is in more than MANY lines."""
+    """Some edits go beyond the similarity, and every word of the line is in many lines."""
     rnd, rows = random.Random(11), []
     base = [f"word{i}" for i in range(40)]
-    for i in range(3 * line_dedup.MANY):
+    for i in range(192):
         words = list(base)
         for at in rnd.sample(range(len(words)), rnd.randrange(1, 7)):
             words[at] = f"edit{i}x{at}"
@@ -330,6 +330,25 @@ def test_many_near_copies_of_a_line_against_loop(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == removed_by_loop(rows)
 
 
+def test_lines_at_the_edge_of_the_similarity_against_loop(spark):
+    """Words are left out of lines and put into them, of all lengths and up to the last word that the similarity allows."""
+    rnd, rows = random.Random(12), []
+    common = [f"c{i}" for i in range(60)]
+    for i in range(260):
+        base = rnd.sample(common, rnd.randint(0, 12)) + [f"w{i}x{k}" for k in range(rnd.randint(1, 24))]
+        n = len(base)
+        own = rnd.randint(0, n // 5)
+        new = max(0, (n - own) // 4 - own + rnd.choice([0, 0, 0, 1, -1]))
+        other = rnd.sample(base, n - own) + rnd.choice([[f"n{i}x{k}" for k in range(new)], rnd.sample(common, min(new, 60))])
+        rnd.shuffle(other)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    rnd.shuffle(rows)
+    expected = removed_by_loop(sorted(rows))
+    assert 100 < sum(not text for text in expected.values()) < 260
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == expected
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     rows = [(None, "one line of words"), (None, "one line of words"), (5, "another line there\nand more\tof it"), (5, "and more of it"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("lines", F.lit(1))
