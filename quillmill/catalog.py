@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import js
-from .operators import extract, merge, pages, repair, store
-from .plans import render
+from .operators import extract, merge, pages, policies, repair, store
+from .plans import contract, render
 from .session import prepare, table
 from .sources import files
 
@@ -273,14 +273,20 @@ def overlay_defaults(t):
 
 
 @query("""
-SELECT c_custkey AS user_id, coalesce(n_name, 'House') AS company, CASE WHEN c_custkey % 2 = 0 THEN '#102030' ELSE '#00BFA5' END AS colour, CASE WHEN c_custkey % 2 = 0 THEN '16,32,48' ELSE '0,191,165' END AS rgb, CASE WHEN c_custkey % 2 = 0 THEN 'white' ELSE 'black' END AS text_colour
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 3 > 0
-""")
+SELECT c_custkey AS user_id, coalesce(n_name, 'House') AS company, CASE WHEN c_custkey % 2 = 0 THEN '#102030' ELSE '#00BFA5' END AS colour, CASE WHEN c_custkey % 2 = 0 THEN '16,32,48' ELSE '0,191,165' END AS rgb, CASE WHEN c_custkey % 2 = 0 THEN 'white' ELSE 'black' END AS text_colour,
+  CASE WHEN c_custkey % 4 > 0 AND there THEN c_name END AS email, CASE WHEN there THEN '1' END AS phone, NULL::VARCHAR AS website, CASE WHEN there THEN c_mktsegment END AS header, CASE WHEN there THEN 'f' END AS footer,
+  CASE WHEN c_custkey % 5 > 0 AND there THEN c_custkey || '/logo.png' END AS logo, CASE WHEN c_custkey % 5 > 1 AND there THEN 'data:' || CASE WHEN c_custkey % 3 = 0 THEN 'image/png' WHEN c_custkey % 3 = 1 THEN 'image/jpeg' ELSE '' END || ';base64,' || base64(encode(c_name)) END AS logo_uri, CASE WHEN c_custkey % 5 > 1 AND there THEN CASE WHEN c_custkey % 3 = 0 THEN 'png' ELSE 'jpeg' END END AS logo_format
+FROM (SELECT *, c_nationkey < 20 AS there FROM customer) LEFT JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 3 > 0 AND there
+""".replace("CASE WHEN c_custkey % 2 = 0 THEN '#102030'", "CASE WHEN c_custkey % 2 = 0 AND there THEN '#102030'").replace("CASE WHEN c_custkey % 2 = 0 THEN '16,32,48'", "CASE WHEN c_custkey % 2 = 0 AND there THEN '16,32,48'").replace("CASE WHEN c_custkey % 2 = 0 THEN 'white'", "CASE WHEN c_custkey % 2 = 0 AND there THEN 'white'"))
 def branding_join(t):
-    users = t("customer").select(F.col("c_custkey").alias("user_id"))
-    settings = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("n_name")).alias("company_name"), F.when(F.col("c_custkey") % 2 == 0, "#102030").otherwise("").alias("brand_color"), *(F.lit(None).cast("string").alias(c) for c in ("contact_email", "contact_phone", "contact_website", "header_text", "footer_text", "logo_path")))
-    found = store.branding(users, settings, "House")
-    return found.select("user_id", F.col("companyName").alias("company"), F.col("brandColor").alias("colour"), js.join(F.col("brandColorRgb").cast("array<string>"), ",").alias("rgb"), F.col("textColor").alias("text_colour"))
+    k, customer = F.col("c_custkey"), t("customer")
+    path = F.concat(k.cast("string"), F.lit("/logo.png"))
+    given = {"company_name": F.when(k % 3 > 0, F.col("n_name")), "brand_color": F.when(k % 2 == 0, "#102030").otherwise(""), "contact_email": F.when(k % 4 > 0, F.col("c_name")).otherwise(""), "contact_phone": F.lit("1"), "contact_website": F.lit(""), "header_text": F.col("c_mktsegment"), "footer_text": F.lit("f"), "logo_path": F.when(k % 5 > 0, path)}
+    settings = customer.where("c_nationkey < 20").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("user_id"), *(given[c].alias(c) for c in store.SETTINGS_COLUMNS))
+    logos = customer.where(k % 5 > 1).select(path.alias("path"), F.when(k % 3 < 2, _case(k % 3, "image/png", "image/jpeg")).alias("mime"), F.col("c_name").cast("binary").alias("content"))
+    found = store.branding(customer.select(k.alias("user_id")), settings, "House", logos)
+    shown = {"companyName": "company", "brandColor": "colour", "textColor": "text_colour", "contactEmail": "email", "contactPhone": "phone", "contactWebsite": "website", "headerText": "header", "footerText": "footer", "logoPath": "logo", "logoBase64": "logo_uri", "logoFormat": "logo_format"}
+    return found.select("user_id", js.join(F.col("brandColorRgb").cast("array<string>"), ",").alias("rgb"), *(F.col(c).alias(o) for c, o in shown.items()))
 
 
 @query("""
@@ -742,3 +748,107 @@ def project_block(t):
     given = {"name": F.col("c_name"), "brand": F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise(""), "deadline": F.when(k % 3 > 0, "2026-01-02"), "castingDirector": F.concat(F.lit("C"), F.col("c_nationkey").cast("string"))}
     projects = t("customer").select("c_custkey", F.struct(*(given.get(f, none).alias(f) for f in render.PROJECT_FIELDS)).alias("project"))
     return projects.select("c_custkey", render.project_block(F.col("project")).alias("block"))
+
+
+# --- requests, policies, responses and the contract ------------------------------------------------------
+
+
+@query("SELECT * FROM (" + ORACLE_SQL["project_list"] + ") WHERE user_id = 7")
+def user_projects(t):
+    k = F.col("o_orderkey")
+    rows = t("orders").select(F.col("o_custkey").alias("user_id"), k.alias("id"), F.col("o_orderstatus").alias("name"), F.when(k % 4 > 0, F.sequence(F.lit(1).cast("long"), k % 4)).alias("roles"), F.when(k % 10 > 0, F.col("o_orderdate")).alias("created_at"))
+    return store.project_list(store.owned(rows, 7))
+
+
+@query("""
+SELECT n_regionkey AS request, coalesce(string_agg('=== ' || n_name || ' ===' || chr(10) || 'nation ' || n_nationkey || chr(65533), chr(10) || chr(10) ORDER BY n_nationkey DESC) FILTER (n_nationkey % 5 > 0), '') AS text FROM nation GROUP BY n_regionkey
+""")
+def request_texts(t):
+    k = F.col("n_nationkey")
+    content = F.concat(F.concat(F.lit("nation "), k.cast("string")).cast("binary"), F.unhex(F.lit("FF")))
+    uploads = t("nation").select(F.col("n_regionkey").alias("request"), (-k).alias("file_ord"), F.col("n_name").alias("name"), F.when(k % 5 == 0, "application/pdf").alias("mime"), content.alias("content"))
+    return files.text_parts_by_request(uploads)
+
+
+@query("""
+SELECT page_id AS path, CASE WHEN page_id % 6 = 0 THEN 'third' WHEN page_id % 3 = 0 THEN 'second' ELSE url END AS content FROM pages
+""")
+def last_upload(t):
+    held = t("pages").select(F.col("page_id").alias("path"), F.col("url").alias("content"))
+    again = held.where("path % 3 = 0").select("path", F.lit("second").alias("content"), F.lit(2).alias("at"))
+    uploads = again.union(held.where("path % 3 = 0").select("path", "content", F.lit(1))).union(held.where("path % 6 = 0").select("path", F.lit("third"), F.lit(3)))
+    return store.put_objects(held, uploads, "at")
+
+
+@query("""
+SELECT c_custkey, own AS settings_select, own AS settings_insert, own AS settings_update, false AS settings_delete, logos AS logos_select, logos AND own AS logos_insert, logos AND own AS logos_update, logos AND own AS logos_delete FROM (SELECT c_custkey, c_nationkey = c_custkey % 25 AS own, c_custkey % 3 > 0 AS logos FROM customer)
+""")
+def policy_commands(t):
+    k = F.col("c_custkey")
+    rows = t("customer").select(k, F.col("c_nationkey").cast("long").alias("user_id"), F.when(k % 3 > 0, "logos").otherwise("papers").alias("bucket"), F.concat(F.col("c_nationkey").cast("string"), F.lit("/logo.png")).alias("path"), (k % 25).alias("user"))
+    decide = lambda of, command: (policies.accepts if command == "insert" else policies.sees)(of, command, F.col("user"))
+    return rows.select("c_custkey", *(decide(of, command).alias(f"{name}_{command}") for name, of in (("settings", policies.SETTINGS), ("logos", policies.LOGOS)) for command in ("select", "insert", "update", "delete")))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_nationkey = 7 AND c_acctbal > 0 THEN 'new' ELSE c_mktsegment END AS company_name FROM customer
+""")
+def policy_update(t):
+    held = t("customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("user_id"), F.col("c_mktsegment").alias("company_name"), "c_acctbal")
+    changed = policies.update(held, {"company_name": F.lit("new")}, F.col("c_acctbal") > 0, policies.SETTINGS, F.lit(7))
+    return changed.select("c_custkey", "company_name")
+
+
+@query("""
+SELECT doc_id, CASE g % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 1 END::INT AS attempt,
+  CASE WHEN g % 5 IN (0, 3) THEN 'old ' || g WHEN g % 5 = 2 OR g % 3 = 1 THEN NULL WHEN g % 3 = 2 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE '{}' END ELSE 'answer ' || g END AS raw,
+  CASE WHEN g % 5 = 2 THEN 'ValueError: full' WHEN g % 5 IN (1, 4) AND g % 3 = 1 THEN 'ValueError: busy' END AS error
+FROM (SELECT doc_id, doc_id // 2 AS g FROM documents)
+""")
+def resumed_answers(t):
+    """Two documents share each request; some were answered before, failed once, or failed as often as is tried."""
+    g = F.col("g")
+    chunks = t("documents").select("doc_id", F.floor(F.col("doc_id") / 2).alias("g")).withColumn("key", extract.request_key(g))
+    old = F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit("old "), g.cast("string")).alias("text")))
+    last = F.element_at(F.array(*map(F.lit, (1, 1, 3, 2, 0))), (g % 5 + 1).cast("int"))
+    tried = chunks.select("key", "g").distinct().where(g % 5 < 4).select("key", "g", last.alias("last"), F.explode(F.sequence(F.lit(1), last)).alias("attempt"))
+    answered = (g % 5).isin(0, 3) & (F.col("attempt") == F.col("last"))
+    held = tried.select("key", "attempt", F.when(answered, old).alias("blocks"), F.when(~answered, "ValueError: full").alias("error"))
+
+    def ask(request):
+        if request["g"] % 3 == 1:
+            raise ValueError("busy")
+        return [{"type": "tool"}] if request["g"] % 3 == 2 else [{"type": "text", "text": f"answer {request['g']}"}]
+
+    attempts = held.unionByName(extract.attempted(extract.due(chunks.select("key", "g"), held), ask))
+    found = chunks.join(extract.latest(attempts), "key", "left")
+    return found.select("doc_id", "attempt", extract.answer_text("blocks", F.col("doc_id") % 2 == 0).alias("raw"), "error")
+
+
+@query(f"""
+SELECT p_partkey, '{{"provider":"jotform","title":' || to_json(p_name) || ',"importJson":' || form || ',"formattedQuestions":' || lines || '}}' AS form_response,
+  '{{"provider":"google","url":' || to_json('https://forms.example.com/new?title=' || replace(p_name, ' ', '%20')) || ',"title":' || to_json(p_name) || ',"formattedQuestions":' || lines || '}}' AS link_response
+FROM part JOIN ({ORACLE_SQL["form_definition"]}) USING (p_partkey) JOIN (SELECT p_partkey, to_json(string_split(form, chr(10))) AS lines FROM ({ORACLE_SQL["question_text"]})) USING (p_partkey)
+""")
+def form_responses(t):
+    rows = _questions(t("part"))
+    return rows.select("p_partkey", render.form_response(F.col("p_name"), F.col("questions")).alias("form_response"), render.link_response("https://forms.example.com/new?title=", F.col("p_name"), F.col("questions")).alias("link_response"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, p_partkey % 11 = 0 AS no_form FROM part),
+n AS (SELECT p_partkey, unnest(['project_type', 'deadline', 'description', 'gender', 'speaking', 'page_numbers', 'videos', 'question_type', 'standard_questions', 'empty_sections']) AS rule,
+  unnest([CASE WHEN p_partkey % 4 = 2 THEN 1 ELSE 0 END, CASE WHEN p_partkey // 4 % 4 IN (1, 2) THEN 1 ELSE 0 END, CASE WHEN p_partkey % 5 = 3 THEN 0 ELSE 1 END, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END, CASE WHEN p_partkey % 7 IN (0, 6) THEN 1 ELSE 0 END,
+    CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END, CASE WHEN no_form THEN 0 ELSE 1 END, CASE WHEN no_form THEN 0 WHEN p_partkey % 4 = 0 THEN 9 - least(p_partkey % 10, 9) WHEN p_partkey % 4 = 1 THEN 4 ELSE 0 END, CASE WHEN no_form THEN 1 ELSE 0 END]) AS n FROM k)
+SELECT p_partkey, rule, n::INT AS n FROM n
+""")
+def contract_rules(t):
+    k, text = F.col("p_partkey"), lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
+    questions = F.array(*(F.lit(f'{{"label":"{label}","type":"{kind}","required":{str(required).lower()}}}') for label, kind, required in contract.COMMERCIAL_QUESTIONS))
+    asked = F.array_join(F.concat(F.slice(questions, F.lit(1), (k % 10).cast("int")), F.array(F.lit('{"label":"Eyes?","type":"select"}'))), ",")
+    forms = F.when(k % 11 == 0, "[]").otherwise(F.concat(F.lit('[{"roleName":"A","questions":['), asked, F.lit("]}]")))
+    videos = F.array_join(F.array_repeat(F.lit('{"label":"SLATE"}'), (k % 3).cast("int")), ",")
+    parts = ('{"project":{"type":"', _case(k, "commercial", "film", "opera", "theatre"), '","deadline":"', _case(F.floor(k / 4), "2026-02-28", "2026-02-30", "soon", ""), '"},"roles":[{"name":"A","description":"', F.repeat(F.lit("One two. "), (k % 5).cast("int")), '","gender":', _case(k, '"Male"', '"male"', "null"), ',"speaking":', _case(k, "null", "true"),
+             ',"pageNumbers":[', k % 7, ',3]}],"selfTapeInstructions":[{"roleName":"A","videos":[', videos, ']}],"formQuestions":', forms, "}")
+    results = t("part").select("p_partkey", F.concat(*map(text, parts)).alias("raw")).select("p_partkey", repair.typed(F.parse_json("raw")).alias("result"), F.lit(1).alias("first_page"), F.lit(5).alias("last_page"))
+    return contract.violations(results, ["p_partkey"])

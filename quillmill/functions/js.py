@@ -1,6 +1,5 @@
 """Column expressions with the semantics of a JavaScript front end: trimming, lengths, falsy values, encodings."""
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,11 +117,12 @@ def data_uri(mime: Column | str, content: Column | str) -> Column:
 
 def decode_text(content: Column | str) -> Column:
     """UTF-8 with U+FFFD for bad bytes, as browsers and servers decode."""
-    @F.pandas_udf("string")
-    def decoded(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
+    return F.make_valid_utf8(col(content).cast("string"))
 
-    return F.coalesce(F.try_validate_utf8(col(content).cast("string")), decoded(col(content)))
+
+def image_format(mime: Column | str) -> Column:
+    """What a picture is embedded as: png by its type, else jpeg."""
+    return F.when(F.contains(text_or_empty(mime), F.lit("png")), "png").otherwise("jpeg")
 
 
 def short_date(ts: Column | str) -> Column:
@@ -139,9 +139,13 @@ def numbered(array: Column | str, first: int = 1, sep: str = ". ") -> Column:
 
 
 def json_string(c: Column | str) -> Column:
-    """A text as a JSON string with its quotes; NULL becomes null."""
+    """A text as a JSON string with its quotes, hexadecimal digits in lower case; NULL becomes null."""
     listed = F.to_json(F.array(col(c)))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    small = quoted
+    for digits in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):  # an even number of backslashes before it is text
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*+)\\u00{digits}", rf"$1\\u00{digits.lower()}")
+    return F.when(col(c).rlike(r"[\x0b\x0e\x0f\x1a-\x1f]"), small).otherwise(quoted)
 
 
 def truncated(c: Column | str, n: int) -> Column:

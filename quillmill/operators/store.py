@@ -55,14 +55,30 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, columns: list[str], o
     return both.select(*map(merged, table.columns))
 
 
+def insert_unique(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """table with new rows; a key that is in the table, or twice among the new ones, fails the job. NULL keys are no keys."""
+    there = table.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_there", F.lit(1))
+    times = new.where(F.col(key).isNotNull()).groupBy(key).count().join(there, key, "left").select(key, (F.col("count") + F.coalesce("_there", F.lit(0)) > 1).alias("_twice"))
+    checked = new.join(times, key, "left")
+    fine = F.when(F.coalesce("_twice", F.lit(False)), F.raise_error(F.concat(F.lit(f"duplicate {key} "), F.col(key).cast("string")))).otherwise(True)
+    return table.unionByName(checked.where(fine).drop("_twice"))
+
+
 def delete_by(table: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """table without the rows that a request names by all keys; requests that name none do nothing."""
     return table.join(requests.select(*keys), keys, "left_anti")
 
 
-def put_objects(objects: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Objects by path, replaced where uploaded anew."""
-    return objects.join(uploads, "path", "left_anti").unionByName(uploads)
+def put_objects(objects: DataFrame, uploads: DataFrame, order: str | None = None) -> DataFrame:
+    """Objects by path, replaced where uploaded anew; of several uploads of a path that with the largest ``order`` stays.
+
+    Without ``order`` a path that is uploaded twice fails the job, for nothing says which one came last.
+    """
+    columns = [c for c in uploads.columns if c != order]
+    held = F.max_by(F.struct(*columns), order) if order else F.first(F.struct(*columns))
+    several = F.when((F.count("*") > 1) & F.lit(order is None), F.raise_error(F.concat(F.lit("several uploads of "), F.col("path")))).otherwise(held)
+    new = uploads.groupBy("path").agg(several.alias("_new")).select("_new.*")
+    return objects.join(new, "path", "left_anti").unionByName(new)
 
 
 def remove_objects(objects: DataFrame, paths: DataFrame) -> DataFrame:
@@ -140,9 +156,16 @@ _BRANDING = (
 )
 
 
-def branding(users: DataFrame, settings: DataFrame, company: str) -> DataFrame:
-    """Settings as a renderer takes them: names, texts, logo, colour with its RGB and text colour; empty ones are NULL."""
+def branding(users: DataFrame, settings: DataFrame, company: str, logos: DataFrame | None = None) -> DataFrame:
+    """Settings as a renderer takes them: names, texts, logo, colour with its RGB and text colour; empty ones are NULL.
+
+    ``logos`` (path, mime, content) gives logoBase64, a data URI, and logoFormat of the logos that are there.
+    """
     found = users.join(settings, "user_id", "left")
     colour = js.first_truthy("brand_color", F.lit(js.TEAL))
     named = found.select("user_id", js.first_truthy("company_name", F.lit(company)).alias("companyName"), *(js.truthy(c).alias(o) for c, o in _BRANDING), colour.alias("brandColor"))
-    return named.withColumn("brandColorRgb", js.hex_to_rgb("brandColor")).withColumn("textColor", js.contrast_text("brandColorRgb"))
+    shown = named.withColumn("brandColorRgb", js.hex_to_rgb("brandColor")).withColumn("textColor", js.contrast_text("brandColorRgb"))
+    if logos is None:
+        return shown
+    held = logos.select(F.col("path").alias("logoPath"), js.data_uri(js.text_or_empty("mime"), "content").alias("logoBase64"), js.image_format("mime").alias("logoFormat"))
+    return shown.join(held, "logoPath", "left").select(*shown.columns, "logoBase64", "logoFormat")

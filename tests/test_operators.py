@@ -198,12 +198,6 @@ def test_schedule():
     assert len(begins) == 16 and begins[-1] == 77_200
 
 
-def test_violations(spark):
-    raw = '{"project": {"deadline": "soon"}, "roles": [{"name": "A", "gender": "male"}], "selfTapeInstructions": [{"roleName": "A", "videos": []}]}'
-    row = spark.createDataFrame([(raw,)], "raw string").select(render.violations(repair.typed(F.try_parse_json("raw"))).alias("v")).first().v
-    assert tuple(row) == (1, 1, 1, 1)
-
-
 def test_settings_stream(spark, tmp_path):
     from quillmill.streaming.settings import latest_per_key, maintain
 
@@ -250,9 +244,10 @@ def test_sheet_breaks(spark):
 
 def test_written_reports(spark, tmp_path):
     result = repair.typed(F.try_parse_json(F.col("j")))
-    rows = spark.createDataFrame([('{"project": {"name": "A & B"}, "roles": [{"name": "R"}]}',)], "j string").select(result.alias("result"))
+    rows = spark.createDataFrame([(i, '{"project": {"name": "A & B"}, "roles": [{"name": "R"}]}') for i in (1, 2)], "project_id int, j string").select("project_id", result.alias("result"))
     render.write_reports(rows, str(tmp_path / "out"), "REPORT")
-    (part,) = (tmp_path / "out").glob("report=*/part-*")
+    assert len(list((tmp_path / "out").glob("project_id=*/report=*/part-*"))) == 2
+    (part,) = (tmp_path / "out").glob("project_id=1/report=*/part-*")
     assert part.parent.name == "report=A_B_Report.txt"
     lines = part.read_text().split("\n")
     assert lines[1] == "REPORT" and "Name: A & B" in lines and "1. R (Non-speaking)" in lines
