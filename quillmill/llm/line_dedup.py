@@ -5,13 +5,14 @@ rarity, and what is joined on are pairs of words that follow each other in that
 lines with a Jaccard similarity of 0.8 or more let o words be common and d words in one only, so 4 d <= o. Each of the
 latter stands between two common words at most, so among the d + 1 first pairs of consecutive common words one is parted
 in neither line. In a line of n words, of which u are its own and v the other's, it ends at place 2 u + v + 2 or before,
-and 4 (u + v) <= n - u makes that 2 n / 5 + 2. Pairs of rare words hardly ever meet by chance, so most keys have one
-line and go in the first aggregation; lengths, places and a parity map rule out nearly all other candidates. Every word
+and 4 (u + v) <= n - u makes that 2 n / 5 + 2. Pairs of rare words seldom meet by chance, so most keys have one
+line and go in the first aggregation; lengths, places, how many keys are shared and a parity map rule out nearly all
+other candidates. Every word
 toggles one of 64 bits, so the maps of two lines never differ in more bits than the lines differ in words. What is left
 is compared word for word.
 
-Each line with a shared key is first compared with the most alike of the earliest lines of its keys; pairs are formed
-only where the later line is not settled by them, so a group of near copies costs a few comparisons a line.
+Each line is first compared with those lines that are the earliest of most of its shared keys; pairs are formed only
+where the later line is not settled by them, so a group of near copies costs a few comparisons a line.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import discard, stored
 SIMILARITY_PERCENT = 80
 #: Words are counted by 2 ** CLASS_BITS classes of their hashes; the table of classes has a byte for each.
 CLASS_BITS = 16
-#: Earliest lines of its keys that a line is first compared with.
-WITNESSES = 2
+#: Earliest lines that a line is first compared with, and the share of its keys, one in so many, that has to name one.
+WITNESSES, NAMED_BY = 2, 8
 #: Stands for a null id, as rows without one come last.
 LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]"
@@ -82,7 +83,7 @@ def distinct_lines(named: DataFrame) -> DataFrame:
     rank = lambda h: level(h) * (1 << 56) + F.shiftrightunsigned(h, 8).bitwiseAND(F.lit((1 << 56) - 1))
     ranked = hashed.select("row", "doc_id", "pos", "a", "b", F.sort_array(F.transform(F.array_distinct(F.array_remove("h", F.xxhash64(F.lit("")))), rank)).alias("ranked"))
     n = F.size("ranked")
-    prefix = F.transform(F.slice("ranked", F.lit(1), F.floor(n * 2 / 5).cast("int") + 2), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    prefix = F.transform(F.slice("ranked", F.lit(1), _prefix(n)), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
     each = ranked.select("a", "b", place, n.alias("n"), _parity(F.col("ranked")).alias("p"), prefix.alias("words"))
     one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "words")))
@@ -143,11 +144,28 @@ def _shared(lines: DataFrame) -> DataFrame:
     return shared
 
 
+def _prefix(n: Column) -> Column:
+    """Words of a prefix."""
+    return F.floor(n * 2 / 5).cast("int") + 2
+
+
+def _enough(n: Column, m: Column, keys: Column) -> Column:
+    """Whether two lines of n and m words share as many keys as similar ones must.
+
+    With o common words at least, the first of which are in both prefixes, each pair of consecutive ones is a key of
+    both lines, but for those that one of the n + m - 2 o other words parts.
+    """
+    o = F.ceil((n + m) * SIMILARITY_PERCENT / (100 + SIMILARITY_PERCENT)).cast("int")
+    both = F.least(F.least(_prefix(n), n) - (n - o), F.least(_prefix(m), m) - (m - o))
+    return keys >= both - 1 - (n + m - 2 * o)
+
+
 def _settled(shared: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(id) of the lines found similar to one of the WITNESSES first lines of their keys that differ least by the parity maps."""
-    met = shared.where("id <> first").select(F.struct("id", "n", "p").alias("a"), "first").distinct()
-    met = met.join(lines.select(F.col("id").alias("first"), F.struct("id", "n", "p").alias("b")), "first").where(_may_agree("a", "b"))
-    best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_set(F.struct(_differing("a", "b").alias("bits"), F.col("b.id").alias("y")))), 1, WITNESSES).alias("best"))  # one for each key of the line at most
+    """(id) of the lines found similar to one of the WITNESSES lines that are first for most of their keys."""
+    met = shared.where("id <> first").groupBy("id", "n", "p", "first").agg(F.count("*").alias("keys")).where(F.col("keys") * NAMED_BY >= _prefix(F.col("n")) - 1)
+    met = met.select(F.struct("id", "n", "p").alias("a"), "first", "keys").join(lines.select(F.col("id").alias("first"), F.struct("id", "n", "p").alias("b")), "first").where(_may_agree("a", "b"))
+    rank = F.struct((-F.col("keys")).alias("keys"), _differing("a", "b").alias("bits"), F.col("b.id").alias("y"))
+    best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_list(rank)), 1, WITNESSES).alias("best"))  # NAMED_BY at most
     pairs = stored(best.select("x", F.explode("best.y").alias("y")), "first-pairs")
     found = _similar(pairs, lines, named)
     discard(pairs)
@@ -163,23 +181,24 @@ def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
     settled = _settled(shared, lines, named)
     open_ = shared.join(settled, "id", "left_anti")
     fits = (F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b") & _placed_well("a", "b")
-    pairs = open_.alias("a").join(shared.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-    pairs = stored(pairs, "line-pairs")
+    met = open_.alias("a").join(shared.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+    counted = met.groupBy("x", "y", "n", "m").agg(F.count("*").alias("keys")).where(_enough(F.col("n"), F.col("m"), F.col("keys")))
+    pairs = stored(counted.select("x", "y"), "line-pairs")
     discard(shared)
     found = _similar(pairs, lines, named)
     discard(pairs)
     return found.union(settled).distinct()
 
 
-def dedup_lines(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) with two more columns, n_lines and n_removed, and without repeated lines in text.
+def dedup_lines(docs: DataFrame, row: Column | None = None, counts: tuple[str, str] | None = ("n_lines", "n_removed")) -> DataFrame:
+    """docs (doc_id, text, ...) without repeated lines in text, and with two more columns: how many lines there were, and went.
 
     Lines end at line feeds and are compared in lower case as sets of words, which white space parts. A line goes if
     a line before it, in the order of doc_id and place, has a Jaccard similarity of 0.8 or more, also one that goes
     itself. Rows with a null id come last; rows with equal ids, and those with null ids, follow each other in an
     order that is fixed once for all lines, so of equal rows one keeps its lines. Lines without words stay. Null texts
     stay null with no lines. An empty table stays empty. Columns of docs keep their names and places, whatever they
-    are; n_lines and n_removed are added behind them. ``row`` names the rows, as ``file_row`` does; without it docs is
+    are; the two are added behind them under the names in ``counts``, or not at all. ``row`` names the rows, as ``file_row`` does; without it docs is
     stored with a number for each row.
     """
     named = _named(docs, row)
@@ -191,4 +210,5 @@ def dedup_lines(docs: DataFrame, row: Column | None = None) -> DataFrame:
     left = joined.withColumn("left", F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)))
     text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     n_lines = F.coalesce(F.size("lines"), F.lit(0)).cast("long")
-    return left.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns), n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("left"), F.lit(0))).alias("n_removed"))
+    more = (n_lines, n_lines - F.coalesce(F.size("left"), F.lit(0)))
+    return left.select(*(text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns), *(c.alias(name) for c, name in zip(more, counts or ())))
