@@ -168,7 +168,7 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     groups = counts.where("term is null").select("lang", "source")
     languages = groups.groupBy("lang").agg(F.count("*").alias("groups")).join(vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")), "lang", "left").na.fill(0)
     parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
-    languages = languages.withColumn("shards", parts(F.col("kept"), shard)).withColumn("stripes", parts(F.col("groups"), stripe))
+    languages = stored(languages.withColumn("shards", parts(F.col("kept"), shard)).withColumn("stripes", parts(F.col("groups"), stripe)), "languages")  # of known size, so Spark sends it to the terms if it is small
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     placed = vocabulary.join(languages.select("lang", "shards"), "lang").withColumn("shard", deal("term", "shards"))
     sized = placed.groupBy("lang", "shard").agg(F.count("*").alias("terms_here"))
@@ -186,6 +186,6 @@ def source_divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, t
     ranked = partial.withColumn("rank", F.row_number().over(best)).where((F.col("part") == "pair") | (F.col("rank") <= top))
     text = lambda c: F.col(c).cast("string").alias(c)
     found = stored(ranked.select(text("lang"), text("source"), "part", text("item"), "value", "rank"), "divergence")
-    for table in (counts, vocabulary, entries):
+    for table in (counts, vocabulary, languages, entries):
         discard(table)
     return found
