@@ -852,3 +852,20 @@ def contract_rules(t):
              ',"pageNumbers":[', k % 7, ',3]}],"selfTapeInstructions":[{"roleName":"A","videos":[', videos, ']}],"formQuestions":', forms, "}")
     results = t("part").select("p_partkey", F.concat(*map(text, parts)).alias("raw")).select("p_partkey", repair.typed(F.parse_json("raw")).alias("result"), F.lit(1).alias("first_page"), F.lit(5).alias("last_page"))
     return contract.violations(results, ["p_partkey"])
+
+
+@query("""
+SELECT conv_id AS project_id, count(*) AS total, count(*) FILTER (role = 'assistant') AS done, count(*) FILTER (turn % 3 = 0) AS ready, count(*) FILTER (role = 'assistant') || '/' || count(*) || ' done' AS done_label, CASE WHEN count(*) FILTER (turn % 3 = 0) > 0 THEN 'Download All (' || count(*) FILTER (turn % 3 = 0) || ')' END AS download_label FROM conversations WHERE conv_id % 4 > 0 OR turn % 3 > 0 GROUP BY conv_id
+""")
+def role_progress(t):
+    turns = t("conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("role_ord"), (F.col("role") == "assistant").alias("done"))
+    sides = turns.where("role_ord % 3 = 0").select("project_id", "role_ord")
+    return store.progress(turns.where("project_id % 4 > 0 or role_ord % 3 > 0"), sides.union(sides))
+
+
+@query("""
+SELECT conv_id AS project_id, turn AS role_ord, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS nth FROM conversations WHERE turn % 3 > 0
+""")
+def sides_to_make(t):
+    turns = t("conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("role_ord"))
+    return store.sides_to_make(turns, turns.where("role_ord % 3 = 0"))

@@ -138,6 +138,25 @@ def project_list(projects: DataFrame, roles: str = "roles", created: str = "crea
     return projects.select("user_id", "id", "name", F.coalesce(F.size(roles), F.lit(0)).alias("role_count"), js.short_date(created).alias("short_date"), js.long_date(created).alias("long_date"), F.row_number().over(newest).alias("place"))
 
 
+def progress(roles: DataFrame, sides: DataFrame) -> DataFrame:
+    """(project_id, role_ord, done) and (project_id, role_ord) of sides that were made -> counts of each project with roles.
+
+    ``total`` roles, ``done`` of them filled in, ``ready`` with sides, and both as they are shown. Sides of roles that
+    are not there don't count, nor do repeated ones.
+    """
+    made = sides.select("project_id", "role_ord").distinct().withColumn("_made", F.lit(True))
+    counted = roles.join(made, ["project_id", "role_ord"], "left").groupBy("project_id").agg(F.count("*").alias("total"), F.count_if("done").alias("done"), F.count_if("_made").alias("ready"))
+    shown = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" done"))
+    download = F.when(F.col("ready") > 0, F.concat(F.lit("Download All ("), F.col("ready").cast("string"), F.lit(")")))
+    return counted.select("*", shown.alias("done_label"), download.alias("download_label"))
+
+
+def sides_to_make(roles: DataFrame, sides: DataFrame) -> DataFrame:
+    """The roles (project_id, role_ord, ...) that have no sides yet, numbered from 1 in each project."""
+    left = roles.join(sides.select("project_id", "role_ord"), ["project_id", "role_ord"], "left_anti")
+    return left.withColumn("nth", F.row_number().over(Window.partitionBy("project_id").orderBy("role_ord")))
+
+
 def settings_or_defaults(users: DataFrame, settings: DataFrame, defaults: dict[str, str | None]) -> DataFrame:
     """One row per user; defaults hold only for users without a row, a stored NULL stays."""
     found = users.join(settings.withColumn("_there", F.lit(True)), "user_id", "left")
