@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a piece of text, a word up to white space or 16 bytes of a longer one, in both
-directions and gives every position a probability for each language. It is trained in numpy by backpropagation
-through time on a bounded sample. A document's probability is the normalised geometric mean over all of its
-positions, so each distinct piece is read once as long as the bounded cache holds it.
+The network reads whole texts, byte by byte in both directions, and gives every position a probability for each
+language. Texts are read in windows, for numpy works on many at once; each direction begins OVERLAP bytes before the
+positions of its window that count, so states carry over blanks, words and the edges of windows. It is trained in
+numpy by backpropagation through time on a bounded sample of stretches of text. A document's probability is the
+normalised geometric mean over all of its positions.
 """
 
 from __future__ import annotations
@@ -17,26 +18,35 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder
 
-#: Documents and pieces of each that the network is trained on at most, over all languages.
-SAMPLE_DOCS, SAMPLE_PIECES = 6000, 64
-HIDDEN, PIECE_BYTES, BATCH, STEPS, RATE = 16, 16, 256, 2500, 0.02
-CACHED_PIECES, READ_PIECES = 250_000, 400_000
+#: Documents and stretches of each that the network is trained on at most, over all languages, and a stretch's bytes.
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_BYTES = 6000, 64, 32
+HIDDEN, BATCH, STEPS, RATE = 16, 256, 1500, 0.02
+#: Positions of a window that count, bytes read before and after them, windows that are read at once.
+WINDOW, OVERLAP, AT_ONCE = 128, 16, 512
+#: Bytes of text that wait at most until they are read together, besides one text.
+WAITING = 4 << 20
 #: Least probability that a position can give a language.
 FLOOR = 1e-4
 FOLDS, HELD_OUT = 4, 2
 LETTER = r"[^\W\d_]"
 
 
-def pieces(text: str) -> list[bytes]:
-    """Words with a blank behind them, in bytes; longer ones are cut."""
-    found = [w + b" " for w in text.encode().split()]
-    if max(map(len, found), default=0) <= PIECE_BYTES:
-        return found
-    return [w[i : i + PIECE_BYTES] for w in found for i in range(0, len(w), PIECE_BYTES)]
+def plain(text: str) -> bytes:
+    """The bytes of a text with single blanks between its words and one behind the last."""
+    return b" ".join([*text.encode().split(), b""])
+
+
+def windows(data: bytes):
+    """(windows, OVERLAP + WINDOW + OVERLAP) bytes, with blanks before and behind the text."""
+    import numpy as np
+
+    n = -(-len(data) // WINDOW)
+    padded = np.frombuffer(b" " * OVERLAP + data + b" " * (n * WINDOW - len(data) + OVERLAP), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 2 * OVERLAP)[::WINDOW]
 
 
 class Network:
-    """Parameters by name; forward and backward over pieces of one length."""
+    """Parameters by name; forward and backward over stretches of one length."""
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7) -> None:
         import numpy as np
@@ -67,19 +77,58 @@ class Network:
             states.append(h)
         return states, kept
 
+    def _read(self, d: str, x):
+        """(positions, stretches, hidden): the states of _run, in fewer steps."""
+        import numpy as np
+
+        n, h = self.hidden, np.zeros((len(x), self.hidden), np.float32)
+        into, both = self.p[f"{d}_in"], np.concatenate([self.p[f"{d}_gates"], self.p[f"{d}_new"]], 1)
+        states, half = np.empty((x.shape[1], len(x), n), np.float32), np.float32(0.5)
+        for t in range(x.shape[1]):
+            e, a = into[x[:, t]], h @ both
+            g = e[:, : 2 * n] + a[:, : 2 * n]  # 1 / (1 + exp(-g)) = (tanh(g / 2) + 1) / 2
+            g *= half
+            np.tanh(g, out=g)
+            g *= half
+            g += half
+            c = a[:, 2 * n :] * g[:, :n]
+            c += e[:, 2 * n :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= g[:, n:]
+            h += c
+            states[t] = h
+        return states
+
+    @staticmethod
+    def _shares(logits):
+        import numpy as np
+
+        logits -= logits.max(-1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(-1, keepdims=True)
+        return logits
+
     def probabilities(self, x, keep: bool = False):
-        """(pieces, positions) of bytes -> (pieces, positions, languages)."""
+        """(stretches, positions) of bytes -> (stretches, positions, languages)."""
         import numpy as np
 
         fore, f_kept = self._run("fore", x, keep)
         back, b_kept = self._run("back", x[:, ::-1], keep)
         states = np.concatenate([np.stack(fore, 1), np.stack(back[::-1], 1)], 2)
-        logits = states @ self.p["out"] + self.p["bias"]
-        logits -= logits.max(2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(2, keepdims=True)
+        logits = self._shares(states @ self.p["out"] + self.p["bias"])
         return (logits, states, f_kept, b_kept) if keep else logits
 
+    def log_probabilities(self, x, before: int, behind: int):
+        """(positions, stretches, languages) without the first ``before`` and last ``behind`` positions, which are read only."""
+        import numpy as np
+
+        end, n = x.shape[1] - behind, self.hidden
+        fore = self._read("fore", x[:, :end])[before:]
+        back = self._read("back", x[:, before:][:, ::-1])[behind:][::-1]
+        p = self._shares(fore @ self.p["out"][:n] + back @ self.p["out"][n:] + self.p["bias"])
+        return np.log(np.maximum(p, np.float32(FLOOR), out=p), out=p)
+
     def _through_time(self, d: str, x, kept, outer, grads) -> None:
         import numpy as np
 
@@ -121,7 +170,7 @@ class Network:
 
 
 def train(samples: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -> Network | None:
-    """Adam over batches of pieces of one length, languages drawn alike often."""
+    """Adam over batches of stretches of one length, languages drawn alike often."""
     import numpy as np
 
     languages = sorted({lang for lang, _ in samples})
@@ -150,91 +199,76 @@ def train(samples: list[tuple[str, bytes]], steps: int = STEPS, seed: int = 7) -
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> pieces with letters, at most SAMPLE_PIECES distinct ones of a text, spread by hash."""
+    """(lang, text) -> stretches with letters, at most SAMPLE_PIECES distinct ones of a text, spread by hash."""
     import re
 
     import xxhash
 
     letter = re.compile(LETTER).search
     for batch in batches:
-        rows = [(lang, p) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in sorted({p for p in pieces(text) if letter(p.decode("utf-8", "ignore"))}, key=lambda p: (xxhash.xxh64_intdigest(p), p))[:SAMPLE_PIECES]]
+        rows = []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = plain(text)
+            held = {data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)}
+            rows += [(lang, p) for p in sorted((p for p in held if letter(p.decode("utf-8", "ignore"))), key=lambda p: (xxhash.xxh64_intdigest(p), p))[:SAMPLE_PIECES]]
         yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "piece": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def sample(docs: DataFrame, count: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """(lang, piece) of about as many documents of each language, chosen by a hash of the id."""
+    """(lang, stretch) of about as many documents of each language, chosen by a hash of the id."""
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return []
     each = max(1, count // len(sizes))
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))) for lang, n in sorted(sizes.items())))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    below = lambda n: min((1 << 63) - 1, each * (1 << 64) // n - (1 << 63))  # noqa: E731  a share of all hashes, exact for any number of rows
+    most = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(below(n)).cast("long")) for lang, n in sorted(sizes.items())))
+    chosen = docs.where(F.xxhash64("doc_id") <= most).select("lang", "text")
     rows = chosen.mapInArrow(_sampled, "lang string, piece binary").toArrow()
     return list(zip(rows.column("lang").to_pylist(), rows.column("piece").to_pylist(), strict=True))
 
 
-class Reader:
-    """Sums of a network's log-probabilities over the positions of pieces; each is read once while the cache holds it."""
-
-    def __init__(self, net: Network) -> None:
-        self.net, self.place, self.sums = net, {}, None
-
-    def read(self, wanted: set[bytes]) -> None:
-        import numpy as np
-
-        if len(self.place) > CACHED_PIECES:
-            self.place.clear()
-        new = sorted(wanted.difference(self.place), key=len)
-        room = len(self.place) + len(new)
-        if self.sums is None or room > len(self.sums):
-            grown = np.zeros((max(room, CACHED_PIECES), len(self.net.languages)), np.float32)
-            if self.sums is not None:
-                grown[: len(self.sums)] = self.sums
-            self.sums = grown
-        at = 0
-        while at < len(new):
-            n, end = len(new[at]), at
-            while end < len(new) and len(new[end]) == n and end - at < 4096:
-                end += 1
-            x, first = np.frombuffer(b"".join(new[at:end]), np.uint8).reshape(-1, n), len(self.place)
-            self.sums[first : first + end - at] = np.log(np.maximum(self.net.probabilities(x), FLOOR)).sum(1)
-            self.place.update(zip(new[at:end], range(first, first + end - at), strict=True))
-            at = end
-
-    def judge(self, held: list[bytes]) -> tuple[str, float]:
-        import numpy as np
+def judged(net: Network, texts: list[bytes]) -> list[tuple[str, float]]:
+    """(language, probability) of each text, none of which is empty."""
+    import numpy as np
 
-        index = np.fromiter(map(self.place.__getitem__, held), np.int64, len(held))
-        mean = self.sums[index].sum(0, dtype=np.float64) / sum(map(len, held))
-        p = np.exp(mean - mean.max())
-        best = int(p.argmax())
-        return self.net.languages[best], float(p[best] / p.sum())
+    held = [windows(t) for t in texts]
+    begins = np.concatenate([[0], np.cumsum([len(w) for w in held])])
+    x = np.concatenate(held)
+    sums = np.zeros((len(x), len(net.languages)), np.float64)
+    left = np.full(len(x), WINDOW)  # positions of each window that are text
+    left[begins[1:] - 1] = [len(t) - (len(w) - 1) * WINDOW for t, w in zip(texts, held, strict=True)]
+    for at in range(0, len(x), AT_ONCE):
+        logs = net.log_probabilities(x[at : at + AT_ONCE], OVERLAP, OVERLAP)
+        counts = np.arange(WINDOW)[:, None] < left[None, at : at + AT_ONCE]
+        sums[at : at + AT_ONCE] = np.einsum("tbl,tb->bl", logs, counts, dtype=np.float64)
+    mean = np.add.reduceat(sums, begins[:-1]) / np.array([len(t) for t in texts])[:, None]
+    p = Network._shares(mean)
+    best = p.argmax(1)
+    return [(net.languages[k], float(p[i, k])) for i, k in enumerate(best)]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
-    """Reads the pieces of as many documents together as hold READ_PIECES."""
+    """Reads as many documents together as hold WAITING bytes, or one that is longer."""
     import re
 
-    letter, reader = re.compile(LETTER).search, Reader(net) if net else None
-    waiting: list[tuple] = []
+    letter, waiting, size = re.compile(LETTER).search, [], 0
 
-    def judged():
-        reader and reader.read({p for _, held in waiting for p in held})
-        rows = [(doc_id, *(reader.judge(held) if held else ("und", 0.0))) for doc_id, held in waiting]
+    def read():
+        found = iter(judged(net, texts) if (texts := [t for _, t in waiting if t]) else [])
+        rows = [(doc_id, *(next(found) if text else ("und", 0.0))) for doc_id, text in waiting]
         waiting.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.float64()), strict=True)], ["doc_id", "lang_pred", "score"])
 
-    size = 0
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held = pieces(text) if reader and text and letter(text) else []
-            waiting.append((doc_id, held))
-            size += len(held) + 1
-            if size > READ_PIECES:
-                yield judged()
+            data = plain(text) if net and text and letter(text) else b""
+            waiting.append((doc_id, data))
+            size += len(data) + 64
+            if size > WAITING:
+                yield read()
                 size = 0
     if waiting:
-        yield judged()
+        yield read()
 
 
 def identify(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, steps: int = STEPS) -> DataFrame:
@@ -242,7 +276,7 @@ def identify(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, step
 
     Learns from documents with a language whose crc32 of the id leaves another remainder than ``held_out``.
     Texts that are null or hold no letter, and all if there is nothing to learn from, are ``und`` with score 0.
-    Null ids count as the empty text; repeated rows stay; other columns are ignored.
+    Null ids count as the empty text; repeated rows stay; other columns are ignored. Blanks count as one each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held = id_remainder(F.col("doc_id"), folds) == held_out

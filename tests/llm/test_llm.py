@@ -241,6 +241,66 @@ def test_language_on_held_out(spark):
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.9 * len(rows)
 
 
+def read_by_loop(net, data: bytes) -> list[list[float]]:
+    """Log-probabilities of each byte of a text, from sums over single numbers, for windows and overlaps as documented."""
+    import math
+
+    n, p = net.hidden, net.p
+
+    def state(d, h, byte):
+        e = p[f"{d}_in"][byte].tolist()
+        dot = lambda m, k: sum(h[i] * float(m[i][k]) for i in range(n))
+        gate = [1 / (1 + math.exp(-(e[k] + dot(p[f"{d}_gates"], k)))) for k in range(2 * n)]
+        new = [math.tanh(e[2 * n + k] + gate[k] * dot(p[f"{d}_new"], k)) for k in range(n)]
+        return [gate[n + k] * h[k] + (1 - gate[n + k]) * new[k] for k in range(n)]
+
+    padded = b" " * langid.OVERLAP + data + b" " * (langid.WINDOW + langid.OVERLAP)
+    found = []
+    for at in range(0, len(data), langid.WINDOW):
+        window = padded[at : at + langid.WINDOW + 2 * langid.OVERLAP]
+        fore, back, h = [], [], [0.0] * n
+        for byte in window:
+            h = state("fore", h, byte)
+            fore.append(h)
+        h = [0.0] * n
+        for byte in reversed(window):
+            h = state("back", h, byte)
+            back.insert(0, h)
+        for t in range(langid.OVERLAP, langid.OVERLAP + min(langid.WINDOW, len(data) - at)):
+            logit = [sum(v * float(p["out"][i][k]) for i, v in enumerate(fore[t] + back[t])) + float(p["bias"][k]) for k in range(len(net.languages))]
+            total = sum(map(math.exp, logit))
+            found.append([math.log(max(math.exp(v) / total, langid.FLOOR)) for v in logit])
+    return found
+
+
+def test_language_of_whole_texts_against_loop():
+    import math
+
+    samples = [(lang, t.encode()[i : i + 32]) for lang, t in (("xx", "aba abba bab " * 40), ("yy", "bcb cbbc bcc " * 40)) for i in range(0, 300, 7)]
+    net = langid.train(samples, steps=30)
+    held = [langid.plain(t) for t in ("ab", "aba bcb " * 40, "abba", "x" * 128, "bab " * 64, "cbbc\n\nbcb  " + "bcc aba " * 17)]
+    for data, (lang, score) in zip(held, langid.judged(net, held), strict=True):
+        logs = read_by_loop(net, data)
+        mean = [sum(c) / len(data) for c in zip(*logs, strict=True)]
+        p = [math.exp(m - max(mean)) for m in mean]
+        assert len(logs) == len(data) and abs(max(p) / sum(p) - score) < 1e-4 and lang == net.languages[p.index(max(p))]
+
+
+def test_states_carry_over_blanks():
+    net = langid.Network(["a", "b"], seed=3)
+    x = np.frombuffer(b"one two three  ten two three  ", np.uint8).reshape(2, 15)
+    logs = net.log_probabilities(x, 0, 0)
+    assert np.abs(logs[5, 0] - logs[5, 1]).max() > 1e-6  # in the second word, behind different first ones
+    assert np.abs(net.log_probabilities(x, 4, 4) - logs[4:-4]).max() < 1e-5
+    assert np.abs(np.exp(logs.transpose(1, 0, 2)) - net.probabilities(x)).max() < 1e-5
+
+
+def test_shipped_language_model(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet".replace("0.001", "0.01"))
+    rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 200 and sum(r.lang_pred == r.lang for r in rows) >= 0.99 * len(rows)
+
+
 def test_language_odd(docs, empty):
     got = [(r.doc_id, r.lang_pred) for r in langid.identify(docs, steps=5).collect()]
     assert len(got) == docs.count() and {p for i, p in got if i in (7, 8, 9, 14)} == {"und"} and {p for i, p in got if i in (10, 13)} <= {"en", "de"}
