@@ -59,7 +59,7 @@ def _write_archives(batches: Iterator[pa.RecordBatch], base: str, archive_bytes:
         for page_id, url, payload, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if out is None:
                 name, size, records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                out = store.open_output_stream(f"{path}/{name}")
+                out = store.open_output_stream(f"{path}/{name}", compression=None)  # the name would have it compressed again
             member = record(page_id, url, payload, digest, refers_to)
             out.write(member)
             size, records = size + len(member), records + 1
@@ -176,7 +176,7 @@ def _read_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for uri in batch.column(0).to_pylist():
             store, path = fs.FileSystem.from_uri(uri)
             rows = []
-            with store.open_input_stream(path) as raw:
+            with store.open_input_stream(path, compression=None) as raw:
                 for row in records(raw):
                     rows.append(row)
                     if len(rows) == 5000:
@@ -189,11 +189,16 @@ def _read_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_warc(archives: DataFrame) -> DataFrame:
     """One row per record of the archives in column ``path``, each read from front to end in bounded memory.
 
-    Raises if a digest differs; a null path is skipped.
+    Raises if a digest differs, or if a revisit names a page that has no response of its digest and length; revisits
+    that name no page are taken as they are. A null path is skipped.
     """
     n = max(1, archives.count())
-    rows = archives.where("path is not null").select("path").repartition(n).mapInArrow(_read_archives, _ROW)
-    return rows.where(F.when(F.col("digest_ok"), True).otherwise(F.raise_error(F.concat(F.lit("digest differs for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?"))))))
+    rows = stored(archives.where("path is not null").select("path").repartition(n).mapInArrow(_read_archives, _ROW), "records")
+    responses = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("known")).distinct()
+    read = rows.join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    fails = lambda bad, what: F.when(bad, F.raise_error(F.concat(F.lit(f"{what} page "), F.coalesce(F.col("page_id").cast("string"), F.lit("?")))))
+    unknown = (F.col("record_type") == "revisit") & F.col("refers_to").isNotNull() & F.col("known").isNull()
+    return read.where(F.coalesce(fails(~F.col("digest_ok"), "digest differs for"), fails(unknown, "no response for the revisit of"), F.lit(True))).select(*rows.columns)
 
 
 def roundtrip(spark: SparkSession, pages: DataFrame) -> DataFrame:
