@@ -77,13 +77,12 @@ def _string(v: Column, path: str) -> Column:
 def _members(v: Column, *without: str) -> Column:
     """The members of an object, as ``"a":1,"b":2``, but for some."""
     left = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*without))
-    text = F.to_json(left)
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+    return js.let(F.to_json(left), lambda text: F.substring(text, F.lit(2), F.length(text) - 2))
 
 
 def _object(*members: Column) -> Column:
     """An object of the members that there are."""
-    return F.concat(F.lit("{"), F.array_join(F.array(*map(js.truthy, members)), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.filter(F.array(*members), lambda m: m != ""), ","), F.lit("}"))
 
 
 def _list(name: str, items: Column) -> Column:

@@ -46,12 +46,15 @@ def escaped_line_feed(c: Column | str) -> Column:
     it, and a second one mends what follows a mark. Both take what they have read for good, so neither reads a part of
     the text more than a few times. Texts without a line feed are not touched.
     """
-    c = js.col(c)
     own, last, line = f"{MARK}0", f"{MARK}1", f'[^"{LINE_ENDS}]'
-    free = F.replace(c, F.lit(MARK), F.lit(own))
-    marked = F.regexp_replace(free, f'(":(?:{line}*+")++)', f"$1{last}")
-    mended = F.regexp_replace(marked, rf'"{last}((?>[^"]*(?=\n)))\n([^"\n]*+)"(?={SPACE}*+[,}}\]])', r'"$1\\n$2"')
-    return F.when(F.contains(c, F.lit("\n")), F.replace(F.replace(mended, F.lit(last), F.lit("")), F.lit(own), F.lit(MARK))).otherwise(c)
+
+    def mended(text: Column) -> Column:
+        free = F.replace(text, F.lit(MARK), F.lit(own))
+        marked = F.regexp_replace(free, f'(":(?:{line}*+")++)', f"$1{last}")
+        escaped = F.regexp_replace(marked, rf'"{last}((?>[^"]*(?=\n)))\n([^"\n]*+)"(?={SPACE}*+[,}}\]])', r'"$1\\n$2"')
+        return F.when(F.contains(text, F.lit("\n")), F.replace(F.replace(escaped, F.lit(last), F.lit("")), F.lit(own), F.lit(MARK))).otherwise(text)
+
+    return js.let(js.col(c), mended)
 
 
 def chunk_repair(c: Column | str) -> Column:
