@@ -588,14 +588,14 @@ def test_ten_queries():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
 
 
-def test_pipeline_stages(spark, docs):
+def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     tables = {"documents": docs.select(*columns)}
     held = tables["documents"].union(spark.createDataFrame([(900, "a clean text with lines\nof its own making", "en", "s", 40)], tables["documents"].schema))
-    held.write.mode("overwrite").parquet("/tmp/quillmill-test-stage")
-    held = spark.read.parquet("/tmp/quillmill-test-stage")
+    held.write.mode("overwrite").parquet(f"{tmp_path}/docs")
+    held = spark.read.parquet(f"{tmp_path}/docs")
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, held, SF_DIR)
         assert out.columns == columns
