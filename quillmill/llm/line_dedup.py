@@ -7,9 +7,9 @@ latter stands between two common words at most, so among the d + 1 first pairs o
 in neither line. In a line of n words, of which u are its own and v the other's, it ends at place 2 u + v + 2 or before,
 and 4 (u + v) <= n - u makes that 2 n / 5 + 2. Pairs of rare words seldom meet by chance, so most keys have one
 line and go in the first aggregation; lengths, places, how many keys are shared and a parity map rule out nearly all
-other candidates. Every word
-toggles one of 64 bits, so the maps of two lines never differ in more bits than the lines differ in words. What is left
-is compared word for word.
+other candidates. Every
+word toggles one of 128 bits, so the maps of two lines never differ in more bits than the lines differ in words. What is
+left is compared word for word.
 
 Each line is first compared with those lines that are the earliest of most of its shared keys; pairs are formed only
 where the later line is not settled by them, so a group of near copies costs a few comparisons a line.
@@ -24,7 +24,7 @@ from .common import discard, stored
 
 SIMILARITY_PERCENT = 80
 #: Words are counted by 2 ** CLASS_BITS classes of their hashes; the table of classes has a byte for each.
-CLASS_BITS = 16
+CLASS_BITS = 18
 #: Earliest lines that a line is first compared with, and the share of its keys, one in so many, that has to name one.
 WITNESSES, NAMED_BY = 2, 8
 #: Stands for a null id, as rows without one come last.
@@ -63,17 +63,17 @@ def _class(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")
 
 
-def _parity(ranked: Column) -> Column:
-    """A map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(ranked: Column, half: int) -> Column:
+    """One half of a map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
+    bit = lambda x: F.call_function("shiftleft", F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(ranked, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
 
 
 def distinct_lines(named: DataFrame) -> DataFrame:
-    """(id, place, n, p, words) for every distinct line with a word.
+    """(id, place, n, p, q, words) for every distinct line with a word.
 
-    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` their parity map, and ``words`` 31
-    bits of each word of the prefix, rare ones first.
+    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity map, and
+    ``words`` 31 bits of each word of the prefix, rare ones first.
     """
     texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
     table = F.lit(rarity_table(texts.select("text")))
@@ -85,9 +85,9 @@ def distinct_lines(named: DataFrame) -> DataFrame:
     n = F.size("ranked")
     prefix = F.transform(F.slice("ranked", F.lit(1), _prefix(n)), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
-    each = ranked.select("a", "b", place, n.alias("n"), _parity(F.col("ranked")).alias("p"), prefix.alias("words"))
-    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "words")))
-    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "words"), "lines")
+    each = ranked.select("a", "b", place, n.alias("n"), _parity(F.col("ranked"), 0).alias("p"), _parity(F.col("ranked"), 1).alias("q"), prefix.alias("words"))
+    one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "words")))
+    return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "words"), "lines")
 
 
 def _entries(lines: DataFrame) -> DataFrame:
@@ -100,7 +100,8 @@ def _entries(lines: DataFrame) -> DataFrame:
 
 def _differing(a: str, b: str) -> Column:
     """Bits that differ between the parity maps of two lines: no more than words that only one of them has."""
-    return F.bit_count(F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")))
+    bits = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return bits("p") + bits("q")
 
 
 def _may_agree(a: str, b: str) -> Column:
@@ -119,7 +120,7 @@ def _placed_well(a: str, b: str) -> Column:
 
 def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the later line of every pair (x, y) whose word sets are similar indeed."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(lines.select("id", "place"), "id")
+    wanted = pairs.select(F.col("x").alias("id")).distinct().union(pairs.select("y").distinct()).distinct().join(lines.select("id", "place"), "id")
     by_row = wanted.groupBy("place.row").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))  # no more than the row has lines
     texts = named.select("row", _spaced(F.col("doc.text")).alias("text")).join(by_row, "row").select(F.split("text", "\n").alias("lines"), "wanted")
     each = stored(texts.select("lines", F.explode("wanted").alias("w")).select("w.id", "w.place", F.get("lines", F.col("w.place.pos")).alias("line")), "candidate-lines")
@@ -134,12 +135,12 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """(key, id, i, n, p, doc, first) for the entries whose key has several lines, ``first`` being one of the earliest document among them."""
+    """(key, id, i, n, p, q, doc, first) for the entries whose key has several lines, ``first`` being one of the earliest document among them."""
     entries = _entries(lines)
     firsts = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", "doc").alias("first")).where("lo < hi").select("key", "first")
     firsts = stored(firsts, "shared-keys")  # the shuffle files of the counts go before the entries are shuffled again
-    known = lines.select("id", "n", "p", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"))
-    shared = stored(entries.select("key", "id", "i").join(firsts, "key").join(known, "id").select("key", "id", "i", "n", "p", "doc", "first"), "shared-entries")
+    known = lines.select("id", "n", "p", "q", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"))
+    shared = stored(entries.select("key", "id", "i").join(firsts, "key").join(known, "id").select("key", "id", "i", "n", "p", "q", "doc", "first"), "shared-entries")
     discard(firsts)
     return shared
 
@@ -162,8 +163,8 @@ def _enough(n: Column, m: Column, keys: Column) -> Column:
 
 def _settled(shared: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the lines found similar to one of the WITNESSES lines that are first for most of their keys."""
-    met = shared.where("id <> first").groupBy("id", "n", "p", "first").agg(F.count("*").alias("keys")).where(F.col("keys") * NAMED_BY >= _prefix(F.col("n")) - 1)
-    met = met.select(F.struct("id", "n", "p").alias("a"), "first", "keys").join(lines.select(F.col("id").alias("first"), F.struct("id", "n", "p").alias("b")), "first").where(_may_agree("a", "b"))
+    met = shared.where("id <> first").groupBy("id", "n", "p", "q", "first").agg(F.count("*").alias("keys")).where(F.col("keys") * NAMED_BY >= _prefix(F.col("n")) - 1)
+    met = met.select(F.struct("id", "n", "p", "q").alias("a"), "first", "keys").join(lines.select(F.col("id").alias("first"), F.struct("id", "n", "p", "q").alias("b")), "first").where(_may_agree("a", "b"))
     rank = F.struct((-F.col("keys")).alias("keys"), _differing("a", "b").alias("bits"), F.col("b.id").alias("y"))
     best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_list(rank)), 1, WITNESSES).alias("best"))  # NAMED_BY at most
     pairs = stored(best.select("x", F.explode("best.y").alias("y")), "first-pairs")
