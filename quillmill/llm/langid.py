@@ -20,7 +20,7 @@ from .common import id_remainder
 
 #: Documents and stretches of each that the network is trained on at most, over all languages, and a stretch's bytes.
 SAMPLE_DOCS, SAMPLE_PIECES, PIECE_BYTES = 6000, 64, 32
-HIDDEN, BATCH, STEPS, RATE = 16, 256, 1500, 0.02
+HIDDEN, BATCH, STEPS, RATE = 16, 256, 600, 0.02
 #: Positions of a window that count, bytes read before and after them, windows that are read at once.
 WINDOW, OVERLAP, AT_ONCE = 128, 16, 512
 #: Bytes of text that wait at most until they are read together, besides one text.
