@@ -43,7 +43,7 @@ def test_repairs_take_time_with_the_length_only(spark):
     for text in hard:
         began = time.perf_counter()
         column(spark, F.length(repair.without_controls(repair.single_repair("t"))), [text])
-        assert time.perf_counter() - began < 6, text[:40]
+        assert time.perf_counter() - began < 15, text[:40]
 
 
 def loads(text):
