@@ -2,10 +2,12 @@
 
 The words of the whole corpus are counted once. The byte-context trie holds, for every word, each byte after
 its contexts of up to ``ORDER`` preceding bytes, counted as often as the word occurs; contexts begin anew at
-white space, with a mark for the text's class. Trie nodes rarer than a limit that keeps the trie within a fixed
-size are pruned, and their mass becomes part of the escape estimate of their context. A word's code length is
+white space, with a mark for the text's class. The trie is a table of all contexts, none is left out: contexts
+of more than one byte are dealt by their last two bytes and sorted backwards, so the shorter contexts that a
+symbol escapes to come right before the longer ones. A word's code length is
 the sum over its bytes of the longest context's estimate, with escapes to shorter contexts that exclude the
-symbols already ruled out. Each distinct word is coded once, on the executors. A document's code length is that
+symbols already ruled out. Each distinct word is coded once, on the executors: estimates of the most frequent
+contexts and symbols are in a table of fixed size, all others come by a join. A document's code length is that
 of its class and its tokens, adapted to what it has said before: the pretrained estimate counts as much as
 ``WEIGHT`` earlier tokens. Sums run over each document's distinct words: those among the most frequent by a
 table of fixed size, all others by a join with the word counts.
@@ -18,19 +20,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_remainder, stored
 
-#: Longest context, trie nodes kept at most, words in the table of frequent words, entries counted before they are handed on.
+#: Longest context, estimates in the table of frequent ones, words in the table of frequent words, entries counted before they are handed on.
 ORDER, NODES, FREQUENT, COUNTED = 5, 400_000, 200_000, 400_000
 FOLDS, HELD_OUT = 5, 1
 #: Tokens that the pretrained estimate counts for against a document's own.
 WEIGHT = 2000.0
-#: Classes at most, documents that the classifier is fitted to at most, words of each class that it knows.
-CLASSES, SAMPLE, CLASS_WORDS = 8, 4000, 3000
-#: Symbols that no UTF-8 word holds: the begin of a word in class 0, 1 ..., its end, the end of a text.
+#: Documents that the classifier is fitted to, over all languages, and words of each language that it knows.
+SAMPLE, CLASS_WORDS = 4000, 3000
+#: Symbols that no UTF-8 word holds: the first digit of the mark of a class, the end of a word, the end of a text.
 BEGIN, WORD_END, TEXT_END = 0xF8, b"\n", b"\x0b"
 #: Discount of a symbol's count, which is given to the escape.
 DISCOUNT = 0.5
@@ -50,18 +52,32 @@ def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in counts], pa.string()), "word": pa.array([w.decode() for _, w in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
 
-def classifier(sample: DataFrame, classes: int, words: int):
-    """(lang, text) -> place of each known word, and their log-probabilities in the most frequent languages.
+def class_sample(docs: DataFrame, count: int = SAMPLE) -> DataFrame:
+    """(lang, text) of about as many documents of each language, chosen by a hash of the id; every language of docs is there."""
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.xxhash64("doc_id")).alias("least")).collect()  # one row a language
+    if not sizes:
+        return docs.select("lang", "text")
+    each = -(-count // len(sizes))
+    below = lambda r: max(r["least"], min((1 << 63) - 1, each * (1 << 64) // r["n"] - (1 << 63)))  # noqa: E731  a share of all hashes
+    most = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(below(r)).cast("long")) for r in sorted(sizes)))
+    return docs.where(F.xxhash64("doc_id") <= most).select("lang", "text")
+
+
+def classifier(sample: DataFrame, words: int):
+    """(lang, text) -> place of each known word, and their log-probabilities in every language, those with most words first.
 
     Known are each language's most frequent words.
     """
     import numpy as np
 
     counts = stored(sample.mapInArrow(_class_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "class-words")
-    langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(classes).collect()]
-    held = [{r["word"].encode(): r["n"] for r in counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words).collect()} for lang in langs]
-    place = {w: i for i, w in enumerate(sorted({w for h in held for w in h}))}
-    n = np.array([[h.get(w, 0) for h in held] for w in place], float).reshape(len(place), len(held)) + 0.1
+    langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    held: dict[str, dict[bytes, int]] = {lang: {} for lang in langs}
+    for r in counts.withColumn("nth", nth).where(F.col("nth") <= words).collect():
+        held[r["lang"]][r["word"].encode()] = r["n"]
+    place = {w: i for i, w in enumerate(sorted({w for h in held.values() for w in h}))}
+    n = np.array([[h.get(w, 0) for h in held.values()] for w in place], float).reshape(len(place), len(held)) + 0.1
     return place, np.log(n / n.sum(0))
 
 
@@ -103,22 +119,38 @@ def symbols(word: str) -> bytes:
     return word.encode() + WORD_END if word else TEXT_END
 
 
+def mark(k: int) -> bytes:
+    """The begin of a word in class k: its digits to base 8, which are symbols that nothing else holds."""
+    return (mark(k >> 3) if k > 7 else b"") + bytes([BEGIN + (k & 7)])
+
+
+def windows(word: str, k: int, order: int) -> list[bytes]:
+    """Every symbol of a token in class k behind its longest context."""
+    begin = mark(k)
+    coded = begin + symbols(word)
+    return [coded[max(0, end - order) : end + 1] for end in range(len(begin), len(coded))]
+
+
 def _handed_on(counts: dict[bytes, int]) -> pa.RecordBatch:
     batch = pa.RecordBatch.from_pydict({"gram": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
     counts.clear()
     return batch
 
 
+def _by_context(counts: dict[bytes, int]) -> pa.RecordBatch:
+    batch = pa.RecordBatch.from_pydict({"back": pa.array([g[-2::-1] if len(g) > 1 else b"" for g in counts], pa.binary()), "symbol": pa.array([g[-1] for g in counts], pa.int32()), "n": pa.array(counts.values(), pa.int64())})
+    counts.clear()
+    return batch
+
+
 def _count_windows(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(word, occurrences by class) -> (gram, n) for every symbol with its longest context."""
+    """(word, trained occurrences by class, all by class) -> (gram, n) for every symbol with its longest context; n is 0 where none is trained."""
     counts: dict[bytes, int] = {}
     for batch in batches:
-        for word, by_class in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, n in enumerate(by_class):
-                if n:
-                    coded = bytes([BEGIN + k]) + symbols(word)
-                    for end in range(2, len(coded) + 1):
-                        gram = coded[max(0, end - 1 - order) : end]
+        for word, trained, every in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k, n in enumerate(trained):
+                if every[k]:
+                    for gram in windows(word, k, order):
                         counts[gram] = counts.get(gram, 0) + n
             if len(counts) > COUNTED:
                 yield _handed_on(counts)
@@ -127,25 +159,25 @@ def _count_windows(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa
 
 
 def _count_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) -> the same symbols after each shorter context, and after this one."""
+    """(gram, n) -> (context backwards, symbol, n) after this context and, of what is trained, after each shorter one."""
     counts: dict[bytes, int] = {}
     for batch in batches:
         for gram, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for begin in range(len(gram)):
+            for begin in range(len(gram) if n else 1):
                 counts[gram[begin:]] = counts.get(gram[begin:], 0) + n
         if len(counts) > COUNTED:
-            yield _handed_on(counts)
+            yield _by_context(counts)
     if counts:
-        yield _handed_on(counts)
+        yield _by_context(counts)
 
 
 def count_grams(words: DataFrame, order: int) -> DataFrame:
-    """(word, occurrences by class) -> (gram, n) for every context with its next symbol.
+    """(word, trained occurrences by class, all by class) -> (back, symbol, n) for every context, backwards, with its next symbol.
 
     The longest contexts are counted over words, the shorter ones over what is then distinct.
     """
     longest = words.mapInArrow(lambda b: _count_windows(b, order), "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return longest.mapInArrow(_count_suffixes, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return longest.mapInArrow(_count_suffixes, "back binary, symbol int, n long").groupBy("back", "symbol").agg(F.sum("n").alias("n"))
 
 
 def trie(grams: list[tuple[bytes, int]]) -> dict[bytes, tuple[int, int, dict[int, int]]]:
@@ -187,10 +219,8 @@ def symbol_log(context: bytes, symbol: int, nodes: dict[bytes, tuple[int, int, d
 
 def code_length(word: str, k: int, nodes, order: int, known: dict[bytes, float] | None = None) -> float:
     """log10 of a token's probability in class k; known keeps what was found for a context and symbol."""
-    coded, total = bytes([BEGIN + k]) + symbols(word), 0.0
-    known = {} if known is None else known
-    for at in range(1, len(coded)):
-        gram = coded[max(0, at - order) : at + 1]
+    total, known = 0.0, {} if known is None else known
+    for gram in windows(word, k, order):
         log = known.get(gram)
         if log is None:
             log = known[gram] = symbol_log(gram[:-1], gram[-1], nodes)
@@ -198,14 +228,107 @@ def code_length(word: str, k: int, nodes, order: int, known: dict[bytes, float]
     return total
 
 
-def _code_words(batches: Iterator[pa.RecordBatch], nodes, order: int) -> Iterator[pa.RecordBatch]:
-    """Adds the code length in every class that has the word."""
-    known: dict[bytes, float] = {}
+def _asked(back: bytes, order: int) -> bool:
+    """Whether a context is the longest one of some symbol: of full length, or from the begin of a word on."""
+    return len(back) == order or back[-1:] >= bytes([BEGIN])
+
+
+def _estimates(batches: Iterator[pa.RecordBatch], shallow, order: int) -> Iterator[pa.RecordBatch]:
+    """(back, symbol, n) sorted by back -> (gram, n, log) for the longest contexts.
+
+    Shorter contexts come before those that end with them, so the ones to escape to are a stack, but for those of one
+    byte at most, which are given.
+    """
+    above: list[tuple[bytes, tuple[int, int, dict[int, int]]]] = []
+    grams, counts, logs = [], [], []
+
+    def close(back: bytes, found: list[tuple[int, int]]) -> None:
+        after = {symbol: n for symbol, n in found if n}
+        total = sum(after.values())
+        while above and not back.startswith(above[-1][0]):
+            above.pop()
+        if after and len(back) > 1:
+            above.append((back, (total, 0, after)))
+        if not _asked(back, order):
+            return
+        context, nodes = back[::-1], None
+        for symbol, n in found:
+            if n:
+                log = math.log10((n - DISCOUNT) / total)
+            else:
+                if nodes is None:
+                    nodes = {b[::-1]: node for b, node in above} | {c: shallow[c] for c in (context[-1:], b"") if c in shallow}
+                log = symbol_log(context, symbol, nodes)
+            grams.append(context + bytes([symbol]))
+            counts.append(n)
+            logs.append(log)
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(counts, pa.int64()), pa.array(logs, pa.float64())], ["gram", "n", "log"])
+        for held in (grams, counts, logs):
+            held.clear()
+        return batch
+
+    last, found = None, []
     for batch in batches:
-        if len(known) > COUNTED:
-            known.clear()
-        coded = [[code_length(w, k, nodes, order, known) if n else None for k, n in enumerate(by_class)] for w, by_class in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(coded, pa.list_(pa.float64()))], ["word", "trained", "n", "coded"])
+        for back, symbol, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if back != last:
+                if found:
+                    close(last, found)
+                last, found = back, []
+            found.append((symbol, n))
+        if grams:
+            yield out()
+    if found:
+        close(last, found)
+    if grams:
+        yield out()
+
+
+def estimates(grams: DataFrame, order: int) -> DataFrame:
+    """(gram, n, log) of every symbol behind its longest context: log10 of its probability. All contexts count."""
+    back = F.col("back")
+    first = grams.where((F.length(back) <= 1) & (F.col("n") > 0)).toArrow()  # at most 257 contexts of 257 symbols
+    shallow = grams.sparkSession.sparkContext.broadcast(trie([(b + bytes([s]), n) for b, s, n in zip(*(first.column(c).to_pylist() for c in ("back", "symbol", "n")), strict=True)]))
+    deep = grams.where((F.length(back) > 1) | (back >= F.lit(bytes([BEGIN])))).repartition(F.substring(back, 1, 2)).sortWithinPartitions("back")
+    return deep.mapInArrow(lambda b: _estimates(b, shallow.value, order), "gram binary, n long, log double")
+
+
+def _code_words(batches: Iterator[pa.RecordBatch], known: dict[bytes, float], order: int) -> Iterator[pa.RecordBatch]:
+    """Adds the code length in every class that has the word, as far as it is known, and the grams that are not, with their class."""
+    kinds = pa.list_(pa.struct([("k", pa.int32()), ("gram", pa.binary())]))
+    for batch in batches:
+        coded, missing = [], []
+        for word, by_class in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            sums, lacks = [], []
+            for k, n in enumerate(by_class):
+                total = 0.0
+                for gram in windows(word, k, order) if n else ():
+                    log = known.get(gram)
+                    if log is None:
+                        lacks.append({"k": k, "gram": gram})
+                    else:
+                        total += log
+                sums.append(total if n else None)
+            coded.append(sums)
+            missing.append(lacks)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(coded, pa.list_(pa.float64())), pa.array(missing, kinds)], [*batch.schema.names[:3], "coded", "missing"])
+
+
+def code_words(words: DataFrame, logs: DataFrame, classes: int, order: int, held: int) -> DataFrame:
+    """(word, trained, n, coded) for words (word, trained, n, in): the code length in each class.
+
+    The estimates of the ``held`` most frequent grams are looked up in tasks, all others by a join.
+    """
+    top = logs.orderBy(F.desc("n"), "gram").limit(held).toArrow()
+    known = words.sparkSession.sparkContext.broadcast(dict(zip(top.column("gram").to_pylist(), top.column("log").to_pylist(), strict=True)))  # at most ``held``
+    kinds = "word string, trained long, n long, coded array<double>, missing array<struct<k int, gram binary>>"
+    partly = stored(words.select("word", "trained", "n", "in").mapInArrow(lambda b: _code_words(b, known.value, order), kinds), "partly-coded")
+    lacks = partly.where(F.size("missing") > 0)
+    found = lacks.select("word", F.explode("missing").alias("m")).select("word", "m.k", F.col("m.gram").alias("gram")).join(logs.select("gram", "log"), "gram")
+    more = found.groupBy("word").agg(F.array(*(F.sum(F.when(F.col("k") == k, F.col("log"))) for k in range(classes))).alias("more"))
+    whole = lacks.join(more, "word").select("word", "trained", "n", F.zip_with("coded", "more", lambda a, b: a + F.coalesce(b, F.lit(0.0))).alias("coded"))
+    return stored(partly.where(F.size("missing") == 0).drop("missing").unionByName(whole), "coded-words")
 
 
 def frequent_table(top: pa.Table, base) -> tuple:
@@ -213,7 +336,7 @@ def frequent_table(top: pa.Table, base) -> tuple:
     import numpy as np
 
     words, trained, coded = (top.column(k).to_pylist() for k in ("word", "trained", "coded"))
-    logs = np.array(coded, float).reshape(len(words), -1).T.copy() if words else np.zeros((CLASSES, 0))
+    logs = np.array(coded, float).reshape(len(words), -1).T.copy() if words else np.zeros((1, 0))
     return {w.encode(): i for i, w in enumerate(words)}, np.array([base(c) for c in trained]), np.array([c > 0 for c in trained], np.int64), logs + math.log10(WEIGHT)
 
 
@@ -262,48 +385,34 @@ def _score(batches: Iterator[pa.RecordBatch], known, frequent, priors: list[floa
             yield pa.RecordBatch.from_arrays([pa.array(row_of, pa.int64()), none, pa.array(word, pa.string()), pa.array(class_in, pa.int32()), pa.array(tf_of, pa.int64()), zero, zero, nought, nought], schema=kinds)
 
 
-def grams_within(grams: DataFrame, nodes: int) -> list[tuple[bytes, int]]:
-    """The grams that occur often enough for no more than ``nodes`` to be kept; ties fall on the same side."""
-    floor = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 16)).cast("int")  # a few thousand classes of counts
-    classes = sorted(((r["k"], r["m"], r["least"]) for r in grams.groupBy(floor.alias("k")).agg(F.count("*").alias("m"), F.min("n").alias("least")).collect()), reverse=True)
-    kept, least = 0, None
-    for _, m, n in classes:
-        if kept + m > nodes:
-            break
-        kept, least = kept + m, n
-    if least is None:
-        return []
-    table = grams.where(F.col("n") >= least).toArrow()
-    return list(zip(table.column("gram").to_pylist(), table.column("n").to_pylist(), strict=True))
-
-
 def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents whose crc32 of the id leaves another remainder than ``held_out``; null texts are empty
-    and teach, and have, one end. The classes are the most frequent languages of a sample of training documents;
+    and teach, and have, one end. The classes are the languages of the training documents;
     a text's class is found from its words alone, and its code length is part of the score. Without languages
-    there is one class. ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's. Without
+    there is one class. Contexts of all classes count, however rare; ``nodes`` and ``frequent`` only say how many
+    estimates and words are looked up in tables instead of by joins. ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's. Without
     training texts both models are uniform. Null ids count as the empty text; repeated rows stay and teach each
     for itself; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held = id_remainder(F.col("doc_id"), folds) == held_out
-    sample = docs.where(~held & F.col("lang").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("lang", "text")
-    known = spark.sparkContext.broadcast(classifier(sample, CLASSES, CLASS_WORDS))  # at most CLASSES * CLASS_WORDS words
+    fitted = classifier(class_sample(docs.where(~held & F.col("lang").isNotNull())), CLASS_WORDS)
+    classes = max(1, fitted[1].shape[1])
+    known = spark.sparkContext.broadcast(fitted)  # CLASS_WORDS words of each language at most
 
     counted = docs.select("text", (~held).alias("trains")).mapInArrow(lambda b: _count_words(b, known.value), "word string, class int, trained long, other long")
-    by_class = lambda *of: F.array(*(F.sum(F.when(F.col("class") == k, sum((F.col(c) for c in of), F.lit(0))).otherwise(0)) for k in range(CLASSES)))
+    by_class = lambda *of: F.array(*(F.sum(F.when(F.col("class") == k, sum((F.col(c) for c in of), F.lit(0))).otherwise(0)) for k in range(classes)))
     words = counted.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum(F.col("trained") + F.col("other")).alias("n"), by_class("trained").alias("trained_in"), by_class("trained", "other").alias("in"))
     words = stored(words, "words")
     n, v = words.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count_if(F.col("trained") > 0)).first()
-    ends = next((r[0] for r in words.where("word = ''").select("trained_in").collect()), [0] * CLASSES)
-    priors = [math.log10((x + 0.5) / (sum(ends) + 0.5 * CLASSES)) for x in ends]
+    ends = next((r[0] for r in words.where("word = ''").select("trained_in").collect()), [0] * classes)
+    priors = [math.log10((x + 0.5) / (sum(ends) + 0.5 * classes)) for x in ends]
 
-    grams = stored(count_grams(words.where("trained > 0").select("word", "trained_in"), order), "grams")
-    model = spark.sparkContext.broadcast(trie(grams_within(grams, nodes)))  # at most ``nodes`` entries
-    coded = stored(words.select("word", "trained", "n", "in").mapInArrow(lambda b: _code_words(b, model.value, order), "word string, trained long, n long, coded array<double>"), "coded-words")
+    grams = stored(count_grams(words.select("word", "trained_in", "in"), order), "grams")
+    coded = code_words(words, stored(estimates(grams, order), "estimates"), classes, order, nodes)
 
     unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
     base = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))

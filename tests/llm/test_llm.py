@@ -562,6 +562,37 @@ def test_long_tokens_cost_alike_by_both_paths(spark):
     assert joined[100] < joined[102] - 500 and joined[101] < -500
 
 
+def test_scores_by_every_context_and_language(spark):
+    """Ten languages and tables far smaller than the model, against a loop over all contexts of all training words."""
+    import math
+
+    rnd, order = random.Random(21), 3
+    words = {k: ["".join(rnd.choice("abcdefghi") for _ in range(rnd.randint(1, 7))) + "zyxwvutsrq"[k] for _ in range(30)] for k in range(10)}
+    rows = [(i, " ".join(rnd.choice(words[i % 10]) for _ in range(rnd.randint(5, 40))) + " a", f"l{i % 10}") for i in range(100)] + [(100, "qqq unseen\u00e9", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.score for r in ppm.score_documents(docs, order=order, nodes=40, frequent=20).collect()}
+
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    known = ppm.classifier(ppm.class_sample(spark.createDataFrame([r for r in train if r[2]], docs.schema)), ppm.CLASS_WORDS)
+    of = {i: ppm.class_of(ppm.tokens(t), known) for i, t, _ in rows}
+    assert len({of[i] for i in range(100)}) == 10
+    grams, ends = defaultdict(int), [0] * 10
+    for i, t, _ in train:
+        ends[of[i]] += 1
+        for w in [*t.split(), ""]:
+            for gram in ppm.windows(w, of[i], order):
+                for begin in range(len(gram)):
+                    grams[gram[begin:]] += 1
+    nodes = ppm.trie(list(grams.items()))
+    for i, t, _ in rows:
+        k, seen, score = of[i], defaultdict(int), 0.0
+        for at, w in enumerate([*t.split(), ""]):
+            score += math.log10((ppm.WEIGHT * 10 ** ppm.code_length(w, k, nodes, order) + seen[w]) / (ppm.WEIGHT + at))
+            seen[w] += 1
+        score += math.log10((ends[k] + 0.5) / (sum(ends) + 0.5 * 10))
+        assert abs(score - got[i]) < 1e-6 * abs(score), i
+
+
 def test_scores_odd(docs, empty):
     got = ppm.score_documents(docs).collect()
     assert len(got) == docs.count() and {r.n_tokens for r in got if r.doc_id in (7, 8, 9)} == {1}
