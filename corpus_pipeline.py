@@ -54,6 +54,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, five-word shingles alike to 0.8 or more, the smallest id stays, and of its repeated rows one.
 
+    SimHash and its popcount grid, as in op8, give the first candidates, the shingles confirm them, and an exact join finds the others.
     Texts without words, null ones too, are alike; null ids come last.
     """
     named = _named(docs, numbered=True)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmill.llm import toxicity
+from quillmill.llm import jaccard, simhash, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 #: Names that stages and operators use themselves.
@@ -101,6 +101,36 @@ def test_near_stage_against_all_pairs(spark, docs):
     assert [d for d, _ in got] == sorted((d for d, _ in expected), key=repr) and len(got) < len(table) - 10
 
 
+def test_near_stage_takes_candidates_from_simhash(spark, monkeypatch):
+    """Long texts with a word or two changed, against all pairs of fingerprints."""
+    rnd, found, table = random.Random(5), {}, []
+    for _ in range(5):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(1500)]
+        for _ in range(4):
+            table.append((len(table), " ".join(words)))
+            words[rnd.randrange(len(words))] = "edited"
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+
+    def close(nodes):
+        found["nodes"] = [(r.node, r.fp) for r in nodes.collect()]
+        out = jaccard.stored(plain(nodes), "close")
+        found["pairs"] = {(r.a, r.b) for r in out.collect()}
+        return out
+
+    plain = jaccard.close_texts
+    monkeypatch.setattr(jaccard, "close_texts", close)
+    left = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()]
+    nodes, firsts = found["nodes"], {}
+    for node, fp in sorted(nodes):
+        firsts.setdefault(fp, node)
+    assert {fp for _, fp in nodes} == {simhash.fingerprint(t) for _, t in table}
+    expected = {(firsts[fp], node) for node, fp in nodes if firsts[fp] != node}
+    for fp, node in firsts.items():
+        near = [other for p, other in firsts.items() if other < node and ((p ^ fp) & ((1 << 64) - 1)).bit_count() <= 3]
+        expected |= {(min(near), node)} if near else set()
+    assert found["pairs"] == expected and expected and sorted(left) == [0, 4, 8, 12, 16]
+
+
 def test_decontamination_stage_against_a_loop(spark, docs):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     windows = set()
