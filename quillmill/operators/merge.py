@@ -94,18 +94,18 @@ def _number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def _item(kind: int, pos: Column, key: Column, json: Column, **more: Column) -> Column:
-    given = {"kind": F.lit(kind), "at": F.struct(F.col("ord").cast("bigint").alias("ord"), pos.cast("int").alias("pos")), "key": key, "json": json, **more}
+def _item(kind: int, pos: Column, key: Column, x: Column, **more: Column) -> Column:
+    given = {"kind": F.lit(kind), "at": F.struct(F.col("ord").cast("bigint").alias("ord"), pos.cast("int").alias("pos")), "key": key, "x": x, **more}
     kinds = {"raw": "string", "description": "string", "pages": "array<double>", "traits": "array<string>"}
-    return F.struct(*(given.get(c, F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in ("kind", "at", "key", "json", *kinds)))
+    return F.struct(*(given.get(c, F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in ("kind", "at", "key", "x", *kinds)))
 
 
 def _entries(kind: int, section: str, name: str) -> Column:
-    """The entries of one list of a result: kind, place, key, JSON and, of roles, what is merged."""
+    """The entries of one list of a result: kind, place, key, value and, of roles, what is merged."""
 
     def entry(x: Column, i: Column) -> Column:
         merged = {"description": _string(x, "$.description"), "pages": F.try_variant_get(x, "$.pageNumbers", "array<double>"), "traits": F.transform(F.try_variant_get(x, "$.characteristics", "array<variant>"), lambda t: F.to_json(t))} if kind == 0 else {}
-        return _item(kind, i, js.name_key(_string(x, f"$.{name}")), F.to_json(x), **merged)
+        return _item(kind, i, js.name_key(_string(x, f"$.{name}")), x, **merged)
 
     return F.coalesce(F.transform(F.try_variant_get("v", f"$.{section}", "array<variant>"), entry), F.array())
 
@@ -113,8 +113,7 @@ def _entries(kind: int, section: str, name: str) -> Column:
 def _merged_role() -> Column:
     """The first role of a key with the longest description, all pages and all traits of the others."""
     longer = js.length("longest") > F.coalesce(js.length("description"), F.lit(0))
-    first = F.try_parse_json("json")
-    rest = F.when(longer, _members(first, "description", "pageNumbers", "characteristics")).otherwise(_members(first, "pageNumbers", "characteristics"))
+    rest = F.when(longer, _members(F.col("x"), "description", "pageNumbers", "characteristics")).otherwise(_members(F.col("x"), "pageNumbers", "characteristics"))
     longest = F.when(longer, F.concat(F.lit('"description":'), js.json_string("longest")))
     return _object(rest, longest, _list("pageNumbers", F.transform("pages", _number)), _list("characteristics", F.col("seen")))
 
@@ -128,19 +127,19 @@ def merge_answers(chunks: DataFrame) -> DataFrame:
     the repairs of a single answer once more. Where there is no result, ``error`` says why. Entries without a name
     that is a string go, and a list that is no list counts as empty; equal traits are one, whatever their type.
     Members of an object may change their order. Every entry goes through one shuffle by its key, and what is left of
-    it through one by its document; texts are parsed once, but for roles of several chunks.
+    it through one by its document; texts are parsed once, and only what is kept is written out.
     """
     held = repair.parsed(chunks.select("doc_id", "ord", "raw"), repair.chunk_repair("raw"))
-    others = F.when(F.col("v").isNotNull(), _object(_members(F.col("v"), *(section for section, _ in SECTIONS))))
-    items = F.concat(F.array(_item(_ALL, F.lit(0), F.lit("all"), others, raw=F.col("raw"))), *(_entries(kind, *of) for kind, of in enumerate(SECTIONS)))
+    items = F.concat(F.array(_item(_ALL, F.lit(0), F.lit("all"), F.col("v"), raw=F.col("raw"))), *(_entries(kind, *of) for kind, of in enumerate(SECTIONS)))
     rows = held.select("doc_id", F.explode(items).alias("x")).where("x.key <> ''").select("doc_id", "x.*")
     length = F.struct(F.coalesce(js.length("description"), F.lit(0)).alias("len"), -F.col("at.ord"), -F.col("at.pos"))
     merged = rows.groupBy("doc_id", "kind", "key").agg(
-        F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("json", F.when(F.col("json").isNotNull(), F.col("at"))).alias("json"), F.min_by("raw", "at").alias("raw"),
+        F.count("*").alias("n"), F.min("at").alias("at"), F.min_by("x", F.when(F.col("x").isNotNull(), F.col("at"))).alias("x"), F.min_by("raw", "at").alias("raw"),
         F.min_by("description", "at").alias("description"), F.max_by("description", length).alias("longest"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("pages", F.array().cast("array<double>")))))).alias("pages"), distinct_union("traits", "at").alias("seen"),
     )
-    entry = F.when((F.col("kind") == 0) & (F.col("n") > 1), _merged_role()).otherwise(F.col("json")).alias("json")
+    others = F.when(F.col("x").isNotNull(), _object(_members(F.col("x"), *(section for section, _ in SECTIONS))))
+    entry = F.when(F.col("kind") == _ALL, others).when((F.col("kind") == 0) & (F.col("n") > 1), _merged_role()).otherwise(F.to_json("x")).alias("json")
     slim = merged.select("doc_id", "kind", "at", "n", "raw", entry)
     all_ = lambda c: F.first(F.when(F.col("kind") == _ALL, F.col(c)), ignorenulls=True)
     grouped = slim.groupBy("doc_id").agg(all_("n").alias("sent"), all_("raw").alias("raw"), all_("json").alias("others"), F.array_sort(F.collect_list(F.when(F.col("kind") < _ALL, F.struct("kind", "at", "json")))).alias("entries"))

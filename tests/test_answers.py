@@ -134,3 +134,11 @@ def test_merge_equals_a_loop(spark):
 
 def test_merge_of_nothing(spark):
     assert merge.merge_answers(spark.createDataFrame([], "doc_id int, ord int, raw string")).collect() == []
+
+
+def test_only_kept_values_are_written_out(spark):
+    """Before values are grouped by key, JSON is made of traits alone, which are compared as texts; all else is carried as it was parsed."""
+    chunks = spark.createDataFrame([(1, 0, '{"roles": [{"name": "a"}]}')], "doc_id int, ord int, raw string")
+    plan = merge.merge_answers(chunks)._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in plan.splitlines() if "explode(" in line]
+    assert below and sum(line.lower().count("to_json(") + line.lower().count("structstojson") for line in below) <= 1
