@@ -12,7 +12,9 @@ word toggles one of 128 bits, so the maps of two lines never differ in more bits
 left is compared word for word.
 
 Each line is first compared with those lines that are the earliest of most of its shared keys; pairs are formed only
-where the later line is not settled by them, so a group of near copies costs a few comparisons a line.
+where the later line is not settled by them, so a group of near copies costs a few comparisons a line. Lines that no
+earlier one is similar to do meet their group; keys of many lines carry the line's other such keys, so that each of
+these pairs is made once and not for every key.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SIMILARITY_PERCENT = 80
 CLASS_BITS = 18
 #: Earliest lines that a line is first compared with, and the share of its keys, one in so many, that has to name one.
 WITNESSES, NAMED_BY = 2, 8
+#: Keys of so many lines are hot: two lines that share several meet in one row.
+HOT = 32
 #: Stands for a null id, as rows without one come last.
 LAST = (1 << 63) - 1
 WORD = r"[^\x20\x09-\x0D]"
@@ -135,13 +139,22 @@ def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """(key, id, i, n, p, q, doc, first) for the entries whose key has several lines, ``first`` being one of the earliest document among them."""
+    """(key, id, i, n, p, q, doc, first, hot) for the entries whose key has several lines, ``first`` being one of the earliest document among them.
+
+    ``hot`` is null, or for keys of HOT lines and more all such keys of the line, rare words first.
+    """
     entries = _entries(lines)
-    firsts = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", "doc").alias("first")).where("lo < hi").select("key", "first")
+    ends = (F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", "doc").alias("first"), F.count("*").alias("lines"))
+    firsts = entries.groupBy("key").agg(*ends).where("lo < hi").select("key", "first", (F.col("lines") >= HOT).alias("is_hot"))
     firsts = stored(firsts, "shared-keys")  # the shuffle files of the counts go before the entries are shuffled again
-    known = lines.select("id", "n", "p", "q", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"))
-    shared = stored(entries.select("key", "id", "i").join(firsts, "key").join(known, "id").select("key", "id", "i", "n", "p", "q", "doc", "first"), "shared-entries")
+    keyed = stored(entries.select("key", "id", "i").join(firsts, "key"), "keyed-entries")  # and those of all entries before the shared ones are
     discard(firsts)
+    ranked = F.sort_array(F.collect_list(F.struct("i", "key")))  # no more than the line has words
+    hot = keyed.where("is_hot").groupBy("id").agg(F.transform(ranked, lambda x: x["key"]).alias("hot"))
+    known = lines.select("id", "n", "p", "q", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"))
+    held = keyed.join(known, "id").join(hot, "id", "left")
+    shared = stored(held.select("key", "id", "i", "n", "p", "q", "doc", "first", F.when(F.col("is_hot"), F.col("hot")).alias("hot")), "shared-entries")
+    discard(keyed)
     return shared
 
 
@@ -173,6 +186,15 @@ def _settled(shared: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame
     return found
 
 
+def _met(open_: DataFrame, shared: DataFrame) -> DataFrame:
+    """(x, y, n, m, keys): open lines x and the lines y that may be similar and are no later, in a row for each shared key or for all shared hot keys."""
+    hot = F.array_intersect("a.hot", "b.hot")
+    once = F.col("a.hot").isNull() | (F.get(hot, F.lit(0)) == F.col("a.key"))
+    fits = (F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b") & _placed_well("a", "b") & once
+    met = open_.alias("a").join(shared.alias("b"), F.col("a.key") == F.col("b.key")).where(fits)
+    return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.coalesce(F.array_size(hot), F.lit(1)).alias("keys"))
+
+
 def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the distinct lines that are similar to an earlier one.
 
@@ -181,9 +203,8 @@ def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
     shared = _shared(lines)
     settled = _settled(shared, lines, named)
     open_ = shared.join(settled, "id", "left_anti")
-    fits = (F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b") & _placed_well("a", "b")
-    met = open_.alias("a").join(shared.alias("b"), "key").where(fits).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
-    counted = met.groupBy("x", "y", "n", "m").agg(F.count("*").alias("keys")).where(_enough(F.col("n"), F.col("m"), F.col("keys")))
+    met = _met(open_, shared)
+    counted = met.groupBy("x", "y", "n", "m").agg(F.sum("keys").alias("keys")).where(_enough(F.col("n"), F.col("m"), F.col("keys")))
     pairs = stored(counted.select("x", "y"), "line-pairs")
     discard(shared)
     found = _similar(pairs, lines, named)

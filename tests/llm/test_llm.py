@@ -409,6 +409,24 @@ def test_lines_at_the_edge_of_the_similarity_against_loop(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == expected
 
 
+def test_near_copies_of_a_line_meet_once(spark):
+    """Two lines that share many keys of a large group meet in one row for all of these, and one for a key of fewer lines."""
+    base = [f"word{i:02}" for i in range(40)]
+    rows = [(i, " ".join(f"own{i}" if k == i else w for k, w in enumerate(base))) for i in range(40)]
+    named = line_dedup._named(spark.createDataFrame(rows, "doc_id long, text string"), None)
+    lines = line_dedup.distinct_lines(named)
+    shared = line_dedup._shared(lines)
+    keys = {}
+    for r in line_dedup._entries(lines).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    met = line_dedup._met(shared, shared).collect()
+    found = {}
+    for r in met:
+        found[r.x, r.y] = found.get((r.x, r.y), 0) + r["keys"]
+    assert found == {(x, y): n for x in keys for y in keys if (x, y) in found for n in [len(keys[x] & keys[y])]}
+    assert len(found) == 40 * 39 // 2 and sum(found.values()) > 10 * len(found) and len(met) < 2 * len(found)
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     rows = [(None, "one line of words"), (None, "one line of words"), (5, "another line there\nand more\tof it"), (5, "and more of it"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("lines", F.lit(1))
