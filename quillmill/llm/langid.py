@@ -78,26 +78,42 @@ class Network:
         return states, kept
 
     def _read(self, d: str, x):
-        """(positions, stretches, hidden): the states of _run, in fewer steps."""
+        """(positions, hidden, stretches): the states of _run, in fewer steps and with the stretches side by side in memory.
+
+        What is carried is k = (1 - h) / 2, so that gates and new states alike are 1 / (1 + exp(a)), a from weights
+        that are scaled beforehand. exp may overflow to infinity, which gives 0 as it should.
+        """
         import numpy as np
 
-        n, h = self.hidden, np.zeros((len(x), self.hidden), np.float32)
-        into, both = self.p[f"{d}_in"], np.concatenate([self.p[f"{d}_gates"], self.p[f"{d}_new"]], 1)
-        states, half = np.empty((x.shape[1], len(x), n), np.float32), np.float32(0.5)
-        for t in range(x.shape[1]):
-            e, a = into[x[:, t]], h @ both
-            g = e[:, : 2 * n] + a[:, : 2 * n]  # 1 / (1 + exp(-g)) = (tanh(g / 2) + 1) / 2
-            g *= half
-            np.tanh(g, out=g)
-            g *= half
-            g += half
-            c = a[:, 2 * n :] * g[:, :n]
-            c += e[:, 2 * n :]
-            np.tanh(c, out=c)
-            h = h - c
-            h *= g[:, n:]
-            h += c
-            states[t] = h
+        n, two = self.hidden, np.float32(2)
+        into, gates, new = (self.p[f"{d}_{k}"] for k in ("in", "gates", "new"))
+        # -(e + (1 - 2 k) G) for the gates; 2 (e + r (1 - 2 k) N) for the new state, of which 2 (1 - 2 k) N comes from the product
+        into = np.concatenate([-into[:, : 2 * n] - gates.sum(0), two * into[:, 2 * n :]], 1)
+        both = np.ascontiguousarray(np.concatenate([two * gates, -2 * two * new], 1).T)
+        once = two * new.sum(0)[:, None]
+        at = np.ascontiguousarray(x.T).astype(np.intp)
+        k, e, a = np.full((n, len(x)), 0.5, np.float32), np.empty((len(x), 3 * n), np.float32), np.empty((3 * n, len(x)), np.float32)
+        g, c, r, z = a[: 2 * n], a[2 * n :], a[:n], a[n : 2 * n]
+        states = np.empty((x.shape[1], n, len(x)), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(x.shape[1]):
+                np.take(into, at[t], 0, out=e, mode="clip")
+                np.matmul(both, k, out=a)
+                g += e.T[: 2 * n]
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+                c += once
+                c *= r
+                c += e.T[2 * n :]
+                np.exp(c, out=c)
+                c += 1
+                np.reciprocal(c, out=c)  # (1 - tanh) / 2
+                k = np.subtract(k, c, out=states[t])
+                k *= z
+                k += c
+        states *= -two
+        states += 1
         return states
 
     @staticmethod
@@ -126,8 +142,14 @@ class Network:
         end, n = x.shape[1] - behind, self.hidden
         fore = self._read("fore", x[:, :end])[before:]
         back = self._read("back", x[:, before:][:, ::-1])[behind:][::-1]
-        p = self._shares(fore @ self.p["out"][:n] + back @ self.p["out"][n:] + self.p["bias"])
-        return np.log(np.maximum(p, np.float32(FLOOR), out=p), out=p)
+        out = np.ascontiguousarray(self.p["out"].T)
+        p = np.matmul(out[:, :n], fore)
+        p += np.matmul(out[:, n:], back)
+        p += self.p["bias"][:, None]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(1, keepdims=True)
+        return np.log(np.maximum(p, np.float32(FLOOR), out=p), out=p).transpose(0, 2, 1)
 
     def _through_time(self, d: str, x, kept, outer, grads) -> None:
         import numpy as np

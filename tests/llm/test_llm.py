@@ -295,6 +295,21 @@ def test_states_carry_over_blanks():
     assert np.abs(np.exp(logs.transpose(1, 0, 2)) - net.probabilities(x)).max() < 1e-5
 
 
+def test_states_of_large_weights():
+    """Reading carries (1 - h) / 2 from 1 / (1 + exp(a)), also where exp overflows."""
+    import warnings
+
+    net = langid.Network(["a", "b", "c"], seed=5)
+    x = np.random.default_rng(5).integers(0, 256, (7, 40)).astype(np.uint8)
+    for scale in (1, 4, 4000):
+        net.p = {k: v * np.float32(scale if "_in" in k else 1) for k, v in langid.Network(["a", "b", "c"], seed=5).p.items()}
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            states = net._read("fore", x)
+        with np.errstate(over="ignore"):
+            assert states.shape == (40, net.hidden, 7) and np.abs(states - np.stack(net._run("fore", x, False)[0]).transpose(0, 2, 1)).max() < 1e-5
+
+
 def test_shipped_language_model(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet".replace("0.001", "0.01"))
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
