@@ -78,9 +78,9 @@ class Network:
         return states, kept
 
     def _read(self, d: str, x):
-        """(positions, hidden, stretches): the states of _run, in fewer steps and with the stretches side by side in memory.
+        """(positions, hidden, stretches): k = (1 - h) / 2 for the states h of _run, in fewer steps and with the stretches side by side in memory.
 
-        What is carried is k = (1 - h) / 2, so that gates and new states alike are 1 / (1 + exp(a)), a from weights
+        k is carried instead of h so that gates and new states alike are 1 / (1 + exp(a)), a from weights
         that are scaled beforehand. exp may overflow to infinity, which gives 0 as it should.
         """
         import numpy as np
@@ -112,8 +112,6 @@ class Network:
                 k = np.subtract(k, c, out=states[t])
                 k *= z
                 k += c
-        states *= -two
-        states += 1
         return states
 
     @staticmethod
@@ -142,14 +140,13 @@ class Network:
         end, n = x.shape[1] - behind, self.hidden
         fore = self._read("fore", x[:, :end])[before:]
         back = self._read("back", x[:, before:][:, ::-1])[behind:][::-1]
-        out = np.ascontiguousarray(self.p["out"].T)
-        p = np.matmul(out[:, :n], fore)
-        p += np.matmul(out[:, n:], back)
-        p += self.p["bias"][:, None]
+        out = (np.float32(-2) * self.p["out"]).T  # h = 1 - 2 k
+        p = np.matmul(np.ascontiguousarray(out[:, :n]), fore)
+        p += np.matmul(np.ascontiguousarray(out[:, n:]), back)
+        p += (self.p["bias"] + self.p["out"].sum(0))[:, None]
         p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        return np.log(np.maximum(p, np.float32(FLOOR), out=p), out=p).transpose(0, 2, 1)
+        p -= np.log(np.exp(p).sum(1, keepdims=True))
+        return np.maximum(p, np.float32(math.log(FLOOR)), out=p).transpose(0, 2, 1)
 
     def _through_time(self, d: str, x, kept, outer, grads) -> None:
         import numpy as np
