@@ -19,7 +19,9 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from .common import id_remainder, stored
 
 #: Longest context, estimates in the table of frequent ones, words in the table of frequent words, entries counted before they are handed on.
 ORDER, NODES, FREQUENT, COUNTED = 5, 400_000, 200_000, 400_000
+#: Bytes of text whose words are counted or scored together, and windows that are.
+SLICE, WINDOWS = 8 << 20, 2_000_000
+#: Longest context that fits a packed window: its symbols and their number are eight bytes.
+LONGEST = 6
 FOLDS, HELD_OUT = 5, 1
 #: Tokens that the pretrained estimate counts for against a document's own.
 WEIGHT = 2000.0
@@ -68,8 +74,6 @@ def classifier(sample: DataFrame, words: int):
 
     Known are each language's most frequent words.
     """
-    import numpy as np
-
     counts = stored(sample.mapInArrow(_class_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "class-words")
     langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
@@ -88,30 +92,51 @@ def class_of(text: list[bytes], known) -> int:
     return int(logs[found].sum(0).argmax()) if found else 0
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, with some ``SLICE`` bytes of text in each."""
+    for batch in batches:
+        of = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
+def _tokenized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The text and the word of each token, by number, and the distinct words; Arrow's ascii functions know the ASCII characters only, as in ``tokens``."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten()
+    text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+    coded = flat.filter(full).dictionary_encode()
+    return text[full.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _classes_of(text: np.ndarray, word: np.ndarray, names: list[bytes], n: int, known) -> np.ndarray:
+    """The class of each of n texts, as ``class_of`` finds it; names are the distinct words."""
+    place, logs = known
+    if not logs.shape[1]:
+        return np.zeros(n, np.int64)
+    at = np.fromiter((place.get(w, -1) for w in names), np.int64, len(names))[word]
+    text, at = text[at >= 0], at[at >= 0]
+    return np.stack([np.bincount(text, column[at], minlength=n) for column in np.ascontiguousarray(logs.T)]).argmax(0)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     """(text, trains) -> (word, class, trained, other); the end of a text is the empty word."""
-    counts: dict[tuple[int, bool], Counter] = {}
-
-    def out():
-        words, classes, trained, other = [], [], [], []
-        for (k, trains), held in counts.items():
-            words += [w.decode() for w in held]
-            classes += [k] * len(held)
-            trained += held.values() if trains else [0] * len(held)
-            other += [0] * len(held) if trains else held.values()
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(classes, pa.int32()), pa.array(trained, pa.int64()), pa.array(other, pa.int64())], ["word", "class", "trained", "other"])
-
-    for batch in batches:
-        for text, trains in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = tokens(text)
-            held = counts.setdefault((class_of(own, known), trains), Counter())
-            held.update(own)
-            held[b""] += 1
-            if sum(map(len, counts.values())) > COUNTED:
-                yield out()
-    if counts:
-        yield out()
+    for batch in _slices(batches, 0):
+        text, word, words = _tokenized(batch.column(0))
+        group = 2 * _classes_of(text, word, words.cast(pa.binary()).to_pylist(), len(batch), known) + batch.column(1).to_numpy(zero_copy_only=False)
+        of, names, counts, groups = group[text], [], [], []
+        for g in np.unique(group).tolist():
+            n = np.bincount(word[of == g], minlength=len(words))
+            at = np.flatnonzero(n)
+            names += [words.take(pa.array(at)), pa.array([""])]
+            counts += [n[at], [np.count_nonzero(group == g)]]
+            groups.append(np.full(len(at) + 1, g))
+        n, g = np.concatenate(counts).astype(np.int64), np.concatenate(groups)
+        columns = [pa.concat_arrays(names), pa.array((g // 2).astype(np.int32)), pa.array(np.where(g % 2, n, 0)), pa.array(np.where(g % 2, 0, n))]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "class", "trained", "other"])
 
 
 def symbols(word: str) -> bytes:
@@ -131,10 +156,60 @@ def windows(word: str, k: int, order: int) -> list[bytes]:
     return [coded[max(0, end - order) : end + 1] for end in range(len(begin), len(coded))]
 
 
-def _handed_on(counts: dict[bytes, int]) -> pa.RecordBatch:
-    batch = pa.RecordBatch.from_pydict({"gram": pa.array(counts.keys(), pa.binary()), "n": pa.array(counts.values(), pa.int64())})
-    counts.clear()
-    return batch
+def _bytes_of(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an array of strings, and where each begins and how long it is."""
+    _, offsets, data = found.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64) if len(found) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1], np.diff(offsets)
+
+
+def packed_windows(words: pa.Array, chosen: np.ndarray, k: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of the chosen words, one after the other: the word's number, and the symbols behind each other with their number in the last byte."""
+    if order > LONGEST:
+        raise ValueError(f"contexts are no longer than {LONGEST}")
+    data, first, length = _bytes_of(words)
+    first, length, begin = first[chosen], length[chosen], mark(k)
+    total = len(begin) + length + 1
+    start = np.cumsum(total) - total
+    which = np.repeat(np.arange(len(chosen)), total)
+    place = np.arange(len(which)) - start[which]
+    coded = np.zeros(len(which), np.uint8)
+    for j, symbol in enumerate(begin):
+        coded[start + j] = symbol
+    coded[start + total - 1] = np.where(length > 0, WORD_END[0], TEXT_END[0])
+    inner = np.flatnonzero((place >= len(begin)) & (place < total[which] - 1))
+    coded[inner] = data[first[which[inner]] + place[inner] - len(begin)]
+    ends = np.flatnonzero(place >= len(begin))
+    place = place[ends]
+    packed = np.zeros(len(ends), np.uint64)
+    for j in range(order + 1):
+        far = place >= j
+        packed[far] |= coded[ends[far] - j].astype(np.uint64) << np.uint64(8 * j + 8)
+    return chosen[which[ends]], packed | (np.minimum(place, order) + 1).astype(np.uint64)
+
+
+def packed(grams: pa.Array) -> np.ndarray:
+    """Grams as ``packed_windows`` has them."""
+    data, first, length = _bytes_of(grams)
+    codes = length.astype(np.uint64)
+    for j in range(LONGEST + 1):
+        far = length > j
+        codes[far] |= data[(first + length)[far] - 1 - j].astype(np.uint64) << np.uint64(8 * j + 8)
+    return codes
+
+
+def unpacked(codes: np.ndarray) -> pa.Array:
+    """The grams again."""
+    length = (codes & np.uint64(255)).astype(np.int64)
+    shown = np.stack([codes >> np.uint64(8 * j + 8) for j in range(LONGEST, -1, -1)], 1).astype(np.uint8)
+    data = shown[np.arange(LONGEST + 1) >= LONGEST + 1 - length[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _by_class(column: pa.Array) -> np.ndarray:
+    """Lists of a number for each class as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _by_context(counts: dict[bytes, int]) -> pa.RecordBatch:
@@ -145,17 +220,29 @@ def _by_context(counts: dict[bytes, int]) -> pa.RecordBatch:
 
 def _count_windows(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """(word, trained occurrences by class, all by class) -> (gram, n) for every symbol with its longest context; n is 0 where none is trained."""
-    counts: dict[bytes, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        codes, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        by = np.argsort(codes)
+        codes = codes[by]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        return pa.RecordBatch.from_arrays([unpacked(codes[first]), pa.array(np.add.reduceat(n[by], first))], ["gram", "n"])
+
     for batch in batches:
-        for word, trained, every in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for k, n in enumerate(trained):
-                if every[k]:
-                    for gram in windows(word, k, order):
-                        counts[gram] = counts.get(gram, 0) + n
-            if len(counts) > COUNTED:
-                yield _handed_on(counts)
-    if counts:
-        yield _handed_on(counts)
+        if not len(batch):
+            continue
+        trained, every = _by_class(batch.column(1)), _by_class(batch.column(2))
+        for k in range(every.shape[1]):
+            chosen = np.flatnonzero(every[:, k])
+            if len(chosen):
+                word, codes = packed_windows(batch.column(0), chosen, k, order)
+                held.append((codes, trained[word, k]))
+        if sum(len(codes) for codes, _ in held) > WINDOWS:
+            yield out()
+    if held:
+        yield out()
 
 
 def _count_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,25 +381,29 @@ def estimates(grams: DataFrame, order: int) -> DataFrame:
     return deep.mapInArrow(lambda b: _estimates(b, shallow.value, order), "gram binary, n long, log double")
 
 
-def _code_words(batches: Iterator[pa.RecordBatch], known: dict[bytes, float], order: int) -> Iterator[pa.RecordBatch]:
-    """Adds the code length in every class that has the word, as far as it is known, and the grams that are not, with their class."""
-    kinds = pa.list_(pa.struct([("k", pa.int32()), ("gram", pa.binary())]))
+def _code_words(batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
+    """Adds the code length in every class that has the word, as far as it is known, and the grams that are not, with their class.
+
+    ``known`` are packed grams in order and their estimates.
+    """
+    grams, logs = known
     for batch in batches:
-        coded, missing = [], []
-        for word, by_class in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            sums, lacks = [], []
-            for k, n in enumerate(by_class):
-                total = 0.0
-                for gram in windows(word, k, order) if n else ():
-                    log = known.get(gram)
-                    if log is None:
-                        lacks.append({"k": k, "gram": gram})
-                    else:
-                        total += log
-                sums.append(total if n else None)
-            coded.append(sums)
-            missing.append(lacks)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(coded, pa.list_(pa.float64())), pa.array(missing, kinds)], [*batch.schema.names[:3], "coded", "missing"])
+        if not len(batch):
+            continue
+        every = _by_class(batch.column(3))
+        coded, lacks = np.zeros(every.shape), []
+        for k in range(every.shape[1]):
+            word, codes = packed_windows(batch.column(0), np.flatnonzero(every[:, k]), k, order)
+            at = np.minimum(np.searchsorted(grams, codes), max(0, len(grams) - 1))
+            found = grams[at] == codes if len(grams) else np.zeros(len(codes), bool)
+            coded[:, k] = np.bincount(word[found], logs[at[found]], minlength=len(batch))
+            lacks.append((word[~found], np.full(np.count_nonzero(~found), k, np.int32), codes[~found]))
+        word, k, codes = (np.concatenate(c) for c in zip(*lacks, strict=True))
+        by = np.argsort(word, kind="stable")
+        missing = pa.StructArray.from_arrays([pa.array(k[by]), unpacked(codes[by])], ["k", "gram"])
+        ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        sums = pa.ListArray.from_arrays(ends(np.full(len(batch), every.shape[1])), pa.array(coded.ravel(), mask=every.ravel() == 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], sums, pa.ListArray.from_arrays(ends(np.bincount(word, minlength=len(batch))), missing)], [*batch.schema.names[:3], "coded", "missing"])
 
 
 def code_words(words: DataFrame, logs: DataFrame, classes: int, order: int, held: int) -> DataFrame:
@@ -321,7 +412,9 @@ def code_words(words: DataFrame, logs: DataFrame, classes: int, order: int, held
     The estimates of the ``held`` most frequent grams are looked up in tasks, all others by a join.
     """
     top = logs.orderBy(F.desc("n"), "gram").limit(held).toArrow()
-    known = words.sparkSession.sparkContext.broadcast(dict(zip(top.column("gram").to_pylist(), top.column("log").to_pylist(), strict=True)))  # at most ``held``
+    grams = packed(pa.concat_arrays([pa.array([], pa.binary()), *top.column("gram").chunks]))
+    by = np.argsort(grams)
+    known = words.sparkSession.sparkContext.broadcast((grams[by], top.column("log").to_numpy()[by]))  # at most ``held``
     kinds = "word string, trained long, n long, coded array<double>, missing array<struct<k int, gram binary>>"
     partly = stored(words.select("word", "trained", "n", "in").mapInArrow(lambda b: _code_words(b, known.value, order), kinds), "partly-coded")
     lacks = partly.where(F.size("missing") > 0)
@@ -333,8 +426,6 @@ def code_words(words: DataFrame, logs: DataFrame, classes: int, order: int, held
 
 def frequent_table(top: pa.Table, base) -> tuple:
     """word -> place, and by place the base, whether training texts have it, and by class log10 of WEIGHT times its probability."""
-    import numpy as np
-
     words, trained, coded = (top.column(k).to_pylist() for k in ("word", "trained", "coded"))
     logs = np.array(coded, float).reshape(len(words), -1).T.copy() if words else np.zeros((1, 0))
     return {w.encode(): i for i, w in enumerate(words)}, np.array([base(c) for c in trained]), np.array([c > 0 for c in trained], np.int64), logs + math.log10(WEIGHT)
@@ -346,43 +437,34 @@ def _score(batches: Iterator[pa.RecordBatch], known, frequent, priors: list[floa
     A word that a text has t times adds log10 of the product of own, own + 1 ... own + t - 1, own being WEIGHT
     times its probability.
     """
-    import numpy as np
-
     kinds = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("class", pa.int32()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("coded", pa.float64())])
     place, base, trained, logs = frequent
-    find = place.get
-    for batch in batches:
-        whole, row_of, word, class_in, tf_of = [], [], [], [], []
-        for row, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = tokens(text)
-            k = class_of(own, known)
-            counts = Counter(own)
-            counts[b""] += 1
-            words, n = list(counts), len(own) + 1
-            at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
-            tf = np.fromiter(counts.values(), np.int64, len(words))
-            log = logs[k][at] if len(base) else np.full(len(words), np.nan)
-            other = (at < 0) | np.isnan(log)
-            held = ~other
-            at, log, often = at[held], log[held], tf[held]
-            coded = priors[k] + (math.lgamma(WEIGHT) - math.lgamma(WEIGHT + n)) / LOG10 + log.sum()
-            again = often > 1
-            log, more = 10 ** log[again], often[again] - 1
-            for j in range(1, int(min(more.max(initial=0), 16)) + 1):
-                coded += np.log10(log[more >= j] + j).sum()
-            for x, m in zip(log[more > 16].tolist(), more[more > 16].tolist(), strict=True):
-                coded += (math.lgamma(x + m + 1) - math.lgamma(x + 17)) / LOG10
-            whole.append((row, doc_id, None, k, 0, n, int(often @ trained[at]), float(often @ base[at]), float(coded)))
-            missing = np.flatnonzero(other).tolist()
-            row_of += [row] * len(missing)
-            class_in += [k] * len(missing)
-            word += [words[i].decode() for i in missing]
-            tf_of += tf[other].tolist()
-        if whole:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*whole, strict=True), kinds, strict=True)], schema=kinds)
-        if row_of:
-            none, zero, nought = pa.nulls(len(row_of), pa.int64()), pa.array(np.zeros(len(row_of), np.int64)), pa.array(np.zeros(len(row_of)))
-            yield pa.RecordBatch.from_arrays([pa.array(row_of, pa.int64()), none, pa.array(word, pa.string()), pa.array(class_in, pa.int32()), pa.array(tf_of, pa.int64()), zero, zero, nought, nought], schema=kinds)
+    for batch in _slices(batches, 2):
+        n, (text, word, words) = len(batch), _tokenized(batch.column(2))
+        names = words.cast(pa.binary()).to_pylist()
+        k = _classes_of(text, word, names, n, known)
+        names.append(b"")
+        keys, tf = np.unique(np.concatenate([text * len(names) + word, np.arange(1, n + 1) * len(names) - 1]), return_counts=True)
+        text, word = np.divmod(keys, len(names))
+        at = np.fromiter((place.get(w, -1) for w in names), np.int64, len(names))[word]
+        log = np.where(at < 0, np.nan, logs[k[text], at]) if len(base) else np.full(len(at), np.nan)
+        other = np.isnan(log)
+        of, at, log, often = (c[~other] for c in (text, at, log, tf))
+        by_text = lambda of, x: np.bincount(of, x, minlength=n)
+        n_tokens = by_text(text, tf).astype(np.int64)
+        coded = np.array(priors)[k] + np.array([(math.lgamma(WEIGHT) - math.lgamma(WEIGHT + x)) / LOG10 for x in n_tokens.tolist()]) + by_text(of, log)
+        again = often > 1
+        own, more, more_of = 10 ** log[again], often[again] - 1, of[again]
+        for j in range(1, int(min(more.max(initial=0), 16)) + 1):
+            coded += by_text(more_of[more >= j], np.log10(own[more >= j] + j))
+        many = more > 16
+        coded += by_text(more_of[many], np.array([(math.lgamma(x + m + 1) - math.lgamma(x + 17)) / LOG10 for x, m in zip(own[many].tolist(), more[many].tolist(), strict=True)], float))
+        n_known = by_text(of, often * trained[at]).astype(np.int64)
+        whole = [batch.column(0), batch.column(1), pa.nulls(n, pa.string()), pa.array(k.astype(np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(n_tokens), pa.array(n_known), pa.array(by_text(of, often * base[at])), pa.array(coded)]
+        yield pa.RecordBatch.from_arrays(whole, schema=kinds)
+        text, left = text[other], pa.concat_arrays([words, pa.array([""])]).take(pa.array(word[other]))
+        none, zero, nought = pa.nulls(len(text), pa.int64()), pa.array(np.zeros(len(text), np.int64)), pa.array(np.zeros(len(text)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), none, left, pa.array(k[text].astype(np.int32)), pa.array(tf[other].astype(np.int64)), zero, zero, nought, nought], schema=kinds)
 
 
 def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
@@ -391,8 +473,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     Learns from documents whose crc32 of the id leaves another remainder than ``held_out``; null texts are empty
     and teach, and have, one end. The classes are the languages of the training documents;
     a text's class is found from its words alone, and its code length is part of the score. Without languages
-    there is one class. Contexts of all classes count, however rare; ``nodes`` and ``frequent`` only say how many
-    estimates and words are looked up in tables instead of by joins. ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's. Without
+    there is one class. Contexts of all classes count, however rare, up to ``order`` bytes, ``LONGEST`` at most;
+    ``nodes`` and ``frequent`` only say how many estimates and words are looked up in tables instead of by joins. ``base_score`` is the smoothed unigram log10 probability, ``score`` the model's. Without
     training texts both models are uniform. Null ids count as the empty text; repeated rows stay and teach each
     for itself; other columns are ignored.
     """

@@ -626,6 +626,35 @@ def test_scores_by_every_context_and_language(spark):
         assert abs(score - got[i]) < 1e-6 * abs(score), i
 
 
+def test_words_and_windows_of_whole_batches_against_loops():
+    """Tokens, classes and windows are found for many texts and words at once; NULs and words of slices too."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = ["\ta skipped row", " Ab\tcD\x0b\x0c \u00e9 x \u00c9\u2003a \r\n", None, "", " \n ", "a A b ab"]
+    rows = pa.array(held).slice(1)
+    text, word, words = ppm._tokenized(rows)
+    names = words.cast(pa.binary()).to_pylist()
+    assert [[names[w] for w in word[text == i]] for i in range(len(rows))] == [ppm.tokens(t) for t in held[1:]]
+    known = {b"a": 0, b"ab": 1, b"x": 2}, np.log(np.array([[0.2, 0.6], [0.7, 0.1], [0.1, 0.3]]))
+    assert ppm._classes_of(text, word, names, len(rows), known).tolist() == [ppm.class_of(ppm.tokens(t), known) for t in held[1:]]
+    batch = pa.RecordBatch.from_arrays([rows, pa.array([True, False, True, True, False])], ["text", "trains"])
+    got, expected = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for b in ppm._count_words(iter([batch]), known):
+        for w, k, *n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[w, k] = [x + y for x, y in zip(got[w, k], n, strict=True)]
+    for t, trains in zip(held[1:], batch.column(1).to_pylist(), strict=True):
+        for w in [*ppm.tokens(t), b""]:
+            expected[w.decode(), ppm.class_of(ppm.tokens(t), known)][not trains] += 1
+    assert got == expected
+    some = ["", "a", "abc", "h\u00e9llo", "x\x00\x00", "0123456789"]
+    for k in (0, 7, 8, 77):
+        for order in (1, 3, 5, ppm.LONGEST):
+            which, codes = ppm.packed_windows(pa.array(["zz", *some]).slice(1), np.array([0, 1, 3, 4, 5]), k, order)
+            assert list(zip(which.tolist(), ppm.unpacked(codes).to_pylist(), strict=True)) == [(i, g) for i in (0, 1, 3, 4, 5) for g in ppm.windows(some[i], k, order)]
+            assert ppm.packed(ppm.unpacked(codes)).tolist() == codes.tolist()
+
+
 def test_scores_odd(docs, empty):
     got = ppm.score_documents(docs).collect()
     assert len(got) == docs.count() and {r.n_tokens for r in got if r.doc_id in (7, 8, 9)} == {1}
