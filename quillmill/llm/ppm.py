@@ -165,8 +165,6 @@ def _bytes_of(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def packed_windows(words: pa.Array, chosen: np.ndarray, k: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """``windows`` of the chosen words, one after the other: the word's number, and the symbols behind each other with their number in the last byte."""
-    if order > LONGEST:
-        raise ValueError(f"contexts are no longer than {LONGEST}")
     data, first, length = _bytes_of(words)
     first, length, begin = first[chosen], length[chosen], mark(k)
     total = len(begin) + length + 1
@@ -478,6 +476,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OU
     training texts both models are uniform. Null ids count as the empty text; repeated rows stay and teach each
     for itself; other columns are ignored.
     """
+    if order > LONGEST:
+        raise ValueError(f"contexts are no longer than {LONGEST} bytes")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held = id_remainder(F.col("doc_id"), folds) == held_out

@@ -626,7 +626,7 @@ def test_scores_by_every_context_and_language(spark):
         assert abs(score - got[i]) < 1e-6 * abs(score), i
 
 
-def test_words_and_windows_of_whole_batches_against_loops():
+def test_words_and_windows_of_whole_batches_against_loops(spark):
     """Tokens, classes and windows are found for many texts and words at once; NULs and words of slices too."""
     import numpy as np
     import pyarrow as pa
@@ -653,6 +653,8 @@ def test_words_and_windows_of_whole_batches_against_loops():
             which, codes = ppm.packed_windows(pa.array(["zz", *some]).slice(1), np.array([0, 1, 3, 4, 5]), k, order)
             assert list(zip(which.tolist(), ppm.unpacked(codes).to_pylist(), strict=True)) == [(i, g) for i in (0, 1, 3, 4, 5) for g in ppm.windows(some[i], k, order)]
             assert ppm.packed(ppm.unpacked(codes)).tolist() == codes.tolist()
+    with pytest.raises(ValueError, match="contexts"):
+        ppm.score_documents(spark.createDataFrame([], "doc_id long, text string, lang string"), order=ppm.LONGEST + 1)
 
 
 def test_scores_odd(docs, empty):
