@@ -8,18 +8,19 @@ in neither line. In a line of n words, of which u are its own and v the other's,
 and 4 (u + v) <= n - u makes that 2 n / 5 + 2. Pairs of rare words seldom meet by chance, so most keys have one
 line and go in the first aggregation; lengths, places, how many keys are shared and a parity map rule out nearly all
 other candidates. Every
-word toggles one of 128 bits, so the maps of two lines never differ in more bits than the lines differ in words. What is
+word toggles one of 64 bits, and in two long lines of 128, so the maps of two lines never differ in more bits than the
+lines differ in words. What is
 left is compared word for word.
 
-Each line is first compared with those lines that are the earliest of most of its shared keys; pairs are formed only
-where the later line is not settled by them, so a group of near copies costs a few comparisons a line. Lines that no
-earlier one is similar to do meet their group; keys of many lines carry the line's other such keys, so that each of
+Keys of few lines are joined outright, but for two lines that also have keys of many. A line of these is first compared
+with those that are the earliest of most of its shared keys; pairs are formed only where that settles nothing, so a group of
+near copies costs a few comparisons a line. Lines that no earlier one is similar to do meet their group; such keys of many lines carry the line's other such keys, so that each of
 these pairs is made once and not for every key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -33,6 +34,8 @@ WITNESSES, NAMED_BY = 2, 8
 HOT = 32
 #: Stands for a null id, as rows without one come last.
 LAST = (1 << 63) - 1
+#: Lines of more words have a second parity map.
+LONG = 60
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -67,17 +70,24 @@ def _class(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - CLASS_BITS).cast("int")
 
 
-def _parity(ranked: Column, half: int) -> Column:
-    """One half of a map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
-    bit = lambda x: F.call_function("shiftleft", F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)), x.bitwiseAND(F.lit(63)).cast("int"))
+def _parity(ranked: Column) -> Column:
+    """A map with a bit for each word, by the low bits of its hash; bits that are hit twice cancel out."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(ranked, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+
+
+def _odd_parity(ranked: Column) -> Column:
+    """The share of the words whose next bit is set in that map."""
+    bit = lambda x: F.call_function("shiftleft", F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(1)), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(ranked, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
 
 
 def distinct_lines(named: DataFrame) -> DataFrame:
     """(id, place, n, p, q, words) for every distinct line with a word.
 
-    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` and ``q`` their parity map, and
-    ``words`` 31 bits of each word of the prefix, rare ones first.
+    ``place`` is that of the first of equal lines, ``n`` the number of words, ``p`` their parity map and ``q``, null
+    in lines of LONG words or fewer, the part of it that half of the words make; ``words`` has 31 bits of each word of the
+    prefix, rare ones first.
     """
     texts = named.where("doc.text is not null").select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), _spaced(F.col("doc.text")).alias("text"))
     table = F.lit(rarity_table(texts.select("text")))
@@ -89,7 +99,7 @@ def distinct_lines(named: DataFrame) -> DataFrame:
     n = F.size("ranked")
     prefix = F.transform(F.slice("ranked", F.lit(1), _prefix(n)), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos").alias("place")
-    each = ranked.select("a", "b", place, n.alias("n"), _parity(F.col("ranked"), 0).alias("p"), _parity(F.col("ranked"), 1).alias("q"), prefix.alias("words"))
+    each = ranked.select("a", "b", place, n.alias("n"), _parity(F.col("ranked")).alias("p"), F.when(n > LONG, _odd_parity(F.col("ranked"))).alias("q"), prefix.alias("words"))
     one = each.groupBy("a", "b").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "p", "q", "words")))
     return stored(one.select(F.monotonically_increasing_id().alias("id"), "place", "n", "p", "q", "words"), "lines")
 
@@ -104,8 +114,8 @@ def _entries(lines: DataFrame) -> DataFrame:
 
 def _differing(a: str, b: str) -> Column:
     """Bits that differ between the parity maps of two lines: no more than words that only one of them has."""
-    bits = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return bits("p") + bits("q")
+    p, q = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in "pq")
+    return F.coalesce(F.bit_count(q) + F.bit_count(p.bitwiseXOR(q)), F.bit_count(p))
 
 
 def _may_agree(a: str, b: str) -> Column:
@@ -122,38 +132,38 @@ def _placed_well(a: str, b: str) -> Column:
     return (F.least(i, j) + F.least(n - i, m - j)) * (100 + SIMILARITY_PERCENT) >= (n + m) * SIMILARITY_PERCENT
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(id) of the later line of every pair (x, y) whose word sets are similar indeed."""
-    wanted = pairs.select(F.col("x").alias("id")).distinct().union(pairs.select("y").distinct()).distinct().join(lines.select("id", "place"), "id")
-    by_row = wanted.groupBy("place.row").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))  # no more than the row has lines
+def _line_texts(ids: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, place, line) for the lines named by ids."""
+    by_row = ids.distinct().join(lines.select("id", "place"), "id").groupBy("place.row").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))  # no more than the row has lines
     texts = named.select("row", _spaced(F.col("doc.text")).alias("text")).join(by_row, "row").select(F.split("text", "\n").alias("lines"), "wanted")
-    each = stored(texts.select("lines", F.explode("wanted").alias("w")).select("w.id", "w.place", F.get("lines", F.col("w.place.pos")).alias("line")), "candidate-lines")
+    return stored(texts.select("lines", F.explode("wanted").alias("w")).select("w.id", "w.place", F.get("lines", F.col("w.place.pos")).alias("line")), "candidate-lines")
+
+
+def _similar(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """(id) of the later line of every pair (x, y) whose word sets are similar indeed."""
     side = lambda c: each.select(F.col("id").alias(c), F.col("place").alias(f"{c}_place"), F.col("line").alias(f"{c}_line"))
     words = lambda c: F.array_distinct(F.array_remove(F.split(c, " "), "")).alias(c)
     both = pairs.join(side("x"), "x").join(side("y"), "y").select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("id"), words("x_line"), words("y_line"))
     common = F.size(F.array_intersect("x_line", "y_line"))
     alike = both.where(common * 100 >= (F.size("x_line") + F.size("y_line") - common) * SIMILARITY_PERCENT)
-    found = stored(alike.select("id").distinct(), "similar-lines")
-    discard(each)
-    return found
+    return stored(alike.select("id").distinct(), "similar-lines")
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """(key, id, i, n, p, q, doc, first, hot) for the entries whose key has several lines, ``first`` being one of the earliest document among them.
+    """(key, id, i, n, p, q, doc, first, hot, in_large) for the entries whose key has several lines, ``first`` being one of the earliest document among them.
 
-    ``hot`` is null, or for keys of HOT lines and more all such keys of the line, rare words first.
+    ``hot`` is null, or for keys of HOT lines and more all such keys of the line, rare words first; ``in_large``
+    says whether the line has any.
     """
-    entries = _entries(lines)
-    ends = (F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("id", "doc").alias("first"), F.count("*").alias("lines"))
-    firsts = entries.groupBy("key").agg(*ends).where("lo < hi").select("key", "first", (F.col("lines") >= HOT).alias("is_hot"))
-    firsts = stored(firsts, "shared-keys")  # the shuffle files of the counts go before the entries are shuffled again
-    keyed = stored(entries.select("key", "id", "i").join(firsts, "key"), "keyed-entries")  # and those of all entries before the shared ones are
-    discard(firsts)
+    of_key = Window.partitionBy("key")  # Spark spills what a key has beyond some thousand lines
+    counted = _entries(lines).select("key", "id", "i", F.min_by("id", "doc").over(of_key).alias("first"), F.count("*").over(of_key).alias("lines"))
+    keyed = counted.where("lines > 1").select("key", "id", "i", "first", (F.col("lines") >= HOT).alias("is_hot"))
+    keyed = stored(keyed, "keyed-entries")  # the shuffle files of all entries go before the shared ones are shuffled again
     ranked = F.sort_array(F.collect_list(F.struct("i", "key")))  # no more than the line has words
     hot = keyed.where("is_hot").groupBy("id").agg(F.transform(ranked, lambda x: x["key"]).alias("hot"))
     known = lines.select("id", "n", "p", "q", F.coalesce("place.doc_id", F.lit(LAST)).alias("doc"))
     held = keyed.join(known, "id").join(hot, "id", "left")
-    shared = stored(held.select("key", "id", "i", "n", "p", "q", "doc", "first", F.when(F.col("is_hot"), F.col("hot")).alias("hot")), "shared-entries")
+    shared = stored(held.select("key", "id", "i", "n", "p", "q", "doc", "first", F.when(F.col("is_hot"), F.col("hot")).alias("hot"), F.col("hot").isNotNull().alias("in_large")), "shared-entries")
     discard(keyed)
     return shared
 
@@ -174,23 +184,28 @@ def _enough(n: Column, m: Column, keys: Column) -> Column:
     return keys >= both - 1 - (n + m - 2 * o)
 
 
-def _settled(shared: DataFrame, lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(id) of the lines found similar to one of the WITNESSES lines that are first for most of their keys."""
-    met = shared.where("id <> first").groupBy("id", "n", "p", "q", "first").agg(F.count("*").alias("keys")).where(F.col("keys") * NAMED_BY >= _prefix(F.col("n")) - 1)
+def _first_pairs(shared: DataFrame, lines: DataFrame) -> DataFrame:
+    """(x, y): lines x with hot keys and the WITNESSES lines that are first for most of their keys."""
+    met = shared.where("in_large and id <> first").groupBy("id", "n", "p", "q", "first").agg(F.count("*").alias("keys")).where(F.col("keys") * NAMED_BY >= _prefix(F.col("n")) - 1)
     met = met.select(F.struct("id", "n", "p", "q").alias("a"), "first", "keys").join(lines.select(F.col("id").alias("first"), F.struct("id", "n", "p", "q").alias("b")), "first").where(_may_agree("a", "b"))
     rank = F.struct((-F.col("keys")).alias("keys"), _differing("a", "b").alias("bits"), F.col("b.id").alias("y"))
     best = met.groupBy(F.col("a.id").alias("x")).agg(F.slice(F.sort_array(F.collect_list(rank)), 1, WITNESSES).alias("best"))  # NAMED_BY at most
-    pairs = stored(best.select("x", F.explode("best.y").alias("y")), "first-pairs")
-    found = _similar(pairs, lines, named)
-    discard(pairs)
-    return found
+    return best.select("x", F.explode("best.y").alias("y"))
+
 
+def _met_pairs(open_: DataFrame, shared: DataFrame, among: Column | None = None) -> DataFrame:
+    """(x, y) that share as many keys as similar lines must."""
+    counted = _met(open_, shared, among).groupBy("x", "y", "n", "m").agg(F.sum("keys").alias("keys")).where(_enough(F.col("n"), F.col("m"), F.col("keys")))
+    return counted.select("x", "y")
 
-def _met(open_: DataFrame, shared: DataFrame) -> DataFrame:
+
+def _met(open_: DataFrame, shared: DataFrame, among: Column | None = None) -> DataFrame:
     """(x, y, n, m, keys): open lines x and the lines y that may be similar and are no later, in a row for each shared key or for all shared hot keys."""
     hot = F.array_intersect("a.hot", "b.hot")
     once = F.col("a.hot").isNull() | (F.get(hot, F.lit(0)) == F.col("a.key"))
     fits = (F.col("a.id") != F.col("b.id")) & (F.col("b.doc") <= F.col("a.doc")) & _may_agree("a", "b") & _placed_well("a", "b") & once
+    if among is not None:
+        fits &= among
     met = open_.alias("a").join(shared.alias("b"), F.col("a.key") == F.col("b.key")).where(fits)
     return met.select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.coalesce(F.array_size(hot), F.lit(1)).alias("keys"))
 
@@ -198,18 +213,22 @@ def _met(open_: DataFrame, shared: DataFrame) -> DataFrame:
 def removed_lines(lines: DataFrame, named: DataFrame) -> DataFrame:
     """(id) of the distinct lines that are similar to an earlier one.
 
-    Lines that are not settled meet all lines of earlier documents, and of their own, that share a key.
+    Lines meet all lines of earlier documents, and of their own, that share a key; two lines with hot keys do so only
+    if the later one's first comparison doesn't settle it. Texts are read once, those of all lines with hot keys too.
     """
     shared = _shared(lines)
-    settled = _settled(shared, lines, named)
-    open_ = shared.join(settled, "id", "left_anti")
-    met = _met(open_, shared)
-    counted = met.groupBy("x", "y", "n", "m").agg(F.sum("keys").alias("keys")).where(_enough(F.col("n"), F.col("m"), F.col("keys")))
-    pairs = stored(counted.select("x", "y"), "line-pairs")
+    large = shared.where("in_large")
+    cold = shared.where("hot is null").withColumn("hot", F.lit(None).cast("array<long>"))  # all that a line without hot keys shares
+    pairs = stored(_first_pairs(shared, lines).union(_met_pairs(cold, cold, ~(F.col("a.in_large") & F.col("b.in_large")))), "line-pairs")
+    each = _line_texts(pairs.select(F.col("x").alias("id")).union(pairs.select("y")).union(large.select("id")), lines, named)
+    found = _similar(pairs, each)
+    discard(pairs)
+    pairs = stored(_met_pairs(large.join(found, "id", "left_anti"), large), "open-pairs")
     discard(shared)
-    found = _similar(pairs, lines, named)
+    found = found.union(_similar(pairs, each)).distinct()
     discard(pairs)
-    return found.union(settled).distinct()
+    discard(each)
+    return found
 
 
 def dedup_lines(docs: DataFrame, row: Column | None = None, counts: tuple[str, str] | None = ("n_lines", "n_removed")) -> DataFrame:

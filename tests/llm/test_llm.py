@@ -442,6 +442,24 @@ def test_near_copies_of_a_line_meet_once(spark):
     assert len(found) == 40 * 39 // 2 and sum(found.values()) > 10 * len(found) and len(met) < 2 * len(found)
 
 
+def test_lines_of_large_and_small_groups_read_texts_once(spark, monkeypatch):
+    """Near copies of a large group, some cut so far that they share no key of many lines, and lines on both sides of LONG words."""
+    rnd, rows, names = random.Random(13), [], []
+    base = [f"word{i}" for i in range(line_dedup.LONG + 4)]
+    for i in range(90):
+        words = list(base)
+        for at in rnd.sample(range(len(words)), rnd.randrange(1, 12)):
+            words[at] = f"edit{i}x{at}"
+        rows.append((3 * i, " ".join(words)))
+        own = [f"own{i}x{k}" for k in range(rnd.randint(1, line_dedup.LONG + 20))]
+        rows += [(3 * i + 1, " ".join(own)), (3 * i + 2, " ".join(rnd.sample(own, len(own) - len(own) // rnd.choice([5, 4]))))]
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: names.append(name) or stored(df, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == removed_by_loop(rows)
+    assert names.count("candidate-lines") == names.count("keyed-entries") == 1 and "shared-keys" not in names
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     rows = [(None, "one line of words"), (None, "one line of words"), (5, "another line there\nand more\tof it"), (5, "and more of it"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("lines", F.lit(1))
